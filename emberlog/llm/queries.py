@@ -7,11 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import bpe, simhash
-from emberlog.llm.common import table
+from emberlog.llm import ann, bpe, chat, decontam, langid, lmscore, packing, simhash, toxicity, urls
+from emberlog.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Rules of the URL filter: verdict, host, path.
+URL_RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
@@ -25,13 +34,66 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(bpe.decode(F.col("ids"), vocabulary).cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), lambda key: key % 100 == 0)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per packed sequence: its documents, and digests of its row of the id and position matrices."""
+    vocabulary = bpe.load(spark, tokenizer_path())
+    packed = packing.pack_ids(table(spark, sf_dir, "documents"), bpe.encode(F.col("text"), vocabulary))
+    return packed.select("shard", "sequence", "n_tokens", "doc_ids", "doc_starts", "cu_seqlens", F.sha2("input_ids", 256).alias("ids_sha256"), F.sha2("position_ids", 256).alias("positions_sha256"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
+    scored = docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(*chat.prefix_forest(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.learn_templates(pages, table(spark, sf_dir, "labels")), URL_RULES)
+
+
+def op7_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled as of good quality; background: all documents."""
+    vocabulary = bpe.load(spark, tokenizer_path())
+    good = table(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("target"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left")
+    return lmscore.score(docs, bpe.encode(F.col("text"), vocabulary), F.col("target"), 50_257)
+
+
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(F.coalesce(fold("doc_id", 4) != 2, F.lit(False))))
+    found = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), langid.identify(F.col("text"), model, spark).alias("found"))
+    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"), F.array_join("found.languages", " ").alias("languages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op10_simhash)}
+    found = (op1_bpe, op2_ann, op3_packing, op4_toxicity, op5_chat, op6_urls, op7_lmscore, op8_decontam, op9_langid, op10_simhash, pipeline)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
