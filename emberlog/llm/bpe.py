@@ -1,35 +1,48 @@
 """Byte-pair encoding and decoding with forced-boundary splitting.
 
-A byte pair that occurs inside no token of the vocabulary can never be joined, so it
-marks a certain cut. Every pre-token is cut there, the fragments are encoded on their
-own and their ids are concatenated; the result equals encoding the pre-token whole,
-since a merge never crosses such a pair.
-
-The vocabulary file (``tokenizers`` JSON, byte-level BPE) is read on the driver and
-broadcast: its size is fixed by the tokenizer, not by the data. All work on texts is
-in Arrow batches on the executors, without a shuffle.
+A byte pair that occurs inside no token of the vocabulary can never be joined: it marks a
+certain cut. Texts are cut at those of these boundaries that the pre-token pattern cannot
+see across either: before a single space or newline between other characters, and in long
+words also between letters. The fragments are encoded independently, each different one
+of a batch once, and their ids are concatenated; the result equals encoding the whole
+text. Texts with other white space than that are one fragment.
+
+Fragments are merged by a compiled BPE library from the vocabulary's own ranks. The file
+(``tokenizers`` JSON, byte-level BPE) is read on the driver and broadcast: its size is
+fixed by the tokenizer, not by the data. All work on texts is in Arrow batches on the
+executors, without a shuffle.
 """
 
 from __future__ import annotations
 
 import functools
-import heapq
 import json
 import re
 import unicodedata
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import tiktoken
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 # Fixed value: the published byte-level pre-token pattern.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Pieces and fragments remembered by a worker; a cache only, cleared when full.
-CACHE_PIECES = 400_000
-#: Fragments longer than this are merged with a heap instead of rescanning.
-SHORT_FRAGMENT = 48
+#: Characters of text handled at a time, at most, beyond one text.
+CHUNK_CHARS = 16_000_000
+#: Words of more characters are also cut between letters.
+LONG_WORD = 40
+
+#: Characters that a text cut into words doesn't hold: one marks cuts, the other parts distinct words.
+_MARK, _SEPARATOR = "\1", "\0|\0"
+_SPACES = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
+#: What a text must not hold to be cut into words: other spaces than a single one.
+_ODD = ("\0", _MARK, "  ", "\n\n", " \n", "\n ", *_SPACES)
 
 
 def _byte_symbols() -> list[str]:
@@ -40,31 +53,28 @@ def _byte_symbols() -> list[str]:
     return [symbols[b] for b in range(256)]
 
 
-class _OddSpace(Exception):
-    """A word that begins or ends with white space, or is empty: the text isn't cut at its single spaces."""
-
-
-class _Words(dict):
-    """Packed ids of a word with the space before it. A space between two other characters than white space begins a pre-token, so such a word's ids don't depend on its neighbours."""
+def _ranges(chars: list[str]) -> Iterator[str]:
+    start = last = None
+    for c in [*chars, None]:
+        if c is not None and last is not None and ord(c) == ord(last) + 1:
+            last = c
+            continue
+        if start is not None:
+            yield f"{start}-{last}"
+        start = last = c
 
-    def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
-        self.vocabulary = vocabulary
 
-    def __missing__(self, word: str) -> bytes:
-        if not word or word[0].isspace() or word[-1].isspace():
-            raise _OddSpace
-        out = self.vocabulary._by_piece(" " + word)
-        if "\n" not in word:
-            self[word] = out
-        return out
+def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that begin at ``starts``, one after another."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
 
 
-class Vocabulary(dict):
-    """A byte-level BPE vocabulary; as a dict it maps a pre-token to its packed ids (little-endian unsigned 32 bit) and fills itself."""
+class Vocabulary:
+    """A byte-level BPE vocabulary: texts to packed ids (little-endian unsigned 32 bit) and back."""
 
     def __init__(self, spec: bytes):
-        super().__init__()
         config = json.loads(spec)
         pre, model = config["pre_tokenizer"] or {}, config["model"]
         plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in config["added_tokens"])
@@ -72,139 +82,101 @@ class Vocabulary(dict):
             raise ValueError("a plain byte-level BPE tokenizer file is needed")
         byte_of = {s: b for b, s in enumerate(_byte_symbols())}
         raw = lambda token: bytes(byte_of[c] for c in token)
-        self.id_of = {raw(token): i for token, i in model["vocab"].items()}
+        id_of = {raw(token): i for token, i in model["vocab"].items()}
+        merged = [raw(m.replace(" ", "", 1) if isinstance(m, str) else "".join(m)) for m in model["merges"]]
+        by_rank = [*(bytes([b]) for b in range(256)), *merged]
+        self.id_of_rank = np.array([id_of[t] for t in by_rank] + [0], "<u4")
         self.special = {t["content"]: t["id"] for t in config["added_tokens"]}
-        self.bytes_of = {i: token for token, i in self.id_of.items()} | {i: s.encode() for s, i in self.special.items()}
-        pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.rank = {(self.id_of[raw(a)], self.id_of[raw(b)]): (r, self.id_of[raw(a) + raw(b)]) for r, (a, b) in enumerate(pairs)}
-        self.byte_id = [self.id_of[bytes([b])] for b in range(256)]
-        self.joined = bytearray(65536)
-        for token in self.id_of:
-            for a, b in zip(token, token[1:]):
-                self.joined[a << 8 | b] = 1
-        self.pattern = regex.compile(PRE_TOKEN)
-        self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        # Letters and digits newer than the tokenizer's Unicode tables: texts with one are cut by the tokenizer's own pre-tokenizer.
+        self.separator = len(by_rank)
+        self.fast = tiktoken.Encoding("fragments", pat_str=PRE_TOKEN, mergeable_ranks={t: r for r, t in enumerate(by_rank)}, special_tokens={_SEPARATOR: self.separator})
+        self.library = Tokenizer.from_str(spec.decode())
+        self.joined = {pair for token in id_of for pair in zip(token, token[1:])}
+        # A cut before a space is certain if no token holds one after another character (or a part of one).
+        self.cuts_at_space = not any(re.search(r"\S[ \n]", token.decode("utf-8", "replace")) for token in id_of)
+        tokens = {i: t for t, i in id_of.items()} | {i: s.encode() for s, i in self.special.items()}
+        size = max(tokens) + 1
+        self.lengths = np.array([len(tokens.get(i, b"")) for i in range(size)])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(size)), np.uint8)
+        # Letters and digits newer than the libraries' Unicode tables: texts with one are left to the tokenizer itself.
         letter = regex.compile(r"[\p{L}\p{N}]")
         newer = [c for c in map(chr, range(0x80, 0x40000)) if unicodedata.category(c) == "Cn" and letter.match(c)]
-        self.newer = re.compile("[" + "".join(_ranges(newer)) + "]") if newer else None
-        self.beyond = re.compile(f"[{newer[0]}-\U0010ffff]") if newer else None
-        self.spec, self.own = spec, None
-        self.fragments: dict[bytes, bytes] = {}
-        self.words = _Words(self)
-
-    def cuts(self, data: bytes) -> list[bytes]:
-        """``data`` split at every pair of bytes that no token holds."""
-        joined, start, parts = self.joined, 0, []
-        for i in range(1, len(data)):
-            if not joined[data[i - 1] << 8 | data[i]]:
-                parts.append(data[start:i])
-                start = i
-        parts.append(data[start:])
-        return parts
-
-    def __missing__(self, piece: str) -> bytes:
-        known = self.fragments
-        out = b"".join([known.get(part) or self._fragment(part) for part in self.cuts(piece.encode())])
-        self[piece] = out
-        return out
-
-    def _fragment(self, data: bytes) -> bytes:
-        ids = [self.byte_id[b] for b in data]
-        ids = self._merge_short(ids) if len(ids) <= SHORT_FRAGMENT else self._merge_long(ids)
-        out = b"".join([i.to_bytes(4, "little") for i in ids])
-        self.fragments[data] = out
-        return out
-
-    def _merge_short(self, ids: list[int]) -> list[int]:
-        rank = self.rank
-        while len(ids) > 1:
-            best, at = None, 0
-            for i in range(len(ids) - 1):
-                found = rank.get((ids[i], ids[i + 1]))
-                if found and (best is None or found < best):
-                    best, at = found, i
-            if best is None:
-                break
-            ids[at : at + 2] = [best[1]]
-        return ids
-
-    def _merge_long(self, ids: list[int]) -> list[int]:
-        """The same merges, lowest rank first and leftmost among equals, with a heap over a linked list."""
-        n, rank = len(ids), self.rank
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(found[0], i, ids[i], ids[i + 1], found[1]) for i in range(n - 1) if (found := rank.get((ids[i], ids[i + 1])))]
-        heapq.heapify(heap)
-        while heap:
-            _, i, left, right, new = heapq.heappop(heap)
-            j = after[i] if ids[i] == left else n
-            if j >= n or ids[j] != right:
-                continue
-            ids[i], ids[j], after[i] = new, -1, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (found := rank.get((ids[a], ids[b]))):
-                    heapq.heappush(heap, (found[0], a, ids[a], ids[b], found[1]))
-        return [i for i in ids if i >= 0]
+        self.newer, self.beyond = re.compile("[" + "".join(_ranges(newer)) + "]"), re.compile(f"[{newer[0]}-\U0010ffff]")
 
     def _holds_newer(self, text: str) -> bool:
-        return self.newer is not None and not text.isascii() and bool(self.beyond.search(text)) and bool(self.newer.search(text))
+        return not text.isascii() and bool(self.beyond.search(text)) and bool(self.newer.search(text))
 
-    def _pieces(self, text: str) -> list[str]:
-        if not self._holds_newer(text):
-            return self.pattern.findall(text)
-        if self.own is None:
-            from tokenizers import Tokenizer
+    def fragments(self, word: str) -> list[str]:
+        """A word, cut between letters at byte pairs that no token holds if it is long."""
+        if len(word) <= LONG_WORD:
+            return [word]
+        at = [i for i in range(1, len(word)) if word[i - 1].isalpha() and word[i].isalpha() and (word[i - 1].encode()[-1], word[i].encode()[0]) not in self.joined]
+        return [word[a:b] for a, b in zip([0, *at], [*at, len(word)])]
 
-            self.own = Tokenizer.from_str(self.spec.decode()).pre_tokenizer
-        return [text[a:b] for _, (a, b) in self.own.pre_tokenize_str(text)]
+    def _single(self, text: str) -> np.ndarray:
+        """Ids of a text that isn't cut into words."""
+        if self._holds_newer(text):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+        held = [s for s in self.special if s in text]
+        if not held:
+            return self.id_of_rank[np.array(self.fast.encode_ordinary(text), np.int64)]
+        parts = re.split("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")", text)
+        return np.concatenate([np.array([self.special[p]], "<u4") if p in self.special else self.id_of_rank[np.array(self.fast.encode_ordinary(p), np.int64)] for p in parts])
+
+    def _regular(self, text: str) -> bool:
+        return self.cuts_at_space and text[0] not in " \n" and text[-1] not in " \n" and not any(s in text for s in _ODD) and not any(s in text for s in self.special) and not self._holds_newer(text)
+
+    def _words(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of regular texts, by their distinct words."""
+        marked = [t.replace(" ", _MARK + " ").replace("\n", _MARK + "\n") for t in texts]
+        split = pc.split_pattern(pa.array(marked, pa.large_string()), _MARK)
+        coded = split.flatten().dictionary_encode()
+        at, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.string())
+        sizes = np.ones(len(words), np.int64)
+        long = pc.greater(pc.utf8_length(words), LONG_WORD)
+        if pc.any(long).as_py():
+            cut = [self.fragments(w) for w in words.filter(long).to_pylist()]
+            sizes[long.to_numpy(zero_copy_only=False)] = [len(c) for c in cut]
+            words = pc.replace_with_mask(words, long, pa.array([_SEPARATOR.join(c) for c in cut], pa.string()))
+        whole = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), _SEPARATOR)[0].as_py()
+        ranks = self.fast.encode_to_numpy(whole, allowed_special={_SEPARATOR}, disallowed_special=()).astype(np.int64)
+        cuts = np.flatnonzero(ranks == self.separator)
+        firsts = np.concatenate([[0], np.cumsum(sizes)])
+        bounds = np.concatenate([[0], cuts - np.arange(len(cuts)), [len(ranks) - len(cuts)]])[firsts]
+        ids = self.id_of_rank[ranks[ranks != self.separator]]
+        lengths = np.diff(bounds)[at]
+        flat = _gather(ids, bounds[:-1][at], lengths)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[split.offsets.to_numpy()].tolist()
+        return [flat[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Packed ids of each text; null counts as empty. A special token's string in a text becomes that token, as in the tokenizers library."""
+        held: list[tuple[str, bool]] = []
+        size = 0
+
+        def flush() -> Iterator[bytes]:
+            found = iter(self._words([t for t, regular in held if regular]) if any(r for _, r in held) else ())
+            for t, regular in held:
+                yield next(found) if regular else self._single(t).tobytes() if t else b""
+
+        for text in texts:
+            text = text or ""
+            held.append((text, bool(text) and self._regular(text)))
+            size += len(text)
+            if size >= CHUNK_CHARS:
+                yield from flush()
+                held, size = [], 0
+        yield from flush()
 
     def encode(self, text: str | None) -> bytes:
-        """Packed ids of ``text``; null counts as empty. A special token's string in the text becomes that token, as in the tokenizers library."""
-        if not text:
-            return b""
-        for cache in (self, self.fragments, self.words):
-            if len(cache) > CACHE_PIECES:
-                cache.clear()
-        if self.special_pattern is None or not self.special_pattern.search(text):
-            return self._plain(text)
-        return b"".join([self.special[part].to_bytes(4, "little") if part in self.special else self._plain(part) for part in self.special_pattern.split(text) if part])
-
-    def _plain(self, text: str) -> bytes:
-        """Ids of a text without special tokens, by its words where single spaces part them."""
-        if self._holds_newer(text):
-            return self._by_piece(text)
-        first, *words = text.split(" ")
-        if not words or first[-1:].isspace():
-            return self._by_piece(text)
-        last = words.pop()
-        if not last or last[0].isspace():
-            return self._by_piece(text)
-        try:
-            return self._by_piece(first) + b"".join(map(self.words.__getitem__, words)) + self._by_piece(" " + last)
-        except _OddSpace:
-            return self._by_piece(text)
-
-    def _by_piece(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self._pieces(text)))
+        return next(self.encode_all([text]))
 
     def decode(self, packed: bytes | None) -> str | None:
         """The text of packed ids, special tokens kept; bytes that are not UTF-8 become U+FFFD."""
         if packed is None:
             return None
-        return b"".join(map(self.bytes_of.__getitem__, memoryview(packed).cast("I"))).decode("utf-8", "replace")
-
-
-def _ranges(chars: list[str]):
-    start = last = None
-    for c in [*chars, None]:
-        if c is not None and last is not None and ord(c) == ord(last) + 1:
-            last = c
-            continue
-        if start is not None:
-            yield f"{start}-{last}"
-        start = last = c
+        ids = np.frombuffer(packed, "<u4")
+        return _gather(self.bytes, self.starts[ids], self.lengths[ids]).tobytes().decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=4)
@@ -224,7 +196,7 @@ def encode(text: Column, vocabulary) -> Column:
     @F.arrow_udf("binary")
     def to_ids(texts: pa.Array) -> pa.Array:
         v = _vocabulary(vocabulary.value)
-        return pa.array([v.encode(t.as_py()) for t in texts], pa.binary())
+        return pa.array(v.encode_all(t.as_py() for t in texts), pa.binary())
 
     return to_ids(text.cast("string"))
 
