@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,5 +97,19 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in found}
 
 
+def _chat_sql() -> str:
+    """Digests straight from the turns: escaping adds a character for every backslash and control string."""
+    escaped = "|".join(re.escape(c) for c in ("\\", chat.TURN, chat.BODY, chat.END, *chat.FOREIGN))
+    size = lambda c: f"length(regexp_replace({c}, '({escaped})', '\\1+', 'g'))"
+    frame = len(chat.TURN + chat.BODY + chat.END)
+    probe = "</s>[INST] ok [/INST]"
+    order = "ORDER BY turn NULLS FIRST, role, text"
+    return f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+UNION ALL VALUES (-7, 0, 'user', '{probe}'), (-7, 1, 'assistant', '{probe}')),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(concat(role, chr(10), text, chr(10)), '' {order}) AS turns,
+coalesce(string_agg(text, '' {order}) FILTER (role = 'assistant'), '') AS loss, cast(sum({frame} + {size('role')} + {size('text')}) AS bigint) AS formatted_chars FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_chat": _chat_sql()}
