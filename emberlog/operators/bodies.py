@@ -98,11 +98,19 @@ def _first(fields: Column, keys, accept) -> Column:
     """The first of ``keys`` among the top-level fields that ``accept`` takes, as a field."""
     out = F.lit(None).cast("struct<key:string,kind:string,text:string,child:boolean>")
     for key in reversed(keys):
-        found = F.get(F.filter(fields, lambda f, key=key: ~f["child"] & (f["key"] == key) & accept(f)), F.lit(0))
-        out = F.coalesce(found, out)
+        out = F.coalesce(F.get(F.filter(fields, _named(key, accept)), F.lit(0)), out)
     return out
 
 
+def _named(key: str, accept):
+    return lambda f: ~f["child"] & (f["key"] == key) & accept(f)
+
+
+def _outside(key: str, gone: Column):
+    """Not nested in ``key``, if that is gone."""
+    return lambda f: ~(f["child"] & f["key"].startswith(key + ".") & gone)
+
+
 def parse_bodies(logs: DataFrame, projects: DataFrame | None = None, enabled: bool = True) -> DataFrame:
     """Lifts message, level, time, service, trace id and attributes out of structured bodies.
 
@@ -146,8 +154,7 @@ def parse_bodies(logs: DataFrame, projects: DataFrame | None = None, enabled: bo
     rest = F.filter(f, lambda x: x["text"].isNotNull() & ~F.map_contains_key(attrs, x["key"]) & ~(~x["child"] & F.array_contains(used, x["key"])))
     # What is nested in a key that is used up goes with it.
     for key in (*MESSAGE_KEYS, *LEVEL_KEYS, *TIME_KEYS, "service", "trace_id"):
-        gone = F.array_contains(parents, key) & F.array_contains(used, key)
-        rest = F.filter(rest, lambda x, key=key, gone=gone: ~(x["child"] & x["key"].startswith(key + ".") & gone))
+        rest = F.filter(rest, _outside(key, F.array_contains(parents, key) & F.array_contains(used, key)))
     names = F.transform(rest, lambda x: x["key"])
     kept = F.slice(F.filter(rest, lambda x, i: F.array_position(names, x["key"]) == i + 1), 1, MAX_LIFTED)
     cut = lambda text: F.when(F.octet_length(text) > MAX_VALUE_BYTES, _cut_bytes(text)).otherwise(text)

@@ -264,7 +264,7 @@ def log_context_many(spark, sf_dir):
     return search.log_context_many(logs, logs.where("severity = 5").select("log_id"), 3).select("log_id", "target_id", "offset")
 
 
-@query("SELECT log_id, ts, cast(least((SELECT count(*) FROM logs WHERE severity = 5), 500) - 20 AS bigint) AS more FROM logs WHERE severity = 5 ORDER BY ts DESC, log_id DESC LIMIT 20")
+@query("SELECT log_id, ts, cast(greatest(least((SELECT count(*) FROM logs WHERE severity = 5), 500) - 20, 0) AS bigint) AS more FROM logs WHERE severity = 5 ORDER BY ts DESC, log_id DESC LIMIT 20")
 def bounded_fetch(spark, sf_dir):
     found = views.logs(spark, sf_dir).where("severity = 5").orderBy(F.desc("ts"), F.desc("log_id"))
     return search.bounded_fetch(found).select("log_id", "ts", F.col("more").cast("bigint").alias("more"))
@@ -354,7 +354,7 @@ def _fires(spark, sf_dir):
 _FOLD = _MATCH + """, c AS (SELECT rule_id, log_id, ts, cooldown FROM t WHERE event_count >= n UNION ALL SELECT rule_id, log_id, ts, cooldown FROM m WHERE (kind = 'new_issue' AND is_new) OR (kind = 'regression' AND is_reopened)),
 o AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY log_id) AS k FROM c),
 f AS (SELECT rule_id, k, log_id, ts AS last, true AS fired FROM o WHERE k = 1 UNION ALL
-SELECT o.rule_id, o.k, o.log_id, CASE WHEN o.cooldown <= 0 OR date_diff('microsecond', f.last, o.ts) >= o.cooldown * 1000000 THEN o.ts ELSE f.last END, o.cooldown <= 0 OR date_diff('microsecond', f.last, o.ts) >= o.cooldown * 1000000 FROM f JOIN o ON o.rule_id = f.rule_id AND o.k = f.k + 1)
+SELECT o.rule_id, o.k, o.log_id, CASE WHEN o.cooldown <= 0 OR date_diff('microsecond', f.last, o.ts) >= o.cooldown::bigint * 1000000 THEN o.ts ELSE f.last END, o.cooldown <= 0 OR date_diff('microsecond', f.last, o.ts) >= o.cooldown::bigint * 1000000 FROM f JOIN o ON o.rule_id = f.rule_id AND o.k = f.k + 1)
 SELECT cast(rule_id AS bigint) AS rule_id, log_id FROM f WHERE fired"""
 
 

@@ -83,7 +83,7 @@ def alert_rules(spark: SparkSession) -> DataFrame:
 def actions(issues: DataFrame) -> DataFrame:
     """Every other issue resolved half-way through its events, every third one ignored near their end."""
     half = F.floor((F.col("first_id") + F.col("last_id")) / 2)
-    late = F.floor(F.col("first_id") + (F.col("last_id") - F.col("first_id")) * 0.9)
+    late = F.col("first_id") + F.floor((F.col("last_id") - F.col("first_id")) * 9 / 10)
     digit = F.substring("fingerprint", 1, 1)
     resolved = issues.where(digit.isin("0", "2", "4", "6", "8", "a", "c", "e")).select("project_id", "fingerprint", F.lit("resolved").alias("status"), half.alias("seq"))
     ignored = issues.where(digit.isin("0", "3", "6", "9", "c", "f")).select("project_id", "fingerprint", F.lit("ignored").alias("status"), late.alias("seq"))
@@ -94,5 +94,5 @@ def actions(issues: DataFrame) -> DataFrame:
 ACTIONS_SQL = """
 SELECT project_id, fingerprint, 'resolved' AS status, cast(floor((first_id + last_id) / 2) AS bigint) AS seq FROM groups WHERE substring(fingerprint, 1, 1) IN ('0','2','4','6','8','a','c','e')
 UNION ALL
-SELECT project_id, fingerprint, 'ignored', cast(floor(first_id + (last_id - first_id) * 0.9) AS bigint) FROM groups WHERE substring(fingerprint, 1, 1) IN ('0','3','6','9','c','f')
+SELECT project_id, fingerprint, 'ignored', first_id + cast(floor((last_id - first_id) * 9 / 10) AS bigint) FROM groups WHERE substring(fingerprint, 1, 1) IN ('0','3','6','9','c','f')
 """

@@ -58,7 +58,8 @@ def stream_json_logs(spark: SparkSession, path: str, project_id: int, max_files:
 
 
 def _any_value(value: Column) -> Column:
-    return F.coalesce(*[value[k] for k in ("stringValue", "boolValue", "intValue", "doubleValue", "arrayValue", "kvlistValue")], F.lit(""))
+    nested = [F.to_json(F.try_parse_json(value[k])) for k in ("arrayValue", "kvlistValue")]
+    return F.coalesce(*[value[k] for k in ("stringValue", "boolValue", "intValue", "doubleValue")], *nested, F.lit(""))
 
 
 def _attributes(entries: Column) -> Column:
