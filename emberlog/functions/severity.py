@@ -9,7 +9,7 @@ TRACE, DEBUG, INFO, WARN, ERROR, FATAL = range(6)
 NAMES = ("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL")
 # The names a severity can be given by.
 ALIASES = {"trace": 0, "debug": 1, "info": 2, "warn": 3, "warning": 3, "error": 4, "err": 4, "fatal": 5, "panic": 5, "critical": 5}
-#: Least OTLP severity number of each level above TRACE.
+#: The least OTLP severity number of each level above TRACE.
 OTLP_BANDS = ((21, FATAL), (17, ERROR), (13, WARN), (9, INFO), (5, DEBUG), (1, TRACE))
 SPACE = r"[\t-\r \x85\xa0  -     　]"
 

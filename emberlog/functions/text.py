@@ -15,7 +15,7 @@ PANIC = r"\A[ \t]*(?:panic:|fatal error:)"
 
 _START, _END = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
-#: What varies between messages of one kind, in the order in which it is replaced. Long
+#: What varies between messages of one kind, in the order in which it is replaced. Long
 #: decimal runs go before hexadecimal ones, so that those need a letter. Word boundaries are ASCII.
 VOLATILE = (
     (rf"{_START}[0-9a-fA-F]{{8}}(?:-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}{_END}", "<uuid>"),

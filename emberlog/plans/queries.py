@@ -17,7 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-# Message normal form, fingerprint and title in SQL (word boundaries are ASCII there).
+# Fixed values, as in functions.text: message normal form; then fingerprint and title in SQL (word boundaries are ASCII there).
 _NORM = "split_part(body, chr(10), 1)"
 for _pattern, _token in (
     (r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", "<uuid>"),
