@@ -117,7 +117,8 @@ def _project(seed: int, depth: int = 12) -> callable:
 
 def start_graph(nodes: DataFrame, degree: int = DEGREE, orders: int = ORDERS, chunk: int = CHUNK) -> DataFrame:
     """A first graph ``(id, near)`` of ``nodes(id, v)``."""
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A partition holds two chunks at least, if there are as many vectors: none is left alone.
+    parts = max(1, min(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() // (2 * chunk)))
     lists = None
     for seed in range(orders):
         ordered = nodes.withColumn("at", _project(seed)(F.col("v"))).repartitionByRange(parts, "at", "id").sortWithinPartitions("at", "id").select("id", "v")

@@ -108,16 +108,19 @@ def _tile_order(fp: Column) -> Column:
     return order(fp)
 
 
-def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A block (one range of the order) as tiles."""
-    block, rest, tile = TaskContext.get().partitionId(), [], 0
-    for pdf in batches:
-        rest += pdf["fp"].tolist()
-        while len(rest) >= TILE:
-            yield pd.DataFrame({"block": [block], "tile": [tile], "fps": [b"".join(rest[:TILE])], "n": [TILE]})
-            rest, tile = rest[TILE:], tile + 1
-    if rest:
-        yield pd.DataFrame({"block": [block], "tile": [tile], "fps": [b"".join(rest)], "n": [len(rest)]})
+def _pack(size: int):
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A block (one range of the order) as tiles."""
+        block, rest, tile = TaskContext.get().partitionId(), [], 0
+        for pdf in batches:
+            rest += pdf["fp"].tolist()
+            while len(rest) >= size:
+                yield pd.DataFrame({"block": [block], "tile": [tile], "fps": [b"".join(rest[:size])], "n": [size]})
+                rest, tile = rest[size:], tile + 1
+        if rest:
+            yield pd.DataFrame({"block": [block], "tile": [tile], "fps": [b"".join(rest)], "n": [len(rest)]})
+
+    return pack
 
 
 def _contract(parent: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
@@ -144,7 +147,7 @@ def _close(a: np.ndarray, b: np.ndarray, radius: int, xor: np.ndarray, ones: np.
     return np.nonzero(far <= radius)
 
 
-def _compare(radius: int):
+def _compare(radius: int, tile: int):
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         """The spanning forest of the links between two blocks (or within one)."""
         pdf = pdf.sort_values(["block", "tile"])
@@ -158,7 +161,7 @@ def _compare(radius: int):
         blocks = pdf["block"].to_numpy()
         same = len(set(blocks)) == 1
         parent = np.arange(len(fps))
-        xor, ones = np.empty((TILE, TILE), np.uint64), np.empty((TILE, TILE), np.uint8)
+        xor, ones = np.empty((tile, tile), np.uint64), np.empty((tile, tile), np.uint8)
         us, vs, pending = [], [], 0
         lows, highs = np.array([t[2] for t in tiles]), np.array([t[3] for t in tiles])
         low, high = np.array(sums).T
@@ -187,14 +190,14 @@ def _compare(radius: int):
     return compare
 
 
-def fingerprint_links(fps: DataFrame, radius: int) -> DataFrame:
+def fingerprint_links(fps: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     """Distinct fingerprints ``fp`` to links ``(u, v)`` that connect all that lie within ``radius`` bits of each other, directly or by steps."""
     n = fps.count()
     blocks = max(MIN_BLOCKS, -(-n // BLOCK))
     ordered = fps.select("fp", _tile_order(F.col("fp")).alias("at")).repartitionByRange(blocks, "at", "fp").sortWithinPartitions("at", "fp")
-    tiles = checkpointed(ordered.select("fp").mapInPandas(_pack, "block int, tile int, fps binary, n int"))
+    tiles = checkpointed(ordered.select("fp").mapInPandas(_pack(tile), "block int, tile int, fps binary, n int"))
     met = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other")
-    return met.repartition(max(1, blocks * (blocks + 1) // 2), "lo", "hi").groupBy("lo", "hi").applyInPandas(_compare(radius), "u binary, v binary")
+    return met.repartition(max(1, blocks * (blocks + 1) // 2), "lo", "hi").groupBy("lo", "hi").applyInPandas(_compare(radius, tile), "u binary, v binary")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, words: int = 1, radius: int = 4) -> DataFrame:

@@ -4,9 +4,9 @@ Training works on a bounded sample of labelled rows (``MAX_LABELLED``, a documen
 parameter). Spark counts in how many toxic and other sample texts each word occurs and
 keeps the words that tell the classes apart; a logistic regression over their presence
 is then fitted. Identity terms are always features. Every labelled sentence that holds
-one is also written with each other term of its group in the place, and the squared
-change of the score is added to the loss: a group's mention alone cannot move the score
-much, whichever group it is.
+one is also written with each other term of its group in the place, and with a neutral
+word, and the squared change of the score is added to the loss: a group's mention alone
+cannot move the score much, whichever group it is.
 
 Scoring reads each whole text once in Arrow batches, without a shuffle; what it needs is
 a weight for each of at most ``MAX_FEATURES`` words.
@@ -32,8 +32,8 @@ MAX_LABELLED = 20_000
 MAX_FEATURES = 2_000
 #: A feature word is in at least so many sample texts.
 MIN_TEXTS = 8
-#: Standard errors by which a feature word's log odds must differ from zero.
-MIN_Z = 4.0
+#: Standard errors by which a feature word's shares of the two classes must differ.
+MIN_Z = 5.0
 
 # Identity terms by group; within a group any term can stand for another.
 IDENTITY_GROUPS = (
@@ -51,6 +51,9 @@ IDENTITY_GROUPS = (
     ("american", "mexican", "chinese", "indian", "russian", "german", "french", "spanish"),
 )
 
+#: Stands in for any group; it has no weight.
+NEUTRAL = "someone"
+
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[.!?\n]+")
 
@@ -60,8 +63,8 @@ def words_of(text: str | None) -> set[str]:
 
 
 def swaps(text: str | None, groups=IDENTITY_GROUPS) -> list[tuple[set[str], set[str]]]:
-    """For each sentence with an identity term: its words, and its words with the term swapped, once for each other term of the group."""
-    others = {term: [t for t in group if t != term] for group in groups for term in group}
+    """For each sentence with an identity term: its words, and its words with the term swapped, once for each other term of the group and as often for ``NEUTRAL``."""
+    others = {term: [x for t in group if t != term for x in (t, NEUTRAL)] for group in groups for term in group}
     found = []
     for sentence in _SENTENCE.split((text or "").lower()):
         words = set(_WORD.findall(sentence))
@@ -82,7 +85,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
-def fit_rows(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], size: int, l2: float = 0.00002, counterfactual: float = 1.0, steps: int = 600) -> tuple[np.ndarray, float]:
+def fit_rows(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], size: int, l2: float = 0.00002, counterfactual: float = 3.0, steps: int = 600) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise class-balanced log loss + ``l2`` |w|^2 + ``counterfactual`` mean (w . (x' - x))^2, by gradient descent with step sizes adapted to each weight (Adam)."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.concatenate([np.asarray(r, np.int64) for r in rows]) if len(at) else np.empty(0, np.int64)
@@ -106,22 +109,22 @@ def fit_rows(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[i
 
 
 def _distinct_sample(labelled: DataFrame) -> DataFrame:
-    """The bounded sample ``(label, words, swapped)``, copies reduced to one: equal least hashes of word triples mean a shared beginning."""
+    """The bounded sample ``(label, words, swapped)``, copies reduced to one: an equal least hash of eight-word runs, by either of two orders, means a shared text."""
 
     def read(batches):
         for pdf in batches:
             out = []
             for t, y in zip(pdf["text"], pdf["label"]):
                 words = _WORD.findall(t.lower())
-                triples = [xxh3_64_intdigest(" ".join(words[i : i + 3])) >> 1 for i in range(max(1, len(words) - 2))]
-                out.append((int(y), sorted(set(words)), min(triples), min(h ^ 0x5DEECE66D5DEECE6 for h in triples)))
+                runs = [xxh3_64_intdigest(" ".join(words[i : i + 8])) >> 1 for i in range(max(1, len(words) - 7))]
+                out.append((int(y), sorted(set(words)), min(runs), min(h ^ 0x5DEECE66D5DEECE6 for h in runs)))
             yield pd.DataFrame(out, columns=["label", "words", "sketch_a", "sketch_b"])
 
     rows = labelled.mapInPandas(read, "label int, words array<string>, sketch_a long, sketch_b long")
     return rows.dropDuplicates(["sketch_a"]).dropDuplicates(["sketch_b"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", groups=IDENTITY_GROUPS, max_labelled: int = MAX_LABELLED, counterfactual: float = 1.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", groups=IDENTITY_GROUPS, max_labelled: int = MAX_LABELLED, counterfactual: float = 3.0) -> Model:
     """The classifier learnt from ``docs`` whose key has a label of 0 or 1 in ``labels``.
 
     Of a key with several labels the largest counts. Rows with null keys, texts or
@@ -140,10 +143,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             rate = bad / max(1, bad + good)
             return Model({}, float(np.log((rate + 1e-6) / (1 - rate + 1e-6))))
         counts = rows.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
-        odds = F.log((F.col("bad") + 0.5) / (bad - F.col("bad") + 0.5)) - F.log((F.col("good") + 0.5) / (good - F.col("good") + 0.5))
-        error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5) + 1 / (bad - F.col("bad") + 0.5) + 1 / (good - F.col("good") + 0.5))
-        telling = counts.where(F.col("bad") + F.col("good") >= MIN_TEXTS).withColumn("z", F.abs(odds / error)).where(F.col("z") >= MIN_Z)
-        features = [r["word"] for r in telling.orderBy(F.desc("z"), "word").limit(MAX_FEATURES).collect()]
+        share = (F.col("bad") + F.col("good")) / (bad + good)
+        gap = F.col("bad") / bad - F.col("good") / good
+        z = F.abs(gap) / F.sqrt(share * (1 - share) * (1 / bad + 1 / good) + 1e-12)
+        telling = counts.where(F.col("bad") + F.col("good") >= MIN_TEXTS).withColumn("z", z).where(F.col("z") >= MIN_Z)
+        features = [r["word"] for r in telling.where(F.col("word") != NEUTRAL).orderBy(F.desc("z"), "word").limit(MAX_FEATURES).collect()]
         terms = sorted({t for g in groups for t in g})
         index = {w: i for i, w in enumerate(dict.fromkeys([*features, *terms]))}
 
