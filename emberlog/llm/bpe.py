@@ -34,7 +34,7 @@ from tokenizers import Tokenizer
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Characters of text handled at a time, at most, beyond one text.
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 4_000_000
 #: Words of more characters are also cut between letters.
 LONG_WORD = 40
 

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 SEQ_LEN = 2048
 #: Tokens packed together, at most, beyond the last document (4 bytes each).
-SHARD_TOKENS = 6_000_000
+SHARD_TOKENS = 2_000_000
+#: Sequences sent on in one batch.
+BATCH = 64
 
 SCHEMA = (
     "shard string, sequence long, n_tokens int, input_ids binary, position_ids binary, cu_seqlens array<int>, "
@@ -87,10 +89,14 @@ def pack_ids(docs: DataFrame, ids: Column, key: str = "doc_id", seq_len: int = S
     sequence; a null key is carried on; repeated documents are packed as often as they occur.
     """
 
-    def flush(held: list[tuple[int | None, int, np.ndarray]], shard: str) -> pa.RecordBatch:
+    def flush(held: list[tuple[int | None, int, np.ndarray]], shard: str):
         sequences = pack([len(x) for *_, x in held], seq_len)
+        for first in range(0, len(sequences), BATCH):
+            yield rows(held, shard, first, sequences[first : first + BATCH])
+
+    def rows(held: list[tuple[int | None, int, np.ndarray]], shard: str, first: int, sequences: list[list[int]]) -> pa.RecordBatch:
         columns: list[list] = [[] for _ in _ARROW]
-        for number, members in enumerate(sequences):
+        for number, members in enumerate(sequences, first):
             parts = [held[i] for i in members]
             bounds = np.concatenate([[0], np.cumsum([len(x) for *_, x in parts])])
             used = int(bounds[-1])
@@ -111,10 +117,10 @@ def pack_ids(docs: DataFrame, ids: Column, key: str = "doc_id", seq_len: int = S
                     held.append((key_.as_py(), start, tokens[start : start + seq_len]))
                 size += len(tokens)
                 if size >= shard_tokens:
-                    yield flush(held, f"{partition:06d}-{shard:04d}")
+                    yield from flush(held, f"{partition:06d}-{shard:04d}")
                     shard, held, size = shard + 1, [], 0
         if held:
-            yield flush(held, f"{partition:06d}-{shard:04d}")
+            yield from flush(held, f"{partition:06d}-{shard:04d}")
 
     return docs.select(F.col(key).cast("long").alias("key"), ids.alias("ids")).mapInArrow(run, SCHEMA)
 
