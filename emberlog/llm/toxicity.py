@@ -85,7 +85,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
-def fit_rows(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], size: int, l2: float = 0.00002, counterfactual: float = 3.0, steps: int = 600) -> tuple[np.ndarray, float]:
+def fit_rows(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], size: int, l2: float = 0.000002, counterfactual: float = 3.0, steps: int = 900) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise class-balanced log loss + ``l2`` |w|^2 + ``counterfactual`` mean (w . (x' - x))^2, by gradient descent with step sizes adapted to each weight (Adam)."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.concatenate([np.asarray(r, np.int64) for r in rows]) if len(at) else np.empty(0, np.int64)
