@@ -24,15 +24,15 @@ from pyspark.sql import functions as F
 from emberlog.llm.common import checkpointed
 
 #: Neighbours of a node in the graph.
-DEGREE = 20
+DEGREE = 24
 #: Projection orders the graph starts from, and vectors compared in a chunk of one.
-ORDERS, CHUNK = 4, 400
+ORDERS, CHUNK = 6, 400
 #: Rounds of NN-descent, at most, and the share of changed entries that ends them.
-ROUNDS, SETTLED = 4, 0.02
+ROUNDS, SETTLED = 6, 0.02
 #: Nearest of a pair of neighbours sent on by each local join.
-OFFERS = 6
+OFFERS = 8
 #: Candidates a query keeps, candidates it expands in a round, and rounds at most.
-BEAM, EXPAND, HOPS = 200, 24, 16
+BEAM, EXPAND, HOPS = 300, 32, 16
 
 _NEAR = "array<struct<d:float,id:long>>"
 
