@@ -89,7 +89,7 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in config["added_tokens"]}
         self.separator = len(by_rank)
         self.fast = tiktoken.Encoding("fragments", pat_str=PRE_TOKEN, mergeable_ranks={t: r for r, t in enumerate(by_rank)}, special_tokens={_SEPARATOR: self.separator})
-        self.library = Tokenizer.from_str(spec.decode())
+        self.spec, self.library = spec, None
         self.joined = {pair for token in id_of for pair in zip(token, token[1:])}
         # A cut before a space is certain if no token holds one after another character (or a part of one).
         self.cuts_at_space = not any(re.search(r"\S[ \n]", token.decode("utf-8", "replace")) for token in id_of)
@@ -116,6 +116,7 @@ class Vocabulary:
     def _single(self, text: str) -> np.ndarray:
         """Ids of a text that isn't cut into words."""
         if self._holds_newer(text):
+            self.library = self.library or Tokenizer.from_str(self.spec.decode())
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
         held = [s for s in self.special if s in text]
         if not held:

@@ -38,6 +38,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fold(column: str | Column, mod: int) -> Column:
+def small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """``df``, to be broadcast in a join if it has at most so many (narrow) rows, else left to Spark's own choice."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def fold(column: str, mod: int) -> Column:
     """crc32 of the id's decimal text, modulo ``mod``: the held-out folds."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % mod if isinstance(column, str) else F.crc32(column.cast("string").cast("binary")) % mod
+    return F.crc32(F.col(column).cast("string").cast("binary")) % mod

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm import ann, bpe, chat, decontam, langid, lmscore, packing, simhash, toxicity, urls
-from emberlog.llm.common import fold, table
+from emberlog.llm.common import fold, small, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,8 +65,8 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents labelled as of good quality; background: all documents."""
     vocabulary = bpe.load(spark, tokenizer_path())
-    good = table(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("target"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left")
+    good = table(spark, sf_dir, "labels").groupBy("doc_id").agg((F.min("quality") == 1).alias("target")).where("target and doc_id is not null")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(small(good), "doc_id", "left")
     return lmscore.score(docs, bpe.encode(F.col("text"), vocabulary), F.col("target"), 50_257)
 
 
