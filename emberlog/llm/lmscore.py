@@ -5,10 +5,11 @@ smoothing: the target is counted over the documents marked as such, the backgrou
 all documents. A document's score is the mean over its tokens of the target's loss less
 the background's: low scores are like the target.
 
-Counts are taken over all documents; a task adds up its partition's before the shuffle,
-in tables of fixed size. Bigrams share ``CELLS`` hash cells, so that both models together are
-at most ``CELLS`` pairs of integers however large the corpus is; only that bounded table
-is broadcast for scoring.
+Every distinct bigram is counted exactly, over all documents. Documents are dealt into
+chunks of about ``CHUNK_TOKENS`` tokens; a chunk sends each of its distinct bigrams once, these
+are added up over the corpus by bigram, and the sums go back to the chunks, which score
+their documents with them. A frequent bigram thus costs one row a chunk. Only the counts
+of single tokens and contexts, of the vocabulary's size, are broadcast.
 """
 
 from __future__ import annotations
@@ -17,62 +18,46 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.llm.common import stored
 
-#: Hash cells for bigrams: at most 2 million.
-CELLS = 1 << 21
-#: Tokens counted at a time, beyond one document.
-CHUNK_TOKENS = 300_000
+#: Tokens of a chunk on average.
+CHUNK_TOKENS = 2_000_000
+#: Tokens counted or scored at a time, beyond one document.
+SLICE_TOKENS = 500_000
+#: At least so many chunks, for parallel work on small inputs.
+MIN_CHUNKS = 256
 #: Weight of the bigram estimate against the unigram one.
 BIGRAM = 0.7
 #: Added to each token's count.
 SMOOTH = 0.5
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_SHIFT = np.uint64(65 - CELLS.bit_length())
 
+def tokens_of(packed: bytes | None) -> np.ndarray:
+    return np.frombuffer(packed or b"", "<u4").astype(np.int64)
 
-def cells_of(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of each token's context and of its bigram. A context is the token before it, or the start (token number ``vocabulary``)."""
-    before = np.concatenate([[vocabulary], ids[:-1]]).astype(np.uint64)
-    key = before * np.uint64(vocabulary + 1) + ids.astype(np.uint64) + np.uint64(1)
-    return before.astype(np.int64), ((key * _MIX) >> _SHIFT).astype(np.int64)
 
-
-class Models:
-    """Loss differences from dense count tables: unigrams, contexts and bigram cells of (target, background)."""
-
-    def __init__(self, unigrams: np.ndarray, contexts: np.ndarray, bigrams: np.ndarray):
-        size = unigrams.shape[1]
-        self.uni = (unigrams + SMOOTH) / (unigrams.sum(axis=1, keepdims=True) + SMOOTH * size)
-        self.contexts, self.bigrams = contexts, bigrams
-
-    def losses(self, ids: np.ndarray) -> tuple[float, float]:
-        """Mean loss (nats per token) under the target and the background."""
-        before, pair = cells_of(ids, self.uni.shape[1])
-        out = []
-        for k in (0, 1):
-            total = self.contexts[k][before]
-            weight = np.where(total > 0, BIGRAM, 0.0)
-            p = weight * self.bigrams[k][pair] / np.maximum(total, 1) + (1 - weight) * self.uni[k][ids]
-            out.append(float(-np.log(p).mean()))
-        return out[0], out[1]
+def bigrams_of(docs: list[np.ndarray], vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens of some documents on end, the context of each, and the number of its bigram. A context is the token before it, or a document's start (token number ``vocabulary``)."""
+    ids = np.concatenate([*docs, np.empty(0, np.int64)])
+    before = np.concatenate([[vocabulary], ids[:-1]])[: len(ids)]
+    before[np.cumsum([0, *(len(x) for x in docs if len(x))])[:-1]] = vocabulary
+    return ids, before, before * (vocabulary + 1) + ids
 
 
 def count(docs: DataFrame, ids: Column, target: Column, vocabulary: int) -> DataFrame:
-    """``(kind, cell, target, background)``: counts of unigrams (0), contexts (1) and bigram cells (2) over all documents. A null ``target`` counts as false."""
+    """``(kind, token, target, background)``: counts of unigrams (0) and contexts (1) over all documents. A null ``target`` counts as false."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = [np.zeros((2, n), np.int64) for n in (vocabulary, vocabulary + 1, CELLS)]
+        tables = [np.zeros((2, n), np.int64) for n in (vocabulary, vocabulary + 1)]
 
         def add(held: list[tuple[np.ndarray, bool]]) -> None:
             for good in (False, True):
-                parts = [cells_of(x, vocabulary) + (x,) for x, marked in held if marked is good]
-                for table, k in zip(tables, (2, 0, 1)) if parts else ():
-                    found = np.bincount(np.concatenate([p[k] for p in parts]), minlength=table.shape[1])
+                part = [x for x, marked in held if marked is good]
+                for table, found in zip(tables, bigrams_of(part, vocabulary)) if part else ():
+                    found = np.bincount(found, minlength=table.shape[1])
                     table[1] += found
                     if good:
                         table[0] += found
@@ -81,20 +66,32 @@ def count(docs: DataFrame, ids: Column, target: Column, vocabulary: int) -> Data
         for pdf in batches:
             for packed, good in zip(pdf["ids"], pdf["target"]):
                 if packed:
-                    held.append((np.frombuffer(packed, "<u4").astype(np.int64), bool(good)))
+                    held.append((tokens_of(packed), bool(good)))
                     size += len(held[-1][0])
-                if size > CHUNK_TOKENS:
+                if size > SLICE_TOKENS:
                     add(held)
                     held, size = [], 0
         add(held)
         for kind, table in enumerate(tables):
-            cells = np.flatnonzero(table[1])
-            for at in range(0, len(cells), 100_000):
-                part = cells[at : at + 100_000]
-                yield pd.DataFrame({"kind": np.int8(kind), "cell": part, "target": table[0, part], "background": table[1, part]})
+            found = np.flatnonzero(table[1])
+            yield pd.DataFrame({"kind": np.int8(kind), "token": found, "target": table[0, found], "background": table[1, found]})
 
     rows = docs.select(ids.alias("ids"), F.coalesce(target, F.lit(False)).alias("target"))
-    return rows.mapInPandas(run, "kind byte, cell long, target long, background long").groupBy("kind", "cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    return rows.mapInPandas(run, "kind byte, token long, target long, background long").groupBy("kind", "token").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+
+
+def bigram_counts(chunks: DataFrame, vocabulary: int) -> DataFrame:
+    """``(chunk, pair, target, background)``: every distinct bigram of a chunk with its exact counts over all chunks."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        docs = [tokens_of(b) for b in pdf["ids"]]
+        pairs, background = np.unique(bigrams_of(docs, vocabulary)[2], return_counts=True)
+        good = bigrams_of([x for x, marked in zip(docs, pdf["target"]) if marked], vocabulary)[2]
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[0], "pair": pairs, "target": np.bincount(np.searchsorted(pairs, good), minlength=len(pairs)), "background": background})
+
+    found = chunks.groupBy("chunk").applyInPandas(run, "chunk int, pair long, target long, background long")
+    over = Window.partitionBy("pair")
+    return found.select("chunk", "pair", F.sum("target").over(over).alias("target"), F.sum("background").over(over).alias("background"))
 
 
 def score(docs: DataFrame, ids: Column, target: Column, vocabulary: int, key: str = "doc_id") -> DataFrame:
@@ -105,21 +102,41 @@ def score(docs: DataFrame, ids: Column, target: Column, vocabulary: int, key: st
     count, and are scored, as often as they occur; other columns are not read.
     """
     spark = docs.sparkSession
-    # The ids are made once and kept: both passes read them, and no task holds an encoder beside its counts.
-    docs = stored(docs.select(F.col(key).cast("long").alias("key"), ids.alias("ids"), F.coalesce(target, F.lit(False)).alias("target")))
-    counted = count(docs, F.col("ids"), F.col("target"), vocabulary).toPandas()  # at most CELLS + 2 * vocabulary rows, whatever the corpus
+    # The ids are made once and kept: all passes read them, and no task holds an encoder beside its counts.
+    kept = docs.select(F.col(key).cast("long").alias("key"), ids.alias("ids"), F.coalesce(target, F.lit(False)).alias("target"), F.monotonically_increasing_id().alias("row"))
+    docs = stored(kept, compression="zstd")
+    counted = count(docs, F.col("ids"), F.col("target"), vocabulary).toPandas()  # at most 2 * vocabulary + 1 rows, whatever the corpus
     dense = []
-    for kind, size in ((0, vocabulary), (1, vocabulary + 1), (2, CELLS)):
+    for kind, size in ((0, vocabulary), (1, vocabulary + 1)):
         part, out = counted[counted["kind"] == kind], np.zeros((2, size), np.int64)
-        out[0, part["cell"]], out[1, part["cell"]] = part["target"], part["background"]
+        out[0, part["token"]], out[1, part["token"]] = part["target"], part["background"]
         dense.append(out)
-    shared = spark.sparkContext.broadcast((dense[0], dense[1], dense[2].astype(np.uint32) if dense[2].max(initial=0) < 2**32 else dense[2]))
-
-    def run(batches):
-        models = Models(*shared.value)
-        for pdf in batches:
-            lists = [np.frombuffer(b or b"", "<u4").astype(np.int64) for b in pdf["ids"]]
-            losses = [models.losses(x) if len(x) else (None, None) for x in lists]
-            yield pd.DataFrame({"key": pdf["key"], "n_tokens": [len(x) for x in lists], "target_loss": pd.array([t for t, _ in losses], "Float64"), "background_loss": pd.array([b for _, b in losses], "Float64"), "score": [t - b if t is not None else 0.0 for t, b in losses]})
-
-    return docs.select("key", "ids").mapInPandas(run, "key long, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("key", key)
+    shared = spark.sparkContext.broadcast(tuple(dense))
+    n = max(MIN_CHUNKS, -(-int(dense[0][1].sum()) // CHUNK_TOKENS))
+    chunks = docs.select(F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias("chunk"), "key", "ids", "target")
+
+    def run(pdf: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        unigrams, contexts = shared.value
+        counts = counts.sort_values("pair")
+        pairs, bigrams = counts["pair"].to_numpy(), (counts["target"].to_numpy(), counts["background"].to_numpy())
+        lists = [tokens_of(b) for b in pdf["ids"]]
+        sizes = np.array([len(x) for x in lists], np.int64)
+        flat, before, pair = bigrams_of(lists, vocabulary)
+        losses = [pd.array([None] * len(lists), "Float64") for _ in (0, 1)]
+        some = np.flatnonzero(sizes)
+        for k in (0, 1):
+            uni = (unigrams[k] + SMOOTH) / (unigrams[k].sum() + SMOOTH * vocabulary)
+            loss = np.empty(len(flat))
+            for at in range(0, len(flat), SLICE_TOKENS):
+                part = slice(at, at + SLICE_TOKENS)
+                total = contexts[k][before[part]]
+                weight = np.where(total > 0, BIGRAM, 0.0)
+                p = weight * bigrams[k][np.searchsorted(pairs, pair[part])] / np.maximum(total, 1) + (1 - weight) * uni[flat[part]]
+                loss[part] = -np.log(p)
+            if len(some):
+                losses[k][some] = np.add.reduceat(loss, np.cumsum([0, *sizes[some]])[:-1]) / sizes[some]
+        return pd.DataFrame({"key": pdf["key"], "n_tokens": sizes, "target_loss": losses[0], "background_loss": losses[1], "score": (losses[0] - losses[1]).fillna(0.0)})
+
+    # Both sides of the join read one exchange of the documents.
+    scored = chunks.groupBy("chunk").cogroup(bigram_counts(chunks, vocabulary).groupBy("chunk"))
+    return scored.applyInPandas(run, "key long, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("key", key)

@@ -131,6 +131,23 @@ def test_lm_scores(spark):
     assert lmscore.score(docs.limit(0), F.col("ids"), F.col("good"), 9).count() == 0
 
 
+def test_lm_bigrams_are_exact(spark):
+    """More distinct bigrams (250 000) than could lie in a table of fixed size without some sharing a cell."""
+    rng = np.random.default_rng(6)
+    ids = [rng.integers(0, 3000, 5000) for _ in range(50)]
+    docs = spark.createDataFrame([(k, bytearray(v.astype("<u4").tobytes()), k % 2 == 0) for k, v in enumerate(ids)], "doc_id long, ids binary, good boolean").repartition(4)
+    got = {r.doc_id: r for r in lmscore.score(docs, F.col("ids"), F.col("good"), 3000).collect()}
+    pairs = [np.concatenate([[3000], v[:-1]]) * 3001 + v for v in ids]
+    for name, chosen in (("target_loss", range(0, 50, 2)), ("background_loss", range(50))):
+        flat, keys = np.concatenate([ids[k] for k in chosen]), np.concatenate([pairs[k] for k in chosen])
+        uni, big, ctx = np.bincount(flat, minlength=3000), np.bincount(keys, minlength=3001**2), np.bincount(keys // 3001, minlength=3001)
+        for k, v in enumerate(ids):
+            total = ctx[pairs[k] // 3001]
+            w = np.where(total > 0, lmscore.BIGRAM, 0.0)
+            p = w * big[pairs[k]] / np.maximum(total, 1) + (1 - w) * (uni[v] + lmscore.SMOOTH) / (len(flat) + lmscore.SMOOTH * 3000)
+            assert got[k][name] == pytest.approx(-np.log(p).mean(), rel=1e-9)
+
+
 def distance_within(item, text):
     """The least edit distance of an item to any part of a text, by dynamic programming."""
     row = list(range(len(item) + 1))
