@@ -2,8 +2,8 @@
 
 A url's path becomes a template segment by segment. Segments that vary by nature (numbers,
 long hexadecimal strings, dates; an ending such as ``.html`` stays) turn into wildcards at
-once. Level by level, a segment that too few urls of its parent share, or whose parent has
-too many different children, is a wildcard as well. Branches of one parent with the same
+once. Level by level, to the depth the urls have, a segment that too few urls of its parent
+share is a wildcard as well. Branches of one parent with the same
 number of levels below whose labelled shares do not differ significantly are merged. A
 template is rejected if its smoothed labelled purity is below the threshold.
 
@@ -20,10 +20,6 @@ from pyspark.sql import functions as F
 
 from emberlog.llm.common import checkpointed
 
-#: Levels of the tree; deeper segments are one wildcard for the rest.
-LEVELS = 4
-#: Children of a node beyond which all are wildcards.
-MAX_CHILDREN = 50
 #: Urls that share a segment, at least, for it to stay.
 MIN_SUPPORT = 5
 #: Pseudo-counts of labels by which purity leans to that of all labels.
@@ -34,7 +30,6 @@ MIN_PURITY = 0.5
 ALIKE_Z = 1.96
 
 WILD = "*"
-REST = "**"
 
 
 def host_of(url: Column) -> Column:
@@ -66,8 +61,14 @@ def _generalised(segment: Column) -> Column:
 def lexical_segments(path: Column) -> Column:
     """The path's segments, those that vary by nature as wildcards; a final slash is not a segment."""
     split = F.filter(F.split(path, "/"), lambda s: s != "")
-    kept = F.transform(F.slice(split, 1, LEVELS), _generalised)
-    return F.when(F.size(split) > LEVELS, F.concat(kept, F.array(F.lit(REST)))).otherwise(kept)
+    return F.transform(split, _generalised)
+
+
+def _depth(counted: DataFrame) -> int:
+    """The deepest level that ``MIN_SUPPORT`` urls of one host reach: beyond it no segment has support."""
+    deeper = Window.partitionBy("host").orderBy(F.desc("size"))
+    sizes = counted.groupBy("host", F.size("segments").alias("size")).agg(F.sum("urls").alias("urls")).withColumn("reach", F.sum("urls").over(deeper))
+    return sizes.where(F.col("reach") >= MIN_SUPPORT).agg(F.max("size").alias("depth")).head()["depth"] or 0
 
 
 def learn_templates(pages: DataFrame, labels: DataFrame, key: str = "page_id", url: str = "url", label_key: str = "doc_id", label: str = "quality") -> DataFrame:
@@ -83,12 +84,16 @@ def learn_templates(pages: DataFrame, labels: DataFrame, key: str = "page_id", u
     counted = checkpointed(known.groupBy("host", "segments").agg(F.count("*").alias("urls"), F.count("good").alias("labelled"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")))
 
     tree = counted.withColumn("template", F.array().cast("array<string>"))
-    for level in range(LEVELS + 1):
+    depth = _depth(counted)
+    for level in range(depth):
         segment = F.get(F.col("segments"), F.lit(level))
         children = tree.where(segment.isNotNull()).groupBy("host", "template", segment.alias("child")).agg(F.sum("urls").alias("support"))
-        siblings = children.groupBy("host", "template").agg(F.count("*").alias("children"))
-        kept = children.join(siblings, ["host", "template"]).select("host", "template", "child", F.when((F.col("children") > MAX_CHILDREN) | (F.col("support") < MIN_SUPPORT), F.when(F.col("child") == REST, REST).otherwise(WILD)).otherwise(F.col("child")).alias("kept"))
+        kept = children.select("host", "template", "child", F.when(F.col("support") < MIN_SUPPORT, WILD).otherwise(F.col("child")).alias("kept"))
         tree = tree.withColumn("child", segment).join(kept, ["host", "template", "child"], "left").withColumn("template", F.when(F.col("kept").isNull(), F.col("template")).otherwise(F.concat("template", F.array("kept")))).drop("child", "kept")
+        if level % 4 == 3:
+            tree = checkpointed(tree)
+    rest = F.greatest(F.size("segments") - depth, F.lit(0))
+    tree = tree.withColumn("template", F.concat("template", F.array_repeat(F.lit(WILD), rest)))
     tree = checkpointed(tree)
 
     # Siblings that differ in their last but one named branch: each against the rest of its parent.

@@ -210,6 +210,17 @@ def test_url_branches_merge(spark):
     assert {r.template for r in rows} == {"/*/*"} and not any(r.rejected for r in rows)
 
 
+def test_url_branches_stay_beside_rare_ones_and_deep_down(spark):
+    wide = [f"https://w.net/spam/{i}" for i in range(100)] + [f"https://w.net/news/{i}" for i in range(300)] + [f"https://w.net/rare{'abcdefghijklmnopqrstuvwxyz'[i // 26]}{'abcdefghijklmnopqrstuvwxyz'[i % 26]}/1" for i in range(60)]
+    deep = [f"https://d.net/a/b/c/d/e/{'spam' if i % 3 == 0 else 'news'}/{i}" for i in range(300)] + ["https://d.net/" + "x/" * 90]
+    pages = list(enumerate(wide + deep))
+    table = spark.createDataFrame(pages, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int("spam" not in u)) for i, u in pages], "doc_id long, quality int")
+    by_id = dict(pages)
+    for r in urls.judge(table, urls.learn_templates(table, labels)).collect():
+        assert r.verdict == ("block" if "spam" in by_id[r.page_id] else "allow"), r
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
     from emberlog.llm import decontam, langid, queries as q, toxicity
