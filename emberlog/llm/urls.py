@@ -3,8 +3,8 @@
 A url's path becomes a template segment by segment. Segments that vary by nature (numbers,
 long hexadecimal strings, dates; an ending such as ``.html`` stays) turn into wildcards at
 once. Level by level, to the depth the urls have, a segment that too few urls of its parent
-share is a wildcard as well. Branches of one parent with the same
-number of levels below whose labelled shares do not differ significantly are merged. A
+share is a wildcard as well. Then, from the deepest level up, branches of one parent that
+are alike below and whose labelled shares do not differ significantly are merged. A
 template is rejected if its smoothed labelled purity is below the threshold.
 
 All of it is DataFrame aggregation over (host, template) counts, combined before each
@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +73,57 @@ def _depth(counted: DataFrame) -> int:
     return sizes.where(F.col("reach") >= MIN_SUPPORT).agg(F.max("size").alias("depth")).head()["depth"] or 0
 
 
+def _clusters(labelled: np.ndarray, good: np.ndarray, siblings: np.ndarray, prior: float) -> np.ndarray:
+    """The cluster of each distinct pair of counts, numbered from the best share down: neighbours by share are joined, the likest first, while they do not differ significantly."""
+    n, g = (labelled * siblings).astype(float), (good * siblings).astype(float)
+    order = np.argsort(-(good + 2 * prior) / (labelled + 2), kind="stable")
+    held = [[n[i], g[i], [i]] for i in order]
+
+    def apart(a: list, b: list) -> float:
+        if not a[0] or not b[0]:
+            return 0.0  # nothing is known that sets them apart
+        share, rest, pooled = (a[1] + 1) / (a[0] + 2), (b[1] + 1) / (b[0] + 2), (a[1] + b[1] + 1) / (a[0] + b[0] + 2)
+        return abs(share - rest) / np.sqrt(pooled * (1 - pooled) * (1 / (a[0] + 1) + 1 / (b[0] + 1)))
+
+    gaps = [apart(a, b) for a, b in zip(held, held[1:])]
+    while gaps and (z := min(gaps)) <= ALIKE_Z:
+        k = gaps.index(z)
+        a, b = held[k], held.pop(k + 1)
+        held[k] = [a[0] + b[0], a[1] + b[1], a[2] + b[2]]
+        gaps.pop(k)
+        for i in (k - 1, k):
+            if 0 <= i < len(gaps):
+                gaps[i] = apart(held[i], held[i + 1])
+    out = np.empty(len(n), np.int64)
+    for number, (*_, members) in enumerate(held):
+        out[members] = number
+    return out
+
+
+def _merged_at(leaves: DataFrame, level: int, prior: float) -> DataFrame:
+    """``leaves`` with siblings that differ only at ``level`` of ``merged`` pooled by cluster. Pools after the first of a parent are named ``*2``, ``*3`` and so on; siblings alone in theirs keep their name.
+
+    Siblings of equal counts are always of one cluster, so a parent sends one row for each distinct pair of counts.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["labelled", "good"]).reset_index(drop=True)
+        cluster = _clusters(pdf["labelled"].to_numpy(), pdf["good"].to_numpy(), pdf["siblings"].to_numpy(), prior)
+        many = pdf["siblings"].groupby(cluster).transform("sum") > 1
+        return pdf[["host", "shape", "labelled", "good"]].assign(cluster=cluster, many=many)
+
+    segment = F.get("merged", F.lit(level))
+    here, above = leaves.where(segment.isNotNull()), leaves.where(segment.isNull())
+    shape = F.transform("merged", lambda s, i: F.when(i == level, F.lit(WILD)).otherwise(s))
+    branches = here.groupBy("host", "merged").agg(F.sum("labelled").alias("labelled"), F.sum("good").alias("good")).withColumn("shape", shape)
+    counts = branches.groupBy("host", "shape", "labelled", "good").agg(F.count("*").alias("siblings"))
+    found = counts.groupBy("host", "shape").applyInPandas(run, "host string, shape array<string>, labelled long, good long, cluster long, many boolean")
+    name = F.when(F.col("cluster") == 0, F.lit(WILD)).otherwise(F.concat(F.lit(WILD), (F.col("cluster") + 1).cast("string")))
+    pool = F.transform("merged", lambda s, i: F.when((i == level) & (F.col("many") | (s == WILD)), name).otherwise(s))
+    named = branches.join(found, ["host", "shape", "labelled", "good"]).select("host", "merged", pool.alias("pool"))
+    return here.join(named, ["host", "merged"]).withColumn("merged", F.col("pool")).select(*leaves.columns).unionByName(above)
+
+
 def learn_templates(pages: DataFrame, labels: DataFrame, key: str = "page_id", url: str = "url", label_key: str = "doc_id", label: str = "quality") -> DataFrame:
     """``(host, segments, template, urls, labelled, good, purity, rejected)`` for every host and lexical template.
 
@@ -96,19 +149,13 @@ def learn_templates(pages: DataFrame, labels: DataFrame, key: str = "page_id", u
     tree = tree.withColumn("template", F.concat("template", F.array_repeat(F.lit(WILD), rest)))
     tree = checkpointed(tree)
 
-    # Siblings that differ in their last but one named branch: each against the rest of its parent.
-    leaves = tree.groupBy("host", "template").agg(F.sum("urls").alias("urls"), F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
-    shape = F.transform("template", lambda s, i: F.when(i == 0, F.lit(WILD)).otherwise(s))
-    parent = Window.partitionBy("host", "shape")
-    n, g = F.col("labelled"), F.col("good")
-    rest_n, rest_g = F.sum("labelled").over(parent) - n, F.sum("good").over(parent) - g
-    share, rest = (g + 1) / (n + 2), (rest_g + 1) / (rest_n + 2)
-    pooled = (g + rest_g + 1) / (n + rest_n + 2)
-    z = F.abs(share - rest) / F.sqrt(pooled * (1 - pooled) * (1 / (n + 1) + 1 / (rest_n + 1)))
-    leaves = leaves.withColumn("shape", shape).withColumn("alike", z <= ALIKE_Z).withColumn("merged", F.when(F.col("alike"), F.col("shape")).otherwise(F.col("template")))
-    totals = leaves.groupBy("host", "merged").agg(F.sum("urls").alias("urls"), F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
     overall = counted.agg(((F.sum("good") + 1) / (F.sum("labelled") + 1)).alias("prior")).head()["prior"]
-    purity = (F.col("good") + PRIOR_WEIGHT * F.lit(overall if overall is not None else 1.0)) / (F.col("labelled") + PRIOR_WEIGHT)
+    prior = float(overall) if overall is not None else 1.0
+    leaves = checkpointed(tree.groupBy("host", "template").agg(F.sum("urls").alias("urls"), F.sum("labelled").alias("labelled"), F.sum("good").alias("good")).withColumn("merged", F.col("template")))
+    for level in reversed(range(depth)):  # beyond it all segments are wildcards
+        leaves = checkpointed(_merged_at(leaves, level, prior))
+    totals = leaves.groupBy("host", "merged").agg(F.sum("urls").alias("urls"), F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
+    purity = (F.col("good") + PRIOR_WEIGHT * F.lit(prior)) / (F.col("labelled") + PRIOR_WEIGHT)
     judged = totals.withColumn("purity", purity).withColumn("rejected", F.col("purity") < MIN_PURITY)
     merged = leaves.select("host", "template", "merged").join(judged, ["host", "merged"])
     out = tree.select("host", "segments", "template").join(merged, ["host", "template"])

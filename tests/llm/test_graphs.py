@@ -221,6 +221,16 @@ def test_url_branches_stay_beside_rare_ones_and_deep_down(spark):
         assert r.verdict == ("block" if "spam" in by_id[r.page_id] else "allow"), r
 
 
+def test_url_branches_merge_at_every_level(spark):
+    """Bad branches of two labelled pages each are blocked together, beside good ones."""
+    pages = [(i, f"https://h.net/articles/{'bad' if i % 4 == 0 else 'fine'}-{'abcdefghij'[i % 40 // 4]}/{i}") for i in range(800)]
+    table = spark.createDataFrame(pages, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(80)], "doc_id long, quality int")
+    by_id = dict(pages)
+    for r in urls.judge(table, urls.learn_templates(table, labels)).collect():
+        assert r.verdict == ("block" if "bad" in by_id[r.page_id] else "allow"), r
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
     from emberlog.llm import decontam, langid, queries as q, toxicity
