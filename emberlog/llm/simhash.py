@@ -209,9 +209,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     repeated rows. Other columns are not read. An empty table gives no rows.
     """
     prints = stored(docs.select(F.col(key).alias("key"), fingerprint(F.col(text), size, words).alias("fp")))
-    distinct = checkpointed(prints.groupBy("fp").agg(F.min("key").alias("least")))
-    groups = connected_components(fingerprint_links(distinct.select("fp"), radius))
-    named = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    named = _rooted(prints, radius)
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = checkpointed(named.join(roots, "root").select("fp", "component_id"))
     return prints.join(classes, "fp").select(F.col("key").alias(key), F.col("fp").alias("fingerprint"), "component_id")
+
+
+def _rooted(prints: DataFrame, radius: int) -> DataFrame:
+    """``(fp, least, root)``: each distinct fingerprint, its smallest key and the fingerprint that names its group."""
+    distinct = checkpointed(prints.groupBy("fp").agg(F.min("key").alias("least")))
+    groups = connected_components(fingerprint_links(distinct.select("fp"), radius))
+    return distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+
+
+def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, words: int = 1, radius: int = 4) -> DataFrame:
+    """One row of each group of near-duplicates, all columns: that of the smallest key (null last), of rows with that key the one with the smallest hash of its text."""
+    prints = stored(docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("hash"), fingerprint(F.col(text), size, words).alias("fp")))
+    least = prints.groupBy("fp").agg(F.min(F.struct(F.col("key").isNull().alias("unnamed"), "key", "hash")).alias("row"))
+    picked = checkpointed(least.join(_rooted(prints, radius).select("fp", "root"), "fp").groupBy("root").agg(F.min("row").alias("row")))
+    chosen = picked.select(F.col("row.key").alias("__key"), F.col("row.hash").alias("__hash"), "root")
+    found = docs.join(chosen, F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(F.col(text)) == F.col("__hash")))
+    return found.dropDuplicates(["root"]).select(*docs.columns)

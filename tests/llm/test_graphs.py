@@ -231,6 +231,15 @@ def test_url_branches_merge_at_every_level(spark):
         assert r.verdict == ("block" if "bad" in by_id[r.page_id] else "allow"), r
 
 
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    docs = spark.createDataFrame([(None, a), (5, b), (5, c), (5, c), (2, b), (7, a), (None, "alone " + c[::-1])], "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(7, a), (2, b), (5, c), (0, "alone " + c[::-1])])
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
     from emberlog.llm import decontam, langid, queries as q, toxicity
