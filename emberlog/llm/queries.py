@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm import ann, bpe, chat, decontam, langid, lmscore, packing, simhash, toxicity, urls
-from emberlog.llm.common import fold, small, table
+from emberlog.llm.common import fold, in_fold, small, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,7 +49,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
-    scored = docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
+    scored = docs.select("doc_id", in_fold("doc_id", 5, 0).alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -77,7 +77,7 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(F.coalesce(fold("doc_id", 4) != 2, F.lit(False))))
-    found = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), langid.identify(F.col("text"), model, spark).alias("found"))
+    found = docs.select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), langid.identify(F.col("text"), model, spark).alias("found"))
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"), F.array_join("found.languages", " ").alias("languages"))
 
 

@@ -1,12 +1,14 @@
-"""Toxicity: a counterfactually regularised classifier over the words of whole texts.
+"""Toxicity: a counterfactually regularised classifier over the words and word beginnings of whole texts.
 
 Training works on a bounded sample of labelled rows (``MAX_LABELLED``, a documented
 parameter). Spark counts in how many toxic and other sample texts each word occurs and
-keeps the words that tell the classes apart; a logistic regression over their presence
-is then fitted. Identity terms are always features. Every labelled sentence that holds
-one is also written with each other term of its group in the place, and with a neutral
-word, and the squared change of the score is added to the loss: a group's mention alone
-cannot move the score much, whichever group it is.
+keeps the words that tell the classes apart, by an exact test whose threshold follows the
+number of words tried (a false discovery rate), so that a few dozen labelled texts give
+few features and many give more. A logistic regression over their presence is then fitted. Identity
+terms are always features. Every labelled sentence that holds one is also written with
+each other term of its group in the place, and with a neutral word, and the squared
+change of the score's log odds is added to the loss: a group's mention alone cannot move
+the score much, whichever group it is.
 
 Scoring reads each whole text once in Arrow batches, without a shuffle; what it needs is
 a weight for each of at most ``MAX_FEATURES`` words.
@@ -24,16 +26,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from emberlog.llm.common import stored
+from emberlog.llm.common import checkpointed, stored
 
 #: Labelled rows used for the fit, at most: those with the smallest hash of their id.
 MAX_LABELLED = 20_000
 #: Words with a weight, at most, besides the identity terms.
 MAX_FEATURES = 2_000
-#: A feature word is in at least so many sample texts.
-MIN_TEXTS = 8
-#: Standard errors by which a feature word's shares of the two classes must differ.
-MIN_Z = 5.0
+#: Words in fewer sample texts are not tried: no share of theirs could be told from chance.
+MIN_TEXTS = 3
+#: Of the feature words, so many are expected to be there by chance.
+FALSE_DISCOVERIES = 0.05
+#: Characters of a longer word's beginning, which is a feature of its own.
+STEM = 5
 
 # Identity terms by group; within a group any term can stand for another.
 IDENTITY_GROUPS = (
@@ -58,8 +62,13 @@ _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[.!?\n]+")
 
 
+def with_stems(words: set[str]) -> set[str]:
+    """``words`` and, for the forms of a word that were not seen in training, the beginnings of longer ones, marked with ``*``."""
+    return words | {f"{w[:STEM]}*" for w in words if len(w) > STEM and w != NEUTRAL}
+
+
 def words_of(text: str | None) -> set[str]:
-    return set(_WORD.findall(text.lower())) if text else set()
+    return with_stems(set(_WORD.findall(text.lower()))) if text else set()
 
 
 def swaps(text: str | None, groups=IDENTITY_GROUPS) -> list[tuple[set[str], set[str]]]:
@@ -69,7 +78,7 @@ def swaps(text: str | None, groups=IDENTITY_GROUPS) -> list[tuple[set[str], set[
     for sentence in _SENTENCE.split((text or "").lower()):
         words = set(_WORD.findall(sentence))
         for term in sorted(words & others.keys()):
-            found += [(words, words - {term} | {other}) for other in others[term]]
+            found += [(with_stems(words), with_stems(words - {term} | {other})) for other in others[term]]
     return found
 
 
@@ -108,8 +117,30 @@ def fit_rows(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[i
     return w[:size], float(w[size])
 
 
+def _log_tails(bad: np.ndarray, good: np.ndarray, n_bad: int, n_good: int) -> np.ndarray:
+    """For words in ``bad`` of ``n_bad`` toxic and ``good`` of ``n_good`` other texts: log of the two-sided exact (hypergeometric) probability of shares that far apart."""
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n_bad + n_good + 1)))])
+    choose = lambda n, k: logs[n] - logs[k] - logs[n - k]
+    out = np.empty(len(bad))
+    for i, (b, g) in enumerate(zip(bad.tolist(), good.tolist())):
+        n = b + g
+        low, high = max(0, n - n_good), min(n, n_bad)
+        k = np.arange(b, high + 1) if b * n_good >= g * n_bad else np.arange(low, b + 1)
+        terms = choose(n_bad, k) + choose(n_good, n - k) - choose(n_bad + n_good, n)
+        out[i] = min(0.0, np.log(2) + terms.max() + np.log(np.exp(terms - terms.max()).sum()))
+    return out
+
+
+def _telling(counts: pd.DataFrame, n_bad: int, n_good: int) -> pd.DataFrame:
+    """Of ``counts(bad, good, words)`` those that tell the classes apart at the false discovery rate (the step-up rule of Benjamini and Hochberg), the surest first."""
+    counts = counts.assign(p=_log_tails(counts["bad"].to_numpy(), counts["good"].to_numpy(), n_bad, n_good)).sort_values(["p", "bad", "good"], ignore_index=True)
+    rank = counts["words"].cumsum()
+    passed = np.flatnonzero(counts["p"] <= np.log(FALSE_DISCOVERIES) + np.log(rank) - np.log(max(1, counts["words"].sum())))
+    return counts[: passed[-1] + 1 if len(passed) else 0]
+
+
 def _distinct_sample(labelled: DataFrame) -> DataFrame:
-    """The bounded sample ``(label, words, swapped)``, copies reduced to one: an equal least hash of eight-word runs, by either of two orders, means a shared text."""
+    """The bounded sample ``(label, words)``, copies reduced to one: an equal least hash of eight-word runs, by either of two orders, means a shared text. Of copies with both labels a toxic one stays."""
 
     def read(batches):
         for pdf in batches:
@@ -117,19 +148,23 @@ def _distinct_sample(labelled: DataFrame) -> DataFrame:
             for t, y in zip(pdf["text"], pdf["label"]):
                 words = _WORD.findall(t.lower())
                 runs = [xxh3_64_intdigest(" ".join(words[i : i + 8])) >> 1 for i in range(max(1, len(words) - 7))]
-                out.append((int(y), sorted(set(words)), min(runs), min(h ^ 0x5DEECE66D5DEECE6 for h in runs)))
+                out.append((int(y), sorted(with_stems(set(words))), min(runs), min(h ^ 0x5DEECE66D5DEECE6 for h in runs)))
             yield pd.DataFrame(out, columns=["label", "words", "sketch_a", "sketch_b"])
 
     rows = labelled.mapInPandas(read, "label int, words array<string>, sketch_a long, sketch_b long")
-    return rows.dropDuplicates(["sketch_a"]).dropDuplicates(["sketch_b"])
+    for sketch in ("sketch_a", "sketch_b"):
+        rows = rows.groupBy(sketch).agg(F.max(F.struct("label", *(c for c in ("sketch_b", "words") if c != sketch))).alias("r")).select(sketch, "r.*")
+    return rows.select("label", "words")
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", groups=IDENTITY_GROUPS, max_labelled: int = MAX_LABELLED, counterfactual: float = 3.0) -> Model:
     """The classifier learnt from ``docs`` whose key has a label of 0 or 1 in ``labels``.
 
-    Of a key with several labels the largest counts. Rows with null keys, texts or
-    labels teach nothing; without a toxic or without another row every score is the
-    share of toxic rows (0 if there are none at all).
+    Of a key with several labels, and of copies of a text with both, the toxic one counts;
+    copies and repeated rows count once. Whole texts are read, however long. Rows with null
+    keys, texts or labels teach nothing, empty texts only that they are not toxic. Without a
+    toxic or without another row, or where no word tells them apart, every score is the
+    share of toxic rows (0 if there are none at all). Other columns are not read.
     """
     names = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("key")).agg(F.max(label).alias("label")).where("key is not null")
     chosen = names.orderBy(F.xxhash64("key"), "key").limit(max_labelled)
@@ -139,15 +174,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         rows = stored(_distinct_sample(labelled))
         sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
         bad, good = sizes.get(1, 0), sizes.get(0, 0)
+        rate = bad / max(1, bad + good)
+        alike = Model({}, float(np.log((rate + 1e-6) / (1 - rate + 1e-6))))
         if not bad or not good:
-            rate = bad / max(1, bad + good)
-            return Model({}, float(np.log((rate + 1e-6) / (1 - rate + 1e-6))))
+            return alike
         counts = rows.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
-        share = (F.col("bad") + F.col("good")) / (bad + good)
-        gap = F.col("bad") / bad - F.col("good") / good
-        z = F.abs(gap) / F.sqrt(share * (1 - share) * (1 / bad + 1 / good) + 1e-12)
-        telling = counts.where(F.col("bad") + F.col("good") >= MIN_TEXTS).withColumn("z", z).where(F.col("z") >= MIN_Z)
-        features = [r["word"] for r in telling.where(F.col("word") != NEUTRAL).orderBy(F.desc("z"), "word").limit(MAX_FEATURES).collect()]
+        counts = checkpointed(counts.where((F.col("bad") + F.col("good") >= MIN_TEXTS) & (F.col("word") != NEUTRAL)))
+        pairs = counts.groupBy("bad", "good").agg(F.count("*").alias("words")).toPandas()  # fewer than max_labelled squared, in effect some thousands
+        telling = _telling(pairs, bad, good)
+        if not len(telling):
+            return alike
+        sure = F.broadcast(docs.sparkSession.createDataFrame(telling[["bad", "good", "p"]], "bad long, good long, p double"))
+        features = [r["word"] for r in counts.join(sure, ["bad", "good"]).orderBy("p", "word").limit(MAX_FEATURES).collect()]
         terms = sorted({t for g in groups for t in g})
         index = {w: i for i, w in enumerate(dict.fromkeys([*features, *terms]))}
 
@@ -158,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         def swapped(batches):
             for pdf in batches:
                 both = [([index[w] for w in x if w in index], [index[w] for w in y if w in index]) for t in pdf["text"] for x, y in swaps(t, groups)]
-                yield pd.DataFrame({"x": [x for x, _ in both], "y": [y for _, y in both]}, dtype=object)
+                yield pd.DataFrame({"x": [sorted(x) for x, _ in both], "y": [sorted(y) for _, y in both]}, dtype=object)
 
         sample = rows.mapInPandas(encoded, "label int, found array<int>").toPandas()
         pairs = labelled.mapInPandas(swapped, "x array<int>, y array<int>").distinct().orderBy(F.xxhash64("x", "y")).limit(max_labelled).collect()
@@ -170,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def score(text: Column, model: Model) -> Column:
-    """Double column from 0 to 1: higher means likelier toxic. Null and empty texts are scored as texts without words."""
+    """Double column from 0 to 1: higher means likelier toxic. Whole texts count, however long; null and empty ones are scored as texts without words."""
 
     @F.arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
