@@ -6,19 +6,24 @@ languages with unknown proportions. Expectation-maximisation estimates the propo
 the set grows one language at a time while the log likelihood rises by more than a
 penalty of half the log of the number of n-grams for each further language.
 
+Every language that is still outside the set is weighed for each document. The log
+likelihood is concave in the proportions, so its slope toward a language bounds what that
+language can add: those that can't add the penalty are passed over, and nothing is lost.
+
 The models are fitted on a bounded sample of each language (``MAX_TEXTS``, a documented
-parameter); every whole text is then judged in Arrow batches, without a shuffle. The
-models take ``CELLS`` floats a language, whatever the size of the corpus.
+parameter), for every language that is named; every whole text is then judged in Arrow
+batches, without a shuffle. The models take ``CELLS`` floats (256 KB) a language, whatever
+the size of the corpus, and are broadcast: languages are a closed list by nature.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,11 +33,9 @@ MAX_TEXTS = 3_000
 CELLS = 1 << 16
 #: Bytes in an n-gram.
 GRAM = 4
-#: Languages told apart, at most: those with most rows.
-MAX_LANGUAGES = 200
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 
 
@@ -76,25 +79,30 @@ class Model:
     languages: tuple[str, ...]
     log_p: np.ndarray
 
-    def proportions(self, text: str | None, penalty: float = 0.5, candidates: int = 6) -> dict[str, float]:
+    def proportions(self, text: str | None, penalty: float = 0.5) -> dict[str, float]:
         """Language proportions of a text: those of the set with the best penalised likelihood. Empty without letters or languages."""
         if not text or not self.languages or not _LETTER.search(text):
             return {}
         cells, counts = grams(text)
         log_p = self.log_p[:, cells].astype(float)
-        alone = log_p @ counts
-        order = np.argsort(-alone, kind="stable")[:candidates]
-        likelihood = np.exp(log_p[order] - log_p[order].max(axis=0))
-        chosen, share, best = [0], np.ones(1), float(counts @ np.log(likelihood[0]))
-        cost = penalty * np.log(counts.sum() + 1.0)
-        while len(chosen) < len(order):
-            tried = [(mixture(likelihood[[*chosen, k]], counts, 6)[1], -k) for k in range(len(order)) if k not in chosen]
+        first = int(np.argmax(log_p @ counts))
+        likelihood = np.exp(log_p - log_p.max(axis=0))
+        chosen, share, best = [first], np.ones(1), float(counts @ np.log(likelihood[first]))
+        total = counts.sum()
+        cost = penalty * np.log(total + 1.0)
+        while len(chosen) < len(likelihood):
+            # No set of proportions gains more than the steepest slope from here, a language alone no more than its own (or what the chosen have left to settle).
+            slope = likelihood @ (counts / (share @ likelihood[chosen])) - total
+            hopeful = np.flatnonzero(np.maximum(slope, slope[chosen].max()) > cost)
+            tried = [(mixture(likelihood[[*chosen, k]], counts, 6)[1], -int(k)) for k in hopeful if k not in chosen]
+            if not tried:
+                break
             k = -max(tried)[1]
             new, value = mixture(likelihood[[*chosen, k]], counts)
             if value - best <= cost:
                 break
             chosen, share, best = [*chosen, k], new, value
-        return {self.languages[order[k]]: float(s) for k, s in sorted(zip(chosen, share), key=lambda x: (-x[1], x[0]))}
+        return {self.languages[k]: float(s) for k, s in sorted(zip(chosen, share), key=lambda x: (-x[1], x[0]))}
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = self.proportions(text)
@@ -102,15 +110,20 @@ class Model:
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_texts: int = MAX_TEXTS, smooth: float = 0.02) -> Model:
-    """Models of the languages that ``docs`` names. Rows with a null language or text, or no letter, teach nothing; with none left the model knows no language."""
+    """Models of all languages that ``docs`` names.
+
+    Whole texts are read, however long; repeated rows count as often as the sample
+    holds them. Rows with a null language or text, or no letter, teach
+    nothing; with none left the model knows no language. Other columns are not read.
+    """
     named = docs.select(F.xxhash64(key, text).alias("at"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
-    languages = [r["lang"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    # Of each language a hash range that holds a few times as many rows as are wanted, then exactly those first in it: no language is sorted whole.
-    sizes = {r["lang"]: r["count"] for r in named.where(F.col("lang").isin(languages)).groupBy("lang").count().collect()} if languages else {}
+    sizes = {r["lang"]: r["count"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
+    languages = list(sizes)
     if not languages:
         return Model((), np.zeros((0, CELLS), np.float32))
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, 2.0 * max_texts / sizes[k] + 50 / sizes[k]))])
-    near = named.where((F.pmod("at", F.lit(1_000_003)) / 1_000_003.0) < share[F.col("lang")])
+    # Of each language a hash range that holds a few times as many rows as are wanted, then exactly those first in it: no language is sorted whole.
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, 2.0 * max_texts / n + 50 / n)) for k, n in sizes.items()], "lang string, share double")
+    near = named.join(F.broadcast(shares), "lang").where((F.pmod("at", F.lit(1_000_003)) / 1_000_003.0) < F.col("share"))
     first = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("at", F.lit(1_000_003)), "at"))).where(F.col("rank") <= max_texts)
     number = {k: i for i, k in enumerate(languages)}
 
@@ -136,9 +149,11 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 def identify(text: Column, model: Model, spark) -> Column:
     """Struct column ``(lang, score, languages)``: the language with the largest proportion, that proportion, and all languages of the chosen set.
 
-    Null texts and texts without a letter give ``und``, 0 and no languages.
+    Whole texts count, however long; each row is judged by itself, so repeated rows give
+    repeated results. Null and empty texts and texts without a letter (Unicode category L)
+    give ``und``, 0 and no languages.
     """
-    shared = spark.sparkContext.broadcast(model)  # CELLS floats for each of at most MAX_LANGUAGES languages
+    shared = spark.sparkContext.broadcast(model)  # CELLS floats a language
 
     @F.arrow_udf("lang string, score double, languages array<string>")
     def of(texts: pa.Array) -> pa.Array:
