@@ -2,10 +2,12 @@
 
 A byte pair that occurs inside no token of the vocabulary can never be joined: it marks a
 certain cut. Texts are cut at those of these boundaries that the pre-token pattern cannot
-see across either: before a single space or newline between other characters, and in long
-words also between letters. The fragments are encoded independently, each different one
-of a batch once, and their ids are concatenated; the result equals encoding the whole
-text. Texts with other white space than that are one fragment.
+see across either: before a single space or newline between other characters (no token
+holds the pair of another byte and a space), and between letters. The fragments are
+encoded independently, each different one of a batch once, and their ids are
+concatenated; the result equals encoding the whole text. Only texts that hold the two
+control characters used as marks, special tokens or letters newer than the tokenizer are
+one fragment (special tokens cut them), encoded by the same merges.
 
 Fragments are merged by a compiled BPE library from the vocabulary's own ranks. The file
 (``tokenizers`` JSON, byte-level BPE) is read on the driver and broadcast: its size is
@@ -28,21 +30,24 @@ import regex
 import tiktoken
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 # Fixed value: the published byte-level pre-token pattern.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Characters of text handled at a time, at most, beyond one text.
 CHUNK_CHARS = 4_000_000
-#: Words of more characters are also cut between letters.
-LONG_WORD = 40
-
 #: Characters that a text cut into words doesn't hold: one marks cuts, the other parts distinct words.
 _MARK, _SEPARATOR = "\1", "\0|\0"
+#: White space besides single spaces and newlines.
 _SPACES = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
-#: What a text must not hold to be cut into words: other spaces than a single one.
-_ODD = ("\0", _MARK, "  ", "\n\n", " \n", "\n ", *_SPACES)
+#: What sends a text the slower way to its cuts: other white space than single spaces and newlines.
+_ODD = ("  ", "\n\n", " \n", "\n ", *_SPACES)
+#: Where a text with other white space is cut: before a single space or newline between other characters.
+_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+
+
+#: Bytes that letters are made of, and others beyond ASCII.
+_LETTER_BYTES = np.array([chr(b).isalpha() or b >= 0x80 for b in range(256)])
 
 
 def _byte_symbols() -> list[str]:
@@ -89,56 +94,77 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in config["added_tokens"]}
         self.separator = len(by_rank)
         self.fast = tiktoken.Encoding("fragments", pat_str=PRE_TOKEN, mergeable_ranks={t: r for r, t in enumerate(by_rank)}, special_tokens={_SEPARATOR: self.separator})
-        self.spec, self.library = spec, None
-        self.joined = {pair for token in id_of for pair in zip(token, token[1:])}
-        # A cut before a space is certain if no token holds one after another character (or a part of one).
+        #: By both bytes of a pair: whether no token holds it.
+        self.forced = np.ones((256, 256), bool)
+        for token in id_of:
+            for pair in zip(token, token[1:]):
+                self.forced[pair] = False
+        # No token holds a space after the last byte of another character: those of wide spaces apart, that pair is forced.
         self.cuts_at_space = not any(re.search(r"\S[ \n]", token.decode("utf-8", "replace")) for token in id_of)
         tokens = {i: t for t, i in id_of.items()} | {i: s.encode() for s, i in self.special.items()}
         size = max(tokens) + 1
         self.lengths = np.array([len(tokens.get(i, b"")) for i in range(size)])
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(size)), np.uint8)
-        # Letters and digits newer than the libraries' Unicode tables: texts with one are left to the tokenizer itself.
+        # Letters and digits newer than the tokenizer's Unicode tables are no letters to it.
         letter = regex.compile(r"[\p{L}\p{N}]")
         newer = [c for c in map(chr, range(0x80, 0x40000)) if unicodedata.category(c) == "Cn" and letter.match(c)]
-        self.newer, self.beyond = re.compile("[" + "".join(_ranges(newer)) + "]"), re.compile(f"[{newer[0]}-\U0010ffff]")
+        self.newer = self.beyond = None
+        if newer:
+            known = "[" + "".join(_ranges(newer)) + "]"
+            self.newer, self.beyond = re.compile(known), re.compile(f"[{newer[0]}-\U0010ffff]")
+            older = PRE_TOKEN.replace(r" ?\p{L}+", rf" ?(?:(?!{known})\p{{L}})+").replace(r" ?\p{N}+", rf" ?(?:(?!{known})\p{{N}})+").replace(r"[^\s\p{L}\p{N}]+", rf"(?:[^\s\p{{L}}\p{{N}}]|{known})+")
+            self.older = tiktoken.Encoding("older", pat_str=older, mergeable_ranks={t: r for r, t in enumerate(by_rank)}, special_tokens={})
 
     def _holds_newer(self, text: str) -> bool:
-        return not text.isascii() and bool(self.beyond.search(text)) and bool(self.newer.search(text))
+        return self.newer is not None and not text.isascii() and bool(self.beyond.search(text)) and bool(self.newer.search(text))
 
     def fragments(self, word: str) -> list[str]:
-        """A word, cut between letters at byte pairs that no token holds if it is long."""
-        if len(word) <= LONG_WORD:
-            return [word]
-        at = [i for i in range(1, len(word)) if word[i - 1].isalpha() and word[i].isalpha() and (word[i - 1].encode()[-1], word[i].encode()[0]) not in self.joined]
+        """A word, cut between letters at byte pairs that no token holds."""
+        at = [i for i in range(1, len(word)) if word[i - 1].isalpha() and word[i].isalpha() and self.forced[word[i - 1].encode()[-1], word[i].encode()[0]]]
         return [word[a:b] for a, b in zip([0, *at], [*at, len(word)])]
 
+    def _may_be_cut(self, words: pa.Array) -> np.ndarray:
+        """Which words hold a forced byte pair at the start of a character, between what may be letters."""
+        offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[: offsets[-1]]
+        left, right = data[:-1], data[1:]
+        at = np.flatnonzero(self.forced[left, right] & _LETTER_BYTES[left] & _LETTER_BYTES[right] & ((right < 0x80) | (right >= 0xC0))) + 1
+        word = np.searchsorted(offsets, at, side="right") - 1
+        out = np.zeros(len(words), bool)
+        out[word[(at > offsets[0]) & (offsets[np.maximum(word, 0)] != at)]] = True
+        return out
+
     def _single(self, text: str) -> np.ndarray:
         """Ids of a text that isn't cut into words."""
-        if self._holds_newer(text):
-            self.library = self.library or Tokenizer.from_str(self.spec.decode())
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-        held = [s for s in self.special if s in text]
-        if not held:
-            return self.id_of_rank[np.array(self.fast.encode_ordinary(text), np.int64)]
+        merged = lambda t: self.id_of_rank[np.array((self.older if self._holds_newer(t) else self.fast).encode_ordinary(t), np.int64)]
+        if not any(s in text for s in self.special):
+            return merged(text)
         parts = re.split("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")", text)
-        return np.concatenate([np.array([self.special[p]], "<u4") if p in self.special else self.id_of_rank[np.array(self.fast.encode_ordinary(p), np.int64)] for p in parts])
+        return np.concatenate([np.array([self.special[p]], "<u4") if p in self.special else merged(p) for p in parts])
+
+    def _cuttable(self, text: str) -> bool:
+        return self.cuts_at_space and "\0" not in text and _MARK not in text and not any(s in text for s in self.special) and not self._holds_newer(text)
 
-    def _regular(self, text: str) -> bool:
-        return self.cuts_at_space and text[0] not in " \n" and text[-1] not in " \n" and not any(s in text for s in _ODD) and not any(s in text for s in self.special) and not self._holds_newer(text)
+    @staticmethod
+    def _marked(text: str) -> str:
+        """A text with its cuts at spaces and newlines marked."""
+        if text[0] in " \n" or text[-1] in " \n" or any(s in text for s in _ODD):
+            return _CUT.sub(_MARK, text)
+        return text.replace(" ", _MARK + " ").replace("\n", _MARK + "\n")
 
     def _words(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of regular texts, by their distinct words."""
-        marked = [t.replace(" ", _MARK + " ").replace("\n", _MARK + "\n") for t in texts]
+        """Packed ids of texts that can be cut, by their distinct words."""
+        marked = [self._marked(t) for t in texts]
         split = pc.split_pattern(pa.array(marked, pa.large_string()), _MARK)
         coded = split.flatten().dictionary_encode()
         at, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.string())
         sizes = np.ones(len(words), np.int64)
-        long = pc.greater(pc.utf8_length(words), LONG_WORD)
-        if pc.any(long).as_py():
-            cut = [self.fragments(w) for w in words.filter(long).to_pylist()]
-            sizes[long.to_numpy(zero_copy_only=False)] = [len(c) for c in cut]
-            words = pc.replace_with_mask(words, long, pa.array([_SEPARATOR.join(c) for c in cut], pa.string()))
+        forced = self._may_be_cut(words)
+        if forced.any():
+            cut = [self.fragments(w) for w in words.filter(pa.array(forced)).to_pylist()]
+            sizes[forced] = [len(c) for c in cut]
+            words = pc.replace_with_mask(words, pa.array(forced), pa.array([_SEPARATOR.join(c) for c in cut], pa.string()))
         whole = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), _SEPARATOR)[0].as_py()
         ranks = self.fast.encode_to_numpy(whole, allowed_special={_SEPARATOR}, disallowed_special=()).astype(np.int64)
         cuts = np.flatnonzero(ranks == self.separator)
@@ -156,13 +182,13 @@ class Vocabulary:
         size = 0
 
         def flush() -> Iterator[bytes]:
-            found = iter(self._words([t for t, regular in held if regular]) if any(r for _, r in held) else ())
-            for t, regular in held:
-                yield next(found) if regular else self._single(t).tobytes() if t else b""
+            found = iter(self._words([t for t, cut in held if cut]) if any(c for _, c in held) else ())
+            for t, cut in held:
+                yield next(found) if cut else self._single(t).tobytes() if t else b""
 
         for text in texts:
             text = text or ""
-            held.append((text, bool(text) and self._regular(text)))
+            held.append((text, bool(text) and self._cuttable(text)))
             size += len(text)
             if size >= CHUNK_CHARS:
                 yield from flush()
@@ -192,7 +218,11 @@ def load(spark: SparkSession, path: str):
 
 
 def encode(text: Column, vocabulary) -> Column:
-    """Binary column: the ids of each whole text as little-endian unsigned 32-bit integers. Null and empty texts give empty ids."""
+    """Binary column: the ids of each whole text as little-endian unsigned 32-bit integers, however long it is.
+
+    Null and empty texts give empty ids. A column, so repeated rows give repeated results, an
+    empty table none, and no other column is read.
+    """
 
     @F.arrow_udf("binary")
     def to_ids(texts: pa.Array) -> pa.Array:
