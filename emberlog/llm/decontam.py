@@ -5,10 +5,12 @@ least 1, and few enough that its pieces keep ``MIN_PIECE`` characters). Cut into
 pieces, at least one piece of it stands unchanged in any text that holds the item with k
 errors or fewer. All pieces are looked for at once with an Aho-Corasick automaton over
 each whole document; around each hit the item is verified with Myers' bit-parallel
-distance. Nothing is missed: the search is exact for the budget.
+distance. Nothing is missed: the search is exact for the budget. Items of fewer than
+``MIN_ITEM`` characters are looked for as they are, as whole words, in the same automaton.
 
-The items are cut into blocks of at most ``BLOCK_CHARS`` characters, whatever their
-number; each block is one broadcast automaton and one pass over the documents.
+A benchmark is a written collection, some megabytes by nature. Its items are cut into
+blocks of at most ``BLOCK_CHARS`` characters, whatever their number; each block is one
+broadcast automaton and one pass over the documents, and the driver holds one at a time.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 RATE = 0.08
 #: Characters in a piece, at least; items too short for two such pieces must occur unchanged.
 MIN_PIECE = 8
-#: Items of fewer normalised characters are not looked for: they say too little.
+#: Items of fewer normalised characters must occur unchanged, between word boundaries.
 MIN_ITEM = 24
 #: Characters of items in one automaton, at most (about 60 bytes of memory each).
 BLOCK_CHARS = 4_000_000
@@ -41,7 +43,8 @@ def normalise(text: str | None) -> str:
 
 
 def budget(length: int, rate: float = RATE) -> int:
-    return max(0, min(max(1, int(length * rate)), length // MIN_PIECE - 1))
+    """Errors allowed in an item of so many normalised characters."""
+    return 0 if length < MIN_ITEM else max(0, min(max(1, int(length * rate)), length // MIN_PIECE - 1))
 
 
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
@@ -85,7 +88,8 @@ class Matcher:
         self.items = [(i, text, k := budget(len(text), rate), masks(text), masks(text[::-1])) for i, text in items]
         self.pieces: dict[str, list[tuple[int, int]]] = {}
         for at, (_, text, errors, *_rest) in enumerate(self.items):
-            for offset, piece in pieces(text, errors):
+            # Texts are normalised with a space at either end, so these mark the boundaries of a short item.
+            for offset, piece in pieces(text, errors) if len(text) >= MIN_ITEM else [(-1, f" {text} ")]:
                 self.pieces.setdefault(piece, []).append((at, offset))
         self.automaton = ahocorasick.Automaton()
         for piece, places in self.pieces.items():
@@ -102,6 +106,8 @@ class Matcher:
         for end, (length, places) in self.automaton.iter(whole):
             for at, offset in places:
                 _, item, errors, *_rest = self.items[at]
+                if at in near and len(item) < MIN_ITEM:
+                    continue  # the first occurrence is the best there is
                 start = end + 1 - length - offset
                 span = (max(0, start - errors), min(len(whole), start + len(item) + errors))
                 spans = near.setdefault(at, [])
@@ -136,7 +142,7 @@ def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, s
     block, size = [], 0
     for r in rows.toLocalIterator():
         item = normalise(r["text"])
-        if len(item) < MIN_ITEM:
+        if not item:
             continue
         if block and size + len(item) > BLOCK_CHARS:
             yield block
@@ -150,10 +156,11 @@ def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, s
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", rate: float = RATE) -> DataFrame:
     """``(key, item_id, errors, start, end)``: for each document the items it holds within their budget of edits.
 
-    Positions are in the document's normalised text. Nulls and empty texts hold nothing
-    and are held by nothing; a repeated document gives repeated rows; items with the same
-    key and text count once, with the same key and other texts each. Without items, or
-    without documents, there are no rows. Other columns are not read.
+    Positions are in the document's normalised text; of an item's best occurrences the first
+    counts. Whole texts are searched, however long. Nulls and texts without letters or digits
+    hold nothing and are held by nothing; a repeated document gives repeated rows; items with
+    the same key and text count once, with the same key and other texts each. Without items,
+    or without documents, there are no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     schema = "key long, item_id long, errors int, start long, end long"

@@ -47,7 +47,7 @@ def test_bpe_long_words_and_cuts(vocabulary, library):
     word = "éàüß" * 20
     assert "".join(vocabulary.fragments(word)) == word
     for left, right in zip(parts := vocabulary.fragments(word), parts[1:]):
-        assert (left.encode()[-1], right.encode()[0]) not in vocabulary.joined
+        assert vocabulary.forced[left.encode()[-1], right.encode()[0]]
 
 
 def test_bpe_invalid_bytes(vocabulary, library):
@@ -178,25 +178,30 @@ def test_myers_distance():
 def test_decontamination(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
-    items = [(i, " ".join(word() for _ in range(rng.randint(3, 30)))) for i in range(12)] + [(50, None), (51, ""), (52, "short")]
+    items = [(i, " ".join(word() for _ in range(rng.randint(3, 30)))) for i in range(11)] + [(11, " ".join(word() for _ in range(25)))] + [(50, None), (51, ""), (52, "short")]
     docs = []
     for k in range(80):
         text = " ".join(word() for _ in range(rng.randint(0, 60)))
         if k % 2:
             text += " " + edited(rng, items[k % 12][1], k % 7 * 2).upper() + "\n\n" + " ".join(word() for _ in range(20))
         docs.append((k, text))
-    docs += [(80, None), (81, ""), (1, docs[1][1])]
+    docs += [(80, None), (81, ""), (1, docs[1][1]), (82, "A SHORT; word"), (83, "shorts, ashort")]
     table = spark.createDataFrame(items, "item_id long, text string").unionByName(spark.createDataFrame(items[:2], "item_id long, text string"))
     found = [(r.doc_id, r.item_id, r.errors) for r in decontam.contamination(docs_of(spark, docs), table).collect()]
     expected = []
     for k, text in docs:
         for i, item in items:
             item = decontam.normalise(item)
+            whole = f" {decontam.normalise(text)} "
             if len(item) >= decontam.MIN_ITEM:
-                d = distance_within(item, f" {decontam.normalise(text)} ")
+                d = distance_within(item, whole)
                 if d <= decontam.budget(len(item)):
                     expected.append((k, i, d))
-    assert sorted(found) == sorted(expected) and len(expected) > 20
+            elif item and f" {item} " in whole:
+                expected.append((k, i, 0))
+    assert sorted(found) == sorted(expected) and len(expected) > 20 and (82, 52, 0) in expected
+    long = docs_of(spark, [(7, f"{'filler ' * 60_000}{edited(rng, items[11][1], 1)} {'filler ' * 60_000}short")])
+    assert {(r.item_id, r.errors <= 1) for r in decontam.contamination(long, table.where("item_id in (10, 11, 52)")).collect()} == {(11, True), (52, True)}
     assert decontam.contamination(docs_of(spark, docs).limit(0), table).count() == 0
     assert decontam.contamination(docs_of(spark, docs), table.limit(0)).count() == 0
 
