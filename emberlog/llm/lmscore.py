@@ -2,8 +2,10 @@
 
 Both models are bigram models over the tokens of one vocabulary, of the same form and
 smoothing: the target is counted over the documents marked as such, the background over
-all documents. A document's score is the mean over its tokens of the target's loss less
-the background's: low scores are like the target.
+all documents. A document is scored by the counts of all others, its own held out of both
+models, so that none is likely only for having been counted itself. Its score is the mean
+over its tokens of the target's loss less the background's: low scores are like the
+target.
 
 Every distinct bigram is counted exactly, over all documents. Documents are dealt into
 chunks of about ``CHUNK_TOKENS`` tokens; a chunk sends each of its distinct bigrams once, these
@@ -44,6 +46,8 @@ def bigrams_of(docs: list[np.ndarray], vocabulary: int) -> tuple[np.ndarray, np.
     ids = np.concatenate([*docs, np.empty(0, np.int64)])
     before = np.concatenate([[vocabulary], ids[:-1]])[: len(ids)]
     before[np.cumsum([0, *(len(x) for x in docs if len(x))])[:-1]] = vocabulary
+    if len(ids) and ids.max() >= vocabulary:
+        raise ValueError(f"token id {ids.max()} is not below {vocabulary}")
     return ids, before, before * (vocabulary + 1) + ids
 
 
@@ -99,7 +103,9 @@ def score(docs: DataFrame, ids: Column, target: Column, vocabulary: int, key: st
 
     Documents without tokens (null or empty texts) score 0 with null losses. Without any
     target document, both models know the vocabulary only through smoothing. Repeated rows
-    count, and are scored, as often as they occur; other columns are not read.
+    count, and are scored, as often as they occur: each is among the others of its copies.
+    Whole texts count, however long. Ids must be below ``vocabulary``; a larger one is an
+    error. Other columns are not read.
     """
     spark = docs.sparkSession
     # The ids are made once and kept: all passes read them, and no task holds an encoder beside its counts.
@@ -117,24 +123,26 @@ def score(docs: DataFrame, ids: Column, target: Column, vocabulary: int, key: st
 
     def run(pdf: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         unigrams, contexts = shared.value
+        totals = [int(x.sum()) for x in unigrams]
         counts = counts.sort_values("pair")
         pairs, bigrams = counts["pair"].to_numpy(), (counts["target"].to_numpy(), counts["background"].to_numpy())
-        lists = [tokens_of(b) for b in pdf["ids"]]
+        lists, good = [tokens_of(b) for b in pdf["ids"]], pdf["target"].to_numpy(bool)
         sizes = np.array([len(x) for x in lists], np.int64)
-        flat, before, pair = bigrams_of(lists, vocabulary)
-        losses = [pd.array([None] * len(lists), "Float64") for _ in (0, 1)]
-        some = np.flatnonzero(sizes)
-        for k in (0, 1):
-            uni = (unigrams[k] + SMOOTH) / (unigrams[k].sum() + SMOOTH * vocabulary)
-            loss = np.empty(len(flat))
-            for at in range(0, len(flat), SLICE_TOKENS):
-                part = slice(at, at + SLICE_TOKENS)
-                total = contexts[k][before[part]]
-                weight = np.where(total > 0, BIGRAM, 0.0)
-                p = weight * bigrams[k][np.searchsorted(pairs, pair[part])] / np.maximum(total, 1) + (1 - weight) * uni[flat[part]]
-                loss[part] = -np.log(p)
-            if len(some):
-                losses[k][some] = np.add.reduceat(loss, np.cumsum([0, *sizes[some]])[:-1]) / sizes[some]
+        losses = [np.full(len(lists), np.nan) for _ in (0, 1)]
+        for at, ids in enumerate(lists):
+            if not len(ids):
+                continue
+            _, before, pair = bigrams_of([ids], vocabulary)
+            # What the document itself adds to every count that is looked up.
+            own_token, own_context, own_pair = (np.unique(x, return_inverse=True, return_counts=True)[1:] for x in (ids, before, pair))
+            own_token, own_context, own_pair = (n[i] for i, n in (own_token, own_context, own_pair))
+            for k in (0, 1):
+                out = 1 if k or good[at] else 0
+                uni = (unigrams[k][ids] - out * own_token + SMOOTH) / (totals[k] - out * len(ids) + SMOOTH * vocabulary)
+                total = contexts[k][before] - out * own_context
+                p = BIGRAM * (bigrams[k][np.searchsorted(pairs, pair)] - out * own_pair) / np.maximum(total, 1) + np.where(total > 0, 1 - BIGRAM, 1.0) * uni
+                losses[k][at] = -np.log(p).mean()
+        losses = [pd.Series(x).astype("Float64") for x in losses]
         return pd.DataFrame({"key": pdf["key"], "n_tokens": sizes, "target_loss": losses[0], "background_loss": losses[1], "score": (losses[0] - losses[1]).fillna(0.0)})
 
     # Both sides of the join read one exchange of the documents.

@@ -101,51 +101,68 @@ def test_packing_is_lossless(spark):
     assert {k: sum((t for _, t in sorted(p)), []) for k, p in parts.items()} == {k: v for k, v in ids.items() if v}
 
 
+def held_out_losses(ids, chosen, size):
+    """The mean loss of each document under a bigram model of the ``chosen`` others, counted one by one."""
+    out = {}
+    for k, v in ids.items():
+        uni, ctx, big = {}, {}, {}
+        for other in chosen:
+            before = size
+            for t in ids[other].tolist() if other != k else ():
+                uni[t], ctx[before], big[before, t] = uni.get(t, 0) + 1, ctx.get(before, 0) + 1, big.get((before, t), 0) + 1
+                before = t
+        before, total = size, 0.0
+        for t in v.tolist():
+            p1 = (uni.get(t, 0) + lmscore.SMOOTH) / (sum(uni.values()) + lmscore.SMOOTH * size)
+            w = lmscore.BIGRAM if ctx.get(before) else 0.0
+            total -= np.log(w * big.get((before, t), 0) / max(1, ctx.get(before, 0)) + (1 - w) * p1)
+            before = t
+        out[k] = total / len(v) if len(v) else None
+    return out
+
+
 def test_lm_scores(spark):
     rng = np.random.default_rng(5)
     ids = {k: rng.integers(0, 9, rng.integers(0, 40)) for k in range(60)}
-    rows = [(k, bytearray(v.astype("<u4").tobytes()), k % 3 == 0 if k % 7 else None) for k, v in ids.items()]
-    docs = spark.createDataFrame(rows, "doc_id long, ids binary, good boolean").repartition(4)
+    rows = [(k, bytearray(v.astype("<u4").tobytes()), k % 3 == 0 if k % 7 else None, "x") for k, v in ids.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, ids binary, good boolean, chunk string").repartition(4)
     got = {r.doc_id: r for r in lmscore.score(docs, F.col("ids"), F.col("good"), 9).collect()}
-    models = []
-    for chosen in ({k for k in ids if k % 3 == 0 and k % 7}, set(ids)):
-        uni, ctx, big = {}, {}, {}
-        for k in chosen:
-            before = 9
-            for t in ids[k].tolist():
-                uni[t], ctx[before], big[before, t] = uni.get(t, 0) + 1, ctx.get(before, 0) + 1, big.get((before, t), 0) + 1
-                before = t
-        models.append((uni, ctx, big))
+    target, background = held_out_losses(ids, [k for k in ids if k % 3 == 0 and k % 7], 9), held_out_losses(ids, list(ids), 9)
     for k, v in ids.items():
-        losses = []
-        for uni, ctx, big in models:
-            before, total = 9, 0.0
-            for t in v.tolist():
-                p1 = (uni.get(t, 0) + lmscore.SMOOTH) / (sum(uni.values()) + lmscore.SMOOTH * 9)
-                w = lmscore.BIGRAM if ctx.get(before) else 0.0
-                total -= np.log(w * big.get((before, t), 0) / max(1, ctx.get(before, 0)) + (1 - w) * p1)
-                before = t
-            losses.append(total / len(v) if len(v) else None)
         assert got[k].n_tokens == len(v)
-        assert got[k].score == pytest.approx(losses[0] - losses[1] if len(v) else 0.0)
+        assert got[k].score == pytest.approx(target[k] - background[k] if len(v) else 0.0)
+        assert (got[k].target_loss is None) == (len(v) == 0)
     assert lmscore.score(docs.limit(0), F.col("ids"), F.col("good"), 9).count() == 0
 
 
+def test_lm_repeated_rows_nulls_and_keys(spark):
+    packed = lambda *x: bytearray(np.array(x, "<u4").tobytes())
+    rows = [(1, packed(1, 2, 3), True), (1, packed(1, 2, 3), True), (None, packed(4, 4), None), (2, None, True), (3, packed(*[5] * 50_000), False)]
+    docs = spark.createDataFrame(rows, "doc_id long, ids binary, good boolean").repartition(2)
+    got = lmscore.score(docs, F.col("ids"), F.col("good"), 9).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 2), (1, 3), (1, 3), (2, 0), (3, 50_000)]
+    assert {r.score < 0 for r in got if r.doc_id == 1} == {True} and {r.score for r in got if r.doc_id == 2} == {0.0}
+    with pytest.raises(Exception, match="not below"):
+        lmscore.score(docs, F.col("ids"), F.col("good"), 4).count()
+
+
 def test_lm_bigrams_are_exact(spark):
-    """More distinct bigrams (250 000) than could lie in a table of fixed size without some sharing a cell."""
+    """More distinct bigrams (250 000) than could lie in a table of fixed size without some sharing a cell; no loss is below the entropy."""
     rng = np.random.default_rng(6)
     ids = [rng.integers(0, 3000, 5000) for _ in range(50)]
     docs = spark.createDataFrame([(k, bytearray(v.astype("<u4").tobytes()), k % 2 == 0) for k, v in enumerate(ids)], "doc_id long, ids binary, good boolean").repartition(4)
     got = {r.doc_id: r for r in lmscore.score(docs, F.col("ids"), F.col("good"), 3000).collect()}
     pairs = [np.concatenate([[3000], v[:-1]]) * 3001 + v for v in ids]
     for name, chosen in (("target_loss", range(0, 50, 2)), ("background_loss", range(50))):
-        flat, keys = np.concatenate([ids[k] for k in chosen]), np.concatenate([pairs[k] for k in chosen])
-        uni, big, ctx = np.bincount(flat, minlength=3000), np.bincount(keys, minlength=3001**2), np.bincount(keys // 3001, minlength=3001)
-        for k, v in enumerate(ids):
+        for k, v in enumerate(ids[:8]):
+            others = [c for c in chosen if c != k]
+            flat, keys = np.concatenate([ids[c] for c in others]), np.concatenate([pairs[c] for c in others])
+            uni, big, ctx = np.bincount(flat, minlength=3000), np.bincount(keys, minlength=3001**2), np.bincount(keys // 3001, minlength=3001)
             total = ctx[pairs[k] // 3001]
             w = np.where(total > 0, lmscore.BIGRAM, 0.0)
             p = w * big[pairs[k]] / np.maximum(total, 1) + (1 - w) * (uni[v] + lmscore.SMOOTH) / (len(flat) + lmscore.SMOOTH * 3000)
             assert got[k][name] == pytest.approx(-np.log(p).mean(), rel=1e-9)
+    assert np.mean([r.background_loss for r in got.values()]) >= np.log(3000)
 
 
 def distance_within(item, text):
