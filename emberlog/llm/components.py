@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import checkpointed
+from emberlog.llm.common import checkpointed, skew_join
 
 
 def _smallest_neighbour(edges: DataFrame) -> DataFrame:
@@ -19,17 +19,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Large-star joins every larger neighbour of a node to the node's smallest neighbour,
     small-star every smaller one; they alternate until the edges no longer change, which
     takes a number of rounds logarithmic in the longest path. Every round is two
-    aggregations and two joins on node ids and is checkpointed; nothing but one count and
-    one checksum a round reaches the driver. Null ends, loops and repeated edges are
+    aggregations and two joins on node ids, salted where a node holds very many edges, and
+    is checkpointed; nothing but counts, one checksum and the few hot nodes of a round
+    reach the driver. Null ends, loops and repeated edges are
     ignored; an empty graph gives no rows.
     """
     edges = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     state = None
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_smallest_neighbour(both), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = checkpointed(skew_join(both, _smallest_neighbour(both), ["u"]).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = _smallest_neighbour(large)
-        kept = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        kept = skew_join(large, least, ["u"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = checkpointed(kept.union(least.select("u", F.col("m").alias("v"))).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if now == state:

@@ -7,6 +7,11 @@ counts of their quarters and cut into tiles. Tile pairs are compared in full wit
 the radius: each differing bit changes a population count by one, so these can hold no
 link. A task gets the tiles of two blocks, and sends on only a spanning forest of the
 links it finds, so a group of k near-copies costs k rows and not k squared.
+
+For groups by shingle similarity (:func:`one_of_each_group`) links of a wide radius are
+only candidates: fingerprints close enough to be sure of are contracted to a forest, the
+others are kept for the nearest pairs between what isn't connected so, and each candidate
+link is then verified by the exact Jaccard similarity of the two shingle sets.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import checkpointed, stored
+from emberlog.llm.common import checkpointed, skew_join, stored
 from emberlog.llm.components import connected_components
 
 SEED = 42
@@ -32,6 +37,8 @@ BLOCK = 262_144
 MIN_BLOCKS = 8
 #: Links a task gathers before it contracts them.
 PENDING = 2_000_000
+#: Unsure links kept between two groups of sure ones, in one task: the nearest.
+BETWEEN = 8
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 
@@ -60,7 +67,10 @@ def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
 
 def fingerprint_of(text: str | None, size: int = 4, words: int = 1) -> bytes:
     """The fingerprint, most significant byte of each 64-bit word first; all zero for a text without words."""
-    hashes = shingle_hashes(text, size)
+    return _fingerprint(shingle_hashes(text, size), words)
+
+
+def _fingerprint(hashes: np.ndarray, words: int) -> bytes:
     if not len(hashes):
         return bytes(8 * words)
     parts = hashes[:, None] if words == 1 else np.stack([hashes, *(_mixed(hashes, k) for k in range(1, words))], axis=1)
@@ -83,6 +93,18 @@ def fingerprint(text: Column, size: int = 4, words: int = 1) -> Column:
     return of(text.cast("string"))
 
 
+def node_of(text: str | None, size: int, words: int) -> bytes:
+    """The fingerprint of a text's distinct shingles, and 64 bits that name their set: texts of one node hold the same shingles."""
+    hashes = np.unique(shingle_hashes(text, size))
+    return _fingerprint(hashes, words) + xxhash.xxh64_digest(hashes.tobytes())
+
+
+def radius_for(similarity: float, bits: int, spreads: float) -> int:
+    """The differing bits of two shingle sets of a Jaccard similarity: their expected number and so many standard deviations more (or less)."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + spreads * np.sqrt(bits * p * (1 - p)))
+
+
 def _as_words(packed: list[bytes]) -> np.ndarray:
     """(n, words) of unsigned 64-bit integers."""
     return np.frombuffer(b"".join(packed), ">u8").astype(np.uint64).reshape(len(packed), -1)
@@ -95,14 +117,22 @@ def _quarters(fps: np.ndarray) -> np.ndarray:
     return counts.reshape(len(fps), 4, -1).sum(axis=2) if fps.shape[1] % 4 == 0 or fps.shape[1] == 1 else counts.sum(axis=1)
 
 
-def _tile_order(fp: Column) -> Column:
+def _node(text: Column, size: int, words: int) -> Column:
+    @F.arrow_udf("binary")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([node_of(t.as_py(), size, words) for t in texts], pa.binary())
+
+    return of(text.cast("string"))
+
+
+def _tile_order(fp: Column, words: int) -> Column:
     """Fingerprints that lie together have like population counts in their quarters."""
 
     @F.arrow_udf("long")
     def order(fps: pa.Array) -> pa.Array:
         if not len(fps):
             return pa.array([], pa.int64())
-        q = _quarters(_as_words(fps.to_pylist())).astype(np.int64)
+        q = _quarters(_as_words(fps.to_pylist())[:, :words]).astype(np.int64)
         return pa.array(((q[:, 0] * 512 + q[:, 1]) * 512 + q[:, 2]) * 512 + q[:, 3], pa.int64())
 
     return order(fp)
@@ -134,8 +164,26 @@ def _contract(parent: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
             parent[:] = up
 
 
-def _close(a: np.ndarray, b: np.ndarray, radius: int, xor: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within the radius, by exclusive-or and bit count over whole tiles."""
+def _forest(parent: np.ndarray, u: np.ndarray, v: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links those of a shortest spanning forest between the groups of ``parent``, which they join: round by round the shortest link out of every group (after Boruvka)."""
+    order = np.argsort(far, kind="stable")
+    u, v = u[order], v[order]
+    us, vs = [], []
+    while len(u):
+        a, b = parent[u], parent[v]
+        u, v, a, b = (x[a != b] for x in (u, v, a, b))
+        first = np.full(len(parent), len(u))
+        for ends in (a, b):
+            np.minimum.at(first, ends, np.arange(len(u)))
+        picked = np.unique(first[first < len(u)])
+        us.append(u[picked])
+        vs.append(v[picked])
+        _contract(parent, u[picked], v[picked])
+    return np.concatenate([*us, np.empty(0, np.int64)]), np.concatenate([*vs, np.empty(0, np.int64)])
+
+
+def _close(a: np.ndarray, b: np.ndarray, radius: int, xor: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs within the radius and their differing bits, by exclusive-or and bit count over whole tiles."""
     x, n = xor[: len(a), : len(b)], ones[: len(a), : len(b)]
     np.bitwise_xor(a[:, :1], b[:, 0], out=x)
     far = np.bitwise_count(x, out=n)
@@ -144,16 +192,31 @@ def _close(a: np.ndarray, b: np.ndarray, radius: int, xor: np.ndarray, ones: np.
         for k in range(1, a.shape[1]):
             np.bitwise_xor(a[:, k : k + 1], b[:, k], out=x)
             far += np.bitwise_count(x, out=n)
-    return np.nonzero(far <= radius)
+    at = np.nonzero(far <= radius)
+    return *at, far[at]
+
 
+def _nearest_between(parent: np.ndarray, u: np.ndarray, v: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of unsure links those between different groups, of each two groups the ``BETWEEN`` nearest."""
+    a, b = parent[u], parent[v]
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((far, high, low))
+    order = order[low[order] != high[order]]
+    low, high = low[order], high[order]
+    first = np.ones(len(order), bool)
+    first[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    place = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    order = order[place < BETWEEN]
+    return u[order], v[order], far[order]
 
-def _compare(radius: int, tile: int):
+
+def _compare(radius: int, tile: int, words: int, sure: int):
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The spanning forest of the links between two blocks (or within one)."""
+        """The links between two blocks (or within one): a spanning forest of the sure ones, and the nearest others between its trees."""
         pdf = pdf.sort_values(["block", "tile"])
         width = len(pdf["fps"].iloc[0]) // int(pdf["n"].iloc[0])
         packed = b"".join(pdf["fps"])
-        fps = _as_words([packed]).reshape(-1, width // 8)
+        fps = _as_words([packed]).reshape(-1, width // 8)[:, :words]
         starts = np.concatenate([[0], np.cumsum(pdf["n"].to_numpy())])
         q = _quarters(fps)
         tiles = [(int(a), int(b), q[a:b].min(axis=0), q[a:b].max(axis=0)) for a, b in zip(starts, starts[1:])]
@@ -162,42 +225,54 @@ def _compare(radius: int, tile: int):
         same = len(set(blocks)) == 1
         parent = np.arange(len(fps))
         xor, ones = np.empty((tile, tile), np.uint64), np.empty((tile, tile), np.uint8)
-        us, vs, pending = [], [], 0
+        held, pending, trees = [], 0, []
         lows, highs = np.array([t[2] for t in tiles]), np.array([t[3] for t in tiles])
         low, high = np.array(sums).T
         order = np.arange(len(tiles))
+
+        def settle() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            u, v, far = (np.concatenate(x) for x in zip(*held))
+            near = far <= sure
+            trees.append(_forest(parent, u[near], v[near], far[near]))
+            return [_nearest_between(parent, u[~near], v[~near], far[~near])]
+
         for i, (a, b, least, most) in enumerate(tiles):
             others = order >= i if same else (blocks != blocks[i]) & (blocks[i] == blocks[0])
             gap = np.maximum(0, np.maximum(lows - most, least - highs)).sum(axis=1)
             whole = np.maximum(low - high[i], low[i] - high)
             for j in np.nonzero(others & (gap <= radius) & (whole <= radius))[0]:
                 c, d = tiles[j][:2]
-                x, y = _close(fps[a:b], fps[c:d], radius, xor, ones)
+                x, y, far = _close(fps[a:b], fps[c:d], radius, xor, ones)
                 keep = x + a < y + c
                 if keep.any():
-                    us.append(x[keep] + a)
-                    vs.append(y[keep] + c)
-                    pending += len(us[-1])
+                    held.append((x[keep] + a, y[keep] + c, far[keep]))
+                    pending += len(held[-1][0])
                 if pending > PENDING:
-                    _contract(parent, np.concatenate(us), np.concatenate(vs))
-                    us, vs, pending = [], [], 0
-        if us:
-            _contract(parent, np.concatenate(us), np.concatenate(vs))
-        linked = np.nonzero(parent != np.arange(len(fps)))[0]
+                    held, pending = settle(), 0
+        rest = settle()[0] if held else (np.empty(0, np.int64),) * 3
+        us, vs = (np.concatenate([*(t[k] for t in trees), rest[k]]) for k in (0, 1))
         cut = lambda i: packed[i * width : (i + 1) * width]
-        return pd.DataFrame({"u": [cut(i) for i in linked], "v": [cut(parent[i]) for i in linked]}, columns=["u", "v"])
+        return pd.DataFrame({"u": [cut(i) for i in us], "v": [cut(i) for i in vs]}, columns=["u", "v"])
 
     return compare
 
 
-def fingerprint_links(fps: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
-    """Distinct fingerprints ``fp`` to links ``(u, v)`` that connect all that lie within ``radius`` bits of each other, directly or by steps."""
+def fingerprint_links(fps: DataFrame, radius: int, tile: int = TILE, words: int = 1, sure: int | None = None) -> DataFrame:
+    """Distinct fingerprints ``fp`` of 64 * ``words`` bits (more bytes only name them) to links ``(u, v)``.
+
+    Links of ``sure`` bits or fewer (default: the radius) connect all that lie so near each
+    other, directly or by steps; of longer ones, up to the radius, the nearest between
+    fingerprints that a task doesn't find connected so are there as well.
+    """
     n = fps.count()
     blocks = max(MIN_BLOCKS, -(-n // BLOCK))
-    ordered = fps.select("fp", _tile_order(F.col("fp")).alias("at")).repartitionByRange(blocks, "at", "fp").sortWithinPartitions("at", "fp")
+    ordered = fps.select("fp", _tile_order(F.col("fp"), words).alias("at")).repartitionByRange(blocks, "at", "fp").sortWithinPartitions("at", "fp")
     tiles = checkpointed(ordered.select("fp").mapInPandas(_pack(tile), "block int, tile int, fps binary, n int"))
-    met = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other")
-    return met.repartition(max(1, blocks * (blocks + 1) // 2), "lo", "hi").groupBy("lo", "hi").applyInPandas(_compare(radius, tile), "u binary, v binary")
+    found = sorted(r["block"] for r in tiles.select("block").distinct().collect())  # one number a block
+    pairs = fps.sparkSession.createDataFrame([(a, min(a, b), max(a, b)) for a in found for b in found], "block int, lo int, hi int")
+    met = tiles.join(F.broadcast(pairs), "block")
+    compared = met.repartition(max(1, len(found) * (len(found) + 1) // 2), "lo", "hi").groupBy("lo", "hi")
+    return compared.applyInPandas(_compare(radius, tile, words, radius if sure is None else sure), "u binary, v binary")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, words: int = 1, radius: int = 4) -> DataFrame:
@@ -209,24 +284,54 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     repeated rows. Other columns are not read. An empty table gives no rows.
     """
     prints = stored(docs.select(F.col(key).alias("key"), fingerprint(F.col(text), size, words).alias("fp")))
-    named = _rooted(prints, radius)
+    distinct = checkpointed(prints.groupBy("fp").agg(F.min("key").alias("least")))
+    named = _rooted(distinct, fingerprint_links(distinct.select("fp"), radius, words=words))
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = checkpointed(named.join(roots, "root").select("fp", "component_id"))
-    return prints.join(classes, "fp").select(F.col("key").alias(key), F.col("fp").alias("fingerprint"), "component_id")
+    return skew_join(prints, classes, ["fp"]).select(F.col("key").alias(key), F.col("fp").alias("fingerprint"), "component_id")
 
 
-def _rooted(prints: DataFrame, radius: int) -> DataFrame:
-    """``(fp, least, root)``: each distinct fingerprint, its smallest key and the fingerprint that names its group."""
-    distinct = checkpointed(prints.groupBy("fp").agg(F.min("key").alias("least")))
-    groups = connected_components(fingerprint_links(distinct.select("fp"), radius))
-    return distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+def _rooted(distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """``distinct`` with ``root``, the fingerprint that names each one's group."""
+    groups = connected_components(links)
+    return distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp")).drop("component")
+
 
+def _shingles(text: Column, size: int) -> Column:
+    """The distinct shingle hashes of a text."""
 
-def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, words: int = 1, radius: int = 4) -> DataFrame:
-    """One row of each group of near-duplicates, all columns: that of the smallest key (null last), of rows with that key the one with the smallest hash of its text."""
-    prints = stored(docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("hash"), fingerprint(F.col(text), size, words).alias("fp")))
-    least = prints.groupBy("fp").agg(F.min(F.struct(F.col("key").isNull().alias("unnamed"), "key", "hash")).alias("row"))
-    picked = checkpointed(least.join(_rooted(prints, radius).select("fp", "root"), "fp").groupBy("root").agg(F.min("row").alias("row")))
-    chosen = picked.select(F.col("row.key").alias("__key"), F.col("row.hash").alias("__hash"), "root")
+    @F.arrow_udf("array<long>")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([np.unique(shingle_hashes(t.as_py(), size).view(np.int64)) for t in texts], pa.list_(pa.int64()))
+
+    return of(text.cast("string"))
+
+
+def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, words: int = 4, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of near-duplicates, all columns: that of the smallest key (null last), of rows with that key the one with the smallest hash of its text.
+
+    A group is what links of a Jaccard similarity of ``similarity`` or more between the
+    distinct ``size``-word shingles of whole texts connect. Texts of fewer words are one
+    shingle; null, empty and wordless texts are one group. Candidates differ in as many
+    fingerprint bits as that similarity makes likely, and four standard deviations more;
+    every link is verified on the shingles themselves. Equal rows are one group like any
+    copies; an empty table gives no rows. Columns may have any names.
+    """
+    node = _node(F.col(text), size, words)
+    prints = stored(docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("hash"), node.alias("fp")))
+    distinct = checkpointed(prints.groupBy("fp").agg(F.min(F.struct(F.col("key").isNull().alias("unnamed"), "key", "hash")).alias("row")))
+    bits = 64 * words
+    links = checkpointed(fingerprint_links(distinct.select("fp"), radius_for(similarity, bits, 4.0), words=words, sure=radius_for(similarity, bits, -2.5)).distinct())
+    # The shingles of one row of each linked node; links are few, and each end is met by its fingerprint.
+    ends = links.select(F.col("u").alias("fp")).union(links.select(F.col("v").alias("fp"))).distinct()
+    wanted = distinct.join(ends, "fp", "left_semi").select("fp", F.col("row.key").alias("__key"), F.col("row.hash").alias("__hash"))
+    texts = docs.select(F.col(key).alias("__k"), F.xxhash64(F.col(text)).alias("__hash"), F.col(text).alias("__text"))
+    met = texts.join(wanted, (F.col("__k").eqNullSafe(F.col("__key"))) & (texts["__hash"] == wanted["__hash"])).select("fp", "__text").dropDuplicates(["fp"])
+    sets = stored(met.select("fp", _shingles(F.col("__text"), size).alias("s")))
+    both = skew_join(skew_join(links, sets.select(F.col("fp").alias("v"), F.col("s").alias("b")), ["v"]), sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), ["u"])
+    shared = F.size(F.array_intersect("a", "b"))
+    verified = both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v")
+    picked = checkpointed(_rooted(distinct, verified).groupBy("root").agg(F.min("row").alias("row")))
+    chosen = picked.select(F.col("row.key").alias("__key"), F.col("row.hash").alias("__hash"), F.col("root").alias("__root"))
     found = docs.join(chosen, F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(F.col(text)) == F.col("__hash")))
-    return found.dropDuplicates(["root"]).select(*docs.columns)
+    return found.dropDuplicates(["__root"]).select(*docs.columns)

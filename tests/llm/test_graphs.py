@@ -240,6 +240,49 @@ def test_near_dedup_keeps_one_row_of_each_group(spark):
     assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(7, a), (2, b), (5, c), (0, "alone " + c[::-1])])
 
 
+def plain_shingles(text, size=5):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def test_near_dedup_is_by_jaccard_similarity(spark):
+    """Groups of texts at similarities on both sides of 0.8, chains among them, against all pairs."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    rows = []
+    for k in range(70):
+        words = [f"w{rng.randrange(50_000)}" for _ in range(rng.choice([30, 90, 200, 600]))]
+        for _ in range(rng.choice([1, 2, 3, 9])):
+            rows.append((len(rows), " ".join(words), "x"))
+            for _ in range(max(1, int(len(words) * rng.choice([0.0, 0.005, 0.01, 0.02, 0.03, 0.06])))):
+                words[rng.randrange(len(words))] = f"w{rng.randrange(50_000)}"
+    rows += [(len(rows) + i, " ".join(["same line of words"] * n + [f"end {i}"]), "x") for i, n in enumerate((1, 2, 40, 90))] + [(900, None, "y"), (901, "", "y"), (902, " ", "y")]
+    rng.shuffle(rows)
+    sets = [plain_shingles(t) for _, t, _ in rows]
+    alike = lambda a, b: a == b or (bool(a and b) and len(a & b) >= 0.8 * len(a | b))
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if alike(sets[i], sets[j])]
+    root = plain_components(range(len(rows)), links)
+    least = {}
+    for i, (k, *_) in enumerate(rows):
+        least[root[i]] = min(k, least.get(root[i], k))
+    near = [(i, j) for i, j in links if sets[i] != sets[j]]
+    assert len(near) > 100 and sum(0.7 < len(a & b) / len(a | b) < 0.8 for i, a in enumerate(sets) for b in sets[:i] if a and b) > 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string").repartition(5)
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in got) == sorted(least.values())
+
+
+def test_skew_join(spark):
+    from emberlog.llm.common import skew_join
+
+    left = spark.createDataFrame([(i, 7 if i % 2 else i % 50 if i % 5 else None) for i in range(4000)], "i long, k long")
+    right = spark.createDataFrame([(k, f"r{k}") for k in range(40)], "k long, r string")
+    for how in ("inner", "left"):
+        key = lambda r: tuple(str(x) for x in r)
+        assert sorted(skew_join(left, right, ["k"], how).select("i", "k", "r").collect(), key=key) == sorted(left.join(right, ["k"], how).select("i", "k", "r").collect(), key=key)
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
     from emberlog.llm import decontam, langid, queries as q, toxicity
@@ -249,8 +292,8 @@ def test_pipeline(spark, small):
     rows = [r for r in docs.collect() if tox.score(r.text) < corpus_pipeline.TOXIC]
     assert 0 < len(rows) <= docs.count()
     rows = [r for r in rows if r.text and langid._LETTER.search(r.text)]
-    prints = [int.from_bytes(simhash.fingerprint_of(r.text, 5, 4), "big") for r in rows]
-    links = [(rows[i].doc_id, rows[j].doc_id) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= corpus_pipeline.RADIUS]
+    sets = [plain_shingles(r.text) for r in rows]
+    links = [(rows[i].doc_id, rows[j].doc_id) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     root = plain_components([r.doc_id for r in rows], links)
     rows = [r for r in rows if root[r.doc_id] == r.doc_id]
     items = [(r.item_id, decontam.normalise(r.text)) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
