@@ -54,7 +54,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.read_back(*chat.prefix_forest(chat.with_probe(table(spark, sf_dir, "conversations"))))
+    """Digests of every conversation, read back from the depth-first output in tokens."""
+    vocabulary = bpe.load(spark, tokenizer_path())
+    forest = chat.prefix_forest(chat.with_probe(table(spark, sf_dir, "conversations")), vocabulary=vocabulary)
+    return chat.read_back(*chat.emit(*forest), vocabulary)
 
 
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from emberlog.llm import ann, chat, components, simhash, urls
-from emberlog.llm.queries import URL_RULES, queries
+from emberlog.llm import ann, bpe, chat, components, simhash, urls
+from emberlog.llm.queries import URL_RULES, queries, tokenizer_path
 
 
 def plain_components(nodes, links):
@@ -140,15 +140,17 @@ def plain_digests(rows):
 def test_chat_forest(spark):
     rows = conversations(random.Random(6))
     table = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, index int").repartition(3)
-    nodes, paths = chat.prefix_forest(table)
-    got = {r.conv_id: tuple(r)[1:] for r in chat.read_back(nodes, paths).collect()}
-    assert got == plain_digests(rows)
+    for vocabulary in (None, bpe.load(spark, tokenizer_path())):
+        nodes, paths = chat.prefix_forest(table, vocabulary=vocabulary)
+        emitted, leaves = chat.emit(nodes, paths)
+        got = {r.conv_id: tuple(r)[1:] for r in chat.read_back(emitted, leaves, vocabulary).collect()}
+        assert got == plain_digests(rows)
     # Every distinct prefix once.
     prefixes = set()
     for c in got:
         turns = sorted(((t if t is not None else -1), role or "", text or "") for k, t, role, text in rows if k == c)
         prefixes |= {tuple((r, x) for _, r, x in turns[: i + 1]) for i in range(len(turns))}
-    assert nodes.count() == len(prefixes)
+    assert nodes.count() == emitted.count() == len(prefixes)
     # Segments in depth-first order: an ancestor comes first, and a subtree is contiguous.
     segments = sorted(chat.segments(nodes, paths).collect(), key=lambda s: (s.root, s.path_key))
     place = {s.owner: i for i, s in enumerate(segments)}
@@ -162,7 +164,20 @@ def test_chat_forest(spark):
     for root in {s.root for s in segments}:
         span = [place[s.owner] for s in segments if s.root == root]
         assert span == list(range(min(span), max(span) + 1))
-    assert chat.read_back(*chat.prefix_forest(table.limit(0))).count() == 0
+    # In that order the tokens of every segment lie in one piece, their position ids counting on.
+    out = emitted.collect()
+    for owner in place:
+        mine = sorted((r["index"], r.position, len(r.ids) // 4) for r in out if r.owner == owner)
+        assert all(a + n == b for (_, a, n), (_, b, _) in zip(mine, mine[1:]))
+    assert chat.read_back(*chat.emit(*chat.prefix_forest(table.limit(0)))).count() == 0
+
+
+def test_chat_common_first_turn(spark):
+    """All conversations share their first turn, and a third of them everything: joins are salted, results the same."""
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", "hello" if t == 0 else f"turn {t} of {0 if c % 3 == 0 else c}") for c in range(400) for t in range(3)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {r.conv_id: tuple(r)[1:] for r in chat.read_back(*chat.emit(*chat.prefix_forest(table))).collect()}
+    assert got == plain_digests(rows)
 
 
 def test_chat_escapes():
