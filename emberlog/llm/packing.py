@@ -2,22 +2,25 @@
 
 Documents are cut losslessly into pieces of at most ``seq_len`` tokens and the pieces of
 a shard are packed best-fit-decreasing: longest first, each into the fullest sequence
-that still has room, found with a segment tree over the remaining capacities. A shard is
-at most ``SHARD_TOKENS`` tokens of one input partition, so packing needs no shuffle, a
-task holds one shard at a time, and a lost task packs its own partition again.
+that still has room, found with a segment tree over the remaining capacities. Documents
+are dealt to shards by a hash of their key and ids, and lie in a shard in order of that
+hash, so that the result depends on the documents alone, not on how they were
+partitioned. A task holds at most ``SHARD_TOKENS`` tokens at a time: a fuller shard is
+packed in parts.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEQ_LEN = 2048
-#: Tokens packed together, at most, beyond the last document (4 bytes each).
-SHARD_TOKENS = 2_000_000
+#: Documents in a shard, on average; tokens packed together, at most, beyond the last document (4 bytes each).
+SHARD_DOCS, SHARD_TOKENS = 4_000, 2_000_000
+#: Rows of a file of packed sequences, at most (about 1 GB of matrices at 2048 tokens).
+FILE_ROWS = 65_536
 #: Sequences sent on in one batch.
 BATCH = 64
 
@@ -77,7 +80,7 @@ def pack(lengths: list[int], seq_len: int) -> list[list[int]]:
     return sequences
 
 
-def pack_ids(docs: DataFrame, ids: Column, key: str = "doc_id", seq_len: int = SEQ_LEN, pad_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def pack_ids(docs: DataFrame, ids: Column, key: str = "doc_id", seq_len: int = SEQ_LEN, pad_id: int = 0, shard_docs: int = SHARD_DOCS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Packed sequences of the token ids (packed little-endian, as ``bpe.encode`` gives them) of all documents.
 
     Each row is a sequence: ``input_ids`` and ``position_ids`` hold ``seq_len`` unsigned
@@ -85,8 +88,9 @@ def pack_ids(docs: DataFrame, ids: Column, key: str = "doc_id", seq_len: int = S
     many of them are used, ``cu_seqlens`` the cumulative lengths of its segments from 0,
     ``doc_ids`` and ``doc_starts`` each segment's document and the token of that document it
     starts with. Positions start again at 0 in every segment. Concatenating a document's
-    segments by start gives back its ids. Null or empty ids take no room and are in no
-    sequence; a null key is carried on; repeated documents are packed as often as they occur.
+    segments by start gives back its ids, of any length. Null or empty ids take no room and
+    are in no sequence; a null key is carried on; repeated documents are packed as often as
+    they occur. An empty table gives no rows; other columns are not read.
     """
 
     def flush(held: list[tuple[int | None, int, np.ndarray]], shard: str):
@@ -109,22 +113,29 @@ def pack_ids(docs: DataFrame, ids: Column, key: str = "doc_id", seq_len: int = S
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
 
     def run(batches):
-        partition, shard, held, size = TaskContext.get().partitionId(), 0, [], 0
+        current, part, held, size = None, 0, [], 0
         for batch in batches:
-            for key_, packed in zip(batch.column(0), batch.column(1)):
-                tokens = np.frombuffer(packed.as_py() or b"", "<u4")
+            for shard, key_, packed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if held and (shard != current or size >= shard_tokens):
+                    yield from flush(held, f"{current:08d}-{part:04d}")
+                    held, size, part = [], 0, part + 1
+                if shard != current:
+                    current, part = shard, 0
+                tokens = np.frombuffer(packed.as_py(), "<u4")
                 for start in range(0, len(tokens), seq_len):
                     held.append((key_.as_py(), start, tokens[start : start + seq_len]))
                 size += len(tokens)
-                if size >= shard_tokens:
-                    yield from flush(held, f"{partition:06d}-{shard:04d}")
-                    shard, held, size = shard + 1, [], 0
         if held:
-            yield from flush(held, f"{partition:06d}-{shard:04d}")
+            yield from flush(held, f"{current:08d}-{part:04d}")
 
-    return docs.select(F.col(key).cast("long").alias("key"), ids.alias("ids")).mapInArrow(run, SCHEMA)
+    shards = max(1, -(-docs.count() // shard_docs))
+    at = F.xxhash64("key", "ids")
+    kept = docs.select(F.col(key).cast("long").alias("key"), ids.alias("ids")).where(F.octet_length("ids") > 0).withColumn("at", at)
+    dealt = kept.select(F.pmod("at", F.lit(shards)).alias("shard"), "key", "ids", "at").repartition("shard").sortWithinPartitions("shard", "at", "key")
+    return dealt.drop("at").mapInArrow(run, SCHEMA)
 
 
-def write_packed(packed: DataFrame, path: str) -> None:
-    """The packed matrices as Parquet, a folder for each shard: every row is a row of its id and position matrices."""
-    packed.write.partitionBy("shard").parquet(path)
+def write_packed(packed: DataFrame, path: str) -> DataFrame:
+    """Writes the packed matrices as Parquet files of up to ``FILE_ROWS`` rows, whole shards in order in each, and returns them read again: every row is a row of its id and position matrices, as raw little-endian integers."""
+    packed.write.option("maxRecordsPerFile", FILE_ROWS).parquet(path, compression="zstd")
+    return packed.sparkSession.read.schema(SCHEMA).parquet(path)

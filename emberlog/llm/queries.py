@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm import ann, bpe, chat, decontam, langid, lmscore, packing, simhash, toxicity, urls
-from emberlog.llm.common import fold, in_fold, small, table
+from emberlog.llm.common import fold, in_fold, new_folder, small, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,9 +40,10 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per packed sequence: its documents, and digests of its row of the id and position matrices."""
+    """A row per packed sequence, as written: its documents, and digests of its row of the id and position matrices."""
     vocabulary = bpe.load(spark, tokenizer_path())
     packed = packing.pack_ids(table(spark, sf_dir, "documents"), bpe.encode(F.col("text"), vocabulary))
+    packed = packing.write_packed(packed, new_folder(spark, "tables"))
     return packed.select("shard", "sequence", "n_tokens", "doc_ids", "doc_starts", "cu_seqlens", F.sha2("input_ids", 256).alias("ids_sha256"), F.sha2("position_ids", 256).alias("positions_sha256"))
 
 

@@ -84,12 +84,13 @@ def test_packing_is_best_fit_decreasing():
         assert sorted(seq_len - sum(lengths[i] for i in s) for s in packed) == best_fit(lengths, seq_len)
 
 
-def test_packing_is_lossless(spark):
+def test_packing_is_lossless(spark, tmp_path):
     rng = random.Random(2)
     ids = {k: [rng.randrange(50_000) for _ in range(rng.choice([0, 1, 7, 16, 17, 100]))] for k in range(40)}
-    rows = [(k, bytearray(np.array(v, "<u4").tobytes())) for k, v in ids.items()] + [(99, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, ids binary").repartition(3)
-    out = packing.pack_ids(docs, F.col("ids"), seq_len=16, shard_tokens=200).collect()
+    packed = lambda v: bytearray(np.array(v, "<u4").tobytes())
+    rows = [(k, packed(v), "x") for k, v in ids.items()] + [(99, None, "x"), (None, packed([5, 6]), "x"), (7, packed([1] * 300), "x"), (7, packed([1] * 300), "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, ids binary, shard string").repartition(3)
+    out = packing.write_packed(packing.pack_ids(docs, F.col("ids"), seq_len=16, shard_docs=7, shard_tokens=200), f"{tmp_path}/packed").collect()
     parts = {}
     for r in out:
         tokens, positions = np.frombuffer(r.input_ids, "<u4"), np.frombuffer(r.position_ids, "<u4")
@@ -98,7 +99,14 @@ def test_packing_is_lossless(spark):
             assert positions[a:b].tolist() == list(range(b - a))
             parts.setdefault(k, []).append((start, tokens[a:b].tolist()))
         assert not tokens[r.n_tokens :].any()
-    assert {k: sum((t for _, t in sorted(p)), []) for k, p in parts.items()} == {k: v for k, v in ids.items() if v}
+    pieces = lambda v: [(s, v[s : s + 16]) for s in range(0, len(v), 16)]
+    expected = {k: pieces(v) for k, v in ids.items() if v} | {None: [(0, [5, 6])]}
+    expected[7] = sorted(expected.get(7, []) + 2 * pieces([1] * 300))
+    assert {k: sorted(p) for k, p in parts.items()} == expected
+    # The same shards and sequences, however the documents are partitioned.
+    other = packing.pack_ids(docs.repartition(5, "ids"), F.col("ids"), seq_len=16, shard_docs=7, shard_tokens=200).collect()
+    assert sorted(map(str, out)) == sorted(map(str, other))
+    assert packing.pack_ids(docs.limit(0), F.col("ids")).count() == 0
 
 
 def held_out_losses(ids, chosen, size):
