@@ -5,7 +5,8 @@ long hexadecimal strings, dates; an ending such as ``.html`` stays) turn into wi
 once. Level by level, to the depth the urls have, a segment that too few urls of its parent
 share is a wildcard as well. Then, from the deepest level up, branches of one parent that
 are alike below and whose labelled shares do not differ significantly are merged. A
-template is rejected if its smoothed labelled purity is below the threshold.
+template is rejected if its smoothed labelled purity falls short of that of all labelled
+pages by the given ratio.
 
 All of it is DataFrame aggregation over (host, template) counts, combined before each
 shuffle, and one join of the pages with the table of rejected templates.
@@ -26,8 +27,8 @@ from emberlog.llm.common import checkpointed
 MIN_SUPPORT = 5
 #: Pseudo-counts of labels by which purity leans to that of all labels.
 PRIOR_WEIGHT = 10.0
-#: Templates of lower smoothed purity are rejected.
-MIN_PURITY = 0.5
+#: Templates are rejected whose smoothed purity is below this part of the share of good pages among all labelled ones.
+MIN_PURITY = 0.8
 #: Standard errors within which branches count as alike.
 ALIKE_Z = 1.96
 
@@ -129,7 +130,10 @@ def learn_templates(pages: DataFrame, labels: DataFrame, key: str = "page_id", u
 
     ``labels`` marks pages as good (1) or not (0) by id; of several labels of an id the
     smallest counts, and unlabelled pages only give support. Purity is that of the merged
-    template, smoothed toward the share of good pages among all labelled ones.
+    template, smoothed toward the share of good pages among all labelled ones, and a template
+    is ``rejected`` below ``MIN_PURITY`` times that share. Urls of any length and depth count
+    whole, repeated rows each; without labels nothing is rejected, and an empty table gives no
+    rows. Other columns are not read.
     """
     marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(label_key).alias("key")).agg(F.min(label).alias("good"))
     read = pages.select(F.col(key).alias("key"), host_of(F.col(url)).alias("host"), lexical_segments(path_of(F.col(url))).alias("segments"))
@@ -156,7 +160,7 @@ def learn_templates(pages: DataFrame, labels: DataFrame, key: str = "page_id", u
         leaves = checkpointed(_merged_at(leaves, level, prior))
     totals = leaves.groupBy("host", "merged").agg(F.sum("urls").alias("urls"), F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
     purity = (F.col("good") + PRIOR_WEIGHT * F.lit(prior)) / (F.col("labelled") + PRIOR_WEIGHT)
-    judged = totals.withColumn("purity", purity).withColumn("rejected", F.col("purity") < MIN_PURITY)
+    judged = totals.withColumn("purity", purity).withColumn("rejected", F.col("purity") < MIN_PURITY * prior)
     merged = leaves.select("host", "template", "merged").join(judged, ["host", "merged"])
     out = tree.select("host", "segments", "template").join(merged, ["host", "template"])
     return checkpointed(out.select("host", "segments", F.concat(F.lit("/"), F.array_join("merged", "/")).alias("template"), "urls", "labelled", "good", "purity", "rejected"))
@@ -167,7 +171,8 @@ def judge(pages: DataFrame, templates: DataFrame, rules: Sequence[tuple[str, str
 
     A rule decides where one fits; else a rejected template blocks and all else is allowed.
     Null urls and urls without ``://`` have an empty host and path and are judged like any
-    other host. Repeated rows are judged each; other columns are not read.
+    other host. Urls of any length are judged whole, repeated rows each; an empty table gives
+    no rows, and other columns are not read.
     """
     read = pages.select(F.col(key).alias("key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")).withColumn("segments", lexical_segments(F.col("path")))
     found = read.withColumn("ruled", rule_for(F.col("host"), F.col("path"), rules)).join(templates.select("host", "segments", "template", "purity", "rejected"), ["host", "segments"], "left")
