@@ -20,11 +20,17 @@ def parse_rfc3339(col: Column) -> Column:
     return F.when(col.rlike(RFC3339), cut.try_cast("timestamp"))
 
 
+def epoch_seconds(number: Column) -> Column:
+    """Timestamp of seconds since 1970, fractions dropped; null outside the years 1 to 9999 and for what is no number."""
+    inside = number.between(-62_135_596_800, 253_402_300_799)
+    return F.timestamp_seconds(F.when(inside, number).try_cast("bigint"))
+
+
 def parse_epoch(col: Column) -> Column:
-    """Timestamp of a number in a text: milliseconds from 1e12 on, else seconds; fractions are dropped."""
+    """Timestamp of a number in a text: milliseconds from 1e12 on, else seconds; fractions are dropped, and a number out of range is no time."""
     number = col.try_cast("double")
-    whole = number.cast("bigint")
-    return F.when(number >= 1e12, F.timestamp_millis(whole)).otherwise(F.timestamp_seconds(whole))
+    millis = F.timestamp_millis(F.when(number.between(1e12, 253_402_300_799_999), number).try_cast("bigint"))
+    return F.when(number >= 1e12, millis).otherwise(epoch_seconds(number))
 
 
 def parse_since(text: str, now: datetime) -> datetime | None:

@@ -1,8 +1,13 @@
-"""Structured bodies: fields lifted out of bodies that are one JSON object or a logfmt line."""
+"""Structured bodies: fields lifted out of bodies that are one JSON object or a logfmt line.
+
+Native expressions find the bodies that may hold fields; only these are parsed, JSON and
+logfmt alike, in one Arrow pass that returns what is lifted. No row is shuffled.
+"""
 
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,6 +15,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.severity import INFO, parse_severity, trimmed
 from emberlog.functions.times import parse_epoch, parse_rfc3339
+from emberlog.operators.rules import MAX_RULES
 
 # The keys that are recognised, first one first.
 MESSAGE_KEYS = ("msg", "message")
@@ -20,13 +26,17 @@ MAX_LIFTED, MAX_VALUE_BYTES = 50, 2000
 #: A time in a body counts only this near to the record's own.
 TIME_WINDOW = "INTERVAL 48 HOURS"
 
-# The grammar of a logfmt line (one or more key=value tokens and nothing else), and of one token.
-LOGFMT_LINE = r'(?s)\A(?:[^ \t"=\n\r]+=(?:"(?:[^"\\\n\r]|\\[^\n\r])*"|[^ \t"\n\r][^ \t\n\r]*|)(?:[ \t]+|\z))+\z'
-LOGFMT_TOKEN = r'([^ \t"=]+)=("(?:[^"\\]|\\.)*"|[^ \t]*)(?:[ \t]+|\z)'
+# A token of a logfmt line, and how such a line and its recognised keys begin.
+_TOKEN = re.compile(r'([^ \t"=\n\r]+)=(?:"((?:[^"\\\n\r]|\\[^\n\r])*)"|([^ \t"\n\r][^ \t\n\r]*|))(?:[ \t]+|\Z)')
+_LOGFMT_START = r'\A[^ \t"=\n\r]+='
+_LOGFMT_KEY = r"(?:\A|[ \t])(?:" + "|".join((*MESSAGE_KEYS, *LEVEL_KEYS)) + ")="
 
-#: A field: ``kind`` is s(tring), n(umber) or o(ther); ``child`` is set for what was nested.
-_FIELD = "array<struct<key:string,kind:string,text:string,child:boolean>>"
-_FIELD_ARROW = pa.list_(pa.struct([("key", pa.string()), ("kind", pa.string()), ("text", pa.string()), ("child", pa.bool_())]))
+_LIFTED = "message string, level string, time string, digits boolean, service string, trace string, attrs array<struct<key:string,value:string>>"
+_LIFTED_ARROW = pa.struct([
+    ("message", pa.string()), ("level", pa.string()), ("time", pa.string()), ("digits", pa.bool_()), ("service", pa.string()), ("trace", pa.string()),
+    ("attrs", pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))),
+])
+_SURROGATE = re.compile("[\ud800-\udfff]")
 
 
 class _Number(str):
@@ -43,72 +53,85 @@ def _compact(value) -> str:
     return json.dumps(value, ensure_ascii=False)
 
 
-def _entry(key: str, value, child: bool) -> dict:
-    if isinstance(value, _Number):
-        return {"key": key, "kind": "n", "text": str(value), "child": child}
-    if isinstance(value, str):
-        return {"key": key, "kind": "s", "text": value, "child": child}
-    return {"key": key, "kind": "o", "text": _compact(value), "child": child}
-
-
 def _not_a_constant(name: str):
     raise ValueError(name)
 
 
-def json_fields(body: str | None) -> list[dict] | None:
-    """The fields of a body that is exactly one JSON object, keys sorted, nested ones one level down as ``key.nested``; None otherwise."""
-    if body is None:
-        return None
+def _plain(text: str) -> str:
+    """Without lone surrogates, which no text column can hold."""
+    return _SURROGATE.sub("\ufffd", text)
+
+
+def json_fields(body: str) -> dict | None:
+    """The fields of a body that is exactly one JSON object, numbers as their literal text; None otherwise."""
     try:
         found = json.loads(body, parse_int=_Number, parse_float=_Number, parse_constant=_not_a_constant)
     except (ValueError, RecursionError):
         return None
-    if not isinstance(found, dict):
+    return found if isinstance(found, dict) else None
+
+
+def logfmt_fields(body: str) -> dict | None:
+    """The fields of a trimmed logfmt line of two different keys or more, the last of equal keys counting; None otherwise."""
+    at, out = 0, {}
+    while at < len(body):
+        token = _TOKEN.match(body, at)
+        if not token:
+            return None
+        key, quoted, bare = token.groups()
+        out[key] = re.sub(r"(?s)\\(.)", r"\1", quoted) if quoted is not None else bare
+        at = token.end()
+    return out if len(out) >= 2 else None
+
+
+def lift(body: str, known: set[str]) -> dict | None:
+    """What a trimmed body gives: message, level, time, service and trace as texts (null: nothing taken), and attributes but for ``known`` keys; None if it isn't structured or holds neither message nor level key."""
+    fields = json_fields(body) if body.startswith("{") else logfmt_fields(body)
+    if not fields or not any(k in fields for k in (*MESSAGE_KEYS, *LEVEL_KEYS)):
         return None
-    out = []
-    for key in sorted(found):
-        value = found[key]
-        if isinstance(value, dict):
-            out.append({"key": key, "kind": "o", "text": None, "child": False})
-            out += [_entry(f"{key}.{nested}", value[nested], True) for nested in sorted(value)]
-        else:
-            out.append(_entry(key, value, False))
-    return out
-
-
-def _json_fields(body: Column) -> Column:
-    @F.arrow_udf(_FIELD)
-    def of(bodies: pa.Array) -> pa.Array:
-        return pa.array([json_fields(b.as_py()) for b in bodies], _FIELD_ARROW)
-
-    return of(body)
-
-
-def logfmt_fields(body: Column) -> Column:
-    """The fields of a trimmed logfmt line with two different keys or more, keys sorted, the last of equal keys counting; null otherwise."""
-    keys = F.regexp_extract_all(body, F.lit(LOGFMT_TOKEN), F.lit(1))
-    values = F.transform(F.regexp_extract_all(body, F.lit(LOGFMT_TOKEN), F.lit(2)), lambda v: F.when(v.startswith('"'), F.regexp_replace(F.substring(v, F.lit(2), F.greatest(F.length(v) - 2, F.lit(0))), r"(?s)\\(.)", "$1")).otherwise(v))
-    pairs = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), F.lit("s").alias("kind"), v.alias("text"), F.lit(False).alias("child")))
-    last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), p["key"]))
-    sorted_ = F.array_sort(last)
-    return F.when(body.rlike(LOGFMT_LINE) & (F.size(sorted_) >= 2), sorted_).cast(_FIELD)
-
-
-def _first(fields: Column, keys, accept) -> Column:
-    """The first of ``keys`` among the top-level fields that ``accept`` takes, as a field."""
-    out = F.lit(None).cast("struct<key:string,kind:string,text:string,child:boolean>")
-    for key in reversed(keys):
-        out = F.coalesce(F.get(F.filter(fields, _named(key, accept)), F.lit(0)), out)
-    return out
-
-
-def _named(key: str, accept):
-    return lambda f: ~f["child"] & (f["key"] == key) & accept(f)
-
-
-def _outside(key: str, gone: Column):
-    """Not nested in ``key``, if that is gone."""
-    return lambda f: ~(f["child"] & f["key"].startswith(key + ".") & gone)
+    used, out = set(), dict.fromkeys(("message", "level", "time", "service", "trace"))
+    # Message keys are used up to the one that is taken, all if none is; of the others only the first present.
+    for key in MESSAGE_KEYS:
+        used.add(key)
+        if type(fields.get(key)) is str and fields[key]:
+            out["message"] = fields[key]
+            break
+    for name, keys, kinds in (("level", LEVEL_KEYS, (str, _Number)), ("time", TIME_KEYS, (str, _Number)), ("service", ("service",), (str,)), ("trace", ("trace_id",), (str,))):
+        key = next((k for k in keys if k in fields), None)
+        used.add(key)
+        if type(fields.get(key)) in kinds:
+            out[name] = str(fields[key])
+            out["digits"] = out.get("digits") or name == "time" and (type(fields[key]) is _Number or bool(re.fullmatch("[0-9]+", fields[key])))
+    attrs = {}
+    for key in sorted(fields.keys() - used):
+        nested = fields[key] if isinstance(fields[key], dict) else None
+        for name, value in [(f"{key}.{k}", nested[k]) for k in sorted(nested)] if nested is not None else [(key, fields[key])]:
+            name = _plain(name)
+            if name not in known and name not in attrs and len(attrs) < MAX_LIFTED:
+                text = _plain(value if type(value) is str else _compact(value))
+                attrs[name] = text if len(text) * 4 <= MAX_VALUE_BYTES else text.encode()[:MAX_VALUE_BYTES].decode(errors="ignore")
+    texts = {k: v if v is None or k == "digits" else _plain(v) for k, v in out.items()}
+    return texts | {"attrs": [{"key": k, "value": v} for k, v in attrs.items()]}
+
+
+def _lifted(body: Column, keys: Column) -> Column:
+    @F.arrow_udf(_LIFTED)
+    def of(bodies: pa.Array, known: pa.Array) -> pa.Array:
+        rows = (None if b is None else lift(b, set(k or ())) for b, k in zip(bodies.to_pylist(), known.to_pylist()))
+        return pa.array([r or {} for r in rows], _LIFTED_ARROW)
+
+    return of(body, keys)
+
+
+def _switched_on(logs: DataFrame, projects: DataFrame | None) -> DataFrame:
+    """``logs`` with ``__parse``: false for projects that have parsing switched off. Their ids are a literal list; of more than ``MAX_RULES`` a join."""
+    if projects is None:
+        return logs.withColumn("__parse", F.lit(True))
+    off = projects.where(~F.col("parse_bodies")).select(F.col("id").alias("project_id")).distinct()
+    ids = [r["project_id"] for r in off.limit(MAX_RULES + 1).collect()]
+    if len(ids) <= MAX_RULES:
+        return logs.withColumn("__parse", ~F.coalesce(F.col("project_id").isin(ids), F.lit(False)) if ids else F.lit(True))
+    return logs.join(off.withColumn("__off", F.lit(True)), "project_id", "left").withColumn("__parse", F.col("__off").isNull()).drop("__off")
 
 
 def parse_bodies(logs: DataFrame, projects: DataFrame | None = None, enabled: bool = True) -> DataFrame:
@@ -117,62 +140,32 @@ def parse_bodies(logs: DataFrame, projects: DataFrame | None = None, enabled: bo
     A body counts if, trimmed, it is one JSON object or a logfmt line and holds a message or
     level key. The message replaces the body; the level only a severity of INFO; the time
     only one within 48 hours; service and trace id only empty ones. Keys so recognised are
-    used up; the rest become attributes, existing ones winning, at most ``MAX_LIFTED``.
-    ``projects`` can turn this off for single projects; unknown projects are parsed.
+    used up, with what is nested in them; the rest become attributes, nested ones one level
+    down as ``key.nested``, existing ones winning, at most ``MAX_LIFTED``. ``projects`` can turn
+    this off for single projects; unknown projects are parsed. Times out of range are no
+    times, lone surrogates become U+FFFD: no body makes the job fail.
     """
     if not enabled:
         return logs
     columns = logs.columns
-    if projects is not None:
-        switch = projects.select(F.col("id").alias("project_id"), F.col("parse_bodies").alias("__parse"))
-        logs = logs.join(switch, "project_id", "left")
-    else:
-        logs = logs.withColumn("__parse", F.lit(True))
+    logs = _switched_on(logs, projects)
     body = trimmed(F.col("body"))
-    lift_key = '"(?:' + "|".join((*MESSAGE_KEYS, *LEVEL_KEYS)) + r')"|\\u'
-    braced = body.startswith("{")
-    on = F.coalesce(F.col("__parse"), F.lit(True))
-    as_json = F.when(on & braced & body.endswith("}") & body.rlike(lift_key), body)
-    logs = logs.withColumn("__json", _json_fields(as_json))
-    fields = F.coalesce(F.col("__json"), F.when(on & ~braced, logfmt_fields(body)))
-    known = F.exists(fields, lambda f: ~f["child"] & f["key"].isin(*MESSAGE_KEYS, *LEVEL_KEYS))
-    logs = logs.withColumn("__fields", F.when(F.coalesce(known, F.lit(False)), fields)).drop("__json", "__parse")
-
-    f = F.col("__fields")
-    any_kind = lambda x: F.lit(True)
-    message = _first(f, MESSAGE_KEYS, lambda x: (x["kind"] == "s") & (x["text"] != ""))
-    level, time = _first(f, LEVEL_KEYS, any_kind), _first(f, TIME_KEYS, any_kind)
-    service, trace = _first(f, ("service",), any_kind), _first(f, ("trace_id",), any_kind)
-    digits = (time["kind"] == "s") & time["text"].rlike(r"\A[0-9]+\z")
-    lifted_ts = F.when(time["kind"] == "s", F.coalesce(parse_rfc3339(time["text"]), F.when(digits, parse_epoch(time["text"])))).when(time["kind"] == "n", parse_epoch(time["text"]))
-    own = F.col("ts").cast("timestamp")
-    near = (lifted_ts > own - F.expr(TIME_WINDOW)) & (lifted_ts < own + F.expr(TIME_WINDOW))
-    # Message keys are used up to the one that is taken, all if none is; of the others only the first present.
-    used = F.array_compact(F.array(F.lit("msg"), F.when(~F.coalesce(message["key"] == "msg", F.lit(False)), F.lit("message")), level["key"], time["key"], service["key"], trace["key"]))
+    json_key = '"(?:' + "|".join((*MESSAGE_KEYS, *LEVEL_KEYS)) + r')"|\\u'
+    braced = F.startswith(body, F.lit("{"))
+    gate = F.when(braced, F.endswith(body, F.lit("}")) & body.rlike(json_key)).otherwise(body.rlike(_LOGFMT_START) & body.rlike(_LOGFMT_KEY))
     attrs = F.coalesce("attrs", F.create_map().cast("map<string,string>"))
-    parents = F.transform(F.filter(f, lambda x: x["text"].isNull()), lambda x: x["key"])
-    rest = F.filter(f, lambda x: x["text"].isNotNull() & ~F.map_contains_key(attrs, x["key"]) & ~(~x["child"] & F.array_contains(used, x["key"])))
-    # What is nested in a key that is used up goes with it.
-    for key in (*MESSAGE_KEYS, *LEVEL_KEYS, *TIME_KEYS, "service", "trace_id"):
-        rest = F.filter(rest, _outside(key, F.array_contains(parents, key) & F.array_contains(used, key)))
-    names = F.transform(rest, lambda x: x["key"])
-    kept = F.slice(F.filter(rest, lambda x, i: F.array_position(names, x["key"]) == i + 1), 1, MAX_LIFTED)
-    cut = lambda text: F.when(F.octet_length(text) > MAX_VALUE_BYTES, _cut_bytes(text)).otherwise(text)
-    lifted = F.map_from_entries(F.transform(kept, lambda x: F.struct(x["key"], cut(x["text"]))))
+    logs = logs.withColumn("__lift", _lifted(F.when(F.col("__parse") & gate, body), F.map_keys(attrs)))
 
+    got = F.col("__lift")
+    time = F.coalesce(parse_rfc3339(got["time"]), F.when(got["digits"], parse_epoch(got["time"])))
+    own = F.col("ts").cast("timestamp")
+    near = (time > own - F.expr(TIME_WINDOW)) & (time < own + F.expr(TIME_WINDOW))
     changed = {
-        "body": F.coalesce(message["text"], F.col("body")),
-        "severity": F.when((F.col("severity") == INFO) & level["kind"].isin("s", "n"), parse_severity(level["text"])).otherwise(F.col("severity")),
-        "ts": F.when(near, lifted_ts.cast(logs.schema["ts"].dataType)).otherwise(F.col("ts")),
-        "service": F.when((F.col("service") == "") & (service["kind"] == "s"), service["text"]).otherwise(F.col("service")),
-        "trace_id": F.when((F.col("trace_id") == "") & (trace["kind"] == "s"), trace["text"]).otherwise(F.col("trace_id")),
-        "attrs": F.when(F.size(kept) > 0, F.map_concat(attrs, lifted)).otherwise(F.col("attrs")),
+        "body": F.coalesce(got["message"], F.col("body")),
+        "severity": F.when((F.col("severity") == INFO) & got["level"].isNotNull(), parse_severity(got["level"])).otherwise(F.col("severity")),
+        "ts": F.when(near, time.cast(logs.schema["ts"].dataType)).otherwise(F.col("ts")),
+        "service": F.when((F.col("service") == "") & got["service"].isNotNull(), got["service"]).otherwise(F.col("service")),
+        "trace_id": F.when((F.col("trace_id") == "") & got["trace"].isNotNull(), got["trace"]).otherwise(F.col("trace_id")),
+        "attrs": F.when(F.size(F.coalesce(got["attrs"], F.array().cast("array<struct<key:string,value:string>>"))) > 0, F.map_concat(attrs, F.map_from_entries(got["attrs"]))).otherwise(F.col("attrs")),
     }
     return logs.withColumns(changed).select(*columns)
-
-
-def _cut_bytes(text: Column) -> Column:
-    """The longest prefix of whole characters within the byte limit."""
-    tail = F.substring(text.cast("binary"), F.lit(1), F.lit(MAX_VALUE_BYTES))
-    whole = F.decode(tail, "UTF-8")
-    return F.regexp_replace(whole, "�+\\z", "")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions.severity import INFO, parse_severity, severity_of_number
-from emberlog.functions.times import parse_rfc3339
+from emberlog.functions.times import epoch_seconds, parse_rfc3339
 
 _TEXTS = ("severity", "message", "msg", "body", "service", "environment", "release", "trace_id", "timestamp", "time", "ts")
 JSON_LOG = ", ".join(f"{c} string" for c in _TEXTS) + ", attributes map<string,string>, attrs map<string,string>"
@@ -34,7 +34,7 @@ def _first_text(*names: str) -> Column:
 
 def _one_timestamp(name: str) -> Column:
     text = F.col(name)
-    return F.coalesce(parse_rfc3339(text), F.when(text.rlike(r"\A-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\z"), F.timestamp_seconds(text.try_cast("double").cast("bigint"))))
+    return F.coalesce(parse_rfc3339(text), F.when(text.rlike(r"\A-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\z"), epoch_seconds(text.try_cast("double"))))
 
 
 def json_records(rows: DataFrame, project_id: int, now: datetime | None = None) -> DataFrame:
@@ -81,7 +81,7 @@ def otlp_records(rows: DataFrame, project_id: int, now: datetime | None = None)
     number = F.coalesce("l.severityNumber", F.lit(0))
     severity = F.when(number != 0, F.coalesce(severity_of_number(number), F.lit(INFO))).otherwise(parse_severity(F.coalesce("l.severityText", F.lit(""))))
     return records.select(
-        F.lit(project_id).cast("long").alias("project_id"), F.when(nanos > 0, F.timestamp_micros(F.floor(nanos / 1000).cast("long"))).otherwise(_now(now)).alias("ts"), severity.cast("int").alias("severity"),
+        F.lit(project_id).cast("long").alias("project_id"), F.when(nanos > 0, F.timestamp_micros(F.floor(nanos / 1000).try_cast("long"))).otherwise(_now(now)).alias("ts"), severity.cast("int").alias("severity"),
         _any_value(F.col("l.body")).alias("body"), F.coalesce(of("service.name"), F.lit("")).alias("service"), F.coalesce(of("deployment.environment.name"), of("deployment.environment"), F.lit("")).alias("environment"),
         F.coalesce(of("service.version"), F.lit("")).alias("release"), F.when(trace.rlike(r"\A0*\z"), "").otherwise(trace).alias("trace_id"), F.map_concat(rest, F.col("own")).alias("attrs"),
     )

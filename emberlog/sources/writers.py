@@ -11,9 +11,13 @@ def with_day(logs: DataFrame) -> DataFrame:
 
 
 def write_logs(logs: DataFrame, path: str) -> None:
-    """Appends to the logs table, partitioned by project and day; rows of a file are in order of time, so that its statistics prune."""
+    """Appends to the logs table, partitioned by project and day; rows of a file are in order of time, so that its statistics prune.
+
+    Rows are brought together by project and day, and a day that is larger than Spark's
+    advisory partition size is split among as many writers as that takes.
+    """
     out = with_day(logs)
-    out.repartition("project_id", "day", F.pmod("log_id", F.lit(8))).sortWithinPartitions("project_id", "day", "ts", "log_id").write.mode("append").option("compression", "zstd").partitionBy("project_id", "day").parquet(path)
+    out.hint("rebalance", F.col("project_id"), F.col("day")).sortWithinPartitions("project_id", "day", "ts", "log_id").write.mode("append").option("compression", "zstd").partitionBy("project_id", "day").parquet(path)
 
 
 def read_logs(spark, path: str) -> DataFrame:
