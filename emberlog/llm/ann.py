@@ -3,13 +3,19 @@
 Equal vectors are one node. The graph starts from exact neighbours inside small chunks of
 vectors that random projections put side by side; then, round by round, a node's
 neighbours and the nearest of those it is a neighbour of are compared with each other, and
-each keeps the nearest it meets (neighbours of neighbours, by Spark joins). Rounds end
-when few neighbour lists still change. A query starts at given nodes and follows the
-graph: its nearest unvisited candidates are expanded, their neighbours measured, the
-nearest kept, until a round finds nothing nearer for any query.
+each keeps the nearest it meets (neighbours of neighbours, by Spark joins). Only pairs with
+a neighbour that is new since the last round are compared. Nodes are dealt to blocks in
+order of a projection, and a round sends every vector once to each block that needs it,
+however many neighbourhoods of the block it is in. Rounds end when few neighbour lists
+still change.
+
+A query starts at the node of its own vector and follows the graph: its nearest unvisited
+candidates are expanded, their neighbours measured, the nearest kept, until no query has
+a candidate left that is not expanded. Equal queries are searched once.
 
 Nothing is collected: neighbour lists and beams have a fixed length, and vectors travel
-packed. Final scores are Euclidean distances in double precision on the given vectors.
+packed, centred and scaled as 32-bit floats. Final scores are Euclidean distances in
+double precision on the given vectors.
 """
 
 from __future__ import annotations
@@ -21,20 +27,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import checkpointed
+from emberlog.llm.common import checkpointed, skew_join, stored
 
-#: Neighbours of a node in the graph.
-DEGREE = 24
+#: Neighbours of a node in the graph, and of nodes it is a neighbour of those that take part.
+DEGREE, REVERSE = 24, 16
 #: Projection orders the graph starts from, and vectors compared in a chunk of one.
-ORDERS, CHUNK = 6, 400
+ORDERS, CHUNK = 4, 400
+#: Nodes of a block.
+BLOCK = 4_096
 #: Rounds of NN-descent, at most, and the share of changed entries that ends them.
-ROUNDS, SETTLED = 6, 0.02
+ROUNDS, SETTLED = 8, 0.02
 #: Nearest of a pair of neighbours sent on by each local join.
-OFFERS = 8
-#: Candidates a query keeps, candidates it expands in a round, and rounds at most.
-BEAM, EXPAND, HOPS = 300, 32, 16
+OFFERS = 10
+#: Candidates a query keeps, and candidates it expands in a round.
+BEAM, EXPAND = 160, 40
 
-_NEAR = "array<struct<d:float,id:long>>"
+_NEAR = "array<struct<d:double,id:long>>"
 
 
 def usable(vector: Column) -> Column:
@@ -43,12 +51,21 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _packed(vector: Column) -> Column:
-    """Little-endian 32-bit floats."""
+def _centre(rows: DataFrame, vector: str) -> tuple[np.ndarray, float]:
+    """The mean of the vectors and a scale that brings their components near 1: two numbers a component reach the driver."""
+    parts = rows.select(F.posexplode(vector).alias("pos", "x")).groupBy("pos").agg(F.max(F.abs("x")).alias("most"), F.count("*").alias("n"))
+    most = {r["pos"]: r["most"] for r in parts.collect()}
+    scale = max(most.values(), default=1.0)
+    means = rows.select(F.posexplode(vector).alias("pos", "x")).groupBy("pos").agg(F.avg(F.col("x") / F.lit(scale)).alias("mean")).collect()
+    return np.array([r["mean"] for r in sorted(means, key=lambda r: r["pos"])]), scale
+
+
+def _packed(vector: Column, mean: np.ndarray, scale: float) -> Column:
+    """Little-endian 32-bit floats of the centred and scaled vector."""
 
     @F.pandas_udf("binary")
     def pack(vectors: pd.Series) -> pd.Series:
-        return vectors.map(lambda v: np.asarray(v, "<f4").tobytes())
+        return vectors.map(lambda v: (np.asarray(v, float) / scale - mean).astype("<f4").tobytes())
 
     return pack(vector)
 
@@ -61,9 +78,9 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * (a @ b.T), 0)
 
 
-def _direct(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Squared distances of each row to its rows ``at``: the same bits for a pair wherever it is met, so that repeated entries of a list are equal."""
-    return np.square(x[:, None, :] - x[at]).sum(axis=2)
+def _direct(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of rows of ``x`` to rows of ``y``: the same bits for a pair wherever it is met, so that repeated entries of a list are equal."""
+    return np.square(x.astype(float) - y).sum(axis=-1)
 
 
 def _chunk_neighbours(degree: int, chunk: int):
@@ -74,7 +91,7 @@ def _chunk_neighbours(degree: int, chunk: int):
         np.fill_diagonal(d, np.inf)
         k = min(degree, len(ids) - 1)
         at = np.argpartition(d, k - 1, axis=1)[:, :k] if 0 < k < len(ids) - 1 else np.argsort(d, axis=1)[:, :k]
-        return pd.DataFrame({"id": ids, "near": [list(zip(a, b)) for a, b in zip(_direct(vectors, at).tolist(), ids[at].tolist())]})
+        return pd.DataFrame({"id": ids, "near": [list(zip(a, b)) for a, b in zip(_direct(vectors[:, None, :], vectors[at]).tolist(), ids[at].tolist())]})
 
     def run(batches):
         ids, vectors = np.empty(0, np.int64), []
@@ -115,6 +132,13 @@ def _project(seed: int, depth: int = 12) -> callable:
     return key
 
 
+def in_blocks(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``nodes(id, v)`` with the number of their ``block``: ranges of one projection order, so that neighbours often share one."""
+    parts = max(1, -(-nodes.count() // block))
+    ordered = nodes.withColumn("at", _project(0)(F.col("v"))).repartitionByRange(parts, "at", "id")
+    return stored(ordered.select("id", "v", F.spark_partition_id().alias("block")))
+
+
 def start_graph(nodes: DataFrame, degree: int = DEGREE, orders: int = ORDERS, chunk: int = CHUNK) -> DataFrame:
     """A first graph ``(id, near)`` of ``nodes(id, v)``."""
     # A partition holds two chunks at least, if there are as many vectors: none is left alone.
@@ -127,81 +151,101 @@ def start_graph(nodes: DataFrame, degree: int = DEGREE, orders: int = ORDERS, ch
     return checkpointed(_merged(lists, degree))
 
 
-def _local_join(offers: int):
-    """Compares the members of each neighbourhood with each other; each is offered the nearest it meets."""
-
-    def run(batches):
-        for pdf in batches:
-            ids_out, near_out = [], []
-            for ids, packed in zip(pdf["ids"], pdf["vs"]):
-                ids = np.asarray(ids, np.int64)
-                if len(ids) < 2:
-                    continue
-                x = _matrix(list(packed))
-                d = _squared(x, x)
-                np.fill_diagonal(d, np.inf)
-                k = min(offers, len(ids) - 1)
-                at = np.argpartition(d, k - 1, axis=1)[:, :k]
-                dist = _direct(x, at)
-                ids_out += ids.tolist()
-                near_out += [list(zip(a, b)) for a, b in zip(dist.tolist(), ids[at].tolist())]
-            yield pd.DataFrame({"id": pd.Series(ids_out, dtype="int64"), "near": pd.Series(near_out, dtype=object)})
+def _local_join(offers: int, degree: int):
+    """Compares the members of each neighbourhood of a block with each other; a member is offered the nearest it meets, if nearer than the last of its list."""
+
+    def run(hoods: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        vectors = vectors.sort_values("id")
+        ids, x, worst = vectors["id"].to_numpy(), _matrix(vectors["v"].tolist()), vectors["worst"].to_numpy()
+        # A neighbourhood's own node is one of its members; what it knows already is not new.
+        centers = hoods["center"].unique()
+        table = np.stack([np.concatenate([hoods["center"], centers]), np.searchsorted(ids, np.concatenate([hoods["id"], centers])), np.concatenate([hoods["fresh"].astype(int), np.zeros(len(centers), int)])])
+        table = table[:, np.lexsort((-table[2], table[1], table[0]))]
+        first = np.ones(table.shape[1], bool)
+        first[1:] = (table[:2, 1:] != table[:2, :-1]).any(axis=0)
+        table = table[:, first]
+        cuts = np.concatenate([[0], np.flatnonzero(table[0, 1:] != table[0, :-1]) + 1, [table.shape[1]]])
+        pairs = []
+        for a, b in zip(cuts, cuts[1:]):
+            at, fresh = table[1, a:b], table[2, a:b].astype(bool)
+            d = _squared(x[at], x[at])
+            d[~(fresh[:, None] | fresh)] = np.inf
+            np.fill_diagonal(d, np.inf)
+            k = min(offers, len(at) - 1)
+            near = np.argpartition(d, k - 1, axis=1)[:, :k] if k else np.empty((len(at), 0), int)
+            told = np.isfinite(np.take_along_axis(d, near, axis=1))
+            pairs.append((at[:, None] * len(ids) + at[near])[told])
+        pairs = np.unique(np.concatenate([*pairs, np.empty(0, np.int64)]))
+        one, other = pairs // len(ids), pairs % len(ids)
+        far = np.concatenate([_direct(x[one[i : i + 100_000]], x[other[i : i + 100_000]]) for i in range(0, len(one), 100_000)] or [np.empty(0)])
+        keep = far < worst[one]
+        one, other, far = one[keep], other[keep], far[keep]
+        order = np.lexsort((ids[other], far, one))
+        one, other, far = one[order], other[order], far[order]
+        starts = np.flatnonzero(np.concatenate([[True], one[1:] != one[:-1]])) if len(one) else np.empty(0, int)
+        place = np.arange(len(one)) - np.repeat(starts, np.diff([*starts, len(one)]))
+        keep = place < degree
+        return pd.DataFrame({"id": ids[one[keep]], "d": far[keep], "other": ids[other[keep]]})
 
     return run
 
 
-def _both_ways(graph: DataFrame) -> DataFrame:
-    """``(center, id)``: each node's neighbours, and as many of the nearest nodes it is a neighbour of."""
-    forward = graph.select(F.col("id").alias("center"), F.explode("near").alias("e")).select("center", F.col("e.id").alias("id"), F.col("e.d").alias("d"))
+def _edges(graph: DataFrame, reverse: int = REVERSE) -> DataFrame:
+    """``(center, id, fresh)``: each node's neighbours, and the nearest ``reverse`` nodes it is a neighbour of; ``graph(id, near, fresh)`` marks new neighbours."""
+    forward = graph.select(F.col("id").alias("center"), F.explode(F.arrays_zip("near", "fresh")).alias("e")).select("center", F.col("e.near.id").alias("id"), F.col("e.near.d").alias("d"), F.col("e.fresh").alias("fresh"))
     place = Window.partitionBy("center").orderBy("d", "id")
-    reverse = forward.select(F.col("id").alias("center"), F.col("center").alias("id"), "d").withColumn("r", F.row_number().over(place)).where(F.col("r") <= DEGREE)
-    return forward.select("center", "id").union(reverse.select("center", "id")).distinct()
+    backward = forward.select(F.col("id").alias("center"), F.col("center").alias("id"), "d", "fresh").withColumn("r", F.row_number().over(place)).where(F.col("r") <= reverse)
+    return forward.select("center", "id", "fresh").union(backward.select("center", "id", "fresh"))
 
 
 def descend(nodes: DataFrame, graph: DataFrame, degree: int = DEGREE, offers: int = OFFERS) -> DataFrame:
-    """One round of NN-descent: the graph with the nearest of what neighbours of neighbours offer."""
-    members = _both_ways(graph).union(graph.select(F.col("id").alias("center"), "id"))
-    gathered = members.join(nodes, "id").groupBy("center").agg(F.collect_list(F.struct("id", "v")).alias("m")).select(F.col("m.id").alias("ids"), F.col("m.v").alias("vs"))
-    offered = gathered.mapInPandas(_local_join(offers), f"id long, near {_NEAR}")
-    return checkpointed(_merged(offered.union(graph), degree))
+    """One round of NN-descent over ``nodes(id, v, block)`` and ``graph(id, near, fresh)``: the graph with the nearest of what neighbours of neighbours offer."""
+    edges = _edges(graph).withColumn("active", F.max("fresh").over(Window.partitionBy("center"))).where("active").drop("active")
+    hoods = checkpointed(edges.join(nodes.select(F.col("id").alias("center"), "block"), "center"))
+    needed = hoods.select(F.col("block").alias("to"), F.col("id").alias("id")).union(hoods.select("block", "center")).distinct()
+    worst = graph.select("id", F.when(F.size("near") < degree, F.lit(float("inf"))).otherwise(F.element_at("near", -1)["d"]).alias("worst"))
+    vectors = needed.join(nodes.select("id", "v").join(worst, "id", "left"), "id").select("to", "id", "v", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
+    offered = hoods.groupBy("block").cogroup(vectors.groupBy("to")).applyInPandas(_local_join(offers, degree), "id long, d double, other long")
+    lists = offered.groupBy("id").agg(F.collect_list(F.struct("d", F.col("other").alias("id"))).cast(_NEAR).alias("near")).union(graph.select("id", "near"))
+    merged = _merged(lists, degree)
+    old = graph.select("id", F.col("near.id").alias("before"))
+    fresh = F.transform("near", lambda e: ~F.array_contains(F.coalesce("before", F.array().cast("array<long>")), e["id"]))
+    return checkpointed(merged.join(old, "id", "left").select("id", "near", fresh.alias("fresh")))
 
 
 def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, settled: float = SETTLED) -> DataFrame:
-    """Neighbour graph ``(id, near)`` of ``nodes(id, v)``: distinct ids, packed vectors of one length."""
-    graph = start_graph(nodes, degree)
+    """Neighbour graph ``(id, near, fresh)`` of ``nodes(id, v)``: distinct ids, packed vectors of one length."""
+    nodes = in_blocks(nodes)
+    graph = start_graph(nodes.select("id", "v"), degree).withColumn("fresh", F.transform("near", lambda e: F.lit(True)))
     for _ in range(rounds):
-        new = descend(nodes, graph, degree)
-        old = graph.select("id", F.col("near.id").alias("before"))
-        changed, total = new.join(old, "id", "left").agg(F.sum(F.size(F.array_except("near.id", F.coalesce("before", F.array().cast("array<long>"))))), F.sum(F.size("near"))).head()
-        graph = new
+        graph = descend(nodes, graph, degree)
+        changed, total = graph.agg(F.sum(F.size(F.filter("fresh", lambda f: f))), F.sum(F.size("near"))).head()
         if not total or changed <= settled * total:
             break
     return graph
 
 
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = BEAM, expand: int = EXPAND, hops: int = HOPS) -> DataFrame:
-    """Greedy search: ``queries(query, q, id)``, a packed vector and a node to start at, to ``(query, near)`` with up to ``beam`` candidates, nearest first."""
+def search(nodes: DataFrame, graph: DataFrame, starts: DataFrame, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
+    """Greedy search from the nodes ``starts(id)``, for their own vectors: ``(query, near)`` with up to ``beam`` candidates each, nearest first."""
 
-    @F.pandas_udf("float")
+    @F.pandas_udf("double")
     def distance(q: pd.Series, v: pd.Series) -> pd.Series:
-        d = _matrix(q.tolist()) - _matrix(v.tolist()) if len(q) else np.empty((0, 1))
-        return pd.Series((d * d).sum(axis=1), dtype="float32")
-
-    entry = "array<struct<d:float,id:long,done:boolean>>"
-    edges = checkpointed(_both_ways(graph).groupBy("center").agg(F.collect_list("id").alias("next")).withColumnRenamed("center", "id"))
-    start = queries.join(nodes, "id").select("query", "q", F.array(F.struct(distance("q", "v").alias("d"), "id", F.lit(False).alias("done"))).cast(entry).alias("near"))
-    state = checkpointed(start)
-    for _ in range(hops):
+        return pd.Series(_direct(_matrix(q.tolist()), _matrix(v.tolist())) if len(q) else [], dtype=float)
+
+    entry = "array<struct<d:double,id:long,done:boolean>>"
+    edges = checkpointed(_edges(graph).groupBy("center").agg(F.collect_set("id").alias("next")).withColumnRenamed("center", "id"))
+    asked = checkpointed(starts.select(F.col("id").alias("query")).join(nodes.select(F.col("id").alias("query"), F.col("v").alias("q")), "query"))
+    state = checkpointed(asked.select("query", F.array(F.struct(F.lit(0.0).alias("d"), F.col("query").alias("id"), F.lit(False).alias("done"))).cast(entry).alias("near")))
+    while not state.where(F.exists("near", lambda e: ~e["done"])).isEmpty():
         marked = state.withColumn("now", F.slice(F.filter("near", lambda e: ~e["done"]), 1, expand))
-        found = marked.where(F.size("now") > 0).select("query", "q", F.col("near.id").alias("seen"), F.explode("now.id").alias("id")).join(edges, "id").select("query", "q", "seen", F.explode("next").alias("id"))
-        fresh = found.where(~F.array_contains("seen", F.col("id"))).select("query", "q", "id").dropDuplicates(["query", "id"])
-        measured = fresh.join(nodes, "id").select("query", F.struct(distance("q", "v").alias("d"), "id", F.lit(False).alias("done")).alias("e")).groupBy("query").agg(F.collect_list("e").alias("more"))
+        met = marked.select("query", F.explode("now.id").alias("id")).join(edges, "id").select("query", F.explode("next").alias("id")).distinct()
+        fresh = met.join(state.select("query", F.explode("near.id").alias("id")), ["query", "id"], "left_anti")
+        measured = fresh.join(nodes, "id").join(asked, "query").select("query", F.struct(distance("q", "v").alias("d"), "id", F.lit(False).alias("done")).alias("e")).groupBy("query").agg(F.collect_list("e").alias("more"))
         after = F.transform("near", lambda e: F.struct(e["d"].alias("d"), e["id"].alias("id"), (e["done"] | F.array_contains("now.id", e["id"])).alias("done")))
         union = F.slice(F.array_sort(F.concat(after, F.coalesce("more", F.array().cast(entry)))), 1, beam)
-        state = checkpointed(marked.join(measured, "query", "left").select("query", "q", union.alias("near")))
-        if state.where(F.exists("near", lambda e: ~e["done"])).isEmpty():
-            break
-    return state.select("query", "near")
+        # What falls out of a full beam is never measured again: it can't be nearer than the beam's last.
+        state = checkpointed(marked.join(measured, "query", "left").select("query", union.alias("near")))
+    return state
 
 
 def nearest(vectors: DataFrame, queries: Callable[[Column], Column], k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -209,26 +253,38 @@ def nearest(vectors: DataFrame, queries: Callable[[Column], Column], k: int = 10
 
     Nearest first, ties to the smaller id; ``score`` is the Euclidean distance in double
     precision. Rows with a null key, and vectors that are null, empty, zero, or hold a null
-    or non-finite component, take no part, nor do vectors whose length is not the most
-    common one (the longer among equals). Repeated ids with one vector count once; with other
-    vectors, only the first (smallest) vector of an id takes part.
+    or non-finite component, take no part. Vectors have a distance only to those of their own
+    length: every length is searched by itself. Repeated ids with one vector count once; with
+    other vectors, only the first (shortest, then smallest) vector of an id takes part. An
+    empty table gives no rows; other columns are not read.
     """
     rows = vectors.where(usable(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("x"))
-    common = rows.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).head()
-    rows = rows.where(F.size("x") == (common["n"] if common else 0)).groupBy("key").agg(F.min("x").alias("x"))
-    rows = checkpointed(rows.withColumn("v", _packed(F.col("x"))).withColumn("same", F.sha2(F.array_join(F.col("x").cast("array<string>"), " "), 256)))
+    rows = rows.groupBy("key").agg(F.min(F.struct(F.size("x").alias("n"), "x")).alias("r")).select("key", "r.n", "r.x")
+    rows = stored(rows.withColumn("same", F.sha2(F.array_join(F.col("x").cast("array<string>"), " "), 256)))
+    lengths = [r["n"] for r in rows.where(queries(F.col("key"))).select("n").distinct().orderBy("n").collect()]
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for n in lengths:
+        out = out.unionByName(_nearest(rows.where(F.col("n") == n), queries, k))
+    return out
+
+
+def _nearest(rows: DataFrame, queries: Callable[[Column], Column], k: int) -> DataFrame:
+    """:func:`nearest` among ``rows(key, x, same)`` of one length."""
     # Of equal vectors only the k + 1 smallest ids can be in a result: a query's own, and k before any other tie.
     place = Window.partitionBy("same").orderBy("key")
     alike = checkpointed(rows.select("same", "key").withColumn("r", F.row_number().over(place)).where(F.col("r") <= k + 1))
+    mean, scale = _centre(rows, "x")
     first = rows.join(alike.where("r = 1").select("key"), "key", "left_semi")
-    nodes = checkpointed(first.select(F.col("key").alias("id"), "v", "x", "same"))
+    nodes = stored(first.select(F.col("key").alias("id"), _packed(F.col("x"), mean, scale).alias("v"), "x", "same"))
     graph = build_graph(nodes.select("id", "v"))
-    asked = rows.where(queries(F.col("key"))).join(nodes.select("same", "id"), "same").select(F.col("key").alias("query"), F.col("v").alias("q"), "id", "x")
-    found = search(nodes.select("id", "v"), graph, asked.select("query", "q", "id"))
-    pairs = found.select("query", F.explode("near").alias("e")).select("query", F.col("e.id").alias("id"))
-    members = nodes.select("id", "same", F.col("x").alias("y")).join(alike.select("same", F.col("key").alias("vec_id")), "same").drop("same")
+    asked = checkpointed(skew_join(checkpointed(rows.where(queries(F.col("key"))).select("same", F.col("key").alias("query"))), nodes.select("same", "id"), ["same"]).select("query", "id"))
+    found = search(nodes.select("id", "v"), graph, asked.select("id").distinct())
+    # A node's k + 1 best; a query takes those that are not itself.
+    pairs = found.select("query", F.explode("near.id").alias("id"))
     exact = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d))
-    scored = pairs.join(members, "id").where("vec_id <> query").join(asked.select("query", "x"), "query").select("query", "vec_id", exact.alias("score"))
-    best = Window.partitionBy("query").orderBy("score", "vec_id")
-    ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    scored = pairs.join(nodes.select("id", "same", F.col("x").alias("y")), "id").join(nodes.select(F.col("id").alias("query"), "x"), "query").select(F.col("query").alias("id"), "same", exact.alias("score"))
+    members = scored.join(alike.select("same", F.col("key").alias("vec_id")), "same")
+    by_node = Window.partitionBy("id").orderBy("score", "vec_id")
+    best = members.withColumn("r", F.row_number().over(by_node)).where(F.col("r") <= k + 1).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("best"))
+    taken = skew_join(asked, best, ["id"]).select("query", F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query")), 1, k).alias("best"))
+    return taken.select(F.col("query").alias("query_id"), F.posexplode("best").alias("rank", "b")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "b.vec_id", "b.score")

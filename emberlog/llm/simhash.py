@@ -9,9 +9,11 @@ link. A task gets the tiles of two blocks, and sends on only a spanning forest o
 links it finds, so a group of k near-copies costs k rows and not k squared.
 
 For groups by shingle similarity (:func:`one_of_each_group`) links of a wide radius are
-only candidates: fingerprints close enough to be sure of are contracted to a forest, the
-others are kept for the nearest pairs between what isn't connected so, and each candidate
-link is then verified by the exact Jaccard similarity of the two shingle sets.
+only candidates. Their shortest spanning forest is verified by the exact Jaccard
+similarity of the two shingle sets. Where a link fails, the candidates between the groups
+that are verified so far are looked at again, nearest first and more of them each round,
+until none is left that was not verified: a large group of near-copies is settled by its
+forest, and only pairs of groups that look alike and aren't cost more.
 """
 
 from __future__ import annotations
@@ -37,8 +39,8 @@ BLOCK = 262_144
 MIN_BLOCKS = 8
 #: Links a task gathers before it contracts them.
 PENDING = 2_000_000
-#: Unsure links kept between two groups of sure ones, in one task: the nearest.
-BETWEEN = 8
+#: Candidates between two groups, in one task, that the first round looks at again, and by how much each further round raises them.
+BETWEEN, MORE = 4, 8
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 
@@ -141,14 +143,18 @@ def _tile_order(fp: Column, words: int) -> Column:
 def _pack(size: int):
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A block (one range of the order) as tiles."""
-        block, rest, tile = TaskContext.get().partitionId(), [], 0
+        block, fps, roots, tile = TaskContext.get().partitionId(), [], [], 0
+
+        def row(n: int) -> pd.DataFrame:
+            return pd.DataFrame({"block": [block], "tile": [tile], "fps": [b"".join(fps[:n])], "roots": [b"".join(roots[:n])], "n": [n]})
+
         for pdf in batches:
-            rest += pdf["fp"].tolist()
-            while len(rest) >= size:
-                yield pd.DataFrame({"block": [block], "tile": [tile], "fps": [b"".join(rest[:size])], "n": [size]})
-                rest, tile = rest[size:], tile + 1
-        if rest:
-            yield pd.DataFrame({"block": [block], "tile": [tile], "fps": [b"".join(rest)], "n": [len(rest)]})
+            fps, roots = fps + pdf["fp"].tolist(), roots + pdf["root"].tolist()
+            while len(fps) >= size:
+                yield row(size)
+                fps, roots, tile = fps[size:], roots[size:], tile + 1
+        if fps:
+            yield row(len(fps))
 
     return pack
 
@@ -196,23 +202,23 @@ def _close(a: np.ndarray, b: np.ndarray, radius: int, xor: np.ndarray, ones: np.
     return *at, far[at]
 
 
-def _nearest_between(parent: np.ndarray, u: np.ndarray, v: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of unsure links those between different groups, of each two groups the ``BETWEEN`` nearest."""
+def _nearest_between(parent: np.ndarray, u: np.ndarray, v: np.ndarray, far: np.ndarray, between: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of links those between different groups, of each two groups the ``between`` nearest."""
     a, b = parent[u], parent[v]
     low, high = np.minimum(a, b), np.maximum(a, b)
-    order = np.lexsort((far, high, low))
+    order = np.lexsort((v, u, far, high, low))
     order = order[low[order] != high[order]]
     low, high = low[order], high[order]
     first = np.ones(len(order), bool)
     first[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
     place = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-    order = order[place < BETWEEN]
+    order = order[place < between]
     return u[order], v[order], far[order]
 
 
-def _compare(radius: int, tile: int, words: int, sure: int):
+def _compare(radius: int, tile: int, words: int, between: int):
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The links between two blocks (or within one): a spanning forest of the sure ones, and the nearest others between its trees."""
+        """The links between two blocks (or within one): a shortest spanning forest, or the ``between`` nearest of every two groups."""
         pdf = pdf.sort_values(["block", "tile"])
         width = len(pdf["fps"].iloc[0]) // int(pdf["n"].iloc[0])
         packed = b"".join(pdf["fps"])
@@ -224,17 +230,24 @@ def _compare(radius: int, tile: int, words: int, sure: int):
         blocks = pdf["block"].to_numpy()
         same = len(set(blocks)) == 1
         parent = np.arange(len(fps))
+        if between:
+            _, first, group = np.unique(np.frombuffer(b"".join(pdf["roots"]), f"V{width}"), return_index=True, return_inverse=True)
+            parent = first[group]
         xor, ones = np.empty((tile, tile), np.uint64), np.empty((tile, tile), np.uint8)
-        held, pending, trees = [], 0, []
+        held, pending, kept, cut_off = [], 0, [], False
         lows, highs = np.array([t[2] for t in tiles]), np.array([t[3] for t in tiles])
         low, high = np.array(sums).T
         order = np.arange(len(tiles))
 
         def settle() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            nonlocal cut_off
             u, v, far = (np.concatenate(x) for x in zip(*held))
-            near = far <= sure
-            trees.append(_forest(parent, u[near], v[near], far[near]))
-            return [_nearest_between(parent, u[~near], v[~near], far[~near])]
+            if between:
+                near = _nearest_between(parent, u, v, far, between)
+                cut_off = cut_off or len(near[0]) < (parent[u] != parent[v]).sum()
+                return [near]
+            kept.append(_forest(parent, u, v, far))
+            return []
 
         for i, (a, b, least, most) in enumerate(tiles):
             others = order >= i if same else (blocks != blocks[i]) & (blocks[i] == blocks[0])
@@ -248,31 +261,34 @@ def _compare(radius: int, tile: int, words: int, sure: int):
                     held.append((x[keep] + a, y[keep] + c, far[keep]))
                     pending += len(held[-1][0])
                 if pending > PENDING:
-                    held, pending = settle(), 0
-        rest = settle()[0] if held else (np.empty(0, np.int64),) * 3
-        us, vs = (np.concatenate([*(t[k] for t in trees), rest[k]]) for k in (0, 1))
+                    held = settle()
+                    pending = sum(len(h[0]) for h in held) // 2  # what stays doesn't count in full: it grows with the groups
+        kept += settle() if held else []
+        us, vs = (np.concatenate([*(k[end] for k in kept), np.empty(0, np.int64)]) for end in (0, 1))
         cut = lambda i: packed[i * width : (i + 1) * width]
-        return pd.DataFrame({"u": [cut(i) for i in us], "v": [cut(i) for i in vs]}, columns=["u", "v"])
+        return pd.DataFrame({"u": [cut(i) for i in us], "v": [cut(i) for i in vs], "more": bool(cut_off)}, columns=["u", "v", "more"])
 
     return compare
 
 
-def fingerprint_links(fps: DataFrame, radius: int, tile: int = TILE, words: int = 1, sure: int | None = None) -> DataFrame:
-    """Distinct fingerprints ``fp`` of 64 * ``words`` bits (more bytes only name them) to links ``(u, v)``.
+def fingerprint_links(fps: DataFrame, radius: int, tile: int = TILE, words: int = 1, between: int = 0) -> DataFrame:
+    """Distinct fingerprints ``fp`` of 64 * ``words`` bits (more bytes only name them) to links ``(u, v, more)`` within ``radius`` bits.
 
-    Links of ``sure`` bits or fewer (default: the radius) connect all that lie so near each
-    other, directly or by steps; of longer ones, up to the radius, the nearest between
-    fingerprints that a task doesn't find connected so are there as well.
+    By default the links connect all that lie so near each other, directly or by steps: a
+    shortest spanning forest of what each task sees. With ``between``, ``fps(fp, root)`` belong
+    to groups, and the links are the nearest so many of each two groups, in each task; ``more``
+    says that the task left others out.
     """
     n = fps.count()
     blocks = max(MIN_BLOCKS, -(-n // BLOCK))
-    ordered = fps.select("fp", _tile_order(F.col("fp"), words).alias("at")).repartitionByRange(blocks, "at", "fp").sortWithinPartitions("at", "fp")
-    tiles = checkpointed(ordered.select("fp").mapInPandas(_pack(tile), "block int, tile int, fps binary, n int"))
+    root = F.col("root") if between else F.lit(b"")
+    ordered = fps.select("fp", root.alias("root"), _tile_order(F.col("fp"), words).alias("at")).repartitionByRange(blocks, "at", "fp").sortWithinPartitions("at", "fp")
+    tiles = checkpointed(ordered.select("fp", "root").mapInPandas(_pack(tile), "block int, tile int, fps binary, roots binary, n int"))
     found = sorted(r["block"] for r in tiles.select("block").distinct().collect())  # one number a block
     pairs = fps.sparkSession.createDataFrame([(a, min(a, b), max(a, b)) for a in found for b in found], "block int, lo int, hi int")
     met = tiles.join(F.broadcast(pairs), "block")
     compared = met.repartition(max(1, len(found) * (len(found) + 1) // 2), "lo", "hi").groupBy("lo", "hi")
-    return compared.applyInPandas(_compare(radius, tile, words, radius if sure is None else sure), "u binary, v binary")
+    return compared.applyInPandas(_compare(radius, tile, words, between), "u binary, v binary, more boolean")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, words: int = 1, radius: int = 4) -> DataFrame:
@@ -307,30 +323,58 @@ def _shingles(text: Column, size: int) -> Column:
     return of(text.cast("string"))
 
 
+def _ordered(links: DataFrame) -> DataFrame:
+    return links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``links`` whose ``sets(fp, s)`` have the Jaccard similarity."""
+    one, other = sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), sets.select(F.col("fp").alias("v"), F.col("s").alias("b"))
+    both = skew_join(checkpointed(skew_join(links, one, ["u"])), other, ["v"])
+    shared = F.size(F.array_intersect("a", "b"))
+    return checkpointed(both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v"))
+
+
 def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, words: int = 4, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near-duplicates, all columns: that of the smallest key (null last), of rows with that key the one with the smallest hash of its text.
 
     A group is what links of a Jaccard similarity of ``similarity`` or more between the
     distinct ``size``-word shingles of whole texts connect. Texts of fewer words are one
     shingle; null, empty and wordless texts are one group. Candidates differ in as many
-    fingerprint bits as that similarity makes likely, and four standard deviations more;
-    every link is verified on the shingles themselves. Equal rows are one group like any
+    fingerprint bits as that similarity makes likely, or up to four standard deviations more;
+    every link that is used is verified on the shingles themselves. Equal rows are one group like any
     copies; an empty table gives no rows. Columns may have any names.
     """
     node = _node(F.col(text), size, words)
     prints = stored(docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("hash"), node.alias("fp")))
     distinct = checkpointed(prints.groupBy("fp").agg(F.min(F.struct(F.col("key").isNull().alias("unnamed"), "key", "hash")).alias("row")))
-    bits = 64 * words
-    links = checkpointed(fingerprint_links(distinct.select("fp"), radius_for(similarity, bits, 4.0), words=words, sure=radius_for(similarity, bits, -2.5)).distinct())
-    # The shingles of one row of each linked node; links are few, and each end is met by its fingerprint.
+    radius = radius_for(similarity, 64 * words, 4.0)
+    links = checkpointed(_ordered(fingerprint_links(distinct.select("fp"), radius, words=words)))
+    # The shingles of one row of each linked node, whichever of its links are looked at.
     ends = links.select(F.col("u").alias("fp")).union(links.select(F.col("v").alias("fp"))).distinct()
     wanted = distinct.join(ends, "fp", "left_semi").select("fp", F.col("row.key").alias("__key"), F.col("row.hash").alias("__hash"))
     texts = docs.select(F.col(key).alias("__k"), F.xxhash64(F.col(text)).alias("__hash"), F.col(text).alias("__text"))
     met = texts.join(wanted, (F.col("__k").eqNullSafe(F.col("__key"))) & (texts["__hash"] == wanted["__hash"])).select("fp", "__text").dropDuplicates(["fp"])
     sets = stored(met.select("fp", _shingles(F.col("__text"), size).alias("s")))
-    both = skew_join(skew_join(links, sets.select(F.col("fp").alias("v"), F.col("s").alias("b")), ["v"]), sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), ["u"])
-    shared = F.size(F.array_intersect("a", "b"))
-    verified = both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v")
+    verified = _verified(links, sets, similarity)
+    between = BETWEEN
+    # Groups of candidates in which a link failed: there, other links may hold.
+    failed = links.join(verified, ["u", "v"], "left_anti")
+    named = connected_components(links)
+    open_ = checkpointed(named.join(failed.select(F.col("u").alias("node")).distinct(), "node").select("component").distinct())
+    active = checkpointed(named.join(open_, "component", "left_semi").select(F.col("node").alias("fp")))
+    while not active.isEmpty():
+        groups = connected_components(verified.join(active.withColumnRenamed("fp", "u"), "u", "left_semi")).withColumnRenamed("node", "fp")
+        rooted = checkpointed(active.join(groups, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root")))
+        looked_at = checkpointed(fingerprint_links(rooted, radius, words=words, between=between))
+        near = checkpointed(_ordered(looked_at).join(links, ["u", "v"], "left_anti"))
+        between *= MORE
+        if near.isEmpty():
+            if looked_at.where("more").isEmpty():
+                break
+            continue
+        links = checkpointed(links.union(near))
+        verified = checkpointed(verified.union(_verified(near, sets, similarity)))
     picked = checkpointed(_rooted(distinct, verified).groupBy("root").agg(F.min("row").alias("row")))
     chosen = picked.select(F.col("row.key").alias("__key"), F.col("row.hash").alias("__hash"), F.col("root").alias("__root"))
     found = docs.join(chosen, F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(F.col(text)) == F.col("__hash")))
