@@ -67,14 +67,15 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
 
     Rows of hot keys are dealt to ``SALTS`` tasks, each of which gets those keys' rows of
     ``right``. Only the hot keys, of which there are fewer than 1 / ``HOT_SHARE``, pass through
-    the driver. ``left`` is read twice and should be kept (a table or a checkpoint). ``how`` is
+    the driver. ``left`` is read twice or more and should be kept (a table or a checkpoint). ``how`` is
     inner or left.
     """
-    sizes = left.groupBy(*on).agg(F.count("*").alias("__n"))
-    least = max(HOT_ROWS, int(left.count() * HOT_SHARE))
-    hot = sizes.where(F.col("__n") > least).select(*on).dropna().collect()
-    if not hot:
+    sizes = left.groupBy(*on).agg(F.count("*").alias("__n")).dropna(subset=on)
+    total, most = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.coalesce(F.max("__n"), F.lit(0))).head()
+    least = max(HOT_ROWS, int(total * HOT_SHARE))
+    if most <= least:
         return left.join(right, on, how)
+    hot = sizes.where(F.col("__n") > least).select(*on).collect()
     flags = F.broadcast(left.sparkSession.createDataFrame(hot, sizes.select(*on).schema).withColumn("__hot", F.lit(True)))
     salt = F.when(F.col("__hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
     salted = left.join(flags, on, "left").withColumn("__salt", salt).drop("__hot")

@@ -40,7 +40,7 @@ MIN_BLOCKS = 8
 #: Links a task gathers before it contracts them.
 PENDING = 2_000_000
 #: Candidates between two groups, in one task, that the first round looks at again, and by how much each further round raises them.
-BETWEEN, MORE = 4, 8
+BETWEEN, MORE = 32, 32
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 
@@ -357,25 +357,28 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text",
     met = texts.join(wanted, (F.col("__k").eqNullSafe(F.col("__key"))) & (texts["__hash"] == wanted["__hash"])).select("fp", "__text").dropDuplicates(["fp"])
     sets = stored(met.select("fp", _shingles(F.col("__text"), size).alias("s")))
     verified = _verified(links, sets, similarity)
-    between = BETWEEN
-    # Groups of candidates in which a link failed: there, other links may hold.
+    named = checkpointed(_rooted(distinct, verified))
+    # Groups with a link that failed: between these, other candidates may hold. The forest joins all candidates, so every group that is left out of one is the end of such a link.
     failed = links.join(verified, ["u", "v"], "left_anti")
-    named = connected_components(links)
-    open_ = checkpointed(named.join(failed.select(F.col("u").alias("node")).distinct(), "node").select("component").distinct())
-    active = checkpointed(named.join(open_, "component", "left_semi").select(F.col("node").alias("fp")))
+    ends = failed.select(F.col("u").alias("fp")).union(failed.select(F.col("v").alias("fp")))
+    open_ = named.join(ends.distinct(), "fp", "left_semi").select("root").distinct()
+    active = checkpointed(named.join(open_, "root", "left_semi").select("fp", "root", F.col("root").alias("was")))
+    between = BETWEEN
     while not active.isEmpty():
-        groups = connected_components(verified.join(active.withColumnRenamed("fp", "u"), "u", "left_semi")).withColumnRenamed("node", "fp")
-        rooted = checkpointed(active.join(groups, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root")))
-        looked_at = checkpointed(fingerprint_links(rooted, radius, words=words, between=between))
+        looked_at = checkpointed(fingerprint_links(active, radius, words=words, between=between))
         near = checkpointed(_ordered(looked_at).join(links, ["u", "v"], "left_anti"))
         between *= MORE
-        if near.isEmpty():
-            if looked_at.where("more").isEmpty():
-                break
-            continue
+        held = _verified(near, sets, similarity)
+        if not held.isEmpty():
+            root = active.select("fp", "root")
+            edges = held.join(root.toDF("u", "a"), "u").join(root.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+            moved = connected_components(edges).toDF("root", "to")
+            active = checkpointed(active.join(moved, "root", "left").select("fp", F.coalesce("to", "root").alias("root"), "was"))
+        if looked_at.where("more").isEmpty():
+            break
         links = checkpointed(links.union(near))
-        verified = checkpointed(verified.union(_verified(near, sets, similarity)))
-    picked = checkpointed(_rooted(distinct, verified).groupBy("root").agg(F.min("row").alias("row")))
+    joined = active.where("root <> was").groupBy(F.col("was").alias("root")).agg(F.first("root").alias("to"))
+    picked = checkpointed(named.join(joined, "root", "left").groupBy(F.coalesce("to", "root").alias("root")).agg(F.min("row").alias("row")))
     chosen = picked.select(F.col("row.key").alias("__key"), F.col("row.hash").alias("__hash"), F.col("root").alias("__root"))
     found = docs.join(chosen, F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(F.col(text)) == F.col("__hash")))
     return found.dropDuplicates(["__root"]).select(*docs.columns)
