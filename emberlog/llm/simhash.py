@@ -38,7 +38,7 @@ BLOCK = 262_144
 #: At least so many blocks, for parallel work on small inputs.
 MIN_BLOCKS = 8
 #: Links a task gathers before it contracts them.
-PENDING = 2_000_000
+PENDING = 400_000
 #: Candidates between two groups, in one task, that the first round looks at again, and by how much each further round raises them.
 BETWEEN, MORE = 32, 32
 
