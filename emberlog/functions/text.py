@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,8 +57,10 @@ def truncated(col: Column, n: int) -> Column:
     return F.when(F.length(col) > n, F.concat(F.substring(col, 1, n), F.lit("… ["), F.length(col).cast("string"), F.lit(" chars]"))).otherwise(col)
 
 
-def attr(attrs: Column, key: str) -> Column:
-    """An attribute's value, empty if absent."""
+def attr(attrs: Column | Mapping[str, Column], key: str) -> Column:
+    """An attribute's value, empty if absent; of a map column, or of columns that hold single attributes."""
+    if isinstance(attrs, Mapping):
+        return attrs[key]
     return F.coalesce(F.try_element_at(attrs, F.lit(key)), F.lit(""))
 
 
@@ -85,9 +89,13 @@ def title(body: Column, attrs: Column | None = None) -> Column:
 
 def fingerprint(project_id: Column, severity: Column, body: Column, attrs: Column | None = None, key: str = FINGERPRINT_KEY) -> Column:
     """16 hexadecimal digits that group events: by the override attribute, else exception type and message, else severity and first line; project by project."""
-    material = F.concat(severity_name(severity), F.lit("|"), normalize_message(first_line(body)))
+    label, line = severity_name(severity), first_line(body)
+    if attrs is not None:
+        # One of the two texts is brought to normal form, so that the patterns are in the plan once.
+        kind = attr(attrs, "exception.type")
+        label, line = F.when(kind != "", kind).otherwise(label), F.when(kind != "", attr(attrs, "exception.message")).otherwise(line)
+    material = F.concat(label, F.lit("|"), normalize_message(line))
     if attrs is not None:
-        kind, own = attr(attrs, "exception.type"), attr(attrs, key)
-        thrown = F.concat(kind, F.lit("|"), normalize_message(attr(attrs, "exception.message")))
-        material = F.when(own != "", own).when(kind != "", thrown).otherwise(material)
+        own = attr(attrs, key)
+        material = F.when(own != "", own).otherwise(material)
     return F.substring(F.sha2(F.concat(project_id.cast("string"), F.lit("|"), material), 256), 1, 16)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -35,40 +36,48 @@ def threshold_counts(matches: DataFrame) -> DataFrame:
     """Threshold matches with ``event_count``: the matching events up to it whose minute is among the rule's window of minutes that ends with the event's.
 
     Events are taken in order of their time, which is that of arrival unless they are late.
+    They are counted by minute first, so a window runs over minutes and only the events of
+    one minute are put in order: a rule that matches a third of all events is no one task's.
     """
     minute = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 60)
     hits = matches.where("rule_kind = 'threshold'").withColumn("__minute", minute)
-    widths = sorted(r["rule_window"] for r in hits.select("rule_window").distinct().collect())
-    counted = F.lit(None).cast("long")
+    minutes = hits.groupBy("rule_id", "rule_window", "__minute").agg(F.count("*").alias("__n"))
+    widths = sorted(r["rule_window"] for r in minutes.select("rule_window").distinct().collect())
+    before = F.lit(0).cast("long")
     for width in widths:
         frame = Window.partitionBy("rule_id").orderBy("__minute").rangeBetween(-(width - 1), -1)
-        here = Window.partitionBy("rule_id", "__minute").orderBy("log_id")
-        value = F.coalesce(F.count("*").over(frame), F.lit(0)) + F.row_number().over(here)
-        counted = F.when(F.col("rule_window") == width, value).otherwise(counted)
-    return hits.withColumn("event_count", counted).drop("__minute")
-
-
-def _greedy(times, cooldown, last):
-    """The positions in ``times`` that fire: each at least a cooldown after the fire before it."""
-    start = F.struct(last.alias("last"), F.array().cast("array<long>").alias("fired"))
-
-    def step(state, item):
-        due = state["last"].isNull() | ((item["us"] - state["last"]) >= cooldown * 1_000_000)
-        return F.when(due, F.struct(item["us"].alias("last"), F.array_append(state["fired"], item["log_id"]).alias("fired"))).otherwise(state)
-
-    return F.aggregate(times, start, step, lambda s: s["fired"])
+        before = F.when(F.col("rule_window") == width, F.coalesce(F.sum("__n").over(frame), F.lit(0))).otherwise(before)
+    earlier = minutes.select("rule_id", "__minute", before.alias("__before"))
+    here = Window.partitionBy("rule_id", "__minute").orderBy("log_id")
+    counted = hits.withColumn("__rank", F.row_number().over(here)).join(earlier, ["rule_id", "__minute"])
+    return counted.withColumn("event_count", F.col("__before") + F.col("__rank")).select(*matches.columns, "event_count")
+
+
+def _greedy(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of sorted candidates those that fire: each at least a cooldown after its rule's fire before it."""
+    rule, last = None, None
+    for pdf in pdfs:
+        fired = []
+        for r in pdf.itertuples():
+            if r.rule_id != rule:
+                rule, last = r.rule_id, None if pd.isna(r.last) else int(r.last)
+            due = last is None or int(r.us) - last >= int(r.cooldown) * 1_000_000
+            last = int(r.us) if due else last
+            fired.append(due)
+        yield pdf.loc[fired, ["rule_id", "log_id"]]
 
 
 def apply_cooldown(candidates: DataFrame) -> DataFrame:
     """The candidates that fire: in arrival order, each a cooldown or more after the rule's last fire (stored or new).
 
-    The fold over a rule's candidates sees 16 bytes of each; rules without a cooldown skip it.
+    A rule's candidates pass through one task as a stream of small rows that are sorted on
+    disk where need be, and hold no memory; rules without a cooldown skip it.
     """
     free = candidates.where("rule_cooldown <= 0")
     bound = candidates.where("rule_cooldown > 0")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    pairs = bound.groupBy("rule_id").agg(F.array_sort(F.collect_list(F.struct("log_id", us.alias("us")))).alias("t"), F.first("rule_cooldown").alias("c"), F.first(F.unix_micros(F.col("rule_last_fired").cast("timestamp"))).alias("l"))
-    fired = pairs.select("rule_id", F.explode(_greedy(F.col("t"), F.col("c").cast("long"), F.col("l"))).alias("log_id"))
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    rows = bound.select("rule_id", "log_id", us("ts").alias("us"), F.col("rule_cooldown").cast("long").alias("cooldown"), us("rule_last_fired").alias("last"))
+    fired = rows.repartition("rule_id").sortWithinPartitions("rule_id", "log_id").mapInPandas(_greedy, "rule_id long, log_id long")
     return free.unionByName(bound.join(fired, ["rule_id", "log_id"], "left_semi"))
 
 

@@ -15,6 +15,8 @@ from emberlog.schema import STATUSES
 
 KEY = ("project_id", "fingerprint")
 SAMPLES = 50
+#: Rows of two numbers that are broadcast, at most.
+MAX_FLAGS = 500_000
 
 
 def issue_groups(events: DataFrame) -> DataFrame:
@@ -36,24 +38,31 @@ def build_issues(events: DataFrame, actions: DataFrame | None = None) -> DataFra
     return groups.join(last, list(KEY), "left").withColumn("status", status).drop("action", "at", "first_id", "last_id")
 
 
+def _narrow(flags: DataFrame) -> DataFrame:
+    """``flags``, to be broadcast if they are few."""
+    return F.broadcast(flags) if flags.limit(MAX_FLAGS + 1).count() <= MAX_FLAGS else flags
+
+
 def issue_outcomes(events: DataFrame, actions: DataFrame | None = None) -> DataFrame:
     """Events with ``is_new`` (the first of its issue) and ``is_reopened`` (its issue was resolved just before it).
 
-    One window a issue: a running maximum over events and actions in order, sorted on disk
-    if an issue has very many events.
+    Both flags are sets of log ids, found by aggregation with partial sums; events are joined
+    with them by id, never by issue, so an issue that most events belong to is no one task's.
     """
     events = events.where("is_event") if "is_event" in events.columns else events
     first = events.groupBy(*KEY).agg(F.min("log_id").alias("__first"))
-    events = events.join(first, list(KEY)).withColumn("is_new", F.col("log_id") == F.col("__first"))
-    if actions is None:
-        return events.withColumn("is_reopened", F.lit(False)).drop("__first")
-    # Only issues with a resolving action need their order; in those, the event after it that comes first.
-    resolved = actions.where(F.col("status").isin(*STATUSES)).select(*KEY, "status", F.col("seq").alias("__seq"))
-    next_ = Window.partitionBy(*KEY).orderBy("__seq")
-    spans = resolved.withColumn("__until", F.lead("__seq").over(next_)).where("status = 'resolved'").drop("status")
-    hits = events.select(*KEY, "log_id", "__first").join(spans, list(KEY)).where("__seq >= __first and log_id > __seq and (__until is null or log_id <= __until)")
-    reopened = hits.groupBy(*KEY, "__seq").agg(F.min("log_id").alias("log_id")).select("log_id").distinct().withColumn("__reopened", F.lit(True))
-    return events.join(reopened, "log_id", "left").withColumn("is_reopened", F.coalesce("__reopened", F.lit(False))).drop("__first", "__reopened")
+    flags = first.select(F.col("__first").alias("log_id"), F.lit(True).alias("__new"), F.lit(False).alias("__back"))
+    if actions is not None:
+        # A resolving action holds until the next action; the first event in between reopens the issue.
+        resolved = actions.where(F.col("status").isin(*STATUSES)).select(*KEY, "status", F.col("seq").alias("__seq"))
+        next_ = Window.partitionBy(*KEY).orderBy("__seq")
+        spans = resolved.withColumn("__until", F.lead("__seq").over(next_)).where("status = 'resolved'").drop("status")
+        spans = spans.join(first, list(KEY)).where("__seq >= __first").drop("__first")
+        hits = events.select(*KEY, "log_id").join(_narrow(spans), list(KEY)).where("log_id > __seq and (__until is null or log_id <= __until)")
+        back = hits.groupBy(*KEY, "__seq").agg(F.min("log_id").alias("log_id")).select("log_id", F.lit(False).alias("__new"), F.lit(True).alias("__back"))
+        flags = flags.unionByName(back).groupBy("log_id").agg(F.max("__new").alias("__new"), F.max("__back").alias("__back"))
+    flagged = events.join(_narrow(flags), "log_id", "left")
+    return flagged.withColumns({"is_new": F.coalesce("__new", F.lit(False)), "is_reopened": F.coalesce("__back", F.lit(False))}).select(*events.columns, "is_new", "is_reopened")
 
 
 def set_issue_status(actions: DataFrame, project_id: int, fingerprint: str, status: str, seq: int) -> DataFrame:

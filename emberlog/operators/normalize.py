@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.severity import FATAL, INFO
-from emberlog.functions.text import FINGERPRINT_KEY, PANIC, ansi_red, fingerprint, is_event, strip_ansi, title
+from emberlog.functions.text import EXCEPTION_KEYS, FINGERPRINT_KEY, PANIC, ansi_red, attr, fingerprint, is_event, strip_ansi, title
 from emberlog.operators.bodies import parse_bodies
 from emberlog.operators.rules import apply_noise_rules, apply_severity_rules
 
@@ -26,11 +26,15 @@ def detect_panic_severity(logs: DataFrame) -> DataFrame:
 
 def annotate_events(logs: DataFrame, key: str = FINGERPRINT_KEY) -> DataFrame:
     """Adds ``is_event``, and for events ``fingerprint`` and ``title`` (empty for other records)."""
-    attrs = F.col("attrs") if "attrs" in logs.columns else None
-    event = is_event(F.col("severity"), attrs)
+    columns, attrs = logs.columns, None
+    if "attrs" in columns:
+        # Each attribute is taken out of the map once.
+        attrs = {name: F.col(f"__attr{i}") for i, name in enumerate((*EXCEPTION_KEYS, key))}
+        logs = logs.withColumns({f"__attr{i}": attr(F.col("attrs"), name) for i, name in enumerate(attrs)})
     of = lambda value: F.when(F.col("is_event"), value).otherwise(F.lit(""))
-    logs = logs.withColumn("is_event", event)
-    return logs.withColumns({"fingerprint": of(fingerprint(F.col("project_id"), F.col("severity"), F.col("body"), attrs, key)), "title": of(title(F.col("body"), attrs))})
+    logs = logs.withColumn("is_event", is_event(F.col("severity"), attrs))
+    found = {"fingerprint": of(fingerprint(F.col("project_id"), F.col("severity"), F.col("body"), attrs, key)), "title": of(title(F.col("body"), attrs))}
+    return logs.withColumns(found).select(*(c for c in columns if c not in ("is_event", *found)), "is_event", *found)
 
 
 def normalize(logs: DataFrame, projects: DataFrame | None = None, severity_rules: DataFrame | None = None, noise_rules: DataFrame | None = None, key: str = FINGERPRINT_KEY) -> DataFrame:

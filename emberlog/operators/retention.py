@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions.severity import NAMES
+from emberlog.operators.rules import MAX_RULES
 
 SHARD_ROWS = 100_000
 GUARDRAIL = timedelta(hours=24)
@@ -16,13 +17,26 @@ GUARDRAIL = timedelta(hours=24)
 def prune(logs: DataFrame, projects: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
     """``(kept, removed)``: records from each project's cutoff on, ``now`` less its days of retention (none or 0: for ever); ``removed`` counts the rest by project.
 
-    ``projects`` is one small row each, joined by broadcast unless Spark's own size limit says otherwise.
+    Cutoffs are compiled to an expression, without a join or a shuffle; in a table with a ``day``
+    column it prunes whole partitions too. Beyond ``MAX_RULES`` projects with a cutoff they are
+    joined.
     """
     kind = logs.schema["ts"].dataType
-    cutoffs = projects.where(F.coalesce("retention_days", F.lit(0)) > 0).select(F.col("id").alias("project_id"), (F.lit(now).cast(kind) - F.make_dt_interval("retention_days")).cast(kind).alias("__cutoff"))
-    marked = logs.join(cutoffs, "project_id", "left").withColumn("__kept", F.coalesce(F.col("ts") >= F.col("__cutoff"), F.lit(True)))
-    removed = marked.where("not __kept").groupBy("project_id").agg(F.count("*").alias("removed"))
-    return marked.where("__kept").drop("__cutoff", "__kept"), removed
+    limited = projects.where(F.coalesce("retention_days", F.lit(0)) > 0)
+    cutoff = (F.lit(now).cast(kind) - F.make_dt_interval("retention_days")).cast(kind)
+    rows = limited.select("id", cutoff.cast("string").alias("cutoff"), F.date_format(cutoff, "yyyy-MM-dd").alias("day")).limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        marked = logs.join(limited.select(F.col("id").alias("project_id"), cutoff.alias("__cutoff")), "project_id", "left")
+        marked = marked.withColumn("__kept", F.coalesce(F.col("ts") >= F.col("__cutoff"), F.lit(True))).drop("__cutoff")
+        return marked.where("__kept").drop("__kept"), marked.where("not __kept").groupBy("project_id").agg(F.count("*").alias("removed"))
+    kept, day = F.lit(True), F.lit(True)
+    for r in rows:
+        mine = F.col("project_id") == r["id"]
+        kept = F.when(mine, F.col("ts") >= F.lit(r["cutoff"]).cast(kind)).otherwise(kept)
+        day = F.when(mine, F.col("day") >= F.lit(r["day"])).otherwise(day) if "day" in logs.columns else day
+    kept, day = F.coalesce(kept, F.lit(True)), F.coalesce(day, F.lit(True))
+    removed = logs.where(~kept).groupBy("project_id").agg(F.count("*").alias("removed"))
+    return (logs.where(day) if "day" in logs.columns else logs).where(kept), removed
 
 
 def enforce_size_cap(logs: DataFrame, total_bytes: int, cap_bytes: int, now: datetime) -> DataFrame:
@@ -38,6 +52,13 @@ def table_bytes(spark: SparkSession, path: str) -> int:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
 
 
+def storage_stats(spark: SparkSession, path: str) -> DataFrame:
+    """One row: ``records``, ``bytes`` of the table's files, and ``bytes_per_record`` (0 for an empty table)."""
+    size = table_bytes(spark, path)
+    per = F.when(F.col("records") > 0, F.lit(float(size)) / F.col("records")).otherwise(0.0)
+    return spark.read.parquet(path).agg(F.count("*").alias("records")).select("records", F.lit(size).cast("long").alias("bytes"), per.alias("bytes_per_record"))
+
+
 def expired_days(logs: DataFrame, projects: DataFrame, now: datetime) -> DataFrame:
     """``(project_id, day)`` partitions that lie wholly before the cutoff: to be dropped without reading a record."""
     cutoffs = projects.where(F.coalesce("retention_days", F.lit(0)) > 0).select(F.col("id").alias("project_id"), F.date_sub(F.lit(now).cast("date"), F.col("retention_days")).alias("__first"))

@@ -87,25 +87,45 @@ def mark_noise(logs: DataFrame, rules: DataFrame) -> DataFrame:
 
     A sampling rule counts only the records that reach it alive, over all services; a record
     that it lets through goes on to later rules. Unknown kinds and rules without what their
-    kind needs drop nothing. Rules in a row that need no order are one expression.
+    kind needs drop nothing. Rules in a row that need no order are one expression, and
+    records in no sampling rule's scope are not shuffled.
     """
+    rows = [r for r in rule_rows(rules) if _valid(r)]
+    sampled = F.lit(False)
+    for rule in rows:
+        if rule["kind"] == "sample":
+            sampled = sampled | F.coalesce(_matches(rule), F.lit(False))
     logs = logs.withColumn("drop_rule_id", F.lit(None).cast("long"))
-    pending: list[Row] = []
-
-    def settle(df: DataFrame) -> DataFrame:
-        drop = F.lit(None).cast("long")
-        for rule in reversed(pending):
-            drop = F.when(_matches(rule), F.lit(rule["id"]).cast("long")).otherwise(drop)
-        done, pending[:] = bool(pending), []
-        return df.withColumn("drop_rule_id", F.coalesce("drop_rule_id", drop)) if done else df
-
-    for rule in filter(_valid, rule_rows(rules)):
+    if not any(r["kind"] == "sample" for r in rows):
+        return _settle(logs, rows)
+    rest = _settle(logs.where(~sampled), [r for r in rows if r["kind"] != "sample"])
+    # Read once for the counts and once for the places, of each rule in turn: kept, not computed again.
+    counted, pending = _kept(logs.where(sampled)), []
+    for rule in rows:
         if rule["kind"] != "sample":
             pending.append(rule)
             continue
-        logs = _every_nth(settle(logs), F.col("drop_rule_id").isNull() & _matches(rule), rule["n"])
-        logs = logs.withColumn("drop_rule_id", F.when(F.col("__nth"), F.lit(rule["id"]).cast("long")).otherwise(F.col("drop_rule_id"))).drop("__nth")
-    return settle(logs)
+        counted, pending = _settle(counted, pending), []
+        counted = _every_nth(counted, F.col("drop_rule_id").isNull() & _matches(rule), rule["n"])
+        counted = counted.withColumn("drop_rule_id", F.when(F.col("__nth"), F.lit(rule["id"]).cast("long")).otherwise(F.col("drop_rule_id"))).drop("__nth")
+    return rest.unionByName(_settle(counted, pending))
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the session's shared checkpoint folder, if it names one."""
+    sc = df.sparkSession.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if named and not sc.getCheckpointDir():
+        sc.setCheckpointDir(named)
+    return df.checkpoint() if sc.getCheckpointDir() else df
+
+
+def _settle(logs: DataFrame, rules: list[Row]) -> DataFrame:
+    """The first of ``rules`` that drops a record which is still alive."""
+    drop = F.lit(None).cast("long")
+    for rule in reversed(rules):
+        drop = F.when(_matches(rule), F.lit(rule["id"]).cast("long")).otherwise(drop)
+    return logs.withColumn("drop_rule_id", F.coalesce("drop_rule_id", drop)) if rules else logs
 
 
 def apply_noise_rules(logs: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_LIMIT = 50
+#: Projects and services that are broadcast, at most.
+MAX_KEYS = 100_000
 
 
 def filter_logs(logs: DataFrame, project: int = 0, query: str = "", min_severity: int = 0, service: str = "", env: str = "", since: datetime | None = None, until: datetime | None = None) -> DataFrame:
@@ -64,11 +66,22 @@ def log_context(logs: DataFrame, log_id: int, n: int = 20) -> DataFrame:
 def log_context_many(logs: DataFrame, ids: DataFrame, n: int = 20) -> DataFrame:
     """The neighbours of every ``ids(log_id)``: rows of ``logs`` with ``target_id`` and ``offset`` (0: the target itself).
 
-    Places within (project, service) come from one window; targets then meet their neighbours
-    by an equi-join on the place, 2n + 1 rows for each.
+    Only the targets' projects and services are looked at, and only time and id of their
+    records are put in order: by hours, whose counts give the places before each, so that no
+    task orders all records of a service. Targets then meet their neighbours by an equi-join on
+    the place, 2n + 1 rows for each, and whole records are fetched for these alone.
     """
     key = ["project_id", "service"]
-    placed = logs.withColumn("__place", F.row_number().over(Window.partitionBy(*key).orderBy("ts", "log_id")))
-    targets = placed.join(ids.select("log_id").distinct(), "log_id", "left_semi").select(*key, F.col("log_id").alias("target_id"), F.col("__place").alias("__own"))
-    wanted = targets.withColumn("offset", F.explode(F.sequence(F.lit(-n), F.lit(n)))).withColumn("__place", F.col("__own") + F.col("offset"))
-    return placed.join(wanted.drop("__own"), [*key, "__place"]).drop("__place")
+    wanted = ids.select("log_id").distinct()
+    keys = logs.join(wanted, "log_id", "left_semi").select(*key).distinct()
+    keys = F.broadcast(keys) if keys.limit(MAX_KEYS + 1).count() <= MAX_KEYS else keys
+    near = logs.select(*key, "ts", "log_id").join(keys, key, "left_semi").withColumn("__hour", F.date_trunc("hour", "ts"))
+    hours = near.groupBy(*key, "__hour").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*key).orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)
+    before = hours.select(*key, "__hour", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy(*key, "__hour").orderBy("ts", "log_id"))
+    placed = near.withColumn("__rank", rank).join(before, [*key, "__hour"]).select(*key, "log_id", (F.col("__before") + F.col("__rank")).alias("__place"))
+    targets = placed.join(wanted, "log_id", "left_semi").select(*key, F.col("log_id").alias("target_id"), F.col("__place").alias("__own"))
+    around = targets.withColumn("offset", F.explode(F.sequence(F.lit(-n), F.lit(n)))).withColumn("__place", F.col("__own") + F.col("offset"))
+    found = placed.join(around.drop("__own"), [*key, "__place"]).select("log_id", "target_id", "offset")
+    return logs.join(found, "log_id")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,3 +99,14 @@ SELECT project_id, fingerprint, 'resolved' AS status, cast(floor((first_id + las
 UNION ALL
 SELECT project_id, fingerprint, 'ignored', first_id + cast(floor((last_id - first_id) * 9 / 10) AS bigint) FROM groups WHERE substring(fingerprint, 1, 1) IN ('0','3','6','9','c','f')
 """
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share, for queries that write and read again; a local one only with a local master."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/plans/{uuid.uuid4().hex}"

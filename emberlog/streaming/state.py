@@ -147,13 +147,17 @@ def stream_alerts(events: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def append_and_roll(path: str, rollup_path: str):
-    """A ``foreachBatch`` function that appends normalised logs and their rollup increments; increments are added up on reading (``merge_rollups``)."""
+    """A ``foreachBatch`` function that keeps normalised logs and their rollup increments; increments are added up on reading (``merge_rollups``).
+
+    Each batch has a folder of its own in both tables, ``epoch=<number>``, and a batch that is
+    retried after a failure writes the same folders again: nothing is stored twice, and logs
+    and rollups agree. Small folders can be merged with ``operators.retention.compact_day``.
+    """
     from emberlog.sources.writers import with_day
 
     def run(batch: DataFrame, epoch: int) -> None:
         batch = batch.persist()
-        with_day(batch).write.mode("append").partitionBy("project_id", "day").parquet(path)
-        # A batch that is retried after a failure writes its increments again to the same place.
+        with_day(batch).write.mode("overwrite").partitionBy("project_id", "day").parquet(f"{path}/epoch={epoch}")
         rollup(batch).write.mode("overwrite").parquet(f"{rollup_path}/epoch={epoch}")
         batch.unpersist()
 

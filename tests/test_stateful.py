@@ -378,3 +378,8 @@ def test_streaming_rollups(spark, small, tmp_path):
     direct = rollups.rollup(normalize.normalize(logs))
     assert sorted(map(tuple, merged.select(direct.columns).collect())) == sorted(map(tuple, direct.collect()))
     assert spark.read.parquet(str(tmp_path / "logs")).count() == logs.count()
+    again = logs.limit(5)
+    for _ in range(2):  # a batch that is tried twice is stored once
+        run(normalize.normalize(again), 900)
+    assert spark.read.parquet(str(tmp_path / "logs")).count() == logs.count() + 5
+    assert spark.read.parquet(str(tmp_path / "rollups")).where("epoch = 900").agg({"logs": "sum"}).head()[0] == 5
