@@ -15,18 +15,18 @@ ANSI_RED = r"\A\x1b\[(?:[^@-~]*;)?(?:31|91)(?:;[^@-~]*)?m\z"
 CSI = r"\x1b\[[0-?]*[ -/]*[@-~]"
 PANIC = r"\A[ \t]*(?:panic:|fatal error:)"
 
-_START, _END = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
-_OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
-#: What varies between messages of one kind, in the order in which it is replaced. Long
-#: decimal runs go before hexadecimal ones, so that those need a letter. Word boundaries are ASCII.
+#: What varies between messages of one kind, in the order in which it is replaced, and whether
+#: it must be whole words. Long decimal runs go before hexadecimal ones, so that those need a letter.
 VOLATILE = (
-    (rf"{_START}[0-9a-fA-F]{{8}}(?:-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}{_END}", "<uuid>"),
-    (rf"{_START}(?:{_OCTET}\.){{3}}{_OCTET}{_END}", "<ip>"),
-    (rf"{_START}[0-9]{{8,}}{_END}", "<n>"),
-    (rf"{_START}[0-9a-fA-F]{{8,}}{_END}", "<hex>"),
-    ('"[^"]*"|`[^`]*`', "<str>"),
-    (rf"{_START}[0-9]+{_END}", "<n>"),
+    ("[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "<uuid>", True),
+    ("(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)", "<ip>", True),
+    ("[0-9]{8,}", "<n>", True),
+    ("[0-9a-fA-F]{8,}", "<hex>", True),
+    ('"[^"]*"|`[^`]*`', "<str>", False),
+    ("[0-9]+", "<n>", True),
 )
+# Word boundaries are ASCII.
+_START, _END = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 
 EXCEPTION_KEYS = ("exception.type", "exception.message", "exception.stacktrace")
 #: Attribute that sets the grouping of an event outright.
@@ -65,8 +65,8 @@ def attr(attrs: Column | Mapping[str, Column], key: str) -> Column:
 
 
 def normalize_message(col: Column) -> Column:
-    for pattern, replacement in VOLATILE:
-        col = F.regexp_replace(col, pattern, replacement)
+    for pattern, replacement, words in VOLATILE:
+        col = F.regexp_replace(col, f"{_START}{pattern}{_END}" if words else pattern, replacement)
     return col
 
 

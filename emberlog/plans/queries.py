@@ -17,17 +17,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-# Fixed values, as in functions.text: message normal form; then fingerprint and title in SQL (word boundaries are ASCII there).
+# Message normal form in SQL, whose word boundaries are ASCII; then fingerprint and title.
 _NORM = "split_part(body, chr(10), 1)"
-for _pattern, _token in (
-    (r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", "<uuid>"),
-    (r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b", "<ip>"),
-    (r"\b[0-9]{8,}\b", "<n>"),
-    (r"\b[0-9a-fA-F]{8,}\b", "<hex>"),
-    ('"[^"]*"|`[^`]*`', "<str>"),
-    (r"\b[0-9]+\b", "<n>"),
-):
-    _NORM = f"regexp_replace({_NORM}, '{_pattern}', '{_token}', 'g')"
+for _pattern, _token, _words in txt.VOLATILE:
+    _NORM = f"regexp_replace({_NORM}, '" + (rf"\b{_pattern}\b" if _words else _pattern) + f"', '{_token}', 'g')"
 _NAME = "CASE severity WHEN 0 THEN 'TRACE' WHEN 1 THEN 'DEBUG' WHEN 2 THEN 'INFO' WHEN 3 THEN 'WARN' WHEN 4 THEN 'ERROR' WHEN 5 THEN 'FATAL' ELSE 'UNKNOWN' END"
 _WITH = f"""WITH logs AS ({LOGS_SQL}),
 ev AS (SELECT *, {_NORM} AS norm, substring(trim(split_part(body, chr(10), 1)), 1, 200) AS title,
