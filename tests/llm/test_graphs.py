@@ -337,3 +337,129 @@ def test_pipeline_stages_keep_columns(spark, small):
         out = stage(spark, odd, small)
         assert out.columns == docs.columns and out.count() > 0, name
         assert stage(spark, odd.limit(0), small).count() == 0, name
+
+
+def exact_neighbours(ids, x, q, k=10):
+    d = np.sqrt(((x - x[ids.index(q)]) ** 2).sum(axis=1))
+    return [ids[i] for i in sorted((i for i in range(len(ids)) if ids[i] != q), key=lambda i: (d[i], ids[i]))[:k]]
+
+
+def test_neighbour_graph_recall(spark):
+    """Six thousand clustered vectors far from the origin, in many blocks and chunks, besides some of another length: recall against brute force."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((60, 24)) * 2
+    x = centres[rng.integers(0, 60, 6000)] + rng.standard_normal((6000, 24)) + 1e5
+    other = rng.standard_normal((30, 5))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(10_000 + 50 * i, v.tolist()) for i, v in enumerate(other)] + [(30_000, [1.0, 2.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    found = {}
+    for r in sorted(ann.nearest(table, lambda key: key % 100 == 0).collect(), key=lambda r: (r.query_id, r.rank)):
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    wanted = {q: exact_neighbours(list(range(6000)), x, q) for q in range(0, 6000, 100)}
+    hits = sum(len(set(found[q]) & set(w)) for q, w in wanted.items())
+    assert hits >= 0.95 * 10 * len(wanted)
+    short = [10_000 + 50 * i for i in range(30)]
+    assert all(found[q] == exact_neighbours(short, other, q) for q in short if q % 100 == 0)
+    assert found.keys() == wanted.keys() | {q for q in short if q % 100 == 0}
+
+
+def plain_segments(path):
+    import re
+
+    out = []
+    for part in (p for p in path.split("/") if p):
+        stem, ending = re.fullmatch(r"(?s)(.*?)(\.[A-Za-z0-9]{1,5})?", part).groups()
+        varies = re.fullmatch(r"[0-9]+([-_.][0-9]+)*|[0-9a-fA-F-]{16,}", stem) or re.search("[0-9]{5,}", stem)
+        out.append(f"*{ending or ''}" if varies else part)
+    return out
+
+
+def plain_templates(pages, good):
+    """The template, purity and rejection of every page, from nested dictionaries: the tree grown from the top, branches merged from the bottom."""
+    rows = {i: plain_url(u)[:2] for i, u in pages}
+    paths = {i: (h, plain_segments(p)) for i, (h, p) in rows.items()}
+    kept = {i: [] for i in paths}
+    for level in range(max((len(s) for _, s in paths.values()), default=0)):
+        support = {}
+        for i, (h, s) in paths.items():
+            if len(s) > level:
+                support[h, tuple(kept[i]), s[level]] = support.get((h, tuple(kept[i]), s[level]), 0) + 1
+        for i, (h, s) in paths.items():
+            if len(s) > level:
+                kept[i] = [*kept[i], s[level] if support[h, tuple(kept[i]), s[level]] >= urls.MIN_SUPPORT else "*"]
+    prior = (sum(good.values()) + 1) / (len(good) + 1)
+
+    def tally(members):
+        marks = [good[i] for i in members if i in good]
+        return len(marks), sum(marks)
+
+    def share(n, g):
+        return (g + 1) / (n + 2)
+
+    def apart(a, b):
+        if not a[0] or not b[0]:
+            return 0.0
+        p = share(a[0] + b[0], a[1] + b[1])
+        return abs(share(*a) - share(*b)) / np.sqrt(p * (1 - p) * (1 / (a[0] + 1) + 1 / (b[0] + 1)))
+
+    for level in reversed(range(max(map(len, kept.values()), default=0))):
+        parents = {}
+        for i, t in kept.items():
+            if len(t) > level:
+                parents.setdefault((paths[i][0], tuple(t[:level]), tuple(t[level + 1 :])), {}).setdefault(t[level], []).append(i)
+        for children in parents.values():
+            same = {}
+            for name, members in children.items():
+                same.setdefault(tally(members), []).append(name)
+            order = sorted(sorted(same), key=lambda c: -(c[1] + 2 * prior) / (c[0] + 2))
+            groups = [((n * len(same[n, g]), g * len(same[n, g])), same[n, g]) for n, g in order]
+            while len(groups) > 1:
+                gaps = [apart(a[0], b[0]) for a, b in zip(groups, groups[1:])]
+                if min(gaps) > urls.ALIKE_Z:
+                    break
+                k = gaps.index(min(gaps))
+                (a, x), (b, y) = groups[k : k + 2]
+                groups[k : k + 2] = [((a[0] + b[0], a[1] + b[1]), x + y)]
+            for number, (_, names) in enumerate(groups):
+                for name in names:
+                    if len(names) > 1 or name == "*":
+                        for i in children[name]:
+                            kept[i] = [*kept[i][:level], "*" if not number else f"*{number + 1}", *kept[i][level + 1 :]]
+    total = {}
+    for i, t in kept.items():
+        n, g = total.get((paths[i][0], tuple(t)), (0, 0))
+        total[paths[i][0], tuple(t)] = n + (i in good), g + good.get(i, 0)
+    out = {}
+    for i, t in kept.items():
+        n, g = total[paths[i][0], tuple(t)]
+        purity = (g + urls.PRIOR_WEIGHT * prior) / (n + urls.PRIOR_WEIGHT)
+        out[i] = ("/" + "/".join(t), round(purity, 9), purity < urls.MIN_PURITY * prior)
+    return out
+
+
+def test_url_templates_are_the_plain_ones(spark):
+    rng = random.Random(13)
+    names = ["news", "shop", "a.html", "x", "spam", "tag"]
+    pages = [(i, f"http://{rng.choice(['a.net', 'b.net', 'c.net'])}/" + "/".join(rng.choice([*names, str(rng.randrange(10**6)), f"n{rng.randrange(40)}"]) for _ in range(rng.randint(0, 4)))) for i in range(700)]
+    good = {i: int(rng.random() < (0.15 if "spam" in u or "/x" in u else 0.9)) for i, u in pages if rng.random() < 0.5}
+    table = spark.createDataFrame(pages, "page_id long, url string").repartition(3)
+    labels = spark.createDataFrame(list(good.items()), "doc_id long, quality int")
+    expected = plain_templates(pages, good)
+    got = {r.page_id: (r.template, round(r.purity, 9), r.verdict == "block") for r in urls.judge(table, urls.learn_templates(table, labels)).collect()}
+    assert got == expected and 0 < sum(b for *_, b in got.values()) < 600
+
+
+def test_registered_digests(spark, small):
+    """What the queries of op1, op4, op9 and op10 return for every document, against one text at a time."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    found, library = queries(), Tokenizer.from_file(tokenizer_path())
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    ids = {k: np.array(library.encode(t, add_special_tokens=False).ids, "<u4") for k, t in texts.items()}
+    got = {r.doc_id: r for r in found["op1_bpe"](spark, small).collect()}
+    assert {k: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for k, r in got.items()} == {k: (len(ids[k]), hashlib.sha256(ids[k].tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for k, t in texts.items()}
+    assert {r.doc_id: r.fingerprint for r in found["op10_simhash"](spark, small).collect()} == {k: f"{plain_fingerprint(t):016x}" for k, t in texts.items()}
+    for name, mod, out in (("op4_toxicity", 5, 0), ("op9_langid", 4, 2)):
+        assert {r.doc_id: r.held_out for r in found[name](spark, small).collect()} == {k: zlib.crc32(str(k).encode()) % mod == out for k in texts}

@@ -288,3 +288,64 @@ def test_toxicity(spark):
 def test_swaps():
     found = toxicity.swaps("A woman sings. Nothing here")
     assert found == [({"a", "woman", "sings"}, {"a", "man", "sings"}), ({"a", "woman", "sings"}, {"a", toxicity.NEUTRAL, "sings"})]
+
+
+def test_toxicity_on_few_labels(spark):
+    """A dozen toxic texts are enough for words that all of them share, and none is made up where nothing tells the classes apart."""
+    rng = random.Random(10)
+    words = [f"w{rng.randrange(60)}" for _ in range(400)]
+    text = lambda toxic: " ".join([*rng.sample(words, 15), *(["vile"] if toxic else [])])
+    rows = [(i, text(i % 4 == 0)) for i in range(48)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(48)], "doc_id long, toxic int")
+    model = toxicity.fit(docs_of(spark, rows), labels)
+    assert set(model.weights) == {"vile"} and all((model.score(t) >= 0.5) == (i % 4 == 0) for i, t in rows)
+    noise = toxicity.fit(docs_of(spark, [(i, text(False)) for i in range(48)]), labels)
+    assert noise.weights == {} and noise.score("anything") == pytest.approx(0.25, abs=1e-4)
+
+
+def test_toxicity_copies_repeats_and_long_texts(spark):
+    """Copies with both labels are toxic, whichever partition they are in; repeated rows change nothing; a text's end counts."""
+    rows, labels = toxic_rows(random.Random(11), 200)
+    twins = [(1000 + i, f"copied words of text number {i} and more of them awful") for i in range(6)]
+    table = spark.createDataFrame([*((i, y) for i, _, y in labels), *((1000 + i, 1) for i in range(6)), *((2000 + i, 0) for i in range(6))], "doc_id long, toxic int")
+    docs = [*rows, *twins, *((k + 1000, t) for k, t in twins)]
+    models = [toxicity.fit(docs_of(spark, d).repartition(n), table) for d, n in ((docs, 2), (docs[::-1] + rows[:50], 5))]
+    assert models[0].weights.keys() == models[1].weights.keys() and all(m.score(twins[0][1]) >= 0.5 for m in models)
+    assert models[0].score("tree " * 200_000) < 0.5 <= models[0].score("tree " * 200_000 + "awful nasty")
+
+
+def test_exact_probabilities():
+    """The hypergeometric tails against a count of all samples."""
+    from itertools import combinations
+
+    n_bad, n_good = 4, 5
+    for n in range(1, 9):
+        draws = [sum(i < n_bad for i in c) for c in combinations(range(n_bad + n_good), n)]
+        for b in range(max(0, n - n_good), min(n, n_bad) + 1):
+            more = b * n_good >= (n - b) * n_bad
+            tail = sum(d >= b if more else d <= b for d in draws) / len(draws)
+            got = toxicity._log_tails(np.array([b]), np.array([n - b]), n_bad, n_good)[0]
+            assert np.exp(got) == pytest.approx(min(1.0, 2 * tail))
+
+
+def test_every_language_is_weighed():
+    """Twelve languages, of which a document's second one is among the worst alone: it is found all the same."""
+    rng = np.random.default_rng(2)
+    base = rng.random((12, langid.CELLS)) ** 4 + 1e-4
+    base[1:11] += 0.8 * base[0]  # close relatives of the first language
+    model = langid.Model(tuple(f"l{k:02}" for k in range(12)), np.log(base / base.sum(axis=1, keepdims=True)).astype(np.float32))
+    cells = np.concatenate([rng.choice(langid.CELLS, 900, p=base[k] / base[k].sum()) for k in (0, 0, 11)])
+    found, counts = np.unique(cells, return_counts=True)
+    real, langid.grams = langid.grams, lambda text: (found, counts)
+    try:
+        got = model.proportions("text")
+    finally:
+        langid.grams = real
+    alone = np.argsort(-(model.log_p[:, found] @ counts))
+    assert list(alone).index(11) >= 6 and list(got)[:2] == ["l00", "l11"] and got["l11"] == pytest.approx(1 / 3, abs=0.08)
+
+
+@pytest.mark.parametrize("text", ["\u00b2", "\u00bd 12", "\u2460", "\u2167", "1 2 3", "!", "\u0660"])
+def test_no_letters_no_language(text):
+    model = langid.Model(("en",), np.zeros((1, langid.CELLS), np.float32))
+    assert model.predict(text) == (langid.UNKNOWN, 0.0) and model.predict(f"{text} a")[0] == "en"
