@@ -219,7 +219,7 @@ def _nearest_between(parent: np.ndarray, u: np.ndarray, v: np.ndarray, far: np.n
 def _compare(radius: int, tile: int, words: int, between: int):
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         """The links between two blocks (or within one): a shortest spanning forest, or the ``between`` nearest of every two groups."""
-        pdf = pdf.sort_values(["block", "tile"])
+        pdf = pdf.sort_values(["run", "block", "tile"])
         width = len(pdf["fps"].iloc[0]) // int(pdf["n"].iloc[0])
         packed = b"".join(pdf["fps"])
         fps = _as_words([packed]).reshape(-1, width // 8)[:, :words]
@@ -227,7 +227,7 @@ def _compare(radius: int, tile: int, words: int, between: int):
         q = _quarters(fps)
         tiles = [(int(a), int(b), q[a:b].min(axis=0), q[a:b].max(axis=0)) for a, b in zip(starts, starts[1:])]
         sums = [(int(q[a:b].sum(axis=1).min()), int(q[a:b].sum(axis=1).max())) for a, b, *_ in tiles]
-        blocks = pdf["block"].to_numpy()
+        blocks = pdf["run"].to_numpy()
         same = len(set(blocks)) == 1
         parent = np.arange(len(fps))
         if between:
@@ -284,10 +284,17 @@ def fingerprint_links(fps: DataFrame, radius: int, tile: int = TILE, words: int
     root = F.col("root") if between else F.lit(b"")
     ordered = fps.select("fp", root.alias("root"), _tile_order(F.col("fp"), words).alias("at")).repartitionByRange(blocks, "at", "fp").sortWithinPartitions("at", "fp")
     tiles = checkpointed(ordered.select("fp", "root").mapInPandas(_pack(tile), "block int, tile int, fps binary, roots binary, n int"))
-    found = sorted(r["block"] for r in tiles.select("block").distinct().collect())  # one number a block
-    pairs = fps.sparkSession.createDataFrame([(a, min(a, b), max(a, b)) for a in found for b in found], "block int, lo int, hi int")
-    met = tiles.join(F.broadcast(pairs), "block")
-    compared = met.repartition(max(1, len(found) * (len(found) + 1) // 2), "lo", "hi").groupBy("lo", "hi")
+    # However many partitions the order was dealt to, runs of them make up the blocks.
+    sizes = tiles.groupBy("block").agg(F.sum("n").alias("n")).orderBy("block").collect()
+    before, target, numbers = 0, max(1, -(-n // blocks)), []
+    for r in sizes:
+        numbers.append((r["block"], before // target))
+        before += r["n"]
+    last = numbers[-1][1] if numbers else 0
+    runs = F.broadcast(fps.sparkSession.createDataFrame(numbers, "block int, run int"))
+    met = tiles.join(runs, "block").withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    met = met.select("run", "block", "tile", "fps", "roots", "n", F.least("run", "other").cast("int").alias("lo"), F.greatest("run", "other").cast("int").alias("hi"))
+    compared = met.repartition((last + 1) * (last + 2) // 2, "lo", "hi").groupBy("lo", "hi")
     return compared.applyInPandas(_compare(radius, tile, words, between), "u binary, v binary, more boolean")
 
 
