@@ -62,15 +62,15 @@ def small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
     """``left`` joined with ``right``, in which no combination of ``on`` has many rows, whatever share of ``left`` one has.
 
     Rows of hot keys are dealt to ``SALTS`` tasks, each of which gets those keys' rows of
     ``right``. Only the hot keys, of which there are fewer than 1 / ``HOT_SHARE``, pass through
-    the driver. ``left`` is read twice or more and should be kept (a table or a checkpoint). ``how`` is
-    inner or left.
+    the driver. Keys are counted in ``counted``, by default in ``left``, which should then be kept (a
+    table or a checkpoint). ``how`` is inner or left.
     """
-    sizes = left.groupBy(*on).agg(F.count("*").alias("__n")).dropna(subset=on)
+    sizes = (left if counted is None else counted).groupBy(*on).agg(F.count("*").alias("__n")).dropna(subset=on)
     total, most = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.coalesce(F.max("__n"), F.lit(0))).head()
     least = max(HOT_ROWS, int(total * HOT_SHARE))
     if most <= least:

@@ -337,7 +337,7 @@ def _ordered(links: DataFrame) -> DataFrame:
 def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The ``links`` whose ``sets(fp, s)`` have the Jaccard similarity."""
     one, other = sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), sets.select(F.col("fp").alias("v"), F.col("s").alias("b"))
-    both = skew_join(checkpointed(skew_join(links, one, ["u"])), other, ["v"])
+    both = skew_join(skew_join(links, one, ["u"]), other, ["v"], counted=links)
     shared = F.size(F.array_intersect("a", "b"))
     return checkpointed(both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v"))
 
