@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +39,15 @@ def parse_severity(col: Column) -> Column:
     return out
 
 
+def severity_of(text: str) -> int:
+    """As :func:`parse_severity`, for a text in a task's own code."""
+    name = re.sub(rf"\A{SPACE}+|{SPACE}+\Z", "", text).lower()
+    if name in ALIASES:
+        return ALIASES[name]
+    number = int(text) if re.fullmatch("[+-]?[0-9]{1,18}", text) else 0
+    return next((level for least, level in OTLP_BANDS if number >= least), INFO)
+
+
 def parse_severity_strict(name: str) -> int:
     """A severity by name only, for rule tables: empty means TRACE, any other unknown name is an error."""
     key = name.strip().lower()

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.functions.severity import INFO, parse_severity, trimmed
+from emberlog.functions.severity import INFO, severity_of, trimmed
 from emberlog.functions.times import parse_epoch, parse_rfc3339
 from emberlog.operators.rules import MAX_RULES
 
@@ -31,9 +31,9 @@ _TOKEN = re.compile(r'([^ \t"=\n\r]+)=(?:"((?:[^"\\\n\r]|\\[^\n\r])*)"|([^ \t"\n
 _LOGFMT_START = r'\A[^ \t"=\n\r]+='
 _LOGFMT_KEY = r"(?:\A|[ \t])(?:" + "|".join((*MESSAGE_KEYS, *LEVEL_KEYS)) + ")="
 
-_LIFTED = "message string, level string, time string, digits boolean, service string, trace string, attrs array<struct<key:string,value:string>>"
+_LIFTED = "message string, level int, time string, digits boolean, service string, trace string, attrs array<struct<key:string,value:string>>"
 _LIFTED_ARROW = pa.struct([
-    ("message", pa.string()), ("level", pa.string()), ("time", pa.string()), ("digits", pa.bool_()), ("service", pa.string()), ("trace", pa.string()),
+    ("message", pa.string()), ("level", pa.int32()), ("time", pa.string()), ("digits", pa.bool_()), ("service", pa.string()), ("trace", pa.string()),
     ("attrs", pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))),
 ])
 _SURROGATE = re.compile("[\ud800-\udfff]")
@@ -85,7 +85,7 @@ def logfmt_fields(body: str) -> dict | None:
 
 
 def lift(body: str, known: set[str]) -> dict | None:
-    """What a trimmed body gives: message, level, time, service and trace as texts (null: nothing taken), and attributes but for ``known`` keys; None if it isn't structured or holds neither message nor level key."""
+    """What a trimmed body gives: message, time, service and trace as texts, level as a severity (null: nothing taken), and attributes but for ``known`` keys; None if it isn't structured or holds neither message nor level key."""
     fields = json_fields(body) if body.startswith("{") else logfmt_fields(body)
     if not fields or not any(k in fields for k in (*MESSAGE_KEYS, *LEVEL_KEYS)):
         return None
@@ -100,7 +100,7 @@ def lift(body: str, known: set[str]) -> dict | None:
         key = next((k for k in keys if k in fields), None)
         used.add(key)
         if type(fields.get(key)) in kinds:
-            out[name] = str(fields[key])
+            out[name] = severity_of(str(fields[key])) if name == "level" else str(fields[key])
             out["digits"] = out.get("digits") or name == "time" and (type(fields[key]) is _Number or bool(re.fullmatch("[0-9]+", fields[key])))
     attrs = {}
     for key in sorted(fields.keys() - used):
@@ -110,7 +110,7 @@ def lift(body: str, known: set[str]) -> dict | None:
             if name not in known and name not in attrs and len(attrs) < MAX_LIFTED:
                 text = _plain(value if type(value) is str else _compact(value))
                 attrs[name] = text if len(text) * 4 <= MAX_VALUE_BYTES else text.encode()[:MAX_VALUE_BYTES].decode(errors="ignore")
-    texts = {k: v if v is None or k == "digits" else _plain(v) for k, v in out.items()}
+    texts = {k: _plain(v) if type(v) is str else v for k, v in out.items()}
     return texts | {"attrs": [{"key": k, "value": v} for k, v in attrs.items()]}
 
 
@@ -162,7 +162,7 @@ def parse_bodies(logs: DataFrame, projects: DataFrame | None = None, enabled: bo
     near = (time > own - F.expr(TIME_WINDOW)) & (time < own + F.expr(TIME_WINDOW))
     changed = {
         "body": F.coalesce(got["message"], F.col("body")),
-        "severity": F.when((F.col("severity") == INFO) & got["level"].isNotNull(), parse_severity(got["level"])).otherwise(F.col("severity")),
+        "severity": F.when((F.col("severity") == INFO) & got["level"].isNotNull(), got["level"]).otherwise(F.col("severity")),
         "ts": F.when(near, time.cast(logs.schema["ts"].dataType)).otherwise(F.col("ts")),
         "service": F.when((F.col("service") == "") & got["service"].isNotNull(), got["service"]).otherwise(F.col("service")),
         "trace_id": F.when((F.col("trace_id") == "") & got["trace"].isNotNull(), got["trace"]).otherwise(F.col("trace_id")),
