@@ -121,7 +121,7 @@ def pack_ids(docs: DataFrame, ids: Column, key: str = "doc_id", seq_len: int = S
                     held, size, part = [], 0, part + 1
                 if shard != current:
                     current, part = shard, 0
-                tokens = np.frombuffer(packed.as_py(), "<u4")
+                tokens = np.frombuffer(packed.as_py() or b"", "<u4")
                 for start in range(0, len(tokens), seq_len):
                     held.append((key_.as_py(), start, tokens[start : start + seq_len]))
                 size += len(tokens)
@@ -130,7 +130,7 @@ def pack_ids(docs: DataFrame, ids: Column, key: str = "doc_id", seq_len: int = S
 
     shards = max(1, -(-docs.count() // shard_docs))
     at = F.xxhash64("key", "ids")
-    kept = docs.select(F.col(key).cast("long").alias("key"), ids.alias("ids")).where(F.octet_length("ids") > 0).withColumn("at", at)
+    kept = docs.select(F.col(key).cast("long").alias("key"), ids.alias("ids")).withColumn("at", at)
     dealt = kept.select(F.pmod("at", F.lit(shards)).alias("shard"), "key", "ids", "at").repartition("shard").sortWithinPartitions("shard", "at", "key")
     return dealt.drop("at").mapInArrow(run, SCHEMA)
 
