@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import ann, bpe, chat, decontam, langid, lmscore, packing, simhash, toxicity, urls
+from emberlog.llm import ann, bpe, chat, decontam, langid, lmscore, packing, periodic, simhash, toxicity, urls
 from emberlog.llm.common import fold, in_fold, new_folder, small, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,40 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def planted_text(key: Column, text: Column) -> Column:
+    """The text, in a tenth of the documents made periodic from a word on: h = crc32 of the id, g = h // 10; if h % 10 = 0, word i >= a is word a + (i - a) % p, a = g % n, p = 1 + (n - a) // (3 + g % 8). Those are words with single spaces between."""
+    h = F.crc32(key.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.size(words)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    copies = F.ceil((n - a) / p).cast("int")
+    repeated = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), copies)), F.lit(1), n - a)
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(F.concat(F.slice(words, F.lit(1), a), repeated), " ")).otherwise(text)
+
+
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words, of which a tenth of the documents are given some."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted_text(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic.periodic_runs(docs)
+    # Runs are in order, so of equal exponents the first stays.
+    longer = lambda best, r: F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+    top = F.aggregate("runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), longer)
+    line = lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n")))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.withColumn("top", top).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "top.start",
+        "top.length",
+        "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        digest(F.array_join(F.transform("runs", line), "")).alias("runs_sha256"),
+        digest(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,7 +131,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_bpe, op2_ann, op3_packing, op4_toxicity, op5_chat, op6_urls, op7_lmscore, op8_decontam, op9_langid, op10_simhash, pipeline)
+    found = (op1_bpe, op2_ann, op3_packing, op4_toxicity, op5_chat, op6_urls, op7_lmscore, op8_decontam, op9_langid, op10_simhash, op11_periodic, pipeline)
     return {f.__name__: f for f in found}
 
 
