@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import ann, bpe, chat, decontam, langid, lmscore, packing, periodic, simhash, toxicity, urls
+from emberlog.llm import align, ann, bpe, chat, decontam, langid, lmscore, packing, periodic, simhash, toxicity, urls
 from emberlog.llm.common import fold, in_fold, new_folder, small, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,6 +124,13 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizers = align.load(spark, tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+    found = align.align(table(spark, sf_dir, "documents"), tokenizers)
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise(F.lit(""))
+    return align.with_link_counts(found.withColumn("groups_sha256", digest).drop("groups"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -131,7 +138,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_bpe, op2_ann, op3_packing, op4_toxicity, op5_chat, op6_urls, op7_lmscore, op8_decontam, op9_langid, op10_simhash, op11_periodic, pipeline)
+    found = (op1_bpe, op2_ann, op3_packing, op4_toxicity, op5_chat, op6_urls, op7_lmscore, op8_decontam, op9_langid, op10_simhash, op11_periodic, op13_align, pipeline)
     return {f.__name__: f for f in found}
 
 
