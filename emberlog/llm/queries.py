@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import align, ann, bpe, chat, decontam, langid, lmscore, packing, periodic, simhash, toxicity, urls
+from emberlog.llm import align, ann, bpe, chat, decontam, langid, lmscore, packing, periodic, secrets, simhash, toxicity, urls
 from emberlog.llm.common import fold, in_fold, new_folder, small, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,6 +124,15 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_versions(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [r.name for r in secrets.RULES if r.base]
+    number = lambda name: F.size(F.filter("found", lambda f: f["rule"] == name)).cast("long").alias(f"n_{name}")
+    shown = lambda spans: F.array_join(F.transform(spans, lambda f: F.concat_ws(":", f["rule"], f["start"].cast("string"), f["end"].cast("string"))), ",")
+    of_base = shown(F.filter("found", lambda f: f["rule"].isin(base)))
+    return found.select("doc_id", *map(number, base), F.sha2(of_base.cast("binary"), 256).alias("base_sha256"), shown(F.col("found")).alias("spans"))
+
+
 def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizers = align.load(spark, tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
     found = align.align(table(spark, sf_dir, "documents"), tokenizers)
@@ -138,7 +147,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_bpe, op2_ann, op3_packing, op4_toxicity, op5_chat, op6_urls, op7_lmscore, op8_decontam, op9_langid, op10_simhash, op11_periodic, op13_align, pipeline)
+    found = (op1_bpe, op2_ann, op3_packing, op4_toxicity, op5_chat, op6_urls, op7_lmscore, op8_decontam, op9_langid, op10_simhash, op11_periodic, op12_secrets, op13_align, pipeline)
     return {f.__name__: f for f in found}
 
 
