@@ -8,12 +8,11 @@ the radius: each differing bit changes a population count by one, so these can h
 link. A task gets the tiles of two blocks, and sends on only a spanning forest of the
 links it finds, so a group of k near-copies costs k rows and not k squared.
 
-For groups by shingle similarity (:func:`one_of_each_group`) links of a wide radius are
-only candidates. Their shortest spanning forest is verified by the exact Jaccard
-similarity of the two shingle sets. Where a link fails, the candidates between the groups
-that are verified so far are looked at again, nearest first and more of them each round,
-until none is left that was not verified: a large group of near-copies is settled by its
-forest, and only pairs of groups that look alike and aren't cost more.
+For groups by shingle similarity (:func:`one_of_each_group`) links of a wide radius only
+say which texts may belong together: what they connect is a neighbourhood. In it the exact
+overlaps of all shingle sets are counted, tile against tile as matrix products, inside the
+tasks; what leaves a task is again a spanning forest, of verified links, so neither rows nor
+disk grow with the pairs that are alike or almost alike.
 """
 
 from __future__ import annotations
@@ -39,8 +38,10 @@ BLOCK = 262_144
 MIN_BLOCKS = 8
 #: Links a task gathers before it contracts them.
 PENDING = 400_000
-#: Candidates between two groups, in one task, that the first round looks at again, and by how much each further round raises them.
-BETWEEN, MORE = 32, 32
+#: Pairs of blocks are dealt to so many tasks at most; a task takes its pairs one after another.
+PAIR_TASKS = 10_000
+#: Shingle sets and shingles in a tile of them, on average, at most (beyond one set), and shingles that a product takes at a time.
+TILE_SETS, TILE_SHINGLES, COLUMNS = 128, 400_000, 8_192
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 
@@ -140,19 +141,20 @@ def _tile_order(fp: Column, words: int) -> Column:
     return order(fp)
 
 
-def _pack(size: int):
+def _pack(size: int, words: int):
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A block (one range of the order) as tiles."""
-        block, fps, roots, tile = TaskContext.get().partitionId(), [], [], 0
+        """A block (one range of the order) as tiles, with the ranges of their quarters' population counts."""
+        block, fps, tile = TaskContext.get().partitionId(), [], 0
 
         def row(n: int) -> pd.DataFrame:
-            return pd.DataFrame({"block": [block], "tile": [tile], "fps": [b"".join(fps[:n])], "roots": [b"".join(roots[:n])], "n": [n]})
+            q = _quarters(_as_words(fps[:n])[:, :words])
+            return pd.DataFrame({"block": [block], "tile": [tile], "fps": [b"".join(fps[:n])], "n": [n], "low": [q.min(axis=0)], "high": [q.max(axis=0)]})
 
         for pdf in batches:
-            fps, roots = fps + pdf["fp"].tolist(), roots + pdf["root"].tolist()
+            fps = fps + pdf["fp"].tolist()
             while len(fps) >= size:
                 yield row(size)
-                fps, roots, tile = fps[size:], roots[size:], tile + 1
+                fps, tile = fps[size:], tile + 1
         if fps:
             yield row(len(fps))
 
@@ -202,23 +204,9 @@ def _close(a: np.ndarray, b: np.ndarray, radius: int, xor: np.ndarray, ones: np.
     return *at, far[at]
 
 
-def _nearest_between(parent: np.ndarray, u: np.ndarray, v: np.ndarray, far: np.ndarray, between: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of links those between different groups, of each two groups the ``between`` nearest."""
-    a, b = parent[u], parent[v]
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    order = np.lexsort((v, u, far, high, low))
-    order = order[low[order] != high[order]]
-    low, high = low[order], high[order]
-    first = np.ones(len(order), bool)
-    first[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-    place = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-    order = order[place < between]
-    return u[order], v[order], far[order]
-
-
-def _compare(radius: int, tile: int, words: int, between: int):
+def _compare(radius: int, tile: int, words: int):
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The links between two blocks (or within one): a shortest spanning forest, or the ``between`` nearest of every two groups."""
+        """A shortest spanning forest of the links between two blocks (or within one)."""
         pdf = pdf.sort_values(["run", "block", "tile"])
         width = len(pdf["fps"].iloc[0]) // int(pdf["n"].iloc[0])
         packed = b"".join(pdf["fps"])
@@ -230,25 +218,12 @@ def _compare(radius: int, tile: int, words: int, between: int):
         blocks = pdf["run"].to_numpy()
         same = len(set(blocks)) == 1
         parent = np.arange(len(fps))
-        if between:
-            _, first, group = np.unique(np.frombuffer(b"".join(pdf["roots"]), f"V{width}"), return_index=True, return_inverse=True)
-            parent = first[group]
         xor, ones = np.empty((tile, tile), np.uint64), np.empty((tile, tile), np.uint8)
-        held, pending, kept, cut_off = [], 0, [], False
+        held, pending, kept = [], 0, []
         lows, highs = np.array([t[2] for t in tiles]), np.array([t[3] for t in tiles])
         low, high = np.array(sums).T
         order = np.arange(len(tiles))
 
-        def settle() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-            nonlocal cut_off
-            u, v, far = (np.concatenate(x) for x in zip(*held))
-            if between:
-                near = _nearest_between(parent, u, v, far, between)
-                cut_off = cut_off or len(near[0]) < (parent[u] != parent[v]).sum()
-                return [near]
-            kept.append(_forest(parent, u, v, far))
-            return []
-
         for i, (a, b, least, most) in enumerate(tiles):
             others = order >= i if same else (blocks != blocks[i]) & (blocks[i] == blocks[0])
             gap = np.maximum(0, np.maximum(lows - most, least - highs)).sum(axis=1)
@@ -261,41 +236,55 @@ def _compare(radius: int, tile: int, words: int, between: int):
                     held.append((x[keep] + a, y[keep] + c, far[keep]))
                     pending += len(held[-1][0])
                 if pending > PENDING:
-                    held = settle()
-                    pending = sum(len(h[0]) for h in held) // 2  # what stays doesn't count in full: it grows with the groups
-        kept += settle() if held else []
+                    kept.append(_forest(parent, *(np.concatenate(x) for x in zip(*held))))
+                    held, pending = [], 0
+        if held:
+            kept.append(_forest(parent, *(np.concatenate(x) for x in zip(*held))))
         us, vs = (np.concatenate([*(k[end] for k in kept), np.empty(0, np.int64)]) for end in (0, 1))
         cut = lambda i: packed[i * width : (i + 1) * width]
-        return pd.DataFrame({"u": [cut(i) for i in us], "v": [cut(i) for i in vs], "more": bool(cut_off)}, columns=["u", "v", "more"])
+        return pd.DataFrame({"u": [cut(i) for i in us], "v": [cut(i) for i in vs]}, columns=["u", "v"])
 
     return compare
 
 
-def fingerprint_links(fps: DataFrame, radius: int, tile: int = TILE, words: int = 1, between: int = 0) -> DataFrame:
-    """Distinct fingerprints ``fp`` of 64 * ``words`` bits (more bytes only name them) to links ``(u, v, more)`` within ``radius`` bits.
+def _runs(tiles: DataFrame, target: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Blocks to runs of about ``target`` fingerprints, however many partitions they were dealt to, and each run's ranges of counts: a few numbers a run."""
+    ends = (f(F.get(c, F.lit(k))).alias(f"{c}{k}") for c, f in (("low", F.min), ("high", F.max)) for k in range(4))
+    before, numbers, low, high = 0, [], [], []
+    for r in tiles.groupBy("block").agg(F.sum("n").alias("n"), *ends).orderBy("block").collect():
+        run = before // target
+        run = min(run, len(low))
+        numbers.append((r["block"], run))
+        before += r["n"]
+        least, most = ([r[f"{c}{k}"] for k in range(4)] for c in ("low", "high"))
+        if run == len(low):
+            low.append(least)
+            high.append(most)
+        low[run], high[run] = np.minimum(low[run], least), np.maximum(high[run], most)
+    return F.broadcast(tiles.sparkSession.createDataFrame(numbers, "block int, run int")), np.array(low).reshape(-1, 4), np.array(high).reshape(-1, 4)
+
+
+def fingerprint_links(fps: DataFrame, radius: int, tile: int = TILE, words: int = 1) -> DataFrame:
+    """Distinct fingerprints ``fp`` of 64 * ``words`` bits (more bytes only name them) to links ``(u, v)`` that connect all within ``radius`` bits of each other, directly or by steps: a shortest spanning forest of what each task sees.
 
-    By default the links connect all that lie so near each other, directly or by steps: a
-    shortest spanning forest of what each task sees. With ``between``, ``fps(fp, root)`` belong
-    to groups, and the links are the nearest so many of each two groups, in each task; ``more``
-    says that the task left others out.
+    Blocks whose population counts lie farther apart than the radius are not brought together.
     """
     n = fps.count()
     blocks = max(MIN_BLOCKS, -(-n // BLOCK))
-    root = F.col("root") if between else F.lit(b"")
-    ordered = fps.select("fp", root.alias("root"), _tile_order(F.col("fp"), words).alias("at")).repartitionByRange(blocks, "at", "fp").sortWithinPartitions("at", "fp")
-    tiles = checkpointed(ordered.select("fp", "root").mapInPandas(_pack(tile), "block int, tile int, fps binary, roots binary, n int"))
-    # However many partitions the order was dealt to, runs of them make up the blocks.
-    sizes = tiles.groupBy("block").agg(F.sum("n").alias("n")).orderBy("block").collect()
-    before, target, numbers = 0, max(1, -(-n // blocks)), []
-    for r in sizes:
-        numbers.append((r["block"], before // target))
-        before += r["n"]
-    last = numbers[-1][1] if numbers else 0
-    runs = F.broadcast(fps.sparkSession.createDataFrame(numbers, "block int, run int"))
-    met = tiles.join(runs, "block").withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(last))))
-    met = met.select("run", "block", "tile", "fps", "roots", "n", F.least("run", "other").cast("int").alias("lo"), F.greatest("run", "other").cast("int").alias("hi"))
-    compared = met.repartition((last + 1) * (last + 2) // 2, "lo", "hi").groupBy("lo", "hi")
-    return compared.applyInPandas(_compare(radius, tile, words, between), "u binary, v binary, more boolean")
+    ordered = fps.select("fp", _tile_order(F.col("fp"), words).alias("at")).repartitionByRange(blocks, "at", "fp").sortWithinPartitions("at", "fp")
+    tiles = checkpointed(ordered.select("fp").mapInPandas(_pack(tile, words), "block int, tile int, fps binary, n int, low array<int>, high array<int>"))
+    runs, low, high = _runs(tiles, max(1, -(-n // blocks)))
+
+    @F.pandas_udf("array<int>")
+    def others(run: pd.Series) -> pd.Series:
+        """The runs that may hold a link to each run, itself included."""
+        near = {k: np.flatnonzero(np.maximum(0, np.maximum(low - high[k], low[k] - high)).sum(axis=1) <= radius) for k in run.unique()}
+        return run.map(near)
+
+    met = tiles.join(runs, "block").withColumn("other", F.explode(others("run")))
+    met = met.select("run", "block", "tile", "fps", "n", F.least("run", "other").cast("int").alias("lo"), F.greatest("run", "other").cast("int").alias("hi"))
+    compared = met.repartition(min(PAIR_TASKS, max(1, len(low) * (len(low) + 1) // 2)), "lo", "hi").groupBy("lo", "hi")
+    return compared.applyInPandas(_compare(radius, tile, words), "u binary, v binary")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, words: int = 1, radius: int = 4) -> DataFrame:
@@ -330,16 +319,97 @@ def _shingles(text: Column, size: int) -> Column:
     return of(text.cast("string"))
 
 
-def _ordered(links: DataFrame) -> DataFrame:
-    return links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-
-
-def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The ``links`` whose ``sets(fp, s)`` have the Jaccard similarity."""
-    one, other = sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), sets.select(F.col("fp").alias("v"), F.col("s").alias("b"))
-    both = skew_join(skew_join(links, one, ["u"]), other, ["v"], counted=links)
-    shared = F.size(F.array_intersect("a", "b"))
-    return checkpointed(both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v"))
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``a`` has in common with each of ``b``: products of their incidences, over shingles that both sides hold."""
+    if len(a) * len(b) <= 4:
+        return np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in b] for x in a])
+    flat = [np.concatenate(x) for x in (a, b)]
+    row = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b)]
+    if a is b:
+        values, counts = np.unique(flat[0], return_counts=True)
+        shared = values[counts > 1]
+    else:
+        shared = np.intersect1d(*map(np.unique, flat), assume_unique=True)
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not len(shared):
+        return out
+    at = [np.minimum(np.searchsorted(shared, x), len(shared) - 1) for x in flat]
+    held = [shared[i] == x for i, x in zip(at, flat)]
+    (row_a, at_a), (row_b, at_b) = ((r[h], i[h]) for r, i, h in zip(row, at, held))
+    for first in range(0, len(shared), COLUMNS):
+        sides = []
+        for r, i, n in ((row_a, at_a, len(a)), (row_b, at_b, len(b))):
+            here = (i >= first) & (i < first + COLUMNS)
+            m = np.zeros((n, min(COLUMNS, len(shared) - first)), np.float32)
+            m[r[here], i[here] - first] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _verify(similarity: float):
+    def links(a: dict, b: dict | None) -> tuple[list[bytes], list[bytes]]:
+        """A spanning forest of the pairs of a tile, or between two, whose sets have the similarity."""
+        sets = [np.split(np.frombuffer(t["hashes"], np.int64), np.cumsum(t["sizes"])[:-1]) for t in (a, b or a)]
+        if b is None:
+            sets[1] = sets[0]
+        sizes = [np.array(t["sizes"], np.int64) for t in (a, b or a)]
+        shared = _overlaps(*sets).astype(np.float64)
+        i, j = np.nonzero(shared >= similarity * (sizes[0][:, None] + sizes[1][None, :] - shared))
+        if b is None:
+            i, j = i[i < j], j[i < j]
+        else:
+            j = j + len(sizes[0])
+        names = a["fps"] + (b["fps"] if b else [])
+        u, v = _forest(np.arange(len(names)), i, j, np.zeros(len(i)))
+        return [names[k] for k in u], [names[k] for k in v]
+
+    def run(pair: pa.Table) -> pa.Table:
+        """Of a pair of tiles both or, where a hash left one empty, one; or the tile that is compared with itself."""
+        t = pair.to_pylist()
+        same = t[0]["lo"] == t[0]["hi"]
+        u, v = links(t[0], None if same else t[1]) if same or len(t) == 2 else ([], [])
+        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
+
+    return run
+
+
+def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted sets to one row for each tile."""
+    tile, rows = None, []
+
+    def row() -> pa.RecordBatch:
+        (group, part, parts), fps, sets = tile, [r[0] for r in rows], [r[1] for r in rows]
+        columns = [[group], [part], [parts], [fps], [[len(s) for s in sets]], [np.concatenate(sets).tobytes()]]
+        kinds = [pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["group", "part", "parts", "fps", "sizes", "hashes"])
+
+    for batch in batches:
+        names, sets = (batch.select(["group", "part", "parts"]).to_pylist(), batch.column("s"))
+        for name, fp, s in zip(names, batch.column("fp").to_pylist(), sets):
+            if tile != (key := tuple(name.values())):
+                if rows:
+                    yield row()
+                tile, rows = key, []
+            rows.append((fp, s.values.to_numpy()))
+    if rows:
+        yield row()
+
+
+def jaccard_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """``sets(group, fp, s)`` to verified links ``(u, v)`` that connect the sets of each group whose Jaccard similarity is ``similarity`` or more, directly or by steps.
+
+    The sets of a group lie in tiles by a hash of ``fp``; each tile meets each of its group in
+    a task that holds two of them, whatever the group's size.
+    """
+    sizes = sets.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.size("s")).alias("shingles")).where("n > 1")
+    parts = F.greatest(F.ceil(F.col("n") / TILE_SETS), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int").alias("parts")
+    dealt = sets.join(sizes.select("group", parts), "group").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    placed = dealt.select("group", "part", "parts", "fp", "s").repartition("group", "part").sortWithinPartitions("group", "part")
+    tiles = stored(placed.mapInArrow(_tiled, "group binary, part int, parts int, fps array<binary>, sizes array<int>, hashes binary"))
+    met = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("group", "part", "fps", "sizes", "hashes", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    return met.groupBy("group", "lo", "hi").applyInArrow(_verify(similarity), "u binary, v binary")
 
 
 def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, words: int = 4, similarity: float = 0.8) -> DataFrame:
@@ -347,45 +417,23 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     A group is what links of a Jaccard similarity of ``similarity`` or more between the
     distinct ``size``-word shingles of whole texts connect. Texts of fewer words are one
-    shingle; null, empty and wordless texts are one group. Candidates differ in as many
-    fingerprint bits as that similarity makes likely, or up to four standard deviations more;
-    every link that is used is verified on the shingles themselves. Equal rows are one group like any
+    shingle; null, empty and wordless texts are one group. Texts meet if steps of as many
+    differing fingerprint bits as that similarity makes likely, or up to four standard deviations more,
+    lead from one to the other; every link is verified on the shingles themselves. Equal rows are one group like any
     copies; an empty table gives no rows. Columns may have any names.
     """
-    node = _node(F.col(text), size, words)
-    prints = stored(docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("hash"), node.alias("fp")))
+    key_of, hash_of = F.col(f"`{key}`"), F.xxhash64(F.col(f"`{text}`"))
+    prints = stored(docs.select(key_of.alias("key"), hash_of.alias("hash"), _node(F.col(f"`{text}`"), size, words).alias("fp")))
     distinct = checkpointed(prints.groupBy("fp").agg(F.min(F.struct(F.col("key").isNull().alias("unnamed"), "key", "hash")).alias("row")))
     radius = radius_for(similarity, 64 * words, 4.0)
-    links = checkpointed(_ordered(fingerprint_links(distinct.select("fp"), radius, words=words)))
-    # The shingles of one row of each linked node, whichever of its links are looked at.
-    ends = links.select(F.col("u").alias("fp")).union(links.select(F.col("v").alias("fp"))).distinct()
-    wanted = distinct.join(ends, "fp", "left_semi").select("fp", F.col("row.key").alias("__key"), F.col("row.hash").alias("__hash"))
-    texts = docs.select(F.col(key).alias("__k"), F.xxhash64(F.col(text)).alias("__hash"), F.col(text).alias("__text"))
-    met = texts.join(wanted, (F.col("__k").eqNullSafe(F.col("__key"))) & (texts["__hash"] == wanted["__hash"])).select("fp", "__text").dropDuplicates(["fp"])
-    sets = stored(met.select("fp", _shingles(F.col("__text"), size).alias("s")))
-    verified = _verified(links, sets, similarity)
-    named = checkpointed(_rooted(distinct, verified))
-    # Groups with a link that failed: between these, other candidates may hold. The forest joins all candidates, so every group that is left out of one is the end of such a link.
-    failed = links.join(verified, ["u", "v"], "left_anti")
-    ends = failed.select(F.col("u").alias("fp")).union(failed.select(F.col("v").alias("fp")))
-    open_ = named.join(ends.distinct(), "fp", "left_semi").select("root").distinct()
-    active = checkpointed(named.join(open_, "root", "left_semi").select("fp", "root", F.col("root").alias("was")))
-    between = BETWEEN
-    while not active.isEmpty():
-        looked_at = checkpointed(fingerprint_links(active, radius, words=words, between=between))
-        near = checkpointed(_ordered(looked_at).join(links, ["u", "v"], "left_anti"))
-        between *= MORE
-        held = _verified(near, sets, similarity)
-        if not held.isEmpty():
-            root = active.select("fp", "root")
-            edges = held.join(root.toDF("u", "a"), "u").join(root.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-            moved = connected_components(edges).toDF("root", "to")
-            active = checkpointed(active.join(moved, "root", "left").select("fp", F.coalesce("to", "root").alias("root"), "was"))
-        if looked_at.where("more").isEmpty():
-            break
-        links = checkpointed(links.union(near))
-    joined = active.where("root <> was").groupBy(F.col("was").alias("root")).agg(F.first("root").alias("to"))
-    picked = checkpointed(named.join(joined, "root", "left").groupBy(F.coalesce("to", "root").alias("root")).agg(F.min("row").alias("row")))
-    chosen = picked.select(F.col("row.key").alias("__key"), F.col("row.hash").alias("__hash"), F.col("root").alias("__root"))
-    found = docs.join(chosen, F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(F.col(text)) == F.col("__hash")))
-    return found.dropDuplicates(["__root"]).select(*docs.columns)
+    near = checkpointed(connected_components(fingerprint_links(distinct.select("fp"), radius, words=words)))
+    # The shingles of one row of each text that has a neighbour.
+    wanted = near.join(distinct, near["node"] == distinct["fp"]).select("fp", F.col("component").alias("group"), F.col("row.key").alias("wanted_key"), F.col("row.hash").alias("wanted_hash"))
+    texts = docs.select(key_of.alias("key"), hash_of.alias("hash"), F.col(f"`{text}`").cast("string").alias("content"))
+    met = texts.join(wanted, F.col("key").eqNullSafe(F.col("wanted_key")) & (F.col("hash") == F.col("wanted_hash")))
+    sets = stored(met.select("group", "fp", "content").dropDuplicates(["fp"]).select("group", "fp", _shingles(F.col("content"), size).alias("s")))
+    named = _rooted(distinct, jaccard_links(sets, similarity))
+    chosen = checkpointed(named.groupBy("root").agg(F.min("row").alias("row")).select("root", F.col("row.key").alias("wanted_key"), F.col("row.hash").alias("wanted_hash")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), key_of.alias("key"), hash_of.alias("hash"))
+    found = rows.join(chosen, F.col("key").eqNullSafe(F.col("wanted_key")) & (F.col("hash") == F.col("wanted_hash")))
+    return found.select("root", "doc").dropDuplicates(["root"]).select("doc.*")

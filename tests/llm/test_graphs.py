@@ -463,3 +463,40 @@ def test_registered_digests(spark, small):
     assert {r.doc_id: r.fingerprint for r in found["op10_simhash"](spark, small).collect()} == {k: f"{plain_fingerprint(t):016x}" for k, t in texts.items()}
     for name, mod, out in (("op4_toxicity", 5, 0), ("op9_langid", 4, 2)):
         assert {r.doc_id: r.held_out for r in found[name](spark, small).collect()} == {k: zlib.crc32(str(k).encode()) % mod == out for k in texts}
+
+
+def test_near_dedup_of_a_large_group_just_below(spark):
+    """2 000 texts 0.75 to 0.79 alike in pairs stay, copies among them go, whatever the columns are called."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(400)]
+    rows = []
+    for k in range(2_000):
+        words = list(base)
+        for i in range(k % 5, 400, 80):
+            words[(i + rng.randrange(20)) % 400] = f"n{k}.{i}"
+        rows.append((k, " ".join(words), 1, 2, 3))
+    sets = [plain_shingles(t) for _, t, *_ in rows]
+    some = [len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in ((rng.randrange(2_000), rng.randrange(2_000)) for _ in range(2_000)) if i != j]
+    assert 0.7 < sum(some) / len(some) < 0.8
+    rows += [(10_000 + k, rows[k][1] + " once more", 1, 2, 3) for k in range(0, 2_000, 100)]
+    sets += [plain_shingles(t) for _, t, *_ in rows[2_000:]]
+    held = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            held.setdefault(x, []).append(i)
+    code = {x: n for n, x in enumerate(k for k, v in held.items() if len(v) > 1)}
+    m = np.zeros((len(sets), len(code)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [code[x] for x in s if x in code]] = 1
+    shared, sizes = m @ m.T, np.array([len(s) for s in sets])
+    i, j = np.nonzero(shared >= 0.8 * (sizes[:, None] + sizes - shared))
+    root = plain_components(range(len(rows)), [(int(a), int(b)) for a, b in zip(i, j) if a < b])
+    least = {}
+    for k, r in enumerate(rows):
+        least[root[k]] = min(r[0], least.get(root[k], r[0]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __hash long, __key long, __root long").repartition(6)
+    out = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(r.doc_id for r in out.select("doc_id").collect()) == sorted(least.values()) and len(least) > 1_000
