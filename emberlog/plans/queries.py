@@ -382,11 +382,71 @@ def multiline_join(spark, sf_dir):
 
 # --- templates ---------------------------------------------------------------------------
 
+# The fold in SQL: in each group (g) step n takes its n-th distinct body and the templates held so far, oldest first.
+_SAME = "list_transform(held, lambda t: list_sum(list_transform(range(1, len(words) + 1), lambda i: CASE WHEN t[i] = '<*>' OR t[i] = words[i] THEN 1 ELSE 0 END)))"
+_MINTED = "CASE WHEN same >= 0.5 * len(words) THEN list_transform(range(1, len(words) + 1), lambda i: CASE WHEN held[best][i] = words[i] THEN words[i] ELSE '<*>' END) ELSE words END"
+_MINED = f"""WITH RECURSIVE logs AS ({LOGS_SQL}),
+bodies AS (SELECT project_id, body, string_split(body, ' ') AS words, min(log_id) AS arrival FROM logs WHERE body <> '' AND NOT contains(body, chr(10)) AND len(string_split(body, ' ')) <= 200 GROUP BY ALL),
+grouped AS (SELECT *, dense_rank() OVER (ORDER BY project_id, len(words), CASE WHEN regexp_matches(words[1], '[0-9]') THEN '<*>' ELSE words[1] END) AS g FROM bodies),
+keyed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY arrival) AS n FROM grouped),
+steps AS (SELECT DISTINCT g, cast(0 AS bigint) AS n, cast([] AS varchar[][]) AS held, cast([] AS bigint[]) AS firsts, cast(NULL AS varchar[]) AS chosen, cast(NULL AS bigint) AS mint_id FROM keyed
+  UNION ALL SELECT g, n, CASE WHEN covered THEN held ELSE list_append(held, minted) END, CASE WHEN covered THEN firsts ELSE list_append(firsts, arrival) END,
+    CASE WHEN covered THEN held[best] ELSE minted END, CASE WHEN covered THEN firsts[best] ELSE arrival END
+  FROM (SELECT *, coalesce(same = len(words), false) AS covered, {_MINTED} AS minted
+  FROM (SELECT *, list_max(sames) AS same, list_position(sames, list_max(sames)) AS best
+  FROM (SELECT s.g, k.n, held, firsts, words, arrival, {_SAME} AS sames FROM steps s JOIN keyed k ON k.g = s.g AND k.n = s.n + 1)))),
+mined AS (SELECT k.project_id, k.body, k.words, k.arrival, s.chosen, s.mint_id FROM steps s JOIN keyed k USING (g, n)),
+templates AS (SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY arrival) AS template_id, array_to_string(chosen, ' ') AS template, arrival AS first_log_id FROM mined WHERE mint_id = arrival),
+encoded AS (SELECT log_id, l.project_id, coalesce(template_id, 0) AS template_id, CASE WHEN template_id IS NULL THEN coalesce(l.body, '') ELSE
+  array_to_string(list_transform(list_filter(range(1, len(words) + 1), lambda i: chosen[i] = '<*>'), lambda i: words[i]), '|') END AS vars, template_id IS NULL AS raw
+  FROM logs l LEFT JOIN mined m ON m.project_id = l.project_id AND m.body = l.body LEFT JOIN templates t ON t.project_id = m.project_id AND t.first_log_id = m.mint_id)
+"""
+_TEMPLATES, _ENCODED = _MINED + "SELECT * FROM templates", _MINED + "SELECT log_id, project_id, template_id, vars FROM encoded"
 
-@query()
+
+def _shown(mined: DataFrame) -> DataFrame:
+    wild = F.transform("tokens", lambda t: F.when(t == templates.WILD, "<*>").otherwise(t))
+    return mined.select("project_id", "template_id", F.array_join(wild, " ").alias("template"), "first_log_id")
+
+
+def _values(encoded: DataFrame) -> DataFrame:
+    return encoded.select("log_id", "project_id", "template_id", F.coalesce("raw", F.array_join("vars", "|"), F.lit("")).alias("vars"))
+
+
+def _mined_in_batches(spark: SparkSession, sf_dir: str) -> str:
+    """The logs mined as five batches in turn, each after the templates that those before it have stored."""
+    path, logs = views.scratch(spark), views.logs(spark, sf_dir)
+    last = logs.agg(F.max("log_id")).head()[0] or 0
+    for k in range(5):
+        templates.append_templates(logs.where(F.floor(F.col("log_id") * 5 / (last + 1)) == k), path, k)
+    return path
+
+
+@query(_TEMPLATES, plain=True)
 def mine_templates(spark, sf_dir):
-    mined, _ = templates.mine_templates(views.logs(spark, sf_dir))
-    return mined.select("project_id", "template_id", F.array_join("tokens", " ").alias("template"), "first_log_id")
+    return _shown(templates.mine_templates(views.logs(spark, sf_dir))[0])
+
+
+@query(_ENCODED, plain=True)
+def encoded_bodies(spark, sf_dir):
+    """Every record's template and variables."""
+    return _values(templates.mine_templates(views.logs(spark, sf_dir))[1])
+
+
+@query(_TEMPLATES, plain=True)
+def mine_templates_in_batches(spark, sf_dir):
+    return _shown(templates.stored_templates(spark, _mined_in_batches(spark, sf_dir)))
+
+
+@query(_ENCODED, plain=True)
+def encoded_in_batches(spark, sf_dir):
+    return _values(templates.encoded_logs(spark, _mined_in_batches(spark, sf_dir)))
+
+
+@query(_TEMPLATES, plain=True)
+def mine_templates_in_rounds(spark, sf_dir):
+    """Groups of more than 200 bodies mined in rounds, in parallel."""
+    return _shown(templates.mine_templates(views.logs(spark, sf_dir), in_order=200)[0])
 
 
 @query("SELECT log_id, project_id, body FROM logs")
@@ -401,7 +461,8 @@ def search_encoded(spark, sf_dir):
     return templates.search_encoded(encoded, mined, "items/12")
 
 
-@query()
+@query(_MINED + """SELECT (SELECT count(*) FROM templates) AS templates, count(*) AS rows, count(*) FILTER (raw) AS raw_rows, cast(coalesce(sum(CASE WHEN raw THEN 0 ELSE strlen(replace(vars, '|', '')) END), 0) AS bigint) AS variable_bytes,
+cast(coalesce(sum(CASE WHEN raw THEN strlen(vars) ELSE 0 END), 0) AS bigint) AS raw_bytes, 100.0::double * count(*) FILTER (NOT raw) / count(*) AS templated_pct FROM encoded""", plain=True)
 def template_report(spark, sf_dir):
     mined, encoded = templates.mine_templates(views.logs(spark, sf_dir))
     return templates.template_report(encoded, mined)

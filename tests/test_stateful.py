@@ -276,7 +276,7 @@ def plain_templates(bodies):
     return out
 
 
-def test_templates(spark):
+def test_templates(spark, tmp_path, monkeypatch):
     rng = random.Random(7)
     bodies = [" ".join(rng.choice(["get", "put", "user", f"{rng.randint(0, 9)}", "x"]) for _ in range(rng.randint(1, 5))) for _ in range(250)] + ["", "a\nb", "nul\0", " ".join(["w"] * 201), "get  two", None]
     logs = spark.createDataFrame([(i, 1 + i % 2, b) for i, b in enumerate(bodies)], "log_id long, project_id long, body string").repartition(3)
@@ -292,6 +292,27 @@ def test_templates(spark):
         assert sorted(r.log_id for r in templates.search_encoded(encoded, mined, q).collect()) == [i for i, b in enumerate(bodies) if b and q in b]
     sure = {(r.project_id, r.template_id) for r in templates.templates_containing(mined, "get").collect()}
     assert sure == {k for k, t in tokens.items() if any("get" in run for run in " ".join(t).split("\0"))}
+    # In rounds, in batches in turn and in a stream: row for row the same.
+    rows_of = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    whole = rows_of(mined), rows_of(encoded)
+    monkeypatch.setattr(templates, "TOGETHER", 7)
+    for in_order in (1, 4, 20):
+        again = templates.mine_templates(logs, in_order=in_order)
+        assert (rows_of(again[0]), rows_of(again[1])) == whole
+    path = str(tmp_path)
+    for epoch, (low, high) in enumerate([(0, 60), (60, 61), (61, 61), (61, 400)]):
+        batch = logs.where(f"log_id >= {low} and log_id < {high}")
+        templates.append_templates(batch, f"{path}/turns", epoch)
+        templates.append_templates(batch, f"{path}/turns", epoch)  # as after a failure
+    assert (rows_of(templates.stored_templates(spark, f"{path}/turns")), rows_of(templates.encoded_logs(spark, f"{path}/turns"))) == whole
+    for k in range(3):
+        logs.where(f"log_id % 300 div 100 = {k}").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    stream.writeStream.foreachBatch(templates.mine_stream(f"{path}/out")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert (rows_of(templates.stored_templates(spark, f"{path}/out")), rows_of(templates.encoded_logs(spark, f"{path}/out"))) == whole
+    first, _ = templates.mine_templates(logs.where("log_id < 60"), cap=4)
+    both, _ = templates.mine_templates(logs.where("log_id >= 60"), cap=4, stored=first)
+    assert rows_of(first.unionByName(both)) == rows_of(templates.mine_templates(logs, cap=4)[0])
     few, capped = templates.mine_templates(logs, cap=3)
     assert few.count() == 6 and {r.log_id: r.body for r in templates.reconstruct(capped, few).collect()} == dict(enumerate(bodies))
     report = templates.template_report(encoded, mined).head()
