@@ -101,16 +101,56 @@ def ship_records(spark, sf_dir):
     return writers.to_ship_records(views.logs(spark, sf_dir).withColumnRenamed("body", "text"))
 
 
-@query(f"""WITH l AS ({_LINES}), s AS (SELECT *, regexp_matches(text, '^(?:panic:|fatal error:)') AS head, regexp_matches(text, '^(?:[ \\t]|at |Caused by:|\\.\\.\\. [0-9]+ more)') AS more, CASE conv_id % 3 WHEN 2 THEN turn ELSE 0 END AS session FROM l),
+_GAPS = f"""WITH l AS ({_LINES}), s AS (SELECT *, regexp_matches(text, '^(?:panic:|fatal error:)') AS head, regexp_matches(text, '^(?:[ \\t]|at |Caused by:|\\.\\.\\. [0-9]+ more)') AS more, CASE conv_id % 3 WHEN 2 THEN turn ELSE 0 END AS session FROM l),
 a AS (SELECT *, coalesce(bool_or(head) OVER (PARTITION BY conv_id, session ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS seen, row_number() OVER (PARTITION BY conv_id, session ORDER BY turn) AS k FROM s),
 b AS (SELECT *, sum(CASE WHEN k = 1 OR head OR (NOT seen AND NOT more) THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, session ORDER BY turn) AS rec FROM a)
-SELECT cast(conv_id AS varchar) AS source, min(turn) AS seq, string_agg(text, chr(10) ORDER BY turn) AS text, count(*) AS lines FROM b GROUP BY conv_id, session, rec""", plain=True)
+SELECT cast(conv_id AS varchar) AS source, min(turn) AS seq, string_agg(text, chr(10) ORDER BY turn) AS text, count(*) AS lines FROM b GROUP BY conv_id, session, rec"""
+
+
+@query(_GAPS, plain=True)
 def multiline_gap(spark, sf_dir):
     """As ``multiline_join``, with lines of every third source two seconds apart, beyond the join window."""
+    return multiline.join_multiline(_gap_lines(spark, sf_dir)).select("source", "seq", "text", "lines")
+
+
+def _gap_lines(spark, sf_dir):
     spark.read.parquet(f"{sf_dir}/conversations.parquet").createOrReplaceTempView("conversations")
     ts = F.timestamp_seconds(F.col("turn") * F.when(F.col("conv_id") % 3 == 2, 2).otherwise(1))
-    lines = spark.sql(_LINES).select(F.col("conv_id").cast("string").alias("source"), F.lit("chat").alias("service"), F.col("turn").alias("seq"), ts.alias("ts"), "text")
-    return multiline.join_multiline(lines).select("source", "seq", "text", "lines")
+    return spark.sql(_LINES).select(F.col("conv_id").cast("string").alias("source"), F.lit("chat").alias("service"), F.col("turn").alias("seq"), ts.alias("ts"), "text")
+
+
+@query(_GAPS, plain=True)
+def multiline_sliced(spark, sf_dir):
+    """The same with slices of two lines, so that every state goes from slice to slice."""
+    return multiline.join_multiline(_gap_lines(spark, sf_dir), slice_size=2).select("source", "seq", "text", "lines")
+
+
+@query(_GAPS, plain=True)
+def stream_multiline(spark, sf_dir):
+    """The same as a stream of three batches, each with some turns of all sources: records go on from batch to batch."""
+    path, lines = views.scratch(spark), _gap_lines(spark, sf_dir).withColumn("seq", F.col("seq").cast("long"))
+    for part in ("seq <= 1", "seq between 2 and 4", "seq > 4 or seq is null"):
+        lines.where(part).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    stream.writeStream.foreachBatch(multiline.join_stream(path)).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return multiline.stream_records(spark, path).select("source", "seq", "text", "lines")
+
+
+# Lines of documents: most of them continuations, some of them crash headers. Records are at most 1000 bytes long beyond their first line.
+_DOC_LINE = "concat(CASE WHEN seq % 37 = 5 THEN 'panic: ' WHEN seq % 11 <> 0 THEN chr(9) ELSE '' END, line)"
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT source, seq, {_DOC_LINE} AS text FROM (SELECT cast(doc_id AS varchar) AS source, unnest(string_split(text, chr(10))) AS line, cast(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS bigint) AS seq FROM documents WHERE text IS NOT NULL)),
+b AS (SELECT *, strlen(text) AS bytes, starts_with(text, 'panic:') AS head, starts_with(text, chr(9)) OR starts_with(text, ' ') OR starts_with(text, 'at ') OR starts_with(text, 'Caused by:') AS more FROM l),
+s AS (SELECT source, seq, bytes AS size, head AS crash, seq AS record FROM b WHERE seq = 0
+ UNION ALL SELECT source, seq, CASE WHEN joins AND NOT breaks THEN size + 1 + bytes ELSE bytes END, CASE WHEN joins AND NOT breaks THEN crash WHEN breaks THEN false ELSE head END, CASE WHEN joins AND NOT breaks THEN record ELSE seq END
+ FROM (SELECT b.source, b.seq, bytes, head, size, crash, record, (NOT head AND (crash OR more)) AS joins, (NOT head AND (crash OR more)) AND size + 1 + bytes > 1000 AS breaks FROM s JOIN b ON b.source = s.source AND b.seq = s.seq + 1))
+SELECT source, record AS seq, count(*) AS lines, string_agg(text, chr(10) ORDER BY s.seq) AS text FROM s JOIN b USING (source, seq) GROUP BY ALL""", plain=True)
+def multiline_capped(spark, sf_dir):
+    """Lines of documents as records under a limit that many of them reach."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("source"), F.posexplode(F.split("text", "\n")).alias("seq", "line"))
+    lines = docs.select("source", F.lit("docs").alias("service"), "seq", F.lit(None).cast("timestamp").alias("ts"), F.expr(_DOC_LINE).alias("text"))
+    return multiline.join_multiline(lines, max_bytes=1000, slice_size=16).select("source", "seq", "lines", "text")
 
 
 # --- texts and bodies --------------------------------------------------------------------

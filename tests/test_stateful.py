@@ -235,7 +235,7 @@ def plain_join(lines, cap):
 
 
 @pytest.mark.parametrize("cap", [10**6, 40])
-def test_multiline(spark, cap):
+def test_multiline(spark, tmp_path, cap):
     rng = random.Random(cap)
     kinds = ["plain line", "  indented", "\ttab", "at com.x.Y", "Caused by: z", "... 12 more", "panic: boom", "fatal error: x", "goroutine 7 [running]:", "main.go:5 +0x1", "", "atlas"]
     rows, expected = [], []
@@ -249,9 +249,38 @@ def test_multiline(spark, cap):
         for end in [*gaps, len(lines)]:
             expected += [(f"s{source}", r) for r in plain_join(lines[cut:end], cap)]
             cut = end
-    got = multiline.join_multiline(spark.createDataFrame(rows, schema.LINES).repartition(3), max_bytes=cap).collect()
-    assert sorted((r.source, r.text) for r in got) == sorted(expected)
-    assert sum(r.lines for r in got) == len(rows)
+    lines = spark.createDataFrame(rows, schema.LINES).repartition(3)
+    for slice_size in (multiline.SLICE, 3):
+        got = multiline.join_multiline(lines, max_bytes=cap, slice_size=slice_size).collect()
+        assert sorted((r.source, r.text) for r in got) == sorted(expected)
+        assert sum(r.lines for r in got) == len(rows)
+    # The same lines as a stream, whose batches cut records.
+    for k in range(4):
+        lines.where(f"seq div 7 = {k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    assert multiline.stream_records(spark, f"{tmp_path}/out").count() == 0
+    into = multiline.join_stream(f"{tmp_path}/out", max_bytes=cap)
+    stream.writeStream.foreachBatch(into).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    again = lines.where("seq div 7 = 3")
+    into(again, 3)  # as after a failure
+    assert sorted((r.source, r.text) for r in multiline.stream_records(spark, f"{tmp_path}/out").collect()) == sorted(expected)
+    complete = multiline.stream_records(spark, f"{tmp_path}/out", with_open=False)
+    assert complete.count() == len(expected) - 12
+
+
+def test_multiline_odd_lines(spark, tmp_path):
+    rows = [(None, "a", 1, START, "x"), (None, "b", 2, START, "  y"), ("s", "a", 5, START, None), ("s", "a", 6, None, " z"), ("s", "a", 90_000, START, "\tw"), ("t", "a", 1, START, "panic: " + "p" * 60), ("t", "a", 2, START, " q"), ("t", "a", 3, START, "r")]
+    lines = spark.createDataFrame(rows, schema.LINES)
+    got = sorted(((r.source, r.service, r.seq, r.text, r.lines) for r in multiline.join_multiline(lines, max_bytes=50).collect()), key=repr)
+    assert got == sorted([(None, "a", 1, "x\n  y", 2), ("s", "a", 5, "\n z\n\tw", 3), ("t", "a", 1, rows[5][4], 1), ("t", "a", 2, " q", 1), ("t", "a", 3, "r", 1)], key=repr)
+    assert multiline.join_multiline(lines.limit(0)).count() == 0
+    # A source that is silent for long is complete without a further line.
+    into = multiline.join_stream(str(tmp_path), idle="10 seconds")
+    into(lines.where("source = 't'"), 0)
+    assert multiline.stream_records(spark, str(tmp_path), with_open=False).count() == 0
+    into(spark.createDataFrame([("u", "a", 1, START + timedelta(seconds=60), "new")], schema.LINES), 1)
+    assert [r.source for r in multiline.stream_records(spark, str(tmp_path), with_open=False).collect()] == ["t"]
+    assert sorted(r.source for r in multiline.stream_records(spark, str(tmp_path)).collect()) == ["t", "u"]
 
 
 def plain_templates(bodies):
