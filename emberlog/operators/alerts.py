@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.severity import severity_name
 from emberlog.operators.rules import MAX_RULES
+from emberlog.operators.storage import kept
 
 ATTEMPTS = 3
+#: Log ids in a slice; seconds in a chunk of a rule's candidates; fires that are broadcast, at most.
+SLICE, CHUNK_SECONDS, MAX_FIRES = 65_536, 3600, 100_000
 
 
 def match_alerts(events: DataFrame, rules: DataFrame) -> DataFrame:
@@ -53,40 +57,115 @@ def threshold_counts(matches: DataFrame) -> DataFrame:
     return counted.withColumn("event_count", F.col("__before") + F.col("__rank")).select(*matches.columns, "event_count")
 
 
-def _greedy(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of sorted candidates those that fire: each at least a cooldown after its rule's fire before it."""
-    rule, last = None, None
+def _records(rows: DataFrame) -> DataFrame:
+    """The candidates that are later than all of their rule that arrived before them. No other can fire: the earlier, later one fired itself, or what kept it from firing keeps this one."""
+    sliced = rows.withColumn("slice", F.floor(F.col("log_id") / SLICE))
+    before = Window.partitionBy("rule_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    latest = sliced.groupBy("rule_id", "slice").agg(F.max("us").alias("us"))
+    earlier = latest.select("rule_id", "slice", F.max("us").over(before).alias("latest"))
+    here = Window.partitionBy("rule_id", "slice").orderBy("log_id").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.greatest(F.col("latest"), F.max("us").over(here))
+    return sliced.join(earlier, ["rule_id", "slice"]).withColumn("seen", seen).where("seen is null or us > seen").drop("slice", "latest", "seen")
+
+
+def _chunks(settle: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Streams through sorted rows, a chunk of a rule at a time."""
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in pdfs:
+            for key, part in pdf.groupby(["rule_id", "chunk"], sort=False):
+                if held and key != (held[0]["rule_id"].iloc[0], held[0]["chunk"].iloc[0]):
+                    yield settle(pd.concat(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield settle(pd.concat(held))
+
+    return run
+
+
+def _next(us: np.ndarray, cooldown: int) -> np.ndarray:
+    """Of each candidate, should it fire, the next one that does; the number of candidates for none."""
+    return np.searchsorted(us, us + cooldown)
+
+
+def _summary(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What a chunk makes of the first time at which its rule may fire again: pieces of such times (``upto``) and the last fire that each leads to."""
+    us, cooldown = pdf["us"].to_numpy(), int(pdf["cooldown"].iloc[0])
+    jump, last = _next(us, cooldown), np.arange(len(us))
+    while (jump < len(us)).any():  # pointer doubling
+        on = np.flatnonzero(jump < len(us))
+        last[on] = last[jump[on]]
+        jump = np.append(jump, len(us))[jump]
+    ends = np.append(np.flatnonzero(last[1:] != last[:-1]), len(us) - 1)
+    first = pdf.iloc[[0]][["rule_id", "chunk", "cooldown", "last"]]
+    return first.assign(upto=[us[ends].tolist()], fire=[us[last[ends]].tolist()])
+
+
+def _fold(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Through a rule's chunks in order: from when on it may fire in each."""
+    rule, due = None, None
     for pdf in pdfs:
-        fired = []
+        out = []
         for r in pdf.itertuples():
             if r.rule_id != rule:
-                rule, last = r.rule_id, None if pd.isna(r.last) else int(r.last)
-            due = last is None or int(r.us) - last >= int(r.cooldown) * 1_000_000
-            last = int(r.us) if due else last
-            fired.append(due)
-        yield pdf.loc[fired, ["rule_id", "log_id"]]
+                rule, due = r.rule_id, -(2**62) if pd.isna(r.last) else int(r.last) + int(r.cooldown)
+            out.append(due)
+            at = int(np.searchsorted(r.upto, due))
+            due = int(r.fire[at]) + int(r.cooldown) if at < len(r.upto) else due
+        yield pdf[["rule_id", "chunk"]].assign(due=pd.array(out, "int64"))
+
 
+def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The candidates of a chunk that fire."""
+    us, cooldown = pdf["us"].to_numpy(), int(pdf["cooldown"].iloc[0])
+    at, fired = int(np.searchsorted(us, int(pdf["due"].iloc[0]))), []
+    while at < len(us):
+        fired.append(at)
+        at = int(np.searchsorted(us, us[at] + cooldown))
+    return pdf.iloc[fired][["rule_id", "log_id"]]
 
-def apply_cooldown(candidates: DataFrame) -> DataFrame:
+
+def apply_cooldown(candidates: DataFrame, span: int = CHUNK_SECONDS) -> DataFrame:
     """The candidates that fire: in arrival order, each a cooldown or more after the rule's last fire (stored or new).
 
-    A rule's candidates pass through one task as a stream of small rows that are sorted on
-    disk where need be, and hold no memory; rules without a cooldown skip it.
+    Only candidates later than all before them can fire, so these alone are looked at. They lie in
+    chunks of ``span`` seconds, or of a cooldown where that is longer. From each candidate a
+    pointer leads to the one that fires next; doubled, the pointers reduce a chunk to a
+    short table from the time a rule may fire again to its last fire in the chunk. A scan over
+    those tables says when each chunk starts to fire, and the chunks then do so in parallel:
+    no task holds a rule.
     """
     free = candidates.where("rule_cooldown <= 0")
     bound = candidates.where("rule_cooldown > 0")
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    rows = bound.select("rule_id", "log_id", us("ts").alias("us"), F.col("rule_cooldown").cast("long").alias("cooldown"), us("rule_last_fired").alias("last"))
-    fired = rows.repartition("rule_id").sortWithinPartitions("rule_id", "log_id").mapInPandas(_greedy, "rule_id long, log_id long")
+    rows = bound.select("rule_id", "log_id", us("ts").alias("us"), (F.col("rule_cooldown").cast("long") * 1_000_000).alias("cooldown"), us("rule_last_fired").alias("last"))
+    chunk = F.floor(F.col("us") / F.greatest(F.col("cooldown"), F.lit(span * 1_000_000))).alias("chunk")
+    records = _records(rows).select("*", chunk)
+    dealt = records.repartition("rule_id", "chunk").sortWithinPartitions("rule_id", "chunk", "us")
+    tables = dealt.mapInPandas(_chunks(_summary), "rule_id long, chunk long, cooldown long, last long, upto array<long>, fire array<long>")
+    due = tables.repartition("rule_id").sortWithinPartitions("rule_id", "chunk").mapInPandas(_fold, "rule_id long, chunk long, due long")
+    timed = records.join(kept(due), ["rule_id", "chunk"]).repartition("rule_id", "chunk").sortWithinPartitions("rule_id", "chunk", "us")
+    fired = timed.mapInPandas(_chunks(_replay), "rule_id long, log_id long")
     return free.unionByName(bound.join(fired, ["rule_id", "log_id"], "left_semi"))
 
 
 def evaluate_alerts(events: DataFrame, rules: DataFrame) -> DataFrame:
-    """The fires: ``new_issue`` on new issues, ``regression`` on reopened ones, ``threshold`` on enough events in the window; then the cooldown. Events count toward thresholds during cooldowns as well."""
-    matches = match_alerts(events, rules)
+    """The fires: ``new_issue`` on new issues, ``regression`` on reopened ones, ``threshold`` on enough events in the window; then the cooldown. Events count toward thresholds during cooldowns as well.
+
+    What decides is a few narrow columns, which are read once and kept; whole events are
+    fetched for the fires alone.
+    """
+    narrow = events.select(*dict.fromkeys(c for c in ("project_id", "log_id", "ts", "severity", "service", "environment", "is_event", "is_new", "is_reopened") if c in events.columns))
+    matches = kept(match_alerts(narrow, rules))
     simple = matches.where("(rule_kind = 'new_issue' and is_new) or (rule_kind = 'regression' and is_reopened)").withColumn("event_count", F.lit(None).cast("long"))
     counted = threshold_counts(matches).where(F.col("event_count") >= F.col("rule_n"))
-    return apply_cooldown(simple.unionByName(counted))
+    fires = kept(apply_cooldown(kept(simple.unionByName(counted))))
+    added = [c for c in fires.columns if c.startswith("rule_") or c == "event_count"]
+    found = fires.select("log_id", *added)
+    found = F.broadcast(found) if found.limit(MAX_FIRES + 1).count() <= MAX_FIRES else found
+    return events.join(found, "log_id").select(*events.columns, *added)
 
 
 def _rfc3339(col):

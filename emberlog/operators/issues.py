@@ -11,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlog.operators.storage import kept
 from emberlog.schema import STATUSES
 
 KEY = ("project_id", "fingerprint")
@@ -48,9 +49,11 @@ def issue_outcomes(events: DataFrame, actions: DataFrame | None = None) -> DataF
 
     Both flags are sets of log ids, found by aggregation with partial sums; events are joined
     with them by id, never by issue, so an issue that most events belong to is no one task's.
+    Events are read twice, once for their issues and ids, which are kept, and once for the result.
     """
     events = events.where("is_event") if "is_event" in events.columns else events
-    first = events.groupBy(*KEY).agg(F.min("log_id").alias("__first"))
+    keys = kept(events.select(*KEY, "log_id"))
+    first = kept(keys.groupBy(*KEY).agg(F.min("log_id").alias("__first")))
     flags = first.select(F.col("__first").alias("log_id"), F.lit(True).alias("__new"), F.lit(False).alias("__back"))
     if actions is not None:
         # A resolving action holds until the next action; the first event in between reopens the issue.
@@ -58,10 +61,10 @@ def issue_outcomes(events: DataFrame, actions: DataFrame | None = None) -> DataF
         next_ = Window.partitionBy(*KEY).orderBy("__seq")
         spans = resolved.withColumn("__until", F.lead("__seq").over(next_)).where("status = 'resolved'").drop("status")
         spans = spans.join(first, list(KEY)).where("__seq >= __first").drop("__first")
-        hits = events.select(*KEY, "log_id").join(_narrow(spans), list(KEY)).where("log_id > __seq and (__until is null or log_id <= __until)")
+        hits = keys.join(_narrow(kept(spans)), list(KEY)).where("log_id > __seq and (__until is null or log_id <= __until)")
         back = hits.groupBy(*KEY, "__seq").agg(F.min("log_id").alias("log_id")).select("log_id", F.lit(False).alias("__new"), F.lit(True).alias("__back"))
         flags = flags.unionByName(back).groupBy("log_id").agg(F.max("__new").alias("__new"), F.max("__back").alias("__back"))
-    flagged = events.join(_narrow(flags), "log_id", "left")
+    flagged = events.join(_narrow(kept(flags)), "log_id", "left")
     return flagged.withColumns({"is_new": F.coalesce("__new", F.lit(False)), "is_reopened": F.coalesce("__back", F.lit(False))}).select(*events.columns, "is_new", "is_reopened")
 
 

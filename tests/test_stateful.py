@@ -207,6 +207,31 @@ def test_alerts(spark):
     assert after[2].last_error == "refused" and after[1].last_error == "" and after[1].last_fired > START and after[6].last_fired is None
 
 
+@pytest.mark.parametrize("late", [0, 40, 100_000])
+def test_cooldown_of_one_busy_rule(spark, late, monkeypatch):
+    """Against the fold, with candidates out of order by up to ``late`` seconds, chunks and slices smaller than a cooldown's worth."""
+    rng = random.Random(late)
+    monkeypatch.setattr(alerts, "SLICE", 50)
+    rows, last = [], {1: None, 2: START - timedelta(seconds=100), 3: START + timedelta(seconds=5_000)}
+    for rule in (1, 2, 3):
+        at = 0
+        for i in range(400):
+            at += rng.choice([0, 1, 1, 5, 30, 700])
+            rows.append((rule, 1000 * rule + i, START + timedelta(seconds=at - rng.randint(0, late)), {1: 60, 2: 90, 3: 4_000}[rule], last[rule]))
+    want = []
+    for rule in (1, 2, 3):
+        fired = last[rule]
+        for _, log_id, ts, cooldown, _ in (r for r in rows if r[0] == rule):
+            if fired is None or ts - fired >= timedelta(seconds=cooldown):
+                fired = ts
+                want.append((rule, log_id))
+    rows += [(4, 9_000 + i, START, 0, None) for i in range(3)]
+    table = spark.createDataFrame(rows, "rule_id long, log_id long, ts timestamp, rule_cooldown int, rule_last_fired timestamp").repartition(3)
+    for span in (60, 3600):
+        got = alerts.apply_cooldown(table, span).collect()
+        assert sorted((r.rule_id, r.log_id) for r in got) == want + [(4, 9_000), (4, 9_001), (4, 9_002)]
+
+
 def test_threshold_and_cooldown_goldens(spark):
     at = [0, 10, 20, 300]
     events = [dict(alert_events(random.Random(0), 1)[0], log_id=i, severity=5, ts=START + timedelta(seconds=s), is_new=False, is_reopened=False) for i, s in enumerate(at)]
