@@ -9,6 +9,7 @@ from emberlog.functions.severity import FATAL, INFO
 from emberlog.functions.text import EXCEPTION_KEYS, FINGERPRINT_KEY, PANIC, ansi_red, attr, fingerprint, is_event, strip_ansi, title
 from emberlog.operators.bodies import parse_bodies
 from emberlog.operators.rules import apply_noise_rules, apply_severity_rules
+from emberlog.operators.storage import spread
 
 
 def clean_bodies(logs: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def annotate_events(logs: DataFrame, key: str = FINGERPRINT_KEY) -> DataFrame:
 
 def normalize(logs: DataFrame, projects: DataFrame | None = None, severity_rules: DataFrame | None = None, noise_rules: DataFrame | None = None, key: str = FINGERPRINT_KEY) -> DataFrame:
     """Escapes off, bodies parsed, panics and severity rules lifted, noise dropped, events annotated, in this order: noise rules see the lifted severity."""
-    logs = detect_panic_severity(parse_bodies(clean_bodies(logs), projects))
+    logs = detect_panic_severity(parse_bodies(clean_bodies(spread(logs)), projects))
     if severity_rules is not None:
         logs = apply_severity_rules(logs, severity_rules)[0].drop("lift_rule_id")
     if noise_rules is not None:

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.severity import INFO
+from emberlog.operators.storage import kept
 from emberlog.schema import check_noise_rule, check_pattern
 
 #: Rules of one kind, at most: rule tables are edited by hand and compiled into the plan.
 MAX_RULES = 1000
+#: Log ids in a slice; ids that are broadcast, at most.
+SLICE, MAX_IDS = 65_536, 1_000_000
 
 
 def rule_rows(rules: DataFrame) -> list[Row]:
@@ -66,20 +69,46 @@ def _matches(rule: Row) -> Column:
     return scope & (F.col("severity") <= rule["severity"])
 
 
-def _every_nth(logs: DataFrame, match: Column, n: int) -> DataFrame:
-    """``logs`` with ``__nth``: for matching records whether the rule drops them, all but the 1st, (n+1)th, ... by log_id.
+def sample_scope(rows: list[Row]) -> Column:
+    """The places (in ``rows``) of the sampling rules that a record reaches alive as far as rules without a counter go: those in whose scope it is, before the first such rule that drops it."""
+    first = F.lit(len(rows))
+    for i, rule in reversed(list(enumerate(rows))):
+        if rule["kind"] != "sample":
+            first = F.when(_matches(rule), i).otherwise(first)
+    samples = [(i, r) for i, r in enumerate(rows) if r["kind"] == "sample"]
+    return F.array_compact(F.array(*(F.when(_matches(r) & (first > i), i) for i, r in samples))) if samples else F.array().cast("array<int>")
+
+
+def sampled_out(scoped: DataFrame, rows: list[Row], offsets: dict[int, int] | None = None) -> DataFrame:
+    """``(log_id, rule_id)`` of the records that sampling rules drop: all but the 1st, (n+1)th, ... that reach each by ``log_id``.
 
-    The position is a count within slices of the log_id range plus the counts of earlier
-    slices, so no task sees all matching records.
+    ``scoped(log_id, reached)`` says by :func:`sample_scope` which rules a record may reach.
+    ``offsets``, by rule id, is how many had reached each before, and is counted on. A record's place is a count within its slice of the ids
+    plus the counts of earlier slices, so no task sees all records of a rule; of slices there is one small row each.
     """
-    # 65 536 consecutive ids make a slice; of slices there is one small row each.
-    sliced = logs.withColumn("__slice", F.floor(F.col("log_id") / 65536)).withColumn("__match", F.coalesce(match, F.lit(False)))
-    counts = sliced.where("__match").groupBy("__slice").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("__slice", "__match").orderBy("log_id")
-    placed = sliced.withColumn("__rank", F.row_number().over(inside) - 1).join(offsets, "__slice", "left")
-    return placed.withColumn("__nth", F.col("__match") & ((F.col("__rank") + F.coalesce("__before", F.lit(0))) % n != 0)).drop("__slice", "__match", "__rank", "__before")
+    samples = [(i, r) for i, r in enumerate(rows) if r["kind"] == "sample"]
+    state = scoped.select("log_id", "reached", F.floor(F.col("log_id") / SLICE).alias("slice"), F.lit(None).cast("long").alias("rule_id"))
+    for k, (i, rule) in enumerate(samples):
+        hit = F.col("rule_id").isNull() & F.array_contains("reached", i)
+        counts = state.where(hit).groupBy("slice").agg(F.count("*").alias("n"))
+        before, seen = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1), 0
+        if offsets is not None:
+            counts = kept(counts)
+            seen = offsets.get(rule["id"], 0)
+            offsets[rule["id"]] = seen + (counts.agg(F.sum("n")).head()[0] or 0)
+        earlier = counts.select("slice", (F.coalesce(F.sum("n").over(before), F.lit(0)) + seen).alias("before"))
+        inside = Window.partitionBy("slice", "hit").orderBy("log_id")
+        placed = state.withColumn("hit", hit).withColumn("rank", F.row_number().over(inside) - 1).join(earlier, "slice", "left")
+        out = F.col("hit") & ((F.col("rank") + F.col("before")) % rule["n"] != 0)
+        state = placed.select("log_id", "reached", "slice", F.when(out, F.lit(rule["id"]).cast("long")).otherwise(F.col("rule_id")).alias("rule_id"))
+        if k % 4 == 3:
+            state = kept(state)
+    return state.where("rule_id is not null").select("log_id", "rule_id")
+
+
+def valid_rules(rules: DataFrame) -> list[Row]:
+    """The enabled noise rules that can drop something, by id."""
+    return [r for r in rule_rows(rules) if _valid(r)]
 
 
 def mark_noise(logs: DataFrame, rules: DataFrame) -> DataFrame:
@@ -87,37 +116,24 @@ def mark_noise(logs: DataFrame, rules: DataFrame) -> DataFrame:
 
     A sampling rule counts only the records that reach it alive, over all services; a record
     that it lets through goes on to later rules. Unknown kinds and rules without what their
-    kind needs drop nothing. Rules in a row that need no order are one expression, and
-    records in no sampling rule's scope are not shuffled.
+    kind needs drop nothing. Rules that need no order are one expression. For sampling rules
+    only ids and rule numbers are put in order; the ids they drop are joined back, and
+    where they are too many to broadcast only records in a sampling rule's scope are shuffled.
     """
-    rows = [r for r in rule_rows(rules) if _valid(r)]
-    sampled = F.lit(False)
-    for rule in rows:
-        if rule["kind"] == "sample":
-            sampled = sampled | F.coalesce(_matches(rule), F.lit(False))
+    rows = valid_rules(rules)
+    plain = [r for r in rows if r["kind"] != "sample"]
     logs = logs.withColumn("drop_rule_id", F.lit(None).cast("long"))
-    if not any(r["kind"] == "sample" for r in rows):
+    if len(plain) == len(rows):
         return _settle(logs, rows)
-    rest = _settle(logs.where(~sampled), [r for r in rows if r["kind"] != "sample"])
-    # Read once for the counts and once for the places, of each rule in turn: kept, not computed again.
-    counted, pending = _kept(logs.where(sampled)), []
-    for rule in rows:
-        if rule["kind"] != "sample":
-            pending.append(rule)
-            continue
-        counted, pending = _settle(counted, pending), []
-        counted = _every_nth(counted, F.col("drop_rule_id").isNull() & _matches(rule), rule["n"])
-        counted = counted.withColumn("drop_rule_id", F.when(F.col("__nth"), F.lit(rule["id"]).cast("long")).otherwise(F.col("drop_rule_id"))).drop("__nth")
-    return rest.unionByName(_settle(counted, pending))
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the session's shared checkpoint folder, if it names one."""
-    sc = df.sparkSession.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if named and not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return df.checkpoint() if sc.getCheckpointDir() else df
+    reached = sample_scope(rows)
+    scoped = kept(logs.select("log_id", reached.alias("reached")).where(F.size("reached") > 0))
+    dropped = kept(sampled_out(scoped, rows).withColumnRenamed("rule_id", "__sampled"))
+    # What a sampling rule drops comes before any rule without a counter that would drop it.
+    settle = lambda rows_: _settle(rows_.withColumn("drop_rule_id", F.col("__sampled")).drop("__sampled"), plain)
+    if dropped.limit(MAX_IDS + 1).count() <= MAX_IDS:
+        return settle(logs.join(F.broadcast(dropped), "log_id", "left").select(*logs.columns, "__sampled"))
+    rest, inside = _settle(logs.where(F.size(reached) == 0), plain), logs.where(F.size(reached) > 0)
+    return rest.unionByName(settle(inside.join(dropped, "log_id", "left").select(*logs.columns, "__sampled")))
 
 
 def _settle(logs: DataFrame, rules: list[Row]) -> DataFrame:

@@ -20,6 +20,13 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores, if it lies in fewer partitions (few files): for work on rows that costs more than moving them."""
+    if df.isStreaming or df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def file_system(spark: SparkSession, path: str):
     """Hadoop's file system of ``path``, and the path as it takes it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
