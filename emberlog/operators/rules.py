@@ -124,19 +124,19 @@ def mark_noise(logs: DataFrame, rules: DataFrame) -> DataFrame:
     plain = [r for r in rows if r["kind"] != "sample"]
     logs = logs.withColumn("drop_rule_id", F.lit(None).cast("long"))
     if len(plain) == len(rows):
-        return _settle(logs, rows)
+        return settle(logs, rows)
     reached = sample_scope(rows)
     scoped = kept(logs.select("log_id", reached.alias("reached")).where(F.size("reached") > 0))
     dropped = kept(sampled_out(scoped, rows).withColumnRenamed("rule_id", "__sampled"))
     # What a sampling rule drops comes before any rule without a counter that would drop it.
-    settle = lambda rows_: _settle(rows_.withColumn("drop_rule_id", F.col("__sampled")).drop("__sampled"), plain)
+    finish = lambda rows_: settle(rows_.withColumn("drop_rule_id", F.col("__sampled")).drop("__sampled"), plain)
     if dropped.limit(MAX_IDS + 1).count() <= MAX_IDS:
-        return settle(logs.join(F.broadcast(dropped), "log_id", "left").select(*logs.columns, "__sampled"))
-    rest, inside = _settle(logs.where(F.size(reached) == 0), plain), logs.where(F.size(reached) > 0)
-    return rest.unionByName(settle(inside.join(dropped, "log_id", "left").select(*logs.columns, "__sampled")))
+        return finish(logs.join(F.broadcast(dropped), "log_id", "left").select(*logs.columns, "__sampled"))
+    rest, inside = settle(logs.where(F.size(reached) == 0), plain), logs.where(F.size(reached) > 0)
+    return rest.unionByName(finish(inside.join(dropped, "log_id", "left").select(*logs.columns, "__sampled")))
 
 
-def _settle(logs: DataFrame, rules: list[Row]) -> DataFrame:
+def settle(logs: DataFrame, rules: list[Row]) -> DataFrame:
     """The first of ``rules`` that drops a record which is still alive."""
     drop = F.lit(None).cast("long")
     for rule in reversed(rules):

@@ -193,8 +193,12 @@ lifted AS (SELECT * EXCLUDE (lift) REPLACE (CASE lift WHEN 1 THEN 4 WHEN 2 THEN
 _CHAIN = _PARSED + _NOISE.replace("FROM logs)", "FROM lifted)") + ", kept AS (SELECT l.* FROM lifted l JOIN marked m USING (log_id) WHERE m.drop_rule_id IS NULL)\n"
 
 
-@query(_CHAIN + f"""SELECT log_id, severity, body, severity >= 4 AS is_event, CASE WHEN severity >= 4 THEN substring(trim(split_part(body, chr(10), 1)), 1, 200) ELSE '' END AS title,
-CASE WHEN severity >= 4 THEN substring(sha256(concat(cast(project_id AS varchar), '|', {_NAME}, '|', {_NORM})), 1, 16) ELSE '' END AS fingerprint FROM kept""")
+_EVENTS = f"""SELECT log_id, severity, body, severity >= 4 AS is_event, CASE WHEN severity >= 4 THEN substring(trim(split_part(body, chr(10), 1)), 1, 200) ELSE '' END AS title,
+CASE WHEN severity >= 4 THEN substring(sha256(concat(cast(project_id AS varchar), '|', {_NAME}, '|', {_NORM})), 1, 16) ELSE '' END AS fingerprint FROM """
+_STREAM_CHAIN = _PARSED + _EVENTS + "lifted"
+
+
+@query(_CHAIN + _EVENTS + "kept")
 def normalize_chain(spark, sf_dir):
     """Escapes, bodies, panics, severity rules, noise rules, events: the chain in its order."""
     events = normalize.normalize(views.logs_with_attrs(spark, sf_dir), views.projects(spark), views.severity_rules(spark), views.noise_rules(spark))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from emberlog.operators import alerts, bodies, issues, normalize, retention, rollups, rules, tables
 from emberlog.plans import views
+from emberlog.plans.intake import _STREAM_CHAIN
 from emberlog.plans.queries import _FOLD, _LIFT, _NOISE, _WITH, ORACLES, SINCE, UNTIL, _events, _fires, query
 from emberlog.schema import check_alert_rule, check_noise_rule, check_severity_rule
 from emberlog.sources import writers
@@ -170,10 +171,72 @@ def stream_issue_counts(spark, sf_dir):
     return rows.groupBy("project_id", "fingerprint").agg(F.max("count").alias("count"), F.min(F.when(F.col("is_new"), F.col("log_id"))).alias("new_id"))
 
 
+def _in_batches(df, path, parts=3):
+    """A table with ``log_id`` as a stream of batches in its order."""
+    last = (df.agg(F.max("log_id")).head()[0] or 0) + 1
+    for k in range(parts):
+        df.where(f"log_id * {parts} div {last} = {k}").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+
+@query(_NOISE + "SELECT log_id, drop_rule_id FROM marked")
+def stream_noise(spark, sf_dir):
+    """Noise rules on a stream of three batches, the sampling rules counting on from batch to batch."""
+    path = views.scratch(spark)
+    _run(_in_batches(views.logs(spark, sf_dir), path), state.noise_stream(path, views.noise_rules(spark)), path)
+    return spark.read.parquet(f"{path}/rows").select("log_id", "drop_rule_id")
+
+
 @query("SELECT count(*) AS rows, count(*) FILTER (drop_rule_id IN (1, 2)) AS dropped FROM (SELECT CASE WHEN project_id = 1 AND service = 'svc1' AND severity < 2 THEN 1 WHEN project_id = 2 AND contains(body, '/items/1') THEN 2 END AS drop_rule_id FROM logs)")
 def stream_noise_drops(spark, sf_dir):
-    """Noise rules on a stream: the records it judges, and those the rules without a counter drop."""
+    """Noise rules on a stream in one batch: the records it judges, and those the rules without a counter drop."""
     path = views.scratch(spark)
-    marked = state.stream_noise(_log_stream(spark, sf_dir), rules.rule_rows(views.noise_rules(spark)))
-    _run(marked, lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}"), path)
+    _run(_log_stream(spark, sf_dir), state.noise_stream(path, views.noise_rules(spark)), path)
     return spark.read.parquet(f"{path}/rows").agg(F.count("*").alias("rows"), F.count_if(F.col("drop_rule_id").isin(1, 2)).alias("dropped"))
+
+
+@query("SELECT project_id, fingerprint, log_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY project_id, fingerprint ORDER BY ts DESC, log_id DESC) AS rank FROM ev) WHERE rank <= 50")
+def stream_samples(spark, sf_dir):
+    """The newest events of each issue, kept by a stream of three batches, two of which are merged."""
+    path = views.scratch(spark)
+    stream = _in_batches(_events(spark, sf_dir), path)
+    _run(stream, state.samples_stream(f"{path}/samples"), path)
+    state.merge_samples(spark, f"{path}/samples", 1)
+    return state.stream_samples(spark, f"{path}/samples").select("project_id", "fingerprint", "log_id", "rank")
+
+
+@query(ORACLES["issue_outcomes"], plain=True)
+def stream_issue_outcomes(spark, sf_dir):
+    """Outcomes as the state of a stream, with its actions as a second one: issues that were resolved are reopened."""
+    path, events = views.scratch(spark), _events(spark, sf_dir)
+    views.actions(issues.issue_groups(events)).write.parquet(f"{path}/actions")
+    actions = spark.readStream.schema("project_id long, fingerprint string, status string, seq long").parquet(f"{path}/actions")
+    stream = normalize.annotate_events(_log_stream(spark, sf_dir)).where("is_event")
+    _run(state.stream_issues(stream, actions), lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}"), path)
+    return spark.read.parquet(f"{path}/rows").select("log_id", "is_new", "is_reopened")
+
+
+def _normalized_stream(spark, sf_dir):
+    return state.stream_normalize(_log_stream(spark, sf_dir).withColumn("attrs", F.create_map().cast("map<string,string>")), views.projects(spark), views.severity_rules(spark))
+
+
+@query(_STREAM_CHAIN)
+def stream_normalize(spark, sf_dir):
+    """The row-wise chain on a stream."""
+    path = views.scratch(spark)
+    _run(_normalized_stream(spark, sf_dir), lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}"), path)
+    return spark.read.parquet(f"{path}/rows").select("log_id", "severity", "body", "is_event", "title", "fingerprint")
+
+
+@query()
+def stream_alerts(spark, sf_dir):
+    """Alert rules on a stream of events with outcomes, a rule's window and last fire being its state."""
+    path = views.scratch(spark)
+    events, table = _events(spark, sf_dir), views.alert_rules(spark)
+    known = issues.issue_outcomes(events, views.actions(issues.issue_groups(events)))
+    stream = _in_batches(known, path)
+    _run(state.stream_alerts(stream, table), lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}"), path)
+    return spark.read.parquet(f"{path}/rows").select("rule_id", "log_id")
+
+
+ORACLES["stream_alerts"] = ORACLES["alert_fires"]

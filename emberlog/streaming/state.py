@@ -1,31 +1,35 @@
 """Stateful streams: issue outcomes, noise sampling and alerts, in arrival order.
 
-Each is keyed state of bounded size for a key: an issue's status and counts, a project's
-sampling counters, a rule's last fire and the minutes in its window. Rows of a micro-batch
-are put in order of ``log_id`` before they are folded; across batches the order is that of
-arrival. Nothing is dropped as late, and state is kept until the query is reset.
+Issues and alerts are keyed state of bounded size: an issue's status and counts, a rule's
+last fire and the minutes in its window. Rows of a micro-batch are put in order of
+``log_id`` before they are folded; across batches the order is that of arrival. Sampling
+counters and retained samples are small tables by batch instead, so that no rule, project
+or issue is one task's. Nothing is dropped as late, and state is kept until the query is reset.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from emberlog.operators.alerts import match_alerts
+from emberlog.operators.issues import SAMPLES, issue_samples, prune_samples
 from emberlog.operators.normalize import normalize
 from emberlog.operators.rollups import rollup
-from emberlog.schema import check_noise_rule
+from emberlog.operators.rules import sample_scope, sampled_out, settle, valid_rules
+from emberlog.operators.storage import epochs, file_system, kept
 
 OUTCOME = "project_id long, fingerprint string, log_id long, is_new boolean, is_reopened boolean, status string, count long, first_seen timestamp, last_seen timestamp"
 
 
 def stream_normalize(source: DataFrame, projects: DataFrame | None = None, severity_rules: DataFrame | None = None) -> DataFrame:
-    """The row-wise chain on a stream; all of it is stateless. Noise rules follow with :func:`stream_noise`."""
+    """The row-wise chain on a stream; all of it is stateless. Noise rules follow with :func:`noise_stream`."""
     return normalize(source, projects, severity_rules)
 
 
@@ -60,54 +64,53 @@ def stream_issues(events: DataFrame, actions: DataFrame | None = None) -> DataFr
     return rows.groupBy("project_id", "fingerprint").applyInPandasWithState(_issues, OUTCOME, "status string, count long, first timestamp, last timestamp", "append", GroupStateTimeout.NoTimeout)
 
 
-def _noise_fold(rules: list[dict]):
-    def drops(rule: dict, r) -> bool:
-        if rule["service"] and rule["service"] != r.service:
-            return False
-        if rule["kind"] == "severity_floor":
-            return r.severity < rule["severity"]
-        if rule["kind"] == "drop_match":
-            return rule["pattern"] in (r.body or "")
-        return r.severity <= rule["severity"]
-
-    def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        counters = json.loads(state.get[0]) if state.exists else {}
-        mine = [r for r in rules if not r["project_id"] or r["project_id"] == key[0]]
-        rows = pd.concat(list(pdfs)).sort_values("log_id")
-        out = []
-        for r in rows.itertuples():
-            dropped = None
-            for rule in mine:
-                if not drops(rule, r):
-                    continue
-                if rule["kind"] == "sample":
-                    seen = counters.get(str(rule["id"]), 0)
-                    counters[str(rule["id"])] = (seen + 1) % rule["n"]
-                    if seen == 0:
-                        continue
-                dropped = rule["id"]
-                break
-            out.append((key[0], int(r.log_id), dropped))
-        state.update((json.dumps(counters),))
-        yield pd.DataFrame({"project_id": [o[0] for o in out], "log_id": [o[1] for o in out], "drop_rule_id": pd.array([o[2] for o in out], "Int64")})
-
-    return fold
-
-
-def stream_noise(logs: DataFrame, rules: list[Row]) -> DataFrame:
-    """``(project_id, log_id, drop_rule_id)`` for every record of a stream; the sampling counters are a project's state.
-
-    ``rules`` are the enabled rows by id (``operators.rules.rule_rows``). A rule for all projects counts in each project by itself.
+def noise_stream(path: str, rules: DataFrame) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that judges a stream of logs by the noise rules, under ``path``: ``(project_id, log_id, drop_rule_id)`` in ``rows``, how many records have reached each sampling rule in ``reached``.
+
+    Rules for all projects count over all projects, as in a batch: a batch is ranked in
+    parallel, after as many records as the batches before it brought. Records arrive in order of ``log_id`` from batch to
+    batch; inside one any order will do. A batch that is written again takes the place of its first attempt. The enabled ``rules`` are read
+    once, when the stream starts.
     """
-    valid = []
-    for rule in rules:
-        try:
-            check_noise_rule(rule.asDict())
-        except ValueError:
-            continue
-        valid.append(rule.asDict())
-    rows = logs.select("project_id", "log_id", "severity", "service", "body")
-    return rows.groupBy("project_id").applyInPandasWithState(_noise_fold(valid), "project_id long, log_id long, drop_rule_id long", "counters string", "append", GroupStateTimeout.NoTimeout)
+    rows = valid_rules(rules)
+    plain = [r for r in rows if r["kind"] != "sample"]
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        logs = batch.select("project_id", "log_id", "severity", "service", "body").withColumn("drop_rule_id", F.lit(None).cast("long"))
+        done = [e for e in epochs(spark, f"{path}/reached") if e < epoch]
+        offsets = {r["rule_id"]: r["reached"] for r in spark.read.parquet(f"{path}/reached/epoch={max(done)}").collect()} if done else {}
+        reached = sample_scope(rows)
+        scoped = kept(logs.select("log_id", reached.alias("reached")).where(F.size("reached") > 0))
+        dropped = sampled_out(scoped, rows, offsets)
+        marked = settle(logs.join(dropped, "log_id", "left").withColumn("drop_rule_id", F.col("rule_id")).drop("rule_id"), plain)
+        marked.select("project_id", "log_id", "drop_rule_id").write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
+        counts = spark.createDataFrame(sorted(offsets.items()), "rule_id long, reached long")
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/reached/epoch={epoch}")
+
+    return run
+
+
+def samples_stream(path: str, keep: int = SAMPLES) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that keeps the ``keep`` newest events of each issue of every batch: increments that :func:`stream_samples` merges."""
+    return lambda batch, epoch: issue_samples(batch, keep).drop("rank").write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+
+def stream_samples(spark: SparkSession, path: str, keep: int = SAMPLES, cutoff: datetime | None = None) -> DataFrame:
+    """The ``keep`` newest events of each issue over all batches, with their ``rank``, from ``cutoff`` on; the newest of the newest, so no event is read again."""
+    merged = issue_samples(spark.read.parquet(path).drop("epoch"), keep)
+    return prune_samples(merged, cutoff) if cutoff is not None else merged
+
+
+def merge_samples(spark: SparkSession, path: str, upto: int, keep: int = SAMPLES) -> None:
+    """Merges the increments of batches up to ``upto`` into the folder of that batch; the others of them are deleted after it is complete."""
+    parts = [e for e in epochs(spark, path) if e <= upto]
+    merged = kept(issue_samples(spark.read.parquet(*(f"{path}/epoch={e}" for e in parts)), keep).drop("rank"))
+    merged.write.mode("overwrite").parquet(f"{path}/epoch={upto}")
+    fs, _ = file_system(spark, path)
+    for e in parts:
+        if e != upto:
+            fs.delete(file_system(spark, f"{path}/epoch={e}")[1], True)
 
 
 FIRES = "rule_id long, project_id long, fingerprint string, log_id long, title string, severity int, ts timestamp, rule_name string, rule_kind string, rule_window int, event_count long"
@@ -116,7 +119,7 @@ FIRES = "rule_id long, project_id long, fingerprint string, log_id long, title s
 def _alerts(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     rows = pd.concat(list(pdfs)).sort_values("log_id")
     last, minutes = (state.get[0], {int(k): v for k, v in json.loads(state.get[1]).items()}) if state.exists else (None, {})
-    out = []
+    newest, held, out = max(minutes, default=None), sum(minutes.values()), []
     for r in rows.itertuples():
         us, count, due = r.ts.value // 1000, None, False
         if last is None and not pd.isna(r.rule_last_fired):
@@ -124,9 +127,19 @@ def _alerts(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iter
         if r.rule_kind == "threshold":
             minute = us // 60_000_000
             minutes[minute] = minutes.get(minute, 0) + 1
-            newest = max(minutes)
-            minutes = {m: n for m, n in minutes.items() if m > newest - r.rule_window}
-            count = sum(n for m, n in minutes.items() if minute - r.rule_window < m <= minute)
+            if newest is None or minute >= newest:
+                if newest is None or minute > newest:  # once a minute: what has left the window goes
+                    newest = minute if newest is None else max(newest, minute)
+                    minutes = {m: n for m, n in minutes.items() if m > newest - r.rule_window}
+                    held = sum(minutes.values())
+                else:
+                    held += 1
+                count = held
+            else:  # a late event counts for the window that ends with its own minute
+                held += minute > newest - r.rule_window
+                if minute <= newest - r.rule_window:
+                    del minutes[minute]
+                count = sum(n for m, n in minutes.items() if minute - r.rule_window < m <= minute)
             due = count >= r.rule_n
         else:
             due = bool(r.is_new) if r.rule_kind == "new_issue" else bool(r.is_reopened)

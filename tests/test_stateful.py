@@ -418,11 +418,36 @@ def streamed(spark, df, tmp_path, name, build, parts=3):
     return spark.read.parquet(str(tmp_path / f"{name}-out"))
 
 
+def in_batches(spark, df, path, into, parts=3):
+    """``df`` as a stream of so many batches by log_id."""
+    last = df.agg(F.max("log_id")).head()[0] + 1
+    for k in range(parts):
+        df.where(f"log_id * {parts} div {last} = {k}").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    stream.writeStream.foreachBatch(into).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+
+
 def test_streaming_noise(spark, tmp_path):
     rows, logs = some_logs(spark, random.Random(11), 120)
-    table = rules.rule_rows(spark.createDataFrame(NOISE, schema.NOISE_RULES))
-    got = streamed(spark, logs, tmp_path, "noise", lambda s: state.stream_noise(s, table))
-    assert {r.log_id: r.drop_rule_id for r in got.collect()} == plain_noise(rows, by_project=True)
+    into = state.noise_stream(f"{tmp_path}/out", spark.createDataFrame(NOISE, schema.NOISE_RULES))
+    in_batches(spark, logs, tmp_path, into)
+    last = logs.agg(F.max("log_id")).head()[0] + 1
+    into(logs.where(f"log_id * 3 div {last} = 2"), 2)  # as after a failure
+    assert {r.log_id: r.drop_rule_id for r in spark.read.parquet(f"{tmp_path}/out/rows").collect()} == plain_noise(rows)
+
+
+def test_streaming_samples(spark, tmp_path):
+    events, _ = history(random.Random(14), 300)
+    df = spark.createDataFrame(events, EVENTS)
+    want = sorted((r.project_id, r.fingerprint, r.log_id, r["rank"]) for r in issues.issue_samples(df, 7).collect())
+    in_batches(spark, df, tmp_path, state.samples_stream(f"{tmp_path}/out", 7), 4)
+    found = lambda: sorted((r.project_id, r.fingerprint, r.log_id, r["rank"]) for r in state.stream_samples(spark, f"{tmp_path}/out", 7).collect())
+    assert found() == want
+    state.merge_samples(spark, f"{tmp_path}/out", 2, 7)
+    assert found() == want and len(list((tmp_path / "out").glob("epoch=*"))) == 2
+    middle = sorted(e[-1] if isinstance(e[-1], datetime) else START for e in events)[150]
+    kept = state.stream_samples(spark, f"{tmp_path}/out", 7, cutoff=middle)
+    assert kept.count() == issues.prune_samples(issues.issue_samples(df, 7), middle).count()
 
 
 def test_streaming_issues(spark, tmp_path):
