@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from emberlog.operators import alerts, bodies, issues, normalize, retention, rollups, rules, tables
 from emberlog.plans import views
 from emberlog.plans.intake import _STREAM_CHAIN
 from emberlog.plans.queries import _FOLD, _LIFT, _NOISE, _WITH, ORACLES, SINCE, UNTIL, _events, _fires, query
-from emberlog.schema import check_alert_rule, check_noise_rule, check_severity_rule
-from emberlog.sources import writers
+from emberlog.schema import check_alert_rule, check_noise_rule, check_severity_rule, rejections
+from emberlog.sources import logtable, readers, writers
 from emberlog.streaming import state
 
 # --- tables edited by hand, and what they then do ----------------------------------------
@@ -138,6 +140,158 @@ def aggregate_stored(spark, sf_dir):
     return rollups.aggregate(spark.read.parquet(path), 1, "service", SINCE, UNTIL)
 
 
+# Rule rows by the part table, some of them wrong in one way or another.
+_NOISE_ROWS = (
+    "cast(p_partkey AS bigint) AS id",
+    "CASE p_partkey % 5 WHEN 0 THEN 'severity_floor' WHEN 1 THEN 'drop_match' WHEN 2 THEN 'sample' WHEN 3 THEN 'unknown' ELSE 'sample' END AS kind",
+    "CASE WHEN p_partkey % 7 <> 0 THEN 2 END AS severity",
+    "CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END AS pattern",
+    "p_partkey % 4 AS n",
+)
+_SEVERITY_ROWS = (
+    "cast(p_partkey AS bigint) AS id",
+    "CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN concat(p_name, '(?=x)') ELSE p_name END AS pattern",
+    "CASE p_partkey % 3 WHEN 0 THEN 'warn' WHEN 1 THEN '' ELSE CASE WHEN p_partkey % 2 = 0 THEN 'error' ELSE 'loud' END END AS severity",
+)
+_ALERT_ROWS = (
+    "cast(p_partkey AS bigint) AS id",
+    "CASE p_partkey % 4 WHEN 0 THEN 'new_issue' WHEN 1 THEN 'threshold' WHEN 2 THEN 'none' ELSE 'regression' END AS kind",
+    "CASE WHEN p_partkey % 5 = 0 THEN 'ftp://x/y' ELSE 'https://example.org/h' END AS url",
+    "p_partkey % 3 AS n",
+    "p_partkey % 7 AS window_minutes",
+    "p_partkey % 11 - 1 AS cooldown_seconds",
+)
+
+
+def _refused(reason: str, rows: tuple[str, ...]) -> str:
+    return f"SELECT id, reason FROM (SELECT *, CASE {reason} END AS reason FROM (SELECT {', '.join(rows)} FROM part)) WHERE reason IS NOT NULL"
+
+
+def _part_rules(spark, sf_dir, rows):
+    return spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(*rows)
+
+
+@query(_refused("""WHEN kind = 'unknown' THEN concat('unknown noise rule kind ', chr(39), kind, chr(39)) WHEN kind IN ('severity_floor', 'sample') AND severity IS NULL THEN concat(kind, ' needs a severity')
+WHEN kind = 'drop_match' AND pattern = '' THEN 'drop_match needs a pattern' WHEN kind = 'sample' AND n < 2 THEN 'sample needs n of 2 or more'""", _NOISE_ROWS), plain=True)
+def rejected_noise_rules(spark, sf_dir):
+    """Noise rules that are refused, and why."""
+    return rejections(_part_rules(spark, sf_dir, _NOISE_ROWS), check_noise_rule)
+
+
+@query(_refused("""WHEN pattern = '' THEN 'a pattern is needed' WHEN contains(pattern, '(?=') THEN 'lookaround, back-references and possessive repeats are not supported'
+WHEN severity = 'loud' THEN concat('unknown severity ', chr(39), severity, chr(39)) WHEN severity = '' THEN 'a severity above INFO is needed'""", _SEVERITY_ROWS), plain=True)
+def rejected_severity_rules(spark, sf_dir):
+    """Severity rules that are refused, their severities being names."""
+    return rejections(_part_rules(spark, sf_dir, _SEVERITY_ROWS), check_severity_rule)
+
+
+@query(_refused("""WHEN kind = 'none' THEN concat('unknown alert rule kind ', chr(39), kind, chr(39)) WHEN NOT starts_with(url, 'http') THEN 'an http or https url is needed'
+WHEN kind = 'threshold' AND (n < 1 OR window_minutes < 1) THEN 'threshold needs n and window_minutes of 1 or more' WHEN cooldown_seconds < 0 THEN 'cooldown_seconds must not be negative'""", _ALERT_ROWS), plain=True)
+def rejected_alert_rules(spark, sf_dir):
+    """Alert rules that are refused, and why."""
+    return rejections(_part_rules(spark, sf_dir, _ALERT_ROWS), check_alert_rule)
+
+
+@query("SELECT p.id, slug, (SELECT count(*) FROM logs l WHERE l.project_id % 3 + 2 = p.id) AS logs FROM (VALUES (1::bigint, 'shop-1'), (2, 'desk-2'), (3, 'lab-3'), (4, 'new-one-4')) p(id, slug)")
+def project_created(spark, sf_dir):
+    """A project added, with records of its own."""
+    table = tables.create_project(views.projects(spark), "New One")
+    moved = views.logs(spark, sf_dir).groupBy((F.col("project_id") % 3 + 2).alias("id")).agg(F.count("*").alias("logs"))
+    return table.join(moved, "id", "left").select("id", "slug", F.coalesce("logs", F.lit(0)).alias("logs"))
+
+
+@query("SELECT epoch_us(ts) AS us, CASE WHEN log_id % 9 = 0 THEN 2 ELSE severity END AS severity, service, body, concat('v', log_id % 4) AS k FROM (SELECT log_id, severity, service, body, CASE WHEN log_id % 10 = 0 THEN timestamp '1970-01-01' ELSE ts END AS ts FROM logs)")
+def corpus(spark, sf_dir):
+    """Logs exported as JSON arrays and read again; some times and severities can't be read."""
+    path, logs = views.scratch(spark), views.logs(spark, sf_dir)
+    ts = F.when(F.col("log_id") % 10 == 0, "yesterday").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    names = F.array(*map(F.lit, ("trace", "DEBUG", "info", "warning", "err", "fatal")))
+    level = F.when(F.col("log_id") % 9 == 0, "loud").otherwise(F.element_at(names, F.col("severity") + 1))
+    attrs = F.concat(F.lit('{"k":"v'), (F.col("log_id") % 4).cast("string"), F.lit('"}'))
+    rows = logs.select(F.struct(ts.alias("ts"), level.alias("severity"), "service", "body", attrs.alias("attrs")).alias("r"), F.floor(F.col("log_id") / 1000).alias("part"))
+    # A file of the export is one array of a thousand records.
+    rows.groupBy("part").agg(F.to_json(F.collect_list("r")).alias("value")).write.partitionBy("part").text(path)
+    found = readers.read_corpus(spark, path)
+    return found.select(F.unix_micros("ts").alias("us"), "severity", "service", "body", F.col("attrs")["k"].alias("k"))
+
+
+_HEAD = """concat('{"rule":{"id":', rule_id, ',"name":"', name, '","kind":"', kind, '"},"project_id":', project_id, ',"issue":{"id":"0000000000000000","title":"Test alert","severity":"ERROR"', CASE WHEN kind = 'threshold' THEN concat(',"count":', n) ELSE '' END,
+',"first_seen":"2024-02-01T00:00:00Z","last_seen":"2024-02-01T00:00:00Z"}', CASE WHEN kind = 'threshold' THEN concat(',"event_count":', n, ',"window_minutes":', w) ELSE '' END, ',"fired_at":"2024-02-01T00:00:00Z","test":true}')"""
+
+
+@query(f"SELECT rule_id, {_HEAD} AS payload FROM (SELECT 1::bigint AS rule_id, 'burst' AS name, 'threshold' AS kind, 1 AS project_id, (SELECT count(*) FROM logs WHERE severity = 5) AS n, 60 AS w UNION ALL SELECT 2, 'new', 'new_issue', 2, 1, 1)")
+def test_fires(spark, sf_dir):
+    """Sample payloads of two rules, one of which waits for as many events as there are fatal records."""
+    fatal = views.logs(spark, sf_dir).where("severity = 5").count()
+    table = views.alert_rules(spark).withColumn("n", F.when(F.col("id") == 1, F.lit(fatal)).otherwise(F.col("n")).cast("int")).where("id <= 2")
+    one, other = (alerts.test_payload(spark, r, datetime(2024, 2, 1)) for r in table.orderBy("id").collect())
+    return one.unionByName(other).select("rule_id", "payload")
+
+
+test_fires.__test__ = False
+
+
+@query("SELECT project_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS records, true AS dense FROM logs GROUP BY ALL")
+def stored_sizes(spark, sf_dir):
+    """Records by project and day of the stored table, whose files take less room than the raw texts and what a file costs."""
+    path, logs = views.scratch(spark), views.logs(spark, sf_dir)
+    writers.write_logs(logs, path)
+    raw = logs.agg(F.sum(F.octet_length("body") + F.octet_length("service") + F.octet_length("environment") + F.octet_length("release") + 28), F.countDistinct("project_id", F.to_date("ts")), F.count("*")).head()
+    size = retention.storage_stats(spark, path).head()
+    dense = size["records"] == raw[2] and size["bytes"] < (raw[0] or 0) + 6000 * raw[1]
+    counted = writers.read_logs(spark, path).groupBy(F.col("project_id").cast("bigint").alias("project_id"), F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("records"))
+    return counted.withColumn("dense", F.lit(dense))
+
+
+_BATCH = "CASE WHEN log_id % 7 < 3 THEN 0 WHEN log_id % 7 < 5 THEN 1 WHEN log_id % 50 = 5 THEN 2 ELSE 0 END"
+
+
+def _kept_table(spark, sf_dir):
+    """The logs in three batches, the first two of them compacted; the third lies beside."""
+    path, logs = views.scratch(spark), views.logs(spark, sf_dir).withColumn("event_id", F.col("log_id"))
+    for k in range(3):
+        logtable.append(logs.where(f"{_BATCH} = {k}"), path, k)
+        if k == 1:
+            logtable.compact(spark, path, datetime(2024, 3, 1), 1000)
+    return path
+
+
+@query("SELECT project_id, strftime(ts, '%Y-%m-%d') AS day, log_id AS event_id, body, service FROM logs")
+def history_and_fresh(spark, sf_dir):
+    """Every record of the table, rewritten or fresh, once."""
+    found = logtable.read(spark, _kept_table(spark, sf_dir))
+    return found.select("project_id", "day", "event_id", "body", "service")
+
+
+@query("SELECT cast(0 AS bigint) AS first_id, count(*) - 1 AS last_id, count(*) AS rows FROM logs")
+def dense_ids(spark, sf_dir):
+    """Ids go on over batches without a gap."""
+    return logtable.read(spark, _kept_table(spark, sf_dir)).agg(F.min("log_id").alias("first_id"), F.max("log_id").alias("last_id"), F.countDistinct("log_id").alias("rows"))
+
+
+_CUTOFF = "CASE project_id WHEN 1 THEN timestamp '2024-01-23 12:00:00' WHEN 2 THEN timestamp '2024-01-10 12:00:00' ELSE timestamp '1970-01-01' END"
+
+
+@query(f"SELECT log_id AS event_id FROM logs WHERE ts >= {_CUTOFF}")
+def pruned_table(spark, sf_dir):
+    """What is left of the table after pruning and clean-up."""
+    path = _kept_table(spark, sf_dir)
+    logtable.prune(spark, path, views.projects(spark), datetime(2024, 1, 30, 12))
+    logtable.vacuum(spark, path, keep_versions=1)
+    return logtable.read(spark, path).select("event_id")
+
+
+@query(f"SELECT project_id, count(*) AS removed FROM logs WHERE ts < {_CUTOFF} GROUP BY 1")
+def pruned_counts(spark, sf_dir):
+    return logtable.prune(spark, _kept_table(spark, sf_dir), views.projects(spark), datetime(2024, 1, 30, 12))
+
+
+@query(f"SELECT project_id, strftime(ts, '%Y-%m-%d') AS bucket, count(*) AS rows, cast(1 AS bigint) AS shards FROM (SELECT *, {_BATCH} AS batch FROM logs) GROUP BY ALL HAVING max(batch) = 2 OR count(*) FILTER (batch < 2) > 1000")
+def compaction_plan(spark, sf_dir):
+    """The days to be compacted again: those with rows of the third batch, or in two shards that now fit into one."""
+    return logtable.plan_compaction(spark, _kept_table(spark, sf_dir), datetime(2024, 3, 1), 10_000_000).select("project_id", "bucket", "rows", "shards")
+
+
 # --- streams -----------------------------------------------------------------------------
 
 

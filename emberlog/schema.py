@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
 from urllib.parse import urlparse
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
 from emberlog.functions.severity import INFO, parse_severity_strict
 
 LOGS = (
@@ -79,3 +82,19 @@ def check_alert_rule(rule: Mapping) -> None:
     headers = rule.get("headers") or {}
     if len(headers) > MAX_HEADERS or sum(len(k.encode()) + len(v.encode()) for k, v in headers.items()) > MAX_HEADER_BYTES:
         raise ValueError("too many headers")
+
+
+def rejections(rules: DataFrame, check: Callable[[Mapping], None], key: str = "id") -> DataFrame:
+    """``(key, reason)`` of every row of an imported rule table that ``check`` refuses; checked where the rows are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            refused: list[tuple] = []
+            for row in batch.to_pylist():
+                try:
+                    check(row)
+                except ValueError as e:
+                    refused.append((row[key], str(e)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in refused], batch.schema.field(key).type), pa.array([r[1] for r in refused], pa.string())], [key, "reason"])
+
+    return rules.mapInArrow(run, f"{key} {rules.schema[key].dataType.simpleString()}, reason string")
