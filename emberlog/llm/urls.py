@@ -8,17 +8,20 @@ are alike below and whose labelled shares do not differ significantly are merged
 template is rejected if its smoothed labelled purity falls short of that of all labelled
 pages by the given ratio.
 
-All of it is DataFrame aggregation over (host, template) counts, combined before each
-shuffle, and one join of the pages with the table of rejected templates.
+Urls are counted by host and segments first. A host whose different paths are few is grown and
+merged by one task, to any depth; a larger one is split level by level, by aggregation and joins, until
+its branches are few enough, and merged again above them. The pages are joined once with the table of templates.
 """
 
 from __future__ import annotations
 
+import collections
+import itertools
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.common import checkpointed
@@ -33,6 +36,8 @@ MIN_PURITY = 0.8
 ALIKE_Z = 1.96
 
 WILD = "*"
+#: Different paths of a branch that one task grows and merges: a part of all, between these bounds.
+BRANCH_PART, LEAST_BRANCH, MOST_BRANCH = 1 / 500, 256, 50_000
 
 
 def host_of(url: Column) -> Column:
@@ -67,13 +72,6 @@ def lexical_segments(path: Column) -> Column:
     return F.transform(split, _generalised)
 
 
-def _depth(counted: DataFrame) -> int:
-    """The deepest level that ``MIN_SUPPORT`` urls of one host reach: beyond it no segment has support."""
-    deeper = Window.partitionBy("host").orderBy(F.desc("size"))
-    sizes = counted.groupBy("host", F.size("segments").alias("size")).agg(F.sum("urls").alias("urls")).withColumn("reach", F.sum("urls").over(deeper))
-    return sizes.where(F.col("reach") >= MIN_SUPPORT).agg(F.max("size").alias("depth")).head()["depth"] or 0
-
-
 def _clusters(labelled: np.ndarray, good: np.ndarray, siblings: np.ndarray, prior: float) -> np.ndarray:
     """The cluster of each distinct pair of counts, numbered from the best share down: neighbours by share are joined, the likest first, while they do not differ significantly."""
     n, g = (labelled * siblings).astype(float), (good * siblings).astype(float)
@@ -101,20 +99,94 @@ def _clusters(labelled: np.ndarray, good: np.ndarray, siblings: np.ndarray, prio
     return out
 
 
+def _grown(segments: list[list[str]], urls: list[int], start: int) -> list[list[str]]:
+    """What the paths of one branch become from level ``start`` on: a segment that too few urls of its parent share is a wildcard."""
+    out: list[list[str]] = [[] for _ in segments]
+    parent, names = [0] * len(segments), itertools.count(1)
+    level, here = start, [i for i, s in enumerate(segments) if len(s) > start]
+    while here:
+        support: dict[tuple[int, str], int] = collections.defaultdict(int)
+        for i in here:
+            support[parent[i], segments[i][level]] += urls[i]
+        known: dict[tuple[int, str], int] = {}
+        for i in here:
+            segment = segments[i][level]
+            kept = segment if support[parent[i], segment] >= MIN_SUPPORT else WILD
+            out[i].append(kept)
+            if (parent[i], kept) not in known:
+                known[parent[i], kept] = next(names)
+            parent[i] = known[parent[i], kept]
+        level += 1
+        here = [i for i in here if len(segments[i]) > level]
+    return out
+
+
+def _pools(labelled: np.ndarray, good: np.ndarray, siblings: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """The cluster of each distinct pair of counts among siblings (in order of the counts), and whether several are in it."""
+    cluster = _clusters(labelled, good, siblings, prior)
+    return cluster, np.bincount(cluster, siblings)[cluster] > 1
+
+
+def _pool_name(cluster: int) -> str:
+    return WILD if not cluster else f"{WILD}{cluster + 1}"
+
+
+def _merged(templates: list[tuple[str, ...]], labelled: list[int], good: list[int], prior: float) -> dict[tuple[str, ...], tuple[str, ...]]:
+    """Each template of one branch with what it is merged to, from the deepest level up to the branch's own."""
+    counts: dict[tuple[str, ...], list[int]] = {}
+    for t, n, g in zip(templates, labelled, good):
+        held = counts.setdefault(t, [0, 0])
+        held[0], held[1] = held[0] + n, held[1] + g
+    names = {t: t for t in counts}
+    for level in reversed(range(max(map(len, counts), default=0))):
+        shapes: dict[tuple[str, ...], list[tuple[str, ...]]] = collections.defaultdict(list)
+        for m in counts:
+            if len(m) > level:
+                shapes[m[:level] + (WILD,) + m[level + 1 :]].append(m)
+        renamed: dict[tuple[str, ...], tuple[str, ...]] = {}
+        for members in shapes.values():
+            pairs = collections.Counter(tuple(counts[m]) for m in members)
+            order = sorted(pairs)
+            cluster, many = _pools(*(np.array(x, np.int64) for x in zip(*order)), np.array([pairs[p] for p in order], np.int64), prior)
+            place = {p: k for k, p in enumerate(order)}
+            for m in members:
+                k = place[tuple(counts[m])]
+                if many[k] or m[level] == WILD:
+                    renamed[m] = m[:level] + (_pool_name(int(cluster[k])),) + m[level + 1 :]
+        pooled: dict[tuple[str, ...], list[int]] = {}
+        for m, (n, g) in counts.items():
+            held = pooled.setdefault(renamed.get(m, m), [0, 0])
+            held[0], held[1] = held[0] + n, held[1] + g
+        names, counts = {t: renamed.get(m, m) for t, m in names.items()}, pooled
+    return names
+
+
+def _branch(prior: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Grows and merges one branch: all paths of a host with one beginning."""
+        prefix, segments = tuple(pdf["template"].iloc[0]), [list(s) for s in pdf["segments"]]
+        grown = [tuple(t) for t in _grown(segments, pdf["urls"].tolist(), len(prefix))]
+        names = _merged(grown, pdf["labelled"].tolist(), pdf["good"].tolist(), prior)
+        out = pdf[["host", "segments", "urls", "labelled", "good"]]
+        return out.assign(template=[[*prefix, *t] for t in grown], merged=[[*prefix, *names[t]] for t in grown], top=len(prefix))
+
+    return run
+
+
 def _merged_at(leaves: DataFrame, level: int, prior: float) -> DataFrame:
-    """``leaves`` with siblings that differ only at ``level`` of ``merged`` pooled by cluster. Pools after the first of a parent are named ``*2``, ``*3`` and so on; siblings alone in theirs keep their name.
+    """``leaves`` with siblings that differ only at ``level`` of ``merged`` pooled by cluster, where their branch begins below (``top``). Pools after the first of a parent are named ``*2``, ``*3`` and so on; siblings alone in theirs keep their name.
 
     Siblings of equal counts are always of one cluster, so a parent sends one row for each distinct pair of counts.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["labelled", "good"]).reset_index(drop=True)
-        cluster = _clusters(pdf["labelled"].to_numpy(), pdf["good"].to_numpy(), pdf["siblings"].to_numpy(), prior)
-        many = pdf["siblings"].groupby(cluster).transform("sum") > 1
+        cluster, many = _pools(pdf["labelled"].to_numpy(), pdf["good"].to_numpy(), pdf["siblings"].to_numpy(), prior)
         return pdf[["host", "shape", "labelled", "good"]].assign(cluster=cluster, many=many)
 
     segment = F.get("merged", F.lit(level))
-    here, above = leaves.where(segment.isNotNull()), leaves.where(segment.isNull())
+    inside = segment.isNotNull() & (F.col("top") > level)
+    here, above = leaves.where(inside), leaves.where(~inside)
     shape = F.transform("merged", lambda s, i: F.when(i == level, F.lit(WILD)).otherwise(s))
     branches = here.groupBy("host", "merged").agg(F.sum("labelled").alias("labelled"), F.sum("good").alias("good")).withColumn("shape", shape)
     counts = branches.groupBy("host", "shape", "labelled", "good").agg(F.count("*").alias("siblings"))
@@ -125,6 +197,37 @@ def _merged_at(leaves: DataFrame, level: int, prior: float) -> DataFrame:
     return here.join(named, ["host", "merged"]).withColumn("merged", F.col("pool")).select(*leaves.columns).unionByName(above)
 
 
+TREE = "host string, segments array<string>, urls long, labelled long, good long, template array<string>, merged array<string>, top int"
+
+
+def _tree(counted: DataFrame, prior: float, most: int) -> DataFrame:
+    """``counted`` with each path's ``template``, what it is ``merged`` to from level ``top`` on: branches of more than ``most`` paths are split until they are small enough."""
+    growing, done, level = counted.withColumn("template", F.array().cast("array<string>")), [], 0
+    while True:
+        sizes = growing.groupBy("host", "template").agg(F.count("*").alias("paths"))
+        large = checkpointed(sizes.where(F.col("paths") > most).select("host", "template"))  # fewer than paths / most
+        if large.isEmpty():
+            done.append(growing.groupBy("host", "template").applyInPandas(_branch(prior), TREE))
+            break
+        large = F.broadcast(large)
+        small_ = growing.join(large, ["host", "template"], "left_anti")
+        done.append(small_.groupBy("host", "template").applyInPandas(_branch(prior), TREE))
+        split = growing.join(large, ["host", "template"], "left_semi")
+        segment = F.get(F.col("segments"), F.lit(level)).alias("child")
+        rare = split.groupBy("host", "template", segment).agg(F.sum("urls").alias("support")).where(F.col("support") >= MIN_SUPPORT).select("host", "template", "child", F.lit(True).alias("stays"))
+        named = split.withColumn("child", segment).join(rare, ["host", "template", "child"], "left")
+        kept = F.when(F.coalesce("stays", F.lit(False)), F.col("child")).otherwise(F.lit(WILD))
+        grown = checkpointed(named.withColumn("template", F.concat("template", F.array(kept))).drop("child", "stays"))
+        level += 1
+        ended = F.size("segments") <= level
+        done.append(grown.where(ended).select("*", F.col("template").alias("merged"), F.lit(level).alias("top")))
+        growing = grown.where(~ended)
+    out = done[0].select(*(c.split()[0] for c in TREE.split(", ")))
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return checkpointed(out)
+
+
 def learn_templates(pages: DataFrame, labels: DataFrame, key: str = "page_id", url: str = "url", label_key: str = "doc_id", label: str = "quality") -> DataFrame:
     """``(host, segments, template, urls, labelled, good, purity, rejected)`` for every host and lexical template.
 
@@ -140,23 +243,15 @@ def learn_templates(pages: DataFrame, labels: DataFrame, key: str = "page_id", u
     known = read.join(marks, "key", "left")
     counted = checkpointed(known.groupBy("host", "segments").agg(F.count("*").alias("urls"), F.count("good").alias("labelled"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")))
 
-    tree = counted.withColumn("template", F.array().cast("array<string>"))
-    depth = _depth(counted)
-    for level in range(depth):
-        segment = F.get(F.col("segments"), F.lit(level))
-        children = tree.where(segment.isNotNull()).groupBy("host", "template", segment.alias("child")).agg(F.sum("urls").alias("support"))
-        kept = children.select("host", "template", "child", F.when(F.col("support") < MIN_SUPPORT, WILD).otherwise(F.col("child")).alias("kept"))
-        tree = tree.withColumn("child", segment).join(kept, ["host", "template", "child"], "left").withColumn("template", F.when(F.col("kept").isNull(), F.col("template")).otherwise(F.concat("template", F.array("kept")))).drop("child", "kept")
-        if level % 4 == 3:
-            tree = checkpointed(tree)
-    rest = F.greatest(F.size("segments") - depth, F.lit(0))
-    tree = tree.withColumn("template", F.concat("template", F.array_repeat(F.lit(WILD), rest)))
-    tree = checkpointed(tree)
-
-    overall = counted.agg(((F.sum("good") + 1) / (F.sum("labelled") + 1)).alias("prior")).head()["prior"]
-    prior = float(overall) if overall is not None else 1.0
-    leaves = checkpointed(tree.groupBy("host", "template").agg(F.sum("urls").alias("urls"), F.sum("labelled").alias("labelled"), F.sum("good").alias("good")).withColumn("merged", F.col("template")))
-    for level in reversed(range(depth)):  # beyond it all segments are wildcards
+    overall = counted.agg(((F.sum("good") + 1) / (F.sum("labelled") + 1)).alias("prior"), F.count("*").alias("paths")).head()
+    prior = float(overall["prior"]) if overall["prior"] is not None else 1.0
+    # The root, a path without segments, is a branch of its own and has nothing to grow.
+    rooted = F.size("segments") == 0
+    root = counted.where(rooted).select("*", F.array().cast("array<string>").alias("template"), F.array().cast("array<string>").alias("merged"), F.lit(0).alias("top"))
+    tree = _tree(counted.where(~rooted), prior, int(min(MOST_BRANCH, max(LEAST_BRANCH, overall["paths"] * BRANCH_PART)))).unionByName(root)
+    leaves = tree.groupBy("host", "template", "merged", "top").agg(F.sum("urls").alias("urls"), F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
+    split = tree.agg(F.max("top").alias("top")).head()["top"] or 0
+    for level in reversed(range(split)):
         leaves = checkpointed(_merged_at(leaves, level, prior))
     totals = leaves.groupBy("host", "merged").agg(F.sum("urls").alias("urls"), F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
     purity = (F.col("good") + PRIOR_WEIGHT * F.lit(prior)) / (F.col("labelled") + PRIOR_WEIGHT)

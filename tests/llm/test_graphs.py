@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -437,7 +438,10 @@ def plain_templates(pages, good):
     return out
 
 
-def test_url_templates_are_the_plain_ones(spark):
+@pytest.mark.parametrize("paths", [1, 30, 256])
+def test_url_templates_are_the_plain_ones(spark, monkeypatch, paths):
+    """Whether hosts are grown by one task each or split into branches of at most so many paths."""
+    monkeypatch.setattr(urls, "LEAST_BRANCH", paths)
     rng = random.Random(13)
     names = ["news", "shop", "a.html", "x", "spam", "tag"]
     pages = [(i, f"http://{rng.choice(['a.net', 'b.net', 'c.net'])}/" + "/".join(rng.choice([*names, str(rng.randrange(10**6)), f"n{rng.randrange(40)}"]) for _ in range(rng.randint(0, 4)))) for i in range(700)]
@@ -449,6 +453,20 @@ def test_url_templates_are_the_plain_ones(spark):
     assert got == expected and 0 < sum(b for *_, b in got.values()) < 600
 
 
+def test_url_traps(spark):
+    """Urls of 60 segments beside short ones, from one host."""
+    import time
+
+    pages = [(i, "http://trap.net/" + "/".join(f"s{(i * k) % 3}" for k in range(60))) for i in range(120)] + [(1000 + i, f"http://trap.net/{'ok' if i % 2 else 'bad'}/{i}") for i in range(50)]
+    table = spark.createDataFrame(pages, "page_id long, url string").repartition(3)
+    good = {i: int(i < 1000 or i % 2) for i, _ in pages}
+    labels = spark.createDataFrame(list(good.items()), "doc_id long, quality int")
+    began = time.time()
+    got = {r.page_id: (r.template, round(r.purity, 9), r.verdict == "block") for r in urls.judge(table, urls.learn_templates(table, labels)).collect()}
+    assert time.time() - began < 60
+    assert got == plain_templates(pages, good)
+
+
 def test_registered_digests(spark, small):
     """What the queries of op1, op4, op9 and op10 return for every document, against one text at a time."""
     import zlib
