@@ -7,9 +7,19 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlog.operators.storage import kept
+
 DEFAULT_LIMIT = 50
 #: Projects and services that are broadcast, at most.
 MAX_KEYS = 100_000
+#: Targets, and neighbours of targets, that are broadcast, at most.
+MAX_TARGETS = 500_000
+
+
+def _few(rows: DataFrame, most: int) -> DataFrame:
+    """``rows``, computed once, to be broadcast if they are few."""
+    rows = kept(rows)
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
 def filter_logs(logs: DataFrame, project: int = 0, query: str = "", min_severity: int = 0, service: str = "", env: str = "", since: datetime | None = None, until: datetime | None = None) -> DataFrame:
@@ -69,19 +79,20 @@ def log_context_many(logs: DataFrame, ids: DataFrame, n: int = 20) -> DataFrame:
     Only the targets' projects and services are looked at, and only time and id of their
     records are put in order: by hours, whose counts give the places before each, so that no
     task orders all records of a service. Targets then meet their neighbours by an equi-join on
-    the place, 2n + 1 rows for each, and whole records are fetched for these alone.
+    the place, 2n + 1 rows for each, and whole records are fetched for these alone. Records are
+    read three times: for the targets, for the order, and for the result.
     """
     key = ["project_id", "service"]
     wanted = ids.select("log_id").distinct()
-    keys = logs.join(wanted, "log_id", "left_semi").select(*key).distinct()
-    keys = F.broadcast(keys) if keys.limit(MAX_KEYS + 1).count() <= MAX_KEYS else keys
-    near = logs.select(*key, "ts", "log_id").join(keys, key, "left_semi").withColumn("__hour", F.date_trunc("hour", "ts"))
-    hours = near.groupBy(*key, "__hour").agg(F.count("*").alias("__n"))
+    keys = kept(logs.select(*key, "log_id").join(wanted, "log_id", "left_semi"))
+    near = logs.select(*key, "ts", "log_id").join(_few(keys.select(*key).distinct(), MAX_KEYS), key, "left_semi").withColumn("__hour", F.date_trunc("hour", "ts"))
+    inside = Window.partitionBy(*key, "__hour").orderBy("ts", "log_id")
+    ranked = kept(near.select(*key, "__hour", "log_id", F.row_number().over(inside).alias("__rank")))
+    hours = ranked.groupBy(*key, "__hour").agg(F.max("__rank").alias("__n"))
     earlier = Window.partitionBy(*key).orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)
     before = hours.select(*key, "__hour", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    rank = F.row_number().over(Window.partitionBy(*key, "__hour").orderBy("ts", "log_id"))
-    placed = near.withColumn("__rank", rank).join(before, [*key, "__hour"]).select(*key, "log_id", (F.col("__before") + F.col("__rank")).alias("__place"))
-    targets = placed.join(wanted, "log_id", "left_semi").select(*key, F.col("log_id").alias("target_id"), F.col("__place").alias("__own"))
+    placed = ranked.join(before, [*key, "__hour"]).select(*key, "log_id", (F.col("__before") + F.col("__rank")).alias("__place"))
+    targets = placed.join(_few(keys.select("log_id"), MAX_TARGETS), "log_id", "left_semi").select(*key, F.col("log_id").alias("target_id"), F.col("__place").alias("__own"))
     around = targets.withColumn("offset", F.explode(F.sequence(F.lit(-n), F.lit(n)))).withColumn("__place", F.col("__own") + F.col("offset"))
-    found = placed.join(around.drop("__own"), [*key, "__place"]).select("log_id", "target_id", "offset")
+    found = _few(placed.join(around.drop("__own"), [*key, "__place"]).select("log_id", "target_id", "offset"), MAX_TARGETS)
     return logs.join(found, "log_id")
