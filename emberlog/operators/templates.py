@@ -33,6 +33,8 @@ IN_ORDER, MORE = 50_000, 4
 SLICE, TOGETHER = 65_536, 50_000
 #: A body with more records is joined in so many tasks.
 HOT_ROWS, SALTS = 1_000_000, 64
+#: Bytes of a row group of stored records; templates of a project that are listed in a search's filter, at most.
+ROW_GROUP, MAX_LISTED = 8 * 1024 * 1024, 2_000
 
 GROUP = ["project_id", "width", "group_key"]
 TEMPLATES = "project_id long, template_id long, tokens array<string>, first_log_id long"
@@ -232,7 +234,9 @@ def append_templates(logs: DataFrame, path: str, epoch: int, threshold: float =
     written last: a batch without them counts as not mined.
     """
     new, encoded = mine_templates(logs, threshold, cap, stored_templates(logs.sparkSession, path, before=epoch))
-    encoded.write.mode("overwrite").parquet(f"{path}/encoded/epoch={epoch}")
+    # Rows of a template lie together, so that a file's statistics tell which templates it holds.
+    together = encoded.hint("rebalance", F.col("project_id"), F.col("template_id")).sortWithinPartitions("project_id", "template_id", "log_id")
+    together.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/encoded/epoch={epoch}")
     new.write.mode("overwrite").parquet(f"{path}/templates/epoch={epoch}")
 
 
@@ -270,6 +274,51 @@ def templates_containing(templates: DataFrame, query: str) -> DataFrame:
     return templates.where(F.lit(query != "") & F.exists(runs, lambda r: F.contains(r, F.lit(query)))).select("project_id", "template_id")
 
 
+def templates_that_may_hold(templates: DataFrame, query: str) -> DataFrame:
+    """``(project_id, template_id, sure)`` of templates some text of which may hold ``query``; ``sure`` if every one does.
+
+    A wildcard stands for one token, without spaces. So a query of several tokens has to lie along a template's tokens: its
+    first ends one, its last begins one, and those between are whole, each equal to the template's or at a wildcard.
+    """
+    parts = query.split(" ")
+    at = lambda i, k: F.get("tokens", i + k)
+    fits = lambda i: [
+        F.coalesce((at(i, k) == WILD) | (F.endswith(at(i, k), F.lit(part)) if k == 0 else F.startswith(at(i, k), F.lit(part)) if k == len(parts) - 1 else at(i, k) == part), F.lit(False))
+        for k, part in enumerate(parts)
+    ]
+    one = F.exists("tokens", lambda t: (t == WILD) | F.contains(t, F.lit(query)))
+
+    def along(i: Column) -> Column:
+        out = F.lit(True)
+        for condition in fits(i):
+            out = out & condition
+        return out
+
+    may = one if len(parts) == 1 else F.exists(F.transform("tokens", lambda t, i: along(i)), lambda x: x)
+    sure = templates_containing(templates, query).withColumn("sure", F.lit(True))
+    found = templates.where(may).select("project_id", "template_id").join(sure, ["project_id", "template_id"], "left")
+    return found.select("project_id", "template_id", F.coalesce("sure", F.lit(False)).alias("sure"))
+
+
+def search_stored(spark: SparkSession, path: str, query: str, project: int = 0) -> DataFrame:
+    """``(log_id, project_id)`` of the stored records under ``path`` whose body holds ``query``, as :func:`search_encoded` finds them.
+
+    Templates that can't hold it are left out by a filter on the template numbers, which skips the row groups
+    and files that hold none of the others; where too many are left, all are read. Records of
+    templates that always hold it are not put together.
+    """
+    known, rows = kept(stored_templates(spark, path)), encoded_logs(spark, path)
+    if project:
+        known, rows = known.where(F.col("project_id") == project), rows.where(F.col("project_id") == project)
+    may = kept(templates_that_may_hold(known, query))
+    listed = may.select("template_id").distinct().limit(MAX_LISTED + 1).collect()
+    if len(listed) <= MAX_LISTED:
+        rows = rows.where(F.col("template_id").isin(0, *(r["template_id"] for r in listed)))
+    raw = rows.where(F.col("template_id") == 0).where(F.contains("raw", F.lit(query))).select("log_id", "project_id")
+    wanted = rows.join(F.broadcast(may.join(known, ["project_id", "template_id"]).select("project_id", "template_id", "sure", "tokens")), ["project_id", "template_id"])
+    return wanted.where(F.col("sure") | F.contains(filled(F.col("tokens"), F.col("vars")), F.lit(query))).select("log_id", "project_id").unionByName(raw)
+
+
 def search_encoded(encoded: DataFrame, templates: DataFrame, query: str) -> DataFrame:
     """``(log_id, project_id)`` whose body holds ``query``; rows of templates that always do are not reconstructed."""
     sure = templates_containing(templates, query).withColumn("sure", F.lit(True))

@@ -461,6 +461,12 @@ def search_encoded(spark, sf_dir):
     return templates.search_encoded(encoded, mined, "items/12")
 
 
+@query("SELECT log_id, project_id FROM logs WHERE contains(body, 'connect: connection refused')")
+def search_stored(spark, sf_dir):
+    """The same search over stored records, of which only those of templates along which the words fit are read."""
+    return templates.search_stored(spark, _mined_in_batches(spark, sf_dir), "connect: connection refused")
+
+
 @query(_MINED + """SELECT (SELECT count(*) FROM templates) AS templates, count(*) AS rows, count(*) FILTER (raw) AS raw_rows, cast(coalesce(sum(CASE WHEN raw THEN 0 ELSE strlen(replace(vars, '|', '')) END), 0) AS bigint) AS variable_bytes,
 cast(coalesce(sum(CASE WHEN raw THEN strlen(vars) ELSE 0 END), 0) AS bigint) AS raw_bytes, 100.0::double * count(*) FILTER (NOT raw) / count(*) AS templated_pct FROM encoded""", plain=True)
 def template_report(spark, sf_dir):

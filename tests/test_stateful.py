@@ -344,6 +344,11 @@ def test_templates(spark, tmp_path, monkeypatch):
     assert {r.log_id: r.body for r in templates.reconstruct(encoded, mined).collect()} == dict(enumerate(bodies))
     for q in ("get", "er 3", "t p", "b"):
         assert sorted(r.log_id for r in templates.search_encoded(encoded, mined, q).collect()) == [i for i, b in enumerate(bodies) if b and q in b]
+    templates.append_templates(logs, f"{tmp_path}/search", 0)
+    for q in ("get", "er 3", "t p", "get  two", "user get x", "b", "a\nb", "zz zz"):
+        assert sorted(r.log_id for r in templates.search_stored(spark, f"{tmp_path}/search", q).collect()) == [i for i, b in enumerate(bodies) if b and q in b], q
+    may = {(r.project_id, r.template_id): r.sure for r in templates.templates_that_may_hold(mined, "user get x").collect()}
+    assert 0 < len(may) < len(tokens)
     sure = {(r.project_id, r.template_id) for r in templates.templates_containing(mined, "get").collect()}
     assert sure == {k for k, t in tokens.items() if any("get" in run for run in " ".join(t).split("\0"))}
     # In rounds, in batches in turn and in a stream: row for row the same.
