@@ -326,7 +326,7 @@ def test_pipeline(spark, small):
 
 
 def test_registry():
-    assert sorted(queries()) == sorted(["pipeline", *(f"op{n}_{x}" for n, x in enumerate("bpe ann packing toxicity chat urls lmscore decontam langid simhash".split(), 1))])
+    assert sorted(queries()) == sorted(["pipeline", *(f"op{n}_{x}" for n, x in enumerate("bpe ann packing toxicity chat urls lmscore decontam langid simhash periodic secrets align".split(), 1))])
 
 
 def test_pipeline_stages_keep_columns(spark, small):
