@@ -6,25 +6,34 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: A part of a file that is worth a task of its own in any case.
+SPLIT_BYTES = 128 * 1024 * 1024
+
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the session's checkpoint folder, its lineage cut. Where none is set, a temporary one for a local master; on a cluster ``df`` itself, computed again wherever it is used: that costs time, no rows."""
+    """``df`` computed once and kept in the session's checkpoint folder, its lineage cut. Where none is set, a temporary one for a local master; on a cluster that is an error, as its executors share no local folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         named = sc.getConf().get("spark.checkpoint.dir", None)
         if not named and (sc.master.startswith("local[") or sc.master == "local"):
             named = tempfile.mkdtemp(prefix="spark-checkpoint-")
         if not named:
-            return df
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named)
     return df.checkpoint()
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt to all cores, if it lies in fewer partitions (few files): for work on rows that costs more than moving them."""
-    if df.isStreaming or df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
+    """``df`` dealt to all cores, if it lies in fewer and small files: for work on rows that costs more than moving them. Nothing is run to find out."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.isStreaming:
+        return df
+    files = df._jdf.inputFiles()
+    if not 0 < len(files) < cores:
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    sizes = (fs.getFileStatus(where).getLen() for fs, where in (file_system(spark, f) for f in files))
+    return df.repartition(cores) if sum(sizes) < cores * SPLIT_BYTES else df
 
 
 def file_system(spark: SparkSession, path: str):
