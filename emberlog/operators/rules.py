@@ -79,6 +79,17 @@ def sample_scope(rows: list[Row]) -> Column:
     return F.array_compact(F.array(*(F.when(_matches(r) & (first > i), i) for i, r in samples))) if samples else F.array().cast("array<int>")
 
 
+def in_sampling(logs: DataFrame, rows: list[Row]) -> DataFrame:
+    """``(log_id, reached)`` of the records in the scope of a sampling rule."""
+    some = F.filter(F.array(sample_scope(rows)), lambda reached: F.size(reached) > 0)
+    return logs.select("log_id", F.explode(some).alias("reached"))
+
+
+def only(logs: DataFrame, test: Column) -> DataFrame:
+    """The records for which ``test`` is true, by a generator: a filter would be pushed down through the steps before it, which repeats their expressions for every column it names."""
+    return logs.select("*", F.explode(F.when(test, F.array(F.lit(True)))).alias("__true")).drop("__true")
+
+
 def sampled_out(scoped: DataFrame, rows: list[Row], offsets: dict[int, int] | None = None) -> DataFrame:
     """``(log_id, rule_id)`` of the records that sampling rules drop: all but the 1st, (n+1)th, ... that reach each by ``log_id``.
 
@@ -125,14 +136,14 @@ def mark_noise(logs: DataFrame, rules: DataFrame) -> DataFrame:
     logs = logs.withColumn("drop_rule_id", F.lit(None).cast("long"))
     if len(plain) == len(rows):
         return settle(logs, rows)
-    reached = sample_scope(rows)
-    scoped = kept(logs.select("log_id", reached.alias("reached")).where(F.size("reached") > 0))
+    scoped = kept(in_sampling(logs, rows))
     dropped = kept(sampled_out(scoped, rows).withColumnRenamed("rule_id", "__sampled"))
     # What a sampling rule drops comes before any rule without a counter that would drop it.
     finish = lambda rows_: settle(rows_.withColumn("drop_rule_id", F.col("__sampled")).drop("__sampled"), plain)
     if dropped.limit(MAX_IDS + 1).count() <= MAX_IDS:
         return finish(logs.join(F.broadcast(dropped), "log_id", "left").select(*logs.columns, "__sampled"))
-    rest, inside = settle(logs.where(F.size(reached) == 0), plain), logs.where(F.size(reached) > 0)
+    within = F.size(sample_scope(rows)) > 0
+    rest, inside = settle(only(logs, ~within), plain), only(logs, within)
     return rest.unionByName(finish(inside.join(dropped, "log_id", "left").select(*logs.columns, "__sampled")))
 
 

@@ -22,7 +22,7 @@ from emberlog.operators.alerts import match_alerts
 from emberlog.operators.issues import SAMPLES, issue_samples, prune_samples
 from emberlog.operators.normalize import normalize
 from emberlog.operators.rollups import rollup
-from emberlog.operators.rules import sample_scope, sampled_out, settle, valid_rules
+from emberlog.operators.rules import in_sampling, sampled_out, settle, valid_rules
 from emberlog.operators.storage import epochs, file_system, kept
 
 OUTCOME = "project_id long, fingerprint string, log_id long, is_new boolean, is_reopened boolean, status string, count long, first_seen timestamp, last_seen timestamp"
@@ -80,8 +80,7 @@ def noise_stream(path: str, rules: DataFrame) -> Callable[[DataFrame, int], None
         logs = batch.select("project_id", "log_id", "severity", "service", "body").withColumn("drop_rule_id", F.lit(None).cast("long"))
         done = [e for e in epochs(spark, f"{path}/reached") if e < epoch]
         offsets = {r["rule_id"]: r["reached"] for r in spark.read.parquet(f"{path}/reached/epoch={max(done)}").collect()} if done else {}
-        reached = sample_scope(rows)
-        scoped = kept(logs.select("log_id", reached.alias("reached")).where(F.size("reached") > 0))
+        scoped = kept(in_sampling(logs, rows))
         dropped = sampled_out(scoped, rows, offsets)
         marked = settle(logs.join(dropped, "log_id", "left").withColumn("drop_rule_id", F.col("rule_id")).drop("rule_id"), plain)
         marked.select("project_id", "log_id", "drop_rule_id").write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
