@@ -68,19 +68,27 @@ def _records(rows: DataFrame) -> DataFrame:
     return sliced.join(earlier, ["rule_id", "slice"]).withColumn("seen", seen).where("seen is null or us > seen").drop("slice", "latest", "seen")
 
 
-def _chunks(settle: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Streams through sorted rows, a chunk of a rule at a time."""
+def _chunks(settle: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Streams through sorted rows. ``settle`` is given whole chunks, as many as a batch completes, and the places at which they begin."""
+
+    def starts_of(rows: pd.DataFrame) -> np.ndarray:
+        keys = rows[["rule_id", "chunk"]].to_numpy()
+        return np.append(0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1)
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        held: list[pd.DataFrame] = []  # of one chunk, the last
         for pdf in pdfs:
-            for key, part in pdf.groupby(["rule_id", "chunk"], sort=False):
-                if held and key != (held[0]["rule_id"].iloc[0], held[0]["chunk"].iloc[0]):
-                    yield settle(pd.concat(held))
-                    held = []
-                held.append(part)
+            if pdf.empty:
+                continue
+            held.append(pdf)
+            if (pdf["rule_id"].iloc[-1], pdf["chunk"].iloc[-1]) != (held[0]["rule_id"].iloc[0], held[0]["chunk"].iloc[0]):
+                rows = pd.concat(held, ignore_index=True)
+                *starts, last = starts_of(rows)
+                yield settle(rows.iloc[:last], np.array(starts))
+                held = [rows.iloc[last:]]
         if held:
-            yield settle(pd.concat(held))
+            rows = pd.concat(held, ignore_index=True)
+            yield settle(rows, starts_of(rows))
 
     return run
 
@@ -90,17 +98,21 @@ def _next(us: np.ndarray, cooldown: int) -> np.ndarray:
     return np.searchsorted(us, us + cooldown)
 
 
-def _summary(pdf: pd.DataFrame) -> pd.DataFrame:
-    """What a chunk makes of the first time at which its rule may fire again: pieces of such times (``upto``) and the last fire that each leads to."""
-    us, cooldown = pdf["us"].to_numpy(), int(pdf["cooldown"].iloc[0])
+def _summary(us: np.ndarray, cooldown: int) -> tuple[list[int], list[int]]:
+    """What a chunk makes of the first time at which its rule may fire again: pieces of such times, by their ends, and the last fire that each leads to."""
     jump, last = _next(us, cooldown), np.arange(len(us))
     while (jump < len(us)).any():  # pointer doubling
         on = np.flatnonzero(jump < len(us))
         last[on] = last[jump[on]]
         jump = np.append(jump, len(us))[jump]
     ends = np.append(np.flatnonzero(last[1:] != last[:-1]), len(us) - 1)
-    first = pdf.iloc[[0]][["rule_id", "chunk", "cooldown", "last"]]
-    return first.assign(upto=[us[ends].tolist()], fire=[us[last[ends]].tolist()])
+    return us[ends].tolist(), us[last[ends]].tolist()
+
+
+def _summaries(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+    first = rows.iloc[starts][["rule_id", "chunk", "cooldown", "last"]]
+    found = [_summary(us, int(c)) for us, c in zip(np.split(rows["us"].to_numpy(), starts[1:]), first["cooldown"])]
+    return first.assign(upto=[u for u, _ in found], fire=[f for _, f in found])
 
 
 def _fold(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,14 +129,15 @@ def _fold(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf[["rule_id", "chunk"]].assign(due=pd.array(out, "int64"))
 
 
-def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The candidates of a chunk that fire."""
-    us, cooldown = pdf["us"].to_numpy(), int(pdf["cooldown"].iloc[0])
-    at, fired = int(np.searchsorted(us, int(pdf["due"].iloc[0]))), []
-    while at < len(us):
-        fired.append(at)
-        at = int(np.searchsorted(us, us[at] + cooldown))
-    return pdf.iloc[fired][["rule_id", "log_id"]]
+def _replay(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+    """The candidates that fire, chunk by chunk."""
+    first, fired = rows.iloc[starts], []
+    for start, us, cooldown, due in zip(starts, np.split(rows["us"].to_numpy(), starts[1:]), first["cooldown"], first["due"]):
+        at = int(np.searchsorted(us, due))
+        while at < len(us):
+            fired.append(start + at)
+            at = int(np.searchsorted(us, us[at] + cooldown))
+    return rows.iloc[fired][["rule_id", "log_id"]]
 
 
 def apply_cooldown(candidates: DataFrame, span: int = CHUNK_SECONDS) -> DataFrame:
@@ -144,7 +157,7 @@ def apply_cooldown(candidates: DataFrame, span: int = CHUNK_SECONDS) -> DataFram
     chunk = F.floor(F.col("us") / F.greatest(F.col("cooldown"), F.lit(span * 1_000_000))).alias("chunk")
     records = _records(rows).select("*", chunk)
     dealt = records.repartition("rule_id", "chunk").sortWithinPartitions("rule_id", "chunk", "us")
-    tables = dealt.mapInPandas(_chunks(_summary), "rule_id long, chunk long, cooldown long, last long, upto array<long>, fire array<long>")
+    tables = dealt.mapInPandas(_chunks(_summaries), "rule_id long, chunk long, cooldown long, last long, upto array<long>, fire array<long>")
     due = tables.repartition("rule_id").sortWithinPartitions("rule_id", "chunk").mapInPandas(_fold, "rule_id long, chunk long, due long")
     timed = records.join(kept(due), ["rule_id", "chunk"]).repartition("rule_id", "chunk").sortWithinPartitions("rule_id", "chunk", "us")
     fired = timed.mapInPandas(_chunks(_replay), "rule_id long, log_id long")
@@ -158,7 +171,7 @@ def evaluate_alerts(events: DataFrame, rules: DataFrame) -> DataFrame:
     fetched for the fires alone.
     """
     narrow = events.select(*dict.fromkeys(c for c in ("project_id", "log_id", "ts", "severity", "service", "environment", "is_event", "is_new", "is_reopened") if c in events.columns))
-    matches = kept(match_alerts(narrow, rules))
+    matches = kept(match_alerts(narrow, rules), cached=True)
     simple = matches.where("(rule_kind = 'new_issue' and is_new) or (rule_kind = 'regression' and is_reopened)").withColumn("event_count", F.lit(None).cast("long"))
     counted = threshold_counts(matches).where(F.col("event_count") >= F.col("rule_n"))
     fires = kept(apply_cooldown(kept(simple.unionByName(counted))))

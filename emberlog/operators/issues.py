@@ -52,7 +52,7 @@ def issue_outcomes(events: DataFrame, actions: DataFrame | None = None) -> DataF
     Events are read twice, once for their issues and ids, which are kept, and once for the result.
     """
     events = events.where("is_event") if "is_event" in events.columns else events
-    keys = kept(events.select(*KEY, "log_id"))
+    keys = kept(events.select(*KEY, "log_id"), cached=True)
     first = kept(keys.groupBy(*KEY).agg(F.min("log_id").alias("__first")))
     flags = first.select(F.col("__first").alias("log_id"), F.lit(True).alias("__new"), F.lit(False).alias("__back"))
     if actions is not None:

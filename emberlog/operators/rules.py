@@ -136,7 +136,7 @@ def mark_noise(logs: DataFrame, rules: DataFrame) -> DataFrame:
     logs = logs.withColumn("drop_rule_id", F.lit(None).cast("long"))
     if len(plain) == len(rows):
         return settle(logs, rows)
-    scoped = kept(in_sampling(logs, rows))
+    scoped = kept(in_sampling(logs, rows), cached=True)
     dropped = kept(sampled_out(scoped, rows).withColumnRenamed("rule_id", "__sampled"))
     # What a sampling rule drops comes before any rule without a counter that would drop it.
     finish = lambda rows_: settle(rows_.withColumn("drop_rule_id", F.col("__sampled")).drop("__sampled"), plain)

@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 SPLIT_BYTES = 128 * 1024 * 1024
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the session's checkpoint folder, its lineage cut. Where none is set, a temporary one for a local master; on a cluster that is an error, as its executors share no local folder."""
+def kept(df: DataFrame, cached: bool = False) -> DataFrame:
+    """``df`` computed once and kept in the session's checkpoint folder, its lineage cut. Where none is set, a temporary one for a local master; on a cluster that is an error, as its executors share no local folder.
+
+    A checkpoint runs its last stage twice. ``cached`` holds the rows until they are written: for narrow rows that cost more than that.
+    """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         named = sc.getConf().get("spark.checkpoint.dir", None)
@@ -20,7 +23,11 @@ def kept(df: DataFrame) -> DataFrame:
         if not named:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named)
-    return df.checkpoint()
+    if not cached or df.storageLevel.useMemory or df.storageLevel.useDisk:
+        return df.checkpoint()
+    out = df.persist().checkpoint()
+    df.unpersist()
+    return out
 
 
 def spread(df: DataFrame) -> DataFrame:

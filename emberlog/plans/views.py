@@ -88,9 +88,9 @@ def actions(issues: DataFrame) -> DataFrame:
     half = F.floor((F.col("first_id") + F.col("last_id")) / 2)
     late = F.col("first_id") + F.floor((F.col("last_id") - F.col("first_id")) * 9 / 10)
     digit = F.substring("fingerprint", 1, 1)
-    resolved = issues.where(digit.isin("0", "2", "4", "6", "8", "a", "c", "e")).select("project_id", "fingerprint", F.lit("resolved").alias("status"), half.alias("seq"))
-    ignored = issues.where(digit.isin("0", "3", "6", "9", "c", "f")).select("project_id", "fingerprint", F.lit("ignored").alias("status"), late.alias("seq"))
-    return resolved.unionByName(ignored)
+    resolved = F.when(digit.isin("0", "2", "4", "6", "8", "a", "c", "e"), F.struct(F.lit("resolved").alias("status"), half.alias("seq")))
+    ignored = F.when(digit.isin("0", "3", "6", "9", "c", "f"), F.struct(F.lit("ignored").alias("status"), late.alias("seq")))
+    return issues.select("project_id", "fingerprint", F.explode(F.array_compact(F.array(resolved, ignored))).alias("a")).select("project_id", "fingerprint", "a.status", "a.seq")
 
 
 # The same in SQL over a relation ``groups`` (project_id, fingerprint, first_id, last_id).

@@ -66,6 +66,13 @@ def test_noise_rules(spark):
     assert sum(r.dropped_count for r in counted.collect()) == len(dropped) and counted.count() == len(NOISE)
 
 
+def test_noise_rules_that_sample_out_too_many_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(rules, "MAX_IDS", 0)
+    rows, logs = some_logs(spark, random.Random(3), 300)
+    found = rules.mark_noise(logs, spark.createDataFrame(NOISE, schema.NOISE_RULES))
+    assert sorted((r.log_id, r.drop_rule_id or 0) for r in found.collect()) == sorted((k, v or 0) for k, v in plain_noise(rows).items())
+
+
 def test_sample_keeps_first_and_every_nth(spark):
     logs = spark.createDataFrame([(i, 1, START, 1, f"r{i}", "a", "") for i in range(9)], SLIM)
     table = spark.createDataFrame([(1, 1, "sample", "", 1, "", 3, True, 0)], schema.NOISE_RULES)
