@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +86,18 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
     return salted.join(copies, [*on, "__salt"], how).drop("__salt")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """What is run in it sends Arrow batches of about ``size`` to Python (by default 64 MB, of which the JVM and Python hold several copies a task); the setting is put back afterwards."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fold(column: str, mod: int) -> Column:
     """crc32 of the id's decimal text, modulo ``mod``: the held-out folds; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % mod

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.llm.common import small_batches
+
 SEQ_LEN = 2048
 #: Documents in a shard, on average; tokens packed together, at most, beyond the last document (4 bytes each).
 SHARD_DOCS, SHARD_TOKENS = 4_000, 2_000_000
@@ -136,6 +138,7 @@ def pack_ids(docs: DataFrame, ids: Column, key: str = "doc_id", seq_len: int = S
 
 
 def write_packed(packed: DataFrame, path: str) -> DataFrame:
-    """Writes the packed matrices as Parquet files of up to ``FILE_ROWS`` rows, whole shards in order in each, and returns them read again: every row is a row of its id and position matrices, as raw little-endian integers."""
-    packed.write.option("maxRecordsPerFile", FILE_ROWS).parquet(path, compression="zstd")
+    """Writes the packed matrices as Parquet files of up to ``FILE_ROWS`` rows, whole shards in order in each, and returns them read again: every row is a row of its id and position matrices, as raw little-endian integers. Texts and ids reach Python in small batches."""
+    with small_batches(packed.sparkSession):
+        packed.write.option("maxRecordsPerFile", FILE_ROWS).parquet(path, compression="zstd")
     return packed.sparkSession.read.schema(SCHEMA).parquet(path)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +110,22 @@ def test_packing_is_lossless(spark, tmp_path):
     assert packing.pack_ids(docs.limit(0), F.col("ids")).count() == 0
 
 
+def test_packing_takes_small_batches(spark, tmp_path):
+    """Ids of 16 MB in all, computed in Python from one partition: no batch is over 10 MB, and the session's setting is as before."""
+
+    @F.arrow_udf("binary")
+    def ids(keys: pa.Array) -> pa.Array:
+        if keys.nbytes > 10_000_000:
+            raise ValueError(f"a batch of {keys.nbytes} bytes")
+        return pa.array([b"\1\0\0\0" for _ in keys], pa.binary())
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    docs = spark.range(1000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("0123456789abcdef"), 1000).alias("text"))
+    out = packing.write_packed(packing.pack_ids(docs, ids(F.col("text"))), f"{tmp_path}/packed").collect()
+    assert sorted(k for r in out for k in r.doc_ids) == list(range(1000)) and spark.conf.get(setting) == before
+
+
 def held_out_losses(ids, chosen, size):
     """The mean loss of each document under a bigram model of the ``chosen`` others, counted one by one."""
     out = {}
