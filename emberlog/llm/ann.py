@@ -32,7 +32,7 @@ from emberlog.llm.common import checkpointed, skew_join, stored
 #: Neighbours of a node in the graph, and of nodes it is a neighbour of those that take part.
 DEGREE, REVERSE = 24, 16
 #: Projection orders the graph starts from, and vectors compared in a chunk of one.
-ORDERS, CHUNK = 4, 400
+ORDERS, CHUNK = 4, 1_000
 #: Nodes of a block.
 BLOCK = 4_096
 #: Rounds of NN-descent, at most, and the share of changed entries that ends them.
@@ -41,6 +41,8 @@ ROUNDS, SETTLED = 8, 0.02
 OFFERS = 10
 #: Candidates a query keeps, and candidates it expands in a round.
 BEAM, EXPAND = 160, 40
+#: Narrow rows that a round of NN-descent or of the search broadcasts, at most; more are shuffled.
+BROADCAST = 300_000
 
 _NEAR = "array<struct<d:double,id:long>>"
 
@@ -84,7 +86,7 @@ def _direct(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _chunk_neighbours(degree: int, chunk: int):
-    """Exact neighbours within runs of ``chunk`` vectors of a sorted partition; runs overlap by half."""
+    """Exact neighbours within runs of ``chunk`` vectors of a range, in partitions sorted by range; runs overlap by half."""
 
     def nearest(ids: np.ndarray, vectors: np.ndarray) -> pd.DataFrame:
         d = _squared(vectors, vectors)
@@ -94,21 +96,26 @@ def _chunk_neighbours(degree: int, chunk: int):
         return pd.DataFrame({"id": ids, "near": [list(zip(a, b)) for a, b in zip(_direct(vectors[:, None, :], vectors[at]).tolist(), ids[at].tolist())]})
 
     def run(batches):
-        ids, vectors = np.empty(0, np.int64), []
+        current, ids, vectors = None, np.empty(0, np.int64), []
         for pdf in batches:
-            ids, vectors = np.concatenate([ids, pdf["id"].to_numpy()]), vectors + pdf["v"].tolist()
-            while len(ids) >= 2 * chunk:
-                yield nearest(ids[:chunk], _matrix(vectors[:chunk]))
-                ids, vectors = ids[chunk // 2 :], vectors[chunk // 2 :]
+            for at, part in pdf.groupby("range"):
+                if at != current:
+                    if len(ids) > 1:
+                        yield nearest(ids, _matrix(vectors))
+                    current, ids, vectors = at, np.empty(0, np.int64), []
+                ids, vectors = np.concatenate([ids, part["id"].to_numpy()]), vectors + part["v"].tolist()
+                while len(ids) >= 2 * chunk:
+                    yield nearest(ids[:chunk], _matrix(vectors[:chunk]))
+                    ids, vectors = ids[chunk // 2 :], vectors[chunk // 2 :]
         if len(ids) > 1:
             yield nearest(ids, _matrix(vectors))
 
     return run
 
 
-def _merged(near: DataFrame, degree: int) -> DataFrame:
-    """``(id, near)``: of all lists of an id the ``degree`` nearest distinct neighbours. Each id has a bounded number of lists."""
-    return near.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, degree).alias("near"))
+def _merged(near: DataFrame, degree: int, *more: Column) -> DataFrame:
+    """``(id, near)`` and ``more`` aggregates: of all lists of an id the ``degree`` nearest distinct neighbours. Each id has a bounded number of lists."""
+    return near.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, degree).alias("near"), *more)
 
 
 def _project(seed: int, depth: int = 12) -> callable:
@@ -132,20 +139,34 @@ def _project(seed: int, depth: int = 12) -> callable:
     return key
 
 
+def _in_ranges(nodes: DataFrame, seed: int, parts: int, name: str) -> DataFrame:
+    """``nodes(id, v)`` with their place ``at`` in a projection order and the number ``name`` of one of ``parts`` ranges of it, of about equal size however Spark deals out rows. Only the ranges' bounds reach the driver."""
+    # Vectors with one projection are set apart by a hash of their ids, far below the step between codes.
+    apart = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 40)
+    placed = nodes.withColumn("at", _project(seed)(F.col("v")) + apart)
+    if parts == 1:
+        return placed.withColumn(name, F.lit(0))
+    bounds = placed.approxQuantile("at", [i / parts for i in range(1, parts)], 0.1 / parts)
+
+    @F.pandas_udf("int")
+    def number(at: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, at, side="right"))
+
+    return placed.withColumn(name, number("at"))
+
+
 def in_blocks(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     """``nodes(id, v)`` with the number of their ``block``: ranges of one projection order, so that neighbours often share one."""
-    parts = max(1, -(-nodes.count() // block))
-    ordered = nodes.withColumn("at", _project(0)(F.col("v"))).repartitionByRange(parts, "at", "id")
-    return stored(ordered.select("id", "v", F.spark_partition_id().alias("block")))
+    return stored(_in_ranges(nodes, 0, max(1, -(-nodes.count() // block)), "block").drop("at"))
 
 
 def start_graph(nodes: DataFrame, degree: int = DEGREE, orders: int = ORDERS, chunk: int = CHUNK) -> DataFrame:
     """A first graph ``(id, near)`` of ``nodes(id, v)``."""
-    # A partition holds two chunks at least, if there are as many vectors: none is left alone.
-    parts = max(1, min(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() // (2 * chunk)))
+    # A range holds about two chunks, if there are as many vectors: none is left alone, however many partitions there are.
+    parts = max(1, nodes.count() // (2 * chunk))
     lists = None
     for seed in range(orders):
-        ordered = nodes.withColumn("at", _project(seed)(F.col("v"))).repartitionByRange(parts, "at", "id").sortWithinPartitions("at", "id").select("id", "v")
+        ordered = _in_ranges(nodes, seed, parts, "range").repartition("range").sortWithinPartitions("range", "at", "id").select("range", "id", "v")
         found = ordered.mapInPandas(_chunk_neighbours(degree, chunk), f"id long, near {_NEAR}")
         lists = found if lists is None else lists.union(found)
     return checkpointed(_merged(lists, degree))
@@ -198,27 +219,28 @@ def _edges(graph: DataFrame, reverse: int = REVERSE) -> DataFrame:
     return forward.select("center", "id", "fresh").union(backward.select("center", "id", "fresh"))
 
 
-def descend(nodes: DataFrame, graph: DataFrame, degree: int = DEGREE, offers: int = OFFERS) -> DataFrame:
-    """One round of NN-descent over ``nodes(id, v, block)`` and ``graph(id, near, fresh)``: the graph with the nearest of what neighbours of neighbours offer."""
+def descend(nodes: DataFrame, graph: DataFrame, degree: int = DEGREE, offers: int = OFFERS, few: bool = False) -> DataFrame:
+    """One round of NN-descent over ``nodes(id, v, block)`` and ``graph(id, near, fresh)``: the graph with the nearest of what neighbours of neighbours offer. ``few``: a row for each node may be broadcast."""
+    sent = F.broadcast if few else lambda df: df
     edges = _edges(graph).withColumn("active", F.max("fresh").over(Window.partitionBy("center"))).where("active").drop("active")
-    hoods = checkpointed(edges.join(nodes.select(F.col("id").alias("center"), "block"), "center"))
+    hoods = checkpointed(edges.join(sent(nodes.select(F.col("id").alias("center"), "block")), "center"))
     needed = hoods.select(F.col("block").alias("to"), F.col("id").alias("id")).union(hoods.select("block", "center")).distinct()
     worst = graph.select("id", F.when(F.size("near") < degree, F.lit(float("inf"))).otherwise(F.element_at("near", -1)["d"]).alias("worst"))
-    vectors = needed.join(nodes.select("id", "v").join(worst, "id", "left"), "id").select("to", "id", "v", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
+    vectors = needed.join(nodes.select("id", "v").join(sent(worst), "id", "left"), "id").select("to", "id", "v", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
     offered = hoods.groupBy("block").cogroup(vectors.groupBy("to")).applyInPandas(_local_join(offers, degree), "id long, d double, other long")
-    lists = offered.groupBy("id").agg(F.collect_list(F.struct("d", F.col("other").alias("id"))).cast(_NEAR).alias("near")).union(graph.select("id", "near"))
-    merged = _merged(lists, degree)
-    old = graph.select("id", F.col("near.id").alias("before"))
+    none = F.lit(None).cast("array<long>")
+    lists = offered.select("id", F.array(F.struct("d", F.col("other").alias("id"))).cast(_NEAR).alias("near"), none.alias("before")).union(graph.select("id", "near", F.col("near.id")))
     fresh = F.transform("near", lambda e: ~F.array_contains(F.coalesce("before", F.array().cast("array<long>")), e["id"]))
-    return checkpointed(merged.join(old, "id", "left").select("id", "near", fresh.alias("fresh")))
+    return checkpointed(_merged(lists, degree, F.max("before").alias("before")).select("id", "near", fresh.alias("fresh")))
 
 
 def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, settled: float = SETTLED) -> DataFrame:
     """Neighbour graph ``(id, near, fresh)`` of ``nodes(id, v)``: distinct ids, packed vectors of one length."""
     nodes = in_blocks(nodes)
+    few = nodes.count() <= BROADCAST
     graph = start_graph(nodes.select("id", "v"), degree).withColumn("fresh", F.transform("near", lambda e: F.lit(True)))
     for _ in range(rounds):
-        graph = descend(nodes, graph, degree)
+        graph = descend(nodes, graph, degree, few=few)
         changed, total = graph.agg(F.sum(F.size(F.filter("fresh", lambda f: f))), F.sum(F.size("near"))).head()
         if not total or changed <= settled * total:
             break
@@ -235,16 +257,24 @@ def search(nodes: DataFrame, graph: DataFrame, starts: DataFrame, beam: int = BE
     entry = "array<struct<d:double,id:long,done:boolean>>"
     edges = checkpointed(_edges(graph).groupBy("center").agg(F.collect_set("id").alias("next")).withColumnRenamed("center", "id"))
     asked = checkpointed(starts.select(F.col("id").alias("query")).join(nodes.select(F.col("id").alias("query"), F.col("v").alias("q")), "query"))
-    state = checkpointed(asked.select("query", F.array(F.struct(F.lit(0.0).alias("d"), F.col("query").alias("id"), F.lit(False).alias("done"))).cast(entry).alias("near")))
+    # A query's own node and its neighbours in the graph, whose distances are known.
+    own = F.array(F.struct(F.lit(0.0).alias("d"), F.col("query").alias("id"), F.lit(False).alias("done"))).cast(entry)
+    known = F.transform("first", lambda e: F.struct(e["d"].alias("d"), e["id"].alias("id"), F.lit(False).alias("done")))
+    first = graph.select(F.col("id").alias("query"), F.col("near").alias("first"))
+    state = checkpointed(asked.select("query").join(first, "query", "left").select("query", F.slice(F.concat(own, F.coalesce(known, F.array().cast(entry))), 1, beam).alias("near")))
+    queries = state.count()
+    sent = lambda df, each: F.broadcast(df) if queries * each <= BROADCAST else df
     while not state.where(F.exists("near", lambda e: ~e["done"])).isEmpty():
         marked = state.withColumn("now", F.slice(F.filter("near", lambda e: ~e["done"]), 1, expand))
-        met = marked.select("query", F.explode("now.id").alias("id")).join(edges, "id").select("query", F.explode("next").alias("id")).distinct()
-        fresh = met.join(state.select("query", F.explode("near.id").alias("id")), ["query", "id"], "left_anti")
-        measured = fresh.join(nodes, "id").join(asked, "query").select("query", F.struct(distance("q", "v").alias("d"), "id", F.lit(False).alias("done")).alias("e")).groupBy("query").agg(F.collect_list("e").alias("more"))
+        now = marked.select("query", F.explode("now.id").alias("id"))
+        met = edges.join(sent(now, expand), "id").select("query", F.explode("next").alias("id")).groupBy("query").agg(F.collect_set("id").alias("met"))
+        fresh = met.join(sent(state, beam), "query").select("query", F.explode(F.array_except("met", "near.id")).alias("id"))
+        vectors = nodes.join(sent(fresh, expand * (DEGREE + REVERSE)), "id").join(sent(asked, 16), "query")
+        measured = vectors.select("query", F.struct(distance("q", "v").alias("d"), "id", F.lit(False).alias("done")).alias("e")).groupBy("query").agg(F.collect_list("e").alias("more"))
         after = F.transform("near", lambda e: F.struct(e["d"].alias("d"), e["id"].alias("id"), (e["done"] | F.array_contains("now.id", e["id"])).alias("done")))
         union = F.slice(F.array_sort(F.concat(after, F.coalesce("more", F.array().cast(entry)))), 1, beam)
         # What falls out of a full beam is never measured again: it can't be nearer than the beam's last.
-        state = checkpointed(marked.join(measured, "query", "left").select("query", union.alias("near")))
+        state = checkpointed(marked.join(sent(measured, expand * (DEGREE + REVERSE)), "query", "left").select("query", union.alias("near")))
     return state
 
 

@@ -364,6 +364,19 @@ def test_neighbour_graph_recall(spark):
     assert found.keys() == wanted.keys() | {q for q in short if q % 100 == 0}
 
 
+def test_chunks_do_not_follow_partitions(spark, monkeypatch):
+    """With many more partitions than chunks, the graph still starts from whole chunks, and blocks are as few as asked for."""
+    x = np.random.default_rng(9).standard_normal((1200, 6)).astype("<f4")
+    nodes = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "id long, v binary").repartition(4)
+    asked = type(nodes).repartitionByRange
+    monkeypatch.setattr(type(nodes), "repartitionByRange", lambda self, n, *cols: asked(self, max(n, 150), *cols))
+    assert ann.in_blocks(nodes, 600).select("block").distinct().count() == 2
+    graph = {r.id: [e.id for e in r.near] for r in ann.start_graph(nodes, degree=5, orders=1, chunk=601).collect()}
+    for i in range(0, 1200, 50):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        assert graph[i] == sorted((j for j in range(1200) if j != i), key=lambda j: d[j])[:5]
+
+
 def plain_segments(path):
     import re
 
