@@ -9,7 +9,10 @@ link. A task gets the tiles of two blocks, and sends on only a spanning forest o
 links it finds, so a group of k near-copies costs k rows and not k squared.
 
 For groups by shingle similarity (:func:`one_of_each_group`) links of a wide radius only
-say which texts may belong together: what they connect is a neighbourhood. In it the exact
+say which texts may belong together: what they connect is a neighbourhood. They are looked
+for among texts that share a bond: two shingle hashes that are neighbours among the smallest
+of both texts. Sets as alike as asked share one but for a chance of ``MISS`` (small sets always),
+others rarely, so this work grows with the texts and not with their pairs. In a neighbourhood the exact
 overlaps of all shingle sets are counted, tile against tile as matrix products, inside the
 tasks; what leaves a task is again a spanning forest, of verified links, so neither rows nor
 disk grow with the pairs that are alike or almost alike.
@@ -22,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -40,6 +44,12 @@ MIN_BLOCKS = 8
 PENDING = 400_000
 #: Pairs of blocks are dealt to so many tasks at most; a task takes its pairs one after another.
 PAIR_TASKS = 10_000
+#: The chance, at most, that two sets of just the similarity asked for share no bond (64-bit hashes are as likely to clash).
+MISS = 1e-16
+#: Rows of bonds that are compared at a time; the texts of a bond of more than ``PAIRED`` are first compared with up to ``PIVOTS`` of them.
+HELD_ROWS, PAIRED, PIVOTS = 100_000, 64, 16
+#: Texts of a bond that one task compares; those of bonds with more are compared block by block, once for all such bonds.
+CROWD = 65_536
 #: Shingle sets and shingles in a tile of them, on average, at most (beyond one set), and shingles that a product takes at a time.
 TILE_SETS, TILE_SHINGLES, COLUMNS = 128, 400_000, 8_192
 
@@ -96,10 +106,30 @@ def fingerprint(text: Column, size: int = 4, words: int = 1) -> Column:
     return of(text.cast("string"))
 
 
-def node_of(text: str | None, size: int, words: int) -> bytes:
-    """The fingerprint of a text's distinct shingles, and 64 bits that name their set: texts of one node hold the same shingles."""
+def node_of(text: str | None, size: int, words: int, smallest: int) -> tuple[bytes, int, np.ndarray]:
+    """The fingerprint of a text's distinct shingles with 64 bits that name their set (texts of one node hold the same shingles), their number, and their bonds."""
     hashes = np.unique(shingle_hashes(text, size))
-    return _fingerprint(hashes, words) + xxhash.xxh64_digest(hashes.tobytes())
+    return _fingerprint(hashes, words) + xxhash.xxh64_digest(hashes.tobytes()), len(hashes), _bonds(hashes, smallest)
+
+
+def _bonds(hashes: np.ndarray, smallest: int) -> np.ndarray:
+    """64 bits for each two neighbours among the ``smallest`` of sorted hashes; if those are all, the last and the first are neighbours too."""
+    if len(hashes) < 2:
+        return np.empty(0, np.int64)
+    low = hashes[:smallest] if len(hashes) > smallest else np.append(hashes, hashes[0])
+    return (_mixed(low[:-1], 1) + low[1:]).view(np.int64)
+
+
+def smallest_for(similarity: float) -> int:
+    """So many of the smallest hashes hold two neighbours in common but for a chance of ``MISS``.
+
+    The smallest hashes of both sets together are in both with a chance of ``similarity`` each; two
+    of them in a row that are in both are neighbours in each set. That none of ``n`` are two in a row
+    has a chance that falls with the n-th power of the root of x * x = (1 - s) * (x + s).
+    """
+    apart = 1 - similarity
+    root = (apart + np.sqrt(apart * apart + 4 * apart * similarity)) / 2
+    return int(np.ceil(np.log(MISS) / np.log(root))) + 1
 
 
 def radius_for(similarity: float, bits: int, spreads: float) -> int:
@@ -120,10 +150,11 @@ def _quarters(fps: np.ndarray) -> np.ndarray:
     return counts.reshape(len(fps), 4, -1).sum(axis=2) if fps.shape[1] % 4 == 0 or fps.shape[1] == 1 else counts.sum(axis=1)
 
 
-def _node(text: Column, size: int, words: int) -> Column:
-    @F.arrow_udf("binary")
+def _node(text: Column, size: int, words: int, smallest: int) -> Column:
+    @F.arrow_udf("struct<fp: binary, n: int, bonds: array<long>>")
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array([node_of(t.as_py(), size, words) for t in texts], pa.binary())
+        fps, n, bonds = zip(*(node_of(t.as_py(), size, words, smallest) for t in texts)) if len(texts) else ((), (), ())
+        return pa.StructArray.from_arrays([pa.array(fps, pa.binary()), pa.array(n, pa.int32()), pa.array(bonds, pa.list_(pa.int64()))], ["fp", "n", "bonds"])
 
     return of(text.cast("string"))
 
@@ -287,6 +318,140 @@ def fingerprint_links(fps: DataFrame, radius: int, tile: int = TILE, words: int
     return compared.applyInPandas(_compare(radius, tile, words), "u binary, v binary")
 
 
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each bond of each node, which a task sends once while it remembers the node."""
+    sent: set[int] = set()
+    for batch in batches:
+        sent = sent if len(sent) < 1_000_000 else set()
+        new = [not (i in sent or sent.add(i)) for i in batch.column("id").to_pylist()]
+        batch = batch.filter(pa.array(new, pa.bool_()))
+        lists = batch.column("bonds")
+        ids = np.repeat(batch.column("id").to_numpy(), pc.list_value_length(lists).to_numpy())
+        yield pa.RecordBatch.from_arrays([lists.flatten(), pa.array(ids, pa.int64())], ["bond", "id"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by bond and node the first of each node in each bond of two nodes or more."""
+    bond, id_ = np.empty(0, np.int64), np.empty(0, np.int64)
+    sent = False  # whether the row kept from the batch before has been sent
+    for batch in batches:
+        if not len(batch):
+            continue
+        bond, id_ = (np.concatenate([kept, batch.column(c).to_numpy()]) for kept, c in ((bond, "bond"), (id_, "id")))
+        first = np.append(True, (bond[1:] != bond[:-1]) | (id_[1:] != id_[:-1]))
+        bond, id_ = bond[first], id_[first]
+        again = bond[1:] == bond[:-1]
+        met = np.append(again, False) | np.append(False, again)
+        last = bool(met[-1]) if len(bond) > 1 else sent
+        met[0] &= not sent
+        yield pa.RecordBatch.from_arrays([pa.array(bond[met]), pa.array(id_[met])], ["bond", "id"])
+        bond, id_, sent = bond[-1:], id_[-1:], last
+
+
+def _in_bond(fps: np.ndarray, n: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect those texts of one large bond, sorted by their numbers of shingles ``n``, that are within the radius and as alike as ``n`` allows.
+
+    Texts close to a few of them are one group at once; only the others meet all.
+    """
+    parent, met = np.arange(len(fps)), np.zeros(len(fps), bool)
+    us, vs = [], []
+
+    def join(u: np.ndarray, v: np.ndarray) -> None:
+        keep = (parent[u] != parent[v]) & (np.minimum(n[u], n[v]) >= similarity * np.maximum(n[u], n[v]))
+        u, v = _forest(parent, u[keep], v[keep], np.zeros(keep.sum()))
+        us.append(u)
+        vs.append(v)
+
+    def rest() -> np.ndarray:
+        """All but the largest group and those that have met all."""
+        return np.flatnonzero((parent != np.bincount(parent).argmax()) & ~met)
+
+    for _ in range(PIVOTS):
+        if not len(left := rest()):
+            break
+        pivot = left[len(left) // 2]
+        near = np.flatnonzero(np.bitwise_count(fps ^ fps[pivot]).sum(axis=1, dtype=np.int64) <= radius)
+        join(np.full(len(near), pivot), near)
+        met[pivot] = True
+    left = rest()
+    xor, ones = np.empty((TILE, TILE), np.uint64), np.empty((TILE, TILE), np.uint8)
+    for a in range(0, len(left), TILE):
+        mine = left[a : a + TILE]
+        first, end = np.searchsorted(n, [similarity * n[mine[0]], n[mine[-1]] / similarity + 1])
+        others = first + np.flatnonzero(~met[first:end])
+        for b in range(0, len(others), TILE):
+            theirs = others[b : b + TILE]
+            x, y, _ = _close(fps[mine], fps[theirs], radius, xor, ones)
+            join(mine[x], theirs[y])
+        met[mine] = True
+    return np.concatenate([*us, np.empty(0, np.int64)]), np.concatenate([*vs, np.empty(0, np.int64)])
+
+
+def _near_in_bonds(radius: int, words: int, similarity: float):
+    def compared(table: pa.Table) -> pa.RecordBatch:
+        """Every node that whole bonds' close pairs connect to a smaller one, with the smallest: mostly the same for the bonds of a group of near-copies, so that these give few different links."""
+        bond, n = table.column("bond").to_numpy(), table.column("n").to_numpy()
+        names, at = np.unique(np.array(table.column("fp").to_pylist(), object), return_inverse=True)
+        fps = _as_words(names.tolist())[:, :words]
+        starts = np.flatnonzero(np.append(True, bond[1:] != bond[:-1]))
+        counts = np.diff(np.append(starts, len(bond)))
+        us, vs = [], []
+        for s, c in zip(starts[counts > PAIRED].tolist(), counts[counts > PAIRED].tolist()):
+            u, v = _in_bond(fps[at[s : s + c]], n[s : s + c], radius, similarity)
+            us.append(at[s + u])
+            vs.append(at[s + v])
+        few = np.repeat(counts <= PAIRED, counts)
+        bond, n, at = bond[few], n[few], at[few]
+        for apart in range(1, PAIRED):
+            i = np.flatnonzero((bond[:-apart] == bond[apart:]) & (n[:-apart] >= similarity * n[apart:]))
+            if not len(i):
+                break
+            close = np.bitwise_count(fps[at[i]] ^ fps[at[i + apart]]).sum(axis=1, dtype=np.int64) <= radius
+            us.append(at[i[close]])
+            vs.append(at[i[close] + apart])
+        parent = np.arange(len(names))
+        _contract(parent, *(np.concatenate([*x, np.empty(0, np.int64)]) for x in (us, vs)))
+        v = np.flatnonzero(parent != np.arange(len(names)))
+        u = parent[v]
+        return pa.RecordBatch.from_arrays([pa.array(names[u], pa.binary()), pa.array(names[v], pa.binary())], ["u", "v"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows sorted by bond and number of shingles, some bonds at a time."""
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            if rows >= HELD_ROWS:
+                table = pa.Table.from_batches(held)
+                bond = table.column("bond").to_numpy()
+                whole = int(np.searchsorted(bond, bond[-1]))
+                if whole:
+                    yield compared(table.slice(0, whole))
+                held, rows = table.slice(whole).to_batches(), len(table) - whole
+        if rows:
+            yield compared(pa.Table.from_batches(held))
+
+    return near
+
+
+def bond_links(bonds: DataFrame, nodes: DataFrame, radius: int, words: int, similarity: float) -> DataFrame:
+    """``bonds(id, bonds)``, repeats allowed, and the distinct ``nodes(id, fp, n)`` to links ``(u, v)`` that connect, directly or by steps, nodes that share a bond, are within ``radius`` bits of each other and whose numbers of shingles ``n`` allow the similarity.
+
+    Two numbers for each bond of a node are shuffled; only bonds of two nodes or more get the fingerprints.
+    """
+    dealt = bonds.mapInArrow(_dealt, "bond long, id long").repartition("bond").sortWithinPartitions("bond", "id")
+    shared = checkpointed(dealt.mapInArrow(_shared, "bond long, id long"))
+    crowded = checkpointed(shared.groupBy("bond").count().where(F.col("count") > CROWD).select("bond"))
+    links = None
+    if crowded.count():
+        many = shared.join(crowded, "bond", "left_semi").select("id").distinct()
+        links = fingerprint_links(checkpointed(nodes.join(many, "id", "left_semi").select("fp")), radius, words=words)
+        shared = shared.join(crowded, "bond", "left_anti")
+    placed = shared.join(nodes, "id").select("bond", "n", "fp").repartition("bond").sortWithinPartitions("bond", "n")
+    found = placed.mapInArrow(_near_in_bonds(radius, words, similarity), "u binary, v binary")
+    return found if links is None else found.union(links)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, words: int = 1, radius: int = 4) -> DataFrame:
     """One row per input row: the key, its ``fingerprint`` (binary) and ``component_id``, the smallest key reachable over links of ``radius`` differing bits or fewer.
 
@@ -423,17 +588,19 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text",
     copies; an empty table gives no rows. Columns may have any names.
     """
     key_of, hash_of = F.col(f"`{key}`"), F.xxhash64(F.col(f"`{text}`"))
-    prints = stored(docs.select(key_of.alias("key"), hash_of.alias("hash"), _node(F.col(f"`{text}`"), size, words).alias("fp")))
-    distinct = checkpointed(prints.groupBy("fp").agg(F.min(F.struct(F.col("key").isNull().alias("unnamed"), "key", "hash")).alias("row")))
-    radius = radius_for(similarity, 64 * words, 4.0)
-    near = checkpointed(connected_components(fingerprint_links(distinct.select("fp"), radius, words=words)))
-    # The shingles of one row of each text that has a neighbour.
-    wanted = near.join(distinct, near["node"] == distinct["fp"]).select("fp", F.col("component").alias("group"), F.col("row.key").alias("wanted_key"), F.col("row.hash").alias("wanted_hash"))
-    texts = docs.select(key_of.alias("key"), hash_of.alias("hash"), F.col(f"`{text}`").cast("string").alias("content"))
-    met = texts.join(wanted, F.col("key").eqNullSafe(F.col("wanted_key")) & (F.col("hash") == F.col("wanted_hash")))
-    sets = stored(met.select("group", "fp", "content").dropDuplicates(["fp"]).select("group", "fp", _shingles(F.col("content"), size).alias("s")))
+    prints = stored(docs.select(key_of.alias("key"), hash_of.alias("hash"), _node(F.col(f"`{text}`"), size, words, smallest_for(similarity)).alias("node")))
+    first = F.min(F.struct(F.col("key").isNull().alias("unnamed"), "key", "hash")).alias("row")
+    distinct = checkpointed(prints.groupBy(F.col("node.fp").alias("fp")).agg(first, F.min("node.n").alias("n")))
+    bonds = prints.select(F.xxhash64("node.fp").alias("id"), "node.bonds")
+    links = bond_links(bonds, distinct.select(F.xxhash64("fp").alias("id"), "fp", "n"), radius_for(similarity, 64 * words, 4.0), words, similarity)
+    near = checkpointed(connected_components(links))
+    # The shingles of one row of each text that has a neighbour. Rows that are joined by key and hash lie together, so repeated ones go without another shuffle.
+    at, wanted_at = F.struct(key_of.alias("key"), hash_of.alias("hash")).alias("at"), F.struct("row.key", "row.hash").alias("wanted")
+    wanted = near.join(distinct, near["node"] == distinct["fp"]).select("fp", F.col("component").alias("group"), wanted_at)
+    texts = docs.select(at, F.col(f"`{text}`").cast("string").alias("content"))
+    met = texts.join(wanted, F.col("at") == F.col("wanted")).dropDuplicates(["wanted"])
+    sets = stored(met.select("group", "fp", _shingles(F.col("content"), size).alias("s")))
     named = _rooted(distinct, jaccard_links(sets, similarity))
-    chosen = checkpointed(named.groupBy("root").agg(F.min("row").alias("row")).select("root", F.col("row.key").alias("wanted_key"), F.col("row.hash").alias("wanted_hash")))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), key_of.alias("key"), hash_of.alias("hash"))
-    found = rows.join(chosen, F.col("key").eqNullSafe(F.col("wanted_key")) & (F.col("hash") == F.col("wanted_hash")))
-    return found.select("root", "doc").dropDuplicates(["root"]).select("doc.*")
+    chosen = checkpointed(named.groupBy("root").agg(F.min("row").alias("row")).select(wanted_at))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), at)
+    return rows.join(chosen, F.col("at") == F.col("wanted")).dropDuplicates(["wanted"]).select("doc.*")

@@ -531,3 +531,107 @@ def test_near_dedup_of_a_large_group_just_below(spark):
     out = corpus_pipeline.near_duplicate_stage(spark, docs, "")
     assert out.columns == docs.columns
     assert sorted(r.doc_id for r in out.select("doc_id").collect()) == sorted(least.values()) and 200 < len(least) < 2_000
+
+
+def bond_rows(texts):
+    """(bond, name of the node, n, fingerprint with its name) of every bond."""
+    rows = []
+    for t in texts:
+        fp, n, bonds = simhash.node_of(t, 5, 4, simhash.smallest_for(0.8))
+        rows += [(b, int.from_bytes(fp[-8:], "little", signed=True), n, fp) for b in bonds.tolist()]
+    return rows
+
+
+def batches_of(rows, names, kinds, size):
+    import pyarrow as pa
+
+    for at in range(0, len(rows), size):
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows[at : at + size]), kinds)], names)
+
+
+def test_near_dedup_compares_no_unrelated_texts(spark, monkeypatch):
+    """Texts of common words meet in no bond, and near-dedup does without the comparison of all with all."""
+    import corpus_pipeline
+
+    def refused(*_, **__):
+        raise AssertionError("all texts are compared with all")
+
+    rng = random.Random(31)
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(rng.choice([5, 40, 200]))) for _ in range(600)]
+    assert len({r[0] for r in bond_rows(texts)}) == len(bond_rows(texts))
+    monkeypatch.setattr(simhash, "fingerprint_links", refused)
+    rows = list(enumerate(texts + [f"{t} once more" for t in texts if len(t.split()) > 100]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == list(range(600))
+
+
+def test_near_texts_share_a_bond():
+    """Every pair at 0.8 or more, of sets of 4 shingles and more."""
+    rng = np.random.default_rng(32)
+    smallest = simhash.smallest_for(0.8)
+    for n in [*range(5, 80), 200, 1000, 5000]:
+        for _ in range(20):
+            union = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            role = rng.permutation(n)
+            cut = rng.integers(0, n // 5 + 1)
+            a, b = union[role >= cut], union[(role < cut) | (role >= n // 5)]
+            assert len(np.intersect1d(a, b)) >= 0.8 * n
+            assert len(np.intersect1d(simhash._bonds(a, smallest), simhash._bonds(b, smallest)))
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_shared_bonds_are_found_across_batches(size):
+    rng = random.Random(33)
+    rows = sorted((rng.randrange(150), rng.randrange(6)) for _ in range(300))
+    held = {}
+    for bond, i in rows:
+        held.setdefault(bond, set()).add(i)
+    expected = sorted((b, i) for b, ids in held.items() if len(ids) > 1 for i in ids)
+    got = [(b, i) for out in simhash._shared(batches_of(rows, ["bond", "id"], ["int64", "int64"], size)) for b, i in zip(out["bond"].to_pylist(), out["id"].to_pylist())]
+    assert got == expected and len({b for b, _ in expected}) < len(held)
+
+
+@pytest.mark.parametrize("paired, held, tile", [(64, 100_000, 512), (3, 40, 4)])
+def test_close_pairs_of_bonds_are_linked(monkeypatch, paired, held, tile):
+    """Small and large bonds, some of near copies, some of texts that only have a line in common, against all pairs of each."""
+    monkeypatch.setattr(simhash, "PAIRED", paired)
+    monkeypatch.setattr(simhash, "HELD_ROWS", held)
+    monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "PIVOTS", 3)
+    rng = random.Random(34)
+    line = " ".join(f"l{i}" for i in range(40))
+    texts = [f"{line} " + " ".join(f"w{rng.randrange(9000)}" for _ in range(rng.choice([5, 30, 90]))) for _ in range(150)]
+    words = [f"w{i}" for i in range(300)]
+    for _ in range(100):
+        words[rng.randrange(300)] = f"v{rng.randrange(9000)}"
+        texts.append(" ".join(words))
+    rows = sorted({(b, n, fp) for b, _, n, fp in bond_rows(texts)})
+    met = {}
+    for b, n, fp in rows:
+        met.setdefault(b, []).append((fp, n))
+    assert max(map(len, met.values())) > 64
+    far = lambda a, b: (int.from_bytes(a[:32], "big") ^ int.from_bytes(b[:32], "big")).bit_count()
+    links = {(x, y) for of in met.values() for x, n in of for y, m in of if x < y and min(n, m) >= 0.8 * max(n, m) and far(x, y) <= 60}
+    out = list(simhash._near_in_bonds(60, 4, 0.8)(batches_of(rows, ["bond", "n", "fp"], ["int64", "int32", "binary"], 25)))
+    got = [(u, v) for o in out for u, v in zip(o["u"].to_pylist(), o["v"].to_pylist())]
+    nodes = {fp for _, _, fp in rows}
+    assert plain_components(nodes, got) == plain_components(nodes, list(links)) and 20 < len(set(plain_components(nodes, got).values())) < len(nodes) - 20
+
+
+def test_crowded_bonds_are_compared_as_well(spark, monkeypatch):
+    """Bonds of more texts than a task should compare give the same rows."""
+    import corpus_pipeline
+
+    rng = random.Random(35)
+    rows, words = [], [f"w{i}" for i in range(200)]
+    for k in range(120):
+        words[rng.randrange(200)] = f"v{k}"
+        rows.append((k, " ".join(words)))
+        rows.append((1000 + k, " ".join(f"u{rng.randrange(5000)}" for _ in range(60))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    expected = sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect())
+    compared = []
+    monkeypatch.setattr(simhash, "CROWD", 5)
+    monkeypatch.setattr(simhash, "fingerprint_links", lambda fps, *a, f=simhash.fingerprint_links, **k: compared.append(fps.count()) or f(fps, *a, **k))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == expected == [0, *range(1000, 1120)]
+    assert 5 < compared[0] <= 120
